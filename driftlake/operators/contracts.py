@@ -16,16 +16,21 @@ _PROPS = "try_variant_get({v}, '$.properties', 'map<string,variant>')"
 _NAMES = "try_variant_get({v}, '$.required', 'array<string>')"
 
 
+def _text(value: str) -> str:
+    """Text of a scalar; a list or an object in its place reads as empty text."""
+    return f"""CASE WHEN schema_of_variant({value}) RLIKE '^(ARRAY|OBJECT)' THEN ''
+        ELSE coalesce(CAST({value} AS STRING), 'null') END"""
+
+
 def _schema_node(path: str, depth: int, value: str, required: str) -> str:
+    def part(name: str, absent: str) -> str:
+        found = f"try_variant_get({value}, '$.{name}', 'variant')"
+        return f"CASE WHEN {found} IS NULL THEN {absent} ELSE {_text(found)} END"
+
     enums = f"try_variant_get({value}, '$.enum', 'array<variant>')"
-    return f"""struct({path} AS path, {depth} AS depth,
-        CASE WHEN try_variant_get({value}, '$.type', 'variant') IS NULL THEN 'object'
-             ELSE coalesce(try_variant_get({value}, '$.type', 'string'), '') END AS type,
-        {required} AS required,
-        coalesce(transform({enums}, x -> coalesce(CAST(x AS STRING), 'null')), CAST(array() AS ARRAY<STRING>))
-          AS enum_values,
-        try_variant_get({value}, '$.format', 'string') AS format,
-        try_variant_get({value}, '$.pattern', 'string') AS pattern,
+    return f"""struct({path} AS path, {depth} AS depth, {part('type', "'object'")} AS type, {required} AS required,
+        coalesce(transform({enums}, x -> {_text('x')}), CAST(array() AS ARRAY<STRING>)) AS enum_values,
+        {part('format', 'NULL')} AS format, {part('pattern', 'NULL')} AS pattern,
         coalesce(try_variant_get({value}, '$.nullable', 'boolean'), false) AS nullable,
         {value} AS v)"""
 

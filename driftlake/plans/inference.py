@@ -355,36 +355,22 @@ def paths_added(spark, sf_dir):
     return D.paths_missing(inferred(spark, sf_dir), baseline(spark, sf_dir), KEYS)
 
 
-def _half(name: str) -> str:
-    return f"""{name} AS (
-      SELECT service_id, endpoint, method, path, list_sort(list(DISTINCT value_str)) AS vals
-      FROM nodes WHERE sampled_at {'<' if name == 'early' else '>='} TIMESTAMP '2024-01-16 00:00:00'
-        AND path IN ('currency', 'note', 'zip') AND json_type NOT IN ('object', 'null')
-      GROUP BY ALL)"""
+# A declared contract whose currency list differs from the traffic by one value each way.
+ENUM_CONTRACT = """{"properties": {"currency": {"type": "string", "enum": ["USD", "EUR", "JPY"]}, "zip": {"enum": [1, 2]}}}"""
 
 
 @query(
     "enum_drift",
-    f"""SELECT {KEYS_SQL}, path, array_to_string(list_sort([x for x in e.vals if NOT list_contains(l.vals, x)]), ',') AS removed,
-          array_to_string(list_sort([x for x in l.vals if NOT list_contains(e.vals, x)]), ',') AS added
-        FROM early e JOIN late l USING (service_id, endpoint, method, path)
-        WHERE len([x for x in e.vals if NOT list_contains(l.vals, x)]) + len([x for x in l.vals if NOT list_contains(e.vals, x)]) > 0""",
-    TRAFFIC, NODES_SQL + ", " + _half("early") + ", " + _half("late"),
+    f"""SELECT {KEYS_SQL}, e.path, array_to_string(list_sort([x for x in d.declared if NOT list_contains(string_split(enum_values, ','), x)]), ',') AS removed,
+          array_to_string(list_sort([x for x in string_split(enum_values, ',') if NOT list_contains(d.declared, x)]), ',') AS added
+        FROM enums e JOIN (VALUES ('currency', ['USD', 'EUR', 'JPY']), ('zip', ['1', '2'])) d(path, declared) ON e.path = d.path
+        WHERE list_sort(string_split(enum_values, ',')) <> list_sort(d.declared)""",
+    TRAFFIC, STATS_SQL + ENUM_SQL,
 )
 def enum_drift(spark, sf_dir):
-    """Value sets of the declared enum fields in the first and the second half of the month."""
-    flat = nodes(spark, sf_dir, extra=["sampled_at"]).filter(F.col("path").isin("currency", "note", "zip"))
-    distinct = (
-        flat.filter(~F.col("json_type").isin("object", "null"))
-        .select(*KEYS, "path", "value_str", (F.col("sampled_at") < F.lit("2024-01-16").cast("timestamp_ntz")).alias("early"))
-        .distinct()
-    )
-
-    def side(early: bool) -> DataFrame:
-        rows = distinct.filter(F.col("early") == early)
-        return rows.groupBy(*KEYS, "path").agg(F.array_sort(F.collect_list("value_str")).alias("enum_values"))
-
-    out = D.enum_drift(side(True), side(False), KEYS)
+    """Declared enum values against the values seen in traffic."""
+    declared = samples(spark, sf_dir).select(*KEYS).distinct().withColumn("schema_json", F.lit(ENUM_CONTRACT))
+    out = D.enum_drift(C.contract_to_nodes(declared, KEYS), S.enum_values(nodes(spark, sf_dir)), KEYS)
     return out.withColumns({c: F.array_join(c, ",") for c in ("removed", "added")})
 
 

@@ -106,4 +106,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(*names: str) -> str:
     """The views as a leading WITH clause for the SQL oracle (no trailing comma)."""
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in names)
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in names)

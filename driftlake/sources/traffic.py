@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +29,7 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return spark.readStream.format(fmt).schema(schema).options(**options).load(path)
 
 
-def decode_envelope(records: DataFrame, headers: str = "headers") -> DataFrame:
+def decode_envelope(records: DataFrame, headers: str = "headers", keep: Sequence[str] = ()) -> DataFrame:
     """Service, endpoint, method and payload of raw records, with the fallbacks of the consumer.
 
     ``headers`` is a map of strings; ``key`` and ``value`` are binary or string.
@@ -37,6 +39,7 @@ def decode_envelope(records: DataFrame, headers: str = "headers") -> DataFrame:
         return F.decode(F.col(name), "UTF-8") if isinstance(kind, T.BinaryType) else F.col(name).cast("string")
 
     return records.select(
+        *keep,
         F.coalesce(F.col(headers)["service_id"], text("key"), F.lit("unknown")).alias("service_id"),
         F.coalesce(F.col(headers)["endpoint"], F.lit("/unknown")).alias("endpoint"),
         F.coalesce(F.col(headers)["method"], F.lit("GET")).alias("method"),
