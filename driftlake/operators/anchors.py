@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from driftlake.session import materialize
 
 FOLD_LIMIT = 10_000
+LEAF_ROWS = 500_000
 LEAF_PERIODS = 16
 FANOUT = 16
 NEVER = np.iinfo(np.int64).min
@@ -44,7 +45,7 @@ def _leaf_steps(rows: pd.DataFrame) -> pd.DataFrame:
     """Entry-to-exit steps of one segment, from its times."""
     times = np.unique(rows["t"].to_numpy())
     period = int(rows["period"].iloc[0])
-    start = int(rows["seg"].iloc[0]) * period * LEAF_PERIODS
+    start = int(rows["seg"].iloc[0]) * int(rows["width"].iloc[0])
     entries = times[: np.searchsorted(times, start + period, "left") + 1]
     exits = entries.copy()
     while True:
@@ -113,10 +114,10 @@ STEP_SCHEMA = "kid long, period long, seg long, entry long, leave long"
 
 
 def _busy_anchors(points: DataFrame) -> DataFrame:
-    """Anchors of busy keys; input and output carry (kid, t), the input also the period."""
+    """Anchors of busy keys; input (kid, t, period, width of a segment), output (kid, t)."""
     origin = points.agg(F.min("t")).first()[0]
     points = points.withColumn("t", F.col("t") - origin)
-    leaf = points.withColumn("seg", F.floor(F.col("t") / (F.col("period") * LEAF_PERIODS)))
+    leaf = points.withColumn("seg", F.floor(F.col("t") / F.col("width")))
     levels = [materialize(leaf.groupBy("kid", "seg").applyInPandas(_leaf_steps, STEP_SCHEMA), "steps")]
     while True:
         lowest, highest = levels[-1].agg(F.min("seg"), F.max("seg")).first()
@@ -135,19 +136,26 @@ def _busy_anchors(points: DataFrame) -> DataFrame:
     return marked.withColumn("t", F.col("t") + origin)
 
 
-def anchor_points(points: DataFrame, keys: Sequence[str], fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def anchor_points(
+    points: DataFrame, keys: Sequence[str], fold_limit: int = FOLD_LIMIT, leaf_rows: int = LEAF_ROWS
+) -> DataFrame:
     """Anchors (keys, t) of distinct points (keys, t, period); times in microseconds.
 
-    ``period`` is in microseconds and the same for all points of a key.
+    ``period`` is in microseconds and the same for all points of a key. Keys with more than
+    ``fold_limit`` points are cut into segments of about ``leaf_rows`` points.
     """
     keys = list(keys)
-    counts = points.groupBy(*keys).agg(F.count("*").alias("n"), F.first("period").alias("period"))
+    counts = points.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.first("period").alias("period"), F.min("t").alias("low"), F.max("t").alias("high")
+    )
     busy = counts.filter(F.col("n") > fold_limit)
     if busy.isEmpty():
         return _fold(points, keys)
     # busy keys get a short number: at most (rows / fold_limit) of them exist
-    numbered = materialize(busy.select(*keys, F.monotonically_increasing_id().alias("kid")), "busy")
-    hot = points.join(numbered, keys).select("kid", "t", "period")
+    periods = F.ceil((F.col("high") - F.col("low")) / F.col("period") * leaf_rows / F.col("n"))
+    width = (F.greatest(periods, F.lit(LEAF_PERIODS)) * F.col("period")).alias("width")
+    numbered = materialize(busy.select(*keys, F.monotonically_increasing_id().alias("kid"), width), "busy")
+    hot = points.join(numbered, keys).select("kid", "t", "period", "width")
     marked = _busy_anchors(hot).join(numbered, "kid").select(*keys, "t")
     return _fold(points.join(numbered, keys, "left_anti"), keys).unionByName(marked)
 
@@ -164,7 +172,8 @@ def _fold(points: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def drop_repeats(
-    rows: DataFrame, keys: Sequence[str], time_us: str, row_id: str, period_us, fold_limit: int = FOLD_LIMIT
+    rows: DataFrame, keys: Sequence[str], time_us: str, row_id: str, period_us, fold_limit: int = FOLD_LIMIT,
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """Keep the rows that open a period of their key; of rows at one time the smallest id.
 
@@ -174,9 +183,9 @@ def drop_repeats(
     keys = list(keys)
     period = F.lit(period_us) if isinstance(period_us, int) else period_us
     points = rows.groupBy(*keys, F.col(time_us).alias("t")).agg(
-        F.min(row_id).alias(row_id), F.first(period).alias("period")
+        F.min(row_id).alias(row_id), F.first(period).cast("bigint").alias("period")
     )
     points = materialize(points, "points")
-    kept = anchor_points(points.select(*keys, "t", "period"), keys, fold_limit).join(points, [*keys, "t"])
+    kept = anchor_points(points.select(*keys, "t", "period"), keys, fold_limit, leaf_rows).join(points, [*keys, "t"])
     kept = kept.withColumnRenamed("t", time_us).select(*keys, time_us, row_id)
     return rows.join(kept, [*keys, time_us, row_id], "left_semi")

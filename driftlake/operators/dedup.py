@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftlake.functions.normalize import content_hash, normalize_document
 from driftlake.functions.scalars import micros
-from driftlake.operators.anchors import FOLD_LIMIT, drop_repeats
+from driftlake.operators.anchors import FOLD_LIMIT, LEAF_ROWS, drop_repeats
 
 PERIOD_SECONDS = 300
 
@@ -24,8 +24,9 @@ def dedup(
     row_id: str = "sample_id",
     seconds: int = PERIOD_SECONDS,
     fold_limit: int = FOLD_LIMIT,
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """Drop a sample while less than ``seconds`` passed since the kept one of its hash."""
     timed = samples.withColumn("t_us", micros(F.col(time)))
-    kept = drop_repeats(timed, ["content_hash"], "t_us", row_id, seconds * 1_000_000, fold_limit)
+    kept = drop_repeats(timed, ["content_hash"], "t_us", row_id, seconds * 1_000_000, fold_limit, leaf_rows)
     return kept.drop("t_us")

@@ -29,4 +29,4 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), ctes:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from driftlake.plans import inference, registry, scrubbing, traffic  # noqa: F401
+    from driftlake.plans import inference, proto, registry, scrubbing, streams, traffic  # noqa: F401

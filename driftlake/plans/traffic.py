@@ -242,8 +242,8 @@ def dedup_5m(spark, sf_dir):
     TRAFFIC, _DEDUP,
 )
 def dedup_5m_busy(spark, sf_dir):
-    """The same result with every key treated as a busy one."""
-    return dedup(coarse_hash(spark, sf_dir), fold_limit=0)
+    """The same result with every key cut into segments, as busy keys are."""
+    return dedup(coarse_hash(spark, sf_dir), fold_limit=0, leaf_rows=400)
 
 
 # -- metrics -----------------------------------------------------------------------------------
