@@ -102,7 +102,8 @@ def json_nodes(
         out = out.withColumn("value_str", mask_uuid(text) if mask_volatile else text)
     if mask_volatile:
         out = out.withColumns({c: mask_uuid(F.col(c)) for c in ("path", "parent_path", "name")})
-    truncated = (F.col("depth") == max_depth) & F.schema_of_variant("v").rlike(r"^(OBJECT<.+>|ARRAY<(?!VOID>).+>)$")
+    has_children = F.expr(f"size({_MEMBERS.format(v='v')}) > 0 OR size({_ITEMS.format(v='v')}) > 0")
+    truncated = F.when(F.col("depth") == max_depth, F.coalesce(has_children, F.lit(False))).otherwise(False)
     return out.withColumn("truncated", truncated).drop("v")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from driftlake.functions.scalars import micros
+
 WATERMARK = "10 minutes"
 
 
@@ -35,13 +37,13 @@ def split_late(
     def split(batch: DataFrame, batch_id: int) -> None:
         newest = None
         if batch_id > 0:
-            marks = spark.read.schema(f"newest {batch.schema[time].dataType.simpleString()}, batch_id bigint").parquet(marks_path)
+            marks = spark.read.schema("newest bigint, batch_id bigint").parquet(marks_path)
             newest = marks.filter(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
-        limit = F.lit(newest) - F.expr(f"INTERVAL {delay}")
+        limit = F.timestamp_micros(F.lit(newest).cast("bigint")) - F.expr(f"INTERVAL {delay}")
         is_late = F.coalesce(F.col(time) < limit, F.lit(False))
         for rows, path in ((batch.filter(~is_late), on_time_path), (batch.filter(is_late), late_path)):
             rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        mark = batch.agg(F.max(time).alias("newest"))
+        mark = batch.agg(F.max(micros(F.col(time))).alias("newest"))
         mark.write.mode("overwrite").parquet(f"{marks_path}/batch_id={batch_id}")
 
     return (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from driftlake.session import scratch_folder
+from driftlake.session import scratch_folder, state_partitions
 
 
 def as_stream(table: DataFrame, time: str, slices: int = 4) -> DataFrame:
@@ -33,10 +33,11 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     """Run a query over all available input into a table folder and return the table."""
     spark = stream.sparkSession
     out, checkpoint = scratch_folder(spark, name), scratch_folder(spark, f"{name}-checkpoint")
-    query: StreamingQuery = (
-        stream.writeStream.format("parquet").outputMode(mode).option("path", out)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    with state_partitions(spark):
+        query: StreamingQuery = (
+            stream.writeStream.format("parquet").outputMode(mode).option("path", out)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
