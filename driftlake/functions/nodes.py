@@ -74,9 +74,9 @@ def json_nodes(
     raw_paths: bool = False,
     mask_volatile: bool = False,
 ) -> DataFrame:
-    """One row per JSON node, the root (``path = ''``) included.
+    """One row per JSON node of the documents that are objects, the root (``path = ''``) included.
 
-    ``doc`` is a VARIANT column. ``values=False`` leaves out the value text, which keeps the
+    ``doc`` is a VARIANT column or SQL expression. ``values=False`` leaves out the value text, which keeps the
     rows small when only types are counted. Nodes at ``max_depth`` that still have children
     carry ``truncated = true``; nothing is dropped without a trace. A dot inside a name is
     escaped as ``\\.`` unless ``raw_paths``. With ``mask_volatile`` the volatile fields become
@@ -84,11 +84,13 @@ def json_nodes(
     """
     masked = VOLATILE_FIELDS if mask_volatile else ()
     keys = list(keys)
+    # one array element per document: it is parsed once, and a non-object leaves no node
     levels = df.select(
         *keys,
         F.expr(
-            f"array(struct('' AS path, CAST(NULL AS STRING) AS parent_path, CAST(NULL AS STRING) AS name, "
-            f"0 AS depth, false AS is_item, false AS in_array, {doc} AS v)) AS l0"
+            f"""transform(filter(array({doc}), d -> {_MEMBERS.format(v='d')} IS NOT NULL), d -> struct(
+              '' AS path, CAST(NULL AS STRING) AS parent_path, CAST(NULL AS STRING) AS name,
+              0 AS depth, false AS is_item, false AS in_array, d AS v)) AS l0"""
         ),
     )
     for depth in range(1, max_depth + 1):
@@ -109,7 +111,7 @@ def json_nodes(
 
 def traffic_nodes(samples: DataFrame, extra: Sequence[str] = (), **options) -> DataFrame:
     """Nodes of the bodies of traffic samples, with the traffic keys and ``extra`` columns."""
-    return json_nodes(parse_objects(samples), [*TRAFFIC_KEYS, *extra], **options)
+    return json_nodes(samples, [*TRAFFIC_KEYS, *extra], doc="try_parse_json(body)", **options)
 
 
 def depth_overflow(nodes: DataFrame, keys: Sequence[str] = TRAFFIC_KEYS) -> DataFrame:

@@ -51,13 +51,12 @@ def merged_type(union_mode: str = "nullable", top_level_only: bool = False) -> t
 def schema_nodes(
     stats: DataFrame,
     keys: Sequence[str] = TRAFFIC_KEYS,
-    enums: DataFrame | None = None,
     union_mode: str = "nullable",
     top_level_only: bool = False,
 ) -> DataFrame:
     """The inferred contract as node rows, with the hints beside the schema columns.
 
-    ``enums`` (from :func:`stats.enum_values`) fills ``enum_suggestion``. ``enum_values``,
+    ``enum_suggestion`` is filled if the statistics hold value sketches. ``enum_values``,
     ``format`` and ``pattern`` stay empty: only declared contracts carry them.
     """
     leaf = S.leaf_counts()
@@ -68,7 +67,10 @@ def schema_nodes(
     kind, nullable = merged_type(union_mode, top_level_only)
     full = S.with_parent_objects(S.with_totals(stats, keys), keys).filter("path <> ''")
     present = F.col("n") - F.col("n_object")
-    nodes = full.select(
+    suggestion = F.lit(None).cast("array<string>")
+    if "value_sketch" in stats.columns:
+        suggestion = F.when(F.col("depth") == 1, S.enums_of()) if top_level_only else S.enums_of()
+    return full.select(
         *keys,
         "path",
         "parent_path",
@@ -82,16 +84,10 @@ def schema_nodes(
         nullable.alias("nullable"),
         (~F.col("in_array") & (present > 0) & (present / F.col("total") < S.OPTIONAL_BELOW)).alias("optional"),
         F.when(hinted, S.observed(leaf)).alias("observed_types"),
+        suggestion.alias("enum_suggestion"),
         "n",
         "total",
     )
-    if enums is None:
-        return nodes
-    found = enums.select(*keys, "path", F.col("enum_values").alias("enum_suggestion"))
-    joined = nodes.join(found, [*keys, "path"], "left")
-    if top_level_only:
-        joined = joined.withColumn("enum_suggestion", F.when(F.col("depth") == 1, F.col("enum_suggestion")))
-    return joined
 
 
 def use_suggested_enums(nodes: DataFrame) -> DataFrame:
@@ -129,9 +125,6 @@ def _document(rows: pd.DataFrame) -> dict:
 def schema_documents(nodes: DataFrame, keys: Sequence[str] = TRAFFIC_KEYS) -> DataFrame:
     """One JSON schema document per key; the groups are node tables, not samples."""
     keys = list(keys)
-    if "enum_suggestion" not in nodes.columns:
-        nodes = nodes.withColumn("enum_suggestion", F.lit(None).cast("array<string>"))
-
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         out = rows.iloc[:1][keys].copy()
         out["schema_json"] = json.dumps(_document(rows), sort_keys=True)

@@ -22,17 +22,43 @@ ENUM_MIN_SAMPLES = 100
 DOMINANT_SHARE = 0.95
 
 
-def path_stats(nodes: DataFrame, keys: Sequence[str] = TRAFFIC_KEYS) -> DataFrame:
-    """Counts per (keys, path); partial aggregation happens before the only exchange."""
+def path_stats(nodes: DataFrame, keys: Sequence[str] = TRAFFIC_KEYS, values: bool = False, max_values: int = ENUM_MAX_VALUES) -> DataFrame:
+    """Counts per (keys, path); partial aggregation happens before the only exchange.
+
+    With ``values`` each leaf path also keeps two small sketches of its non-null values, for
+    :func:`enums_of`; wide paths (ids) cost no more than narrow ones.
+    """
+    sketches = []
+    if values:
+        tracked, lg_size = _sketch_sizes(max_values)
+        is_leaf = "NOT in_array AND path <> '' AND json_type NOT IN ('object', 'null')"
+        value = f"CASE WHEN {is_leaf} THEN value_str END"
+        sketches = [
+            F.expr(f"theta_sketch_agg({value}, {lg_size})").alias("value_sketch"),
+            F.expr(f"approx_top_k_accumulate({value}, {tracked})").alias("value_top"),
+        ]
     return nodes.groupBy(*keys, *PATH_COLS).agg(
         F.count("*").alias("n"),
         *[F.count_if(F.col("json_type") == t).alias(f"n_{t}") for t in JSON_TYPES],
+        *sketches,
     )
 
 
-def merge_stats(stats: DataFrame, keys: Sequence[str] = TRAFFIC_KEYS) -> DataFrame:
-    """Sum statistics of several periods."""
-    return stats.groupBy(*keys, *PATH_COLS).agg(*[F.sum(c).alias(c) for c in COUNT_COLS])
+def _sketch_sizes(max_values: int) -> tuple[int, int]:
+    """(items tracked, log2 of the theta size); both hold more than ``max_values`` and a null."""
+    return max(64, 2 * max_values), max(6, (2 * max_values).bit_length())
+
+
+def merge_stats(stats: DataFrame, keys: Sequence[str] = TRAFFIC_KEYS, max_values: int = ENUM_MAX_VALUES) -> DataFrame:
+    """Add up statistics of several periods, the sketches too if they are there."""
+    sketches = []
+    if "value_sketch" in stats.columns:
+        tracked, lg_size = _sketch_sizes(max_values)
+        sketches = [
+            F.expr(f"theta_union_agg(value_sketch, {lg_size})").alias("value_sketch"),
+            F.expr(f"approx_top_k_combine(value_top, {tracked})").alias("value_top"),
+        ]
+    return stats.groupBy(*keys, *PATH_COLS).agg(*[F.sum(c).alias(c) for c in COUNT_COLS], *sketches)
 
 
 def with_totals(stats: DataFrame, keys: Sequence[str] = TRAFFIC_KEYS) -> DataFrame:
@@ -132,30 +158,30 @@ def value_cardinality(nodes: DataFrame, keys: Sequence[str] = TRAFFIC_KEYS) -> D
     return values.groupBy(*keys, "path").agg(F.count("*").alias("n_values"))
 
 
+def enums_of(max_values: int = ENUM_MAX_VALUES, min_samples: int = ENUM_MIN_SAMPLES) -> Column:
+    """Sorted values of a path with 2..max_values distinct non-null values among at least
+    ``min_samples`` samples, else null. Needs the sketches and ``total``.
+
+    A theta sketch counts exactly while it holds no more values than its size, and the item
+    sketch keeps every value while it tracks fewer than it may. Both sizes lie above
+    ``max_values``, so the result is exact for every path that passes, and no other path can.
+    """
+    few = F.theta_sketch_estimate("value_sketch").between(2, max_values) & (F.col("total") >= min_samples)
+    items = F.expr(f"approx_top_k_estimate(value_top, {max_values + 2})")
+    values = F.array_sort(F.array_compact(F.transform(items, lambda i: i["item"])))
+    return F.when(few, values)
+
+
 def enum_values(
     nodes: DataFrame,
     keys: Sequence[str] = TRAFFIC_KEYS,
     max_values: int = ENUM_MAX_VALUES,
     min_samples: int = ENUM_MIN_SAMPLES,
 ) -> DataFrame:
-    """Paths with 2..max_values distinct non-null values among at least ``min_samples`` samples.
-
-    Pass 1 keeps a small theta sketch per path. A theta sketch counts exactly until it holds
-    more entries than its nominal size, which lies above ``max_values``, so the test cannot
-    drop an enum; wide paths (ids) end here and their values are never shuffled.
-    Pass 2 collects the values of the surviving paths, at most ``max_values`` each.
-    """
-    lg_size = max(6, (2 * max_values).bit_length())
-    narrow = F.theta_sketch_estimate(F.theta_sketch_agg("value_str", lg_size)) <= max_values
-    values = _leaf_values(nodes, keys)
-    candidates = values.groupBy(*keys, "path").agg(narrow.alias("narrow")).filter("narrow").drop("narrow")
-    totals = nodes.filter("path = ''").groupBy(*keys).agg(F.count("*").alias("total"))
-    totals = totals.filter(F.col("total") >= min_samples)
-    distinct = values.join(candidates, [*keys, "path"], "left_semi").distinct()
+    """Enum-like paths with their values, from one pass over the nodes."""
+    stats = with_totals(path_stats(nodes, keys, values=True, max_values=max_values), keys)
     return (
-        distinct.groupBy(*keys, "path")
-        .agg(F.array_sort(F.collect_set("value_str")).alias("enum_values"))
-        .filter(F.size("enum_values").between(2, max_values))
-        .join(totals, list(keys))
+        stats.withColumn("enum_values", enums_of(max_values, min_samples))
+        .filter(F.col("enum_values").isNotNull())
         .select(*keys, "path", "total", "enum_values")
     )

@@ -266,8 +266,7 @@ def array_item_types(spark, sf_dir):
     TRAFFIC, SCHEMA_SQL + ENUM_SQL,
 )
 def infer_contract(spark, sf_dir):
-    flat = nodes(spark, sf_dir)
-    found = I.schema_nodes(S.path_stats(flat), enums=S.enum_values(flat))
+    found = I.schema_nodes(S.path_stats(nodes(spark, sf_dir), values=True))
     return found.select(
         *KEYS, "path", "type", "required", "nullable", "optional", F.array_join("observed_types", ",").alias("observed_types"),
         F.array_join("enum_suggestion", ",").alias("enum_suggestion"), "n", "total",
@@ -276,7 +275,7 @@ def infer_contract(spark, sf_dir):
 
 @query("infer_document")
 def infer_document(spark, sf_dir):
-    return I.schema_documents(inferred(spark, sf_dir))
+    return I.schema_documents(I.schema_nodes(S.path_stats(nodes(spark, sf_dir), values=True)))
 
 
 @query("schema_diff", f"SELECT {KEYS_SQL}, path, severity, description FROM compared WHERE severity IS NOT NULL", TRAFFIC, COMPARED_SQL)

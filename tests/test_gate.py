@@ -9,7 +9,11 @@ from driftlake.operators import gate as G
 from driftlake.sources.policies import load_policies, policy_table
 
 NOW = datetime(2024, 1, 10, 12)
-AS_OF = F.lit("2024-01-10 12:00:00").cast("timestamp_ntz")
+
+
+def as_of():
+    return F.lit("2024-01-10 12:00:00").cast("timestamp_ntz")
+
 
 
 def violations(spark, *rows):
@@ -25,7 +29,7 @@ def requests(spark, *services):
 
 
 def decide(spark, rows, mode="event", policies=None, **options):
-    checked = G.gate_check(requests(spark), violations(spark, *rows), policy_table(spark, policies), AS_OF, mode, **options)
+    checked = G.gate_check(requests(spark), violations(spark, *rows), policy_table(spark, policies), as_of(), mode, **options)
     row = checked.first()
     return row["decision"], row["policy"], row["recommendation"]
 
@@ -67,17 +71,17 @@ def test_policies_without_conditions_or_count(spark):
 
 def test_details_and_unknown(spark):
     seen = violations(spark, (None, 1), ("WARNING", None), ("WARNING", 2))
-    row = G.gate_check(requests(spark, "s", "t"), seen, policy_table(spark), AS_OF).orderBy("service_id").collect()
+    row = G.gate_check(requests(spark, "s", "t"), seen, policy_table(spark), as_of()).orderBy("service_id").collect()
     assert [r["details"] for r in row] == ["UNKNOWN: 1 violations; WARNING: 2 violations", ""]
     assert row[1]["reason"] == "No blocking policies matched"
-    summary = {r["severity"]: r["latest"] for r in G.severity_summary(seen, AS_OF).collect()}
+    summary = {r["severity"]: r["latest"] for r in G.severity_summary(seen, as_of()).collect()}
     assert summary["WARNING"] == NOW
 
 
 def test_override_needs_a_reason(spark):
     rows = [("s", "v1", "production", r, "me") for r in ("fix", "  ", None)]
     asked = spark.createDataFrame(rows, "service_id string, version_sha string, target_env string, reason string, override_by string")
-    assert [r["override_reason"] for r in G.override(asked, AS_OF).collect()] == ["fix"]
+    assert [r["override_reason"] for r in G.override(asked, as_of()).collect()] == ["fix"]
     assert [r["reason"] for r in G.override_response(asked).collect()] == ["Overridden: fix"]
 
 

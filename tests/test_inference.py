@@ -15,8 +15,7 @@ def samples(spark, bodies):
 
 
 def infer(spark, bodies, **options):
-    flat = traffic_nodes(samples(spark, bodies)).cache()
-    nodes = I.schema_nodes(S.path_stats(flat), enums=S.enum_values(flat), **options)
+    nodes = I.schema_nodes(S.path_stats(traffic_nodes(samples(spark, bodies)), values=True), **options)
     return {r["path"]: r for r in nodes.collect()}
 
 
@@ -135,6 +134,14 @@ def test_stats_are_additive(spark):
     assert sorted(merged.select(cols).collect()) == sorted(whole.select(cols).collect())
 
 
+def test_merged_sketches(spark):
+    halves = [[{"s": v, "id": f"{h}{i}"} for i in range(60) for v in "ab"[: h + 1]] for h in (0, 1)]
+    daily = [S.path_stats(traffic_nodes(samples(spark, b)), values=True) for b in halves]
+    nodes = I.schema_nodes(S.merge_stats(daily[0].union(daily[1])))
+    got = {r["path"]: r["enum_suggestion"] for r in nodes.collect()}
+    assert got == {"s": ["a", "b"], "id": None}
+
+
 def test_document(spark):
     bodies = [{"id": 1, "user": {"name": "a"}, "tags": ["x"]}, {"id": 2, "user": {"name": None}}]
     nodes = I.schema_nodes(S.path_stats(traffic_nodes(samples(spark, bodies))))
