@@ -173,18 +173,22 @@ def _fold(points: DataFrame, keys: list[str]) -> DataFrame:
 
 def drop_repeats(
     rows: DataFrame, keys: Sequence[str], time_us: str, row_id: str, period_us, fold_limit: int = FOLD_LIMIT,
-    leaf_rows: int = LEAF_ROWS,
+    leaf_rows: int = LEAF_ROWS, last_kept: DataFrame | None = None,
 ) -> DataFrame:
     """Keep the rows that open a period of their key; of rows at one time the smallest id.
 
     Only (keys, time, id) takes part in the chain; the wide rows are met again in a semi join
-    on unique values, which has no busy key.
+    on unique values, which has no busy key. ``last_kept`` (keys, last) continues earlier
+    chains: times before the end of the last kept period cannot open a new one.
     """
     keys = list(keys)
     period = F.lit(period_us) if isinstance(period_us, int) else period_us
     points = rows.groupBy(*keys, F.col(time_us).alias("t")).agg(
         F.min(row_id).alias(row_id), F.first(period).cast("bigint").alias("period")
     )
+    if last_kept is not None:
+        open_again = F.col("last").isNull() | (F.col("t") >= F.col("last") + F.col("period"))
+        points = points.join(last_kept.select(*keys, "last"), keys, "left").filter(open_again).drop("last")
     points = materialize(points, "points")
     kept = anchor_points(points.select(*keys, "t", "period"), keys, fold_limit, leaf_rows).join(points, [*keys, "t"])
     kept = kept.withColumnRenamed("t", time_us).select(*keys, time_us, row_id)

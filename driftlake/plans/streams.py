@@ -29,6 +29,19 @@ def stream_dedup(spark, sf_dir):
     return plain_times(run_to_table(SD.dedup_stream(source), "stream_dedup"))
 
 
+@query(
+    "stream_dedup_batches",
+    """SELECT h.sample_id, h.sampled_at, h.content_hash FROM hashed h JOIN chain c
+       ON h.content_hash = c.content_hash AND h.sampled_at = c.t""",
+    TRAFFIC, _DEDUP,
+)
+def stream_dedup_batches(spark, sf_dir):
+    source = as_stream(coarse_hash(spark, sf_dir), "sampled_at")
+    out, state, checkpoint = (scratch_folder(spark, f"dedup-{n}") for n in ("out", "state", "checkpoint"))
+    SD.dedup_batches(source, out, state, checkpoint).awaitTermination()
+    return plain_times(spark.read.parquet(out).select("sample_id", "sampled_at", "content_hash"))
+
+
 _AGENTS = """chain AS (SELECT service_id, min(sampled_at) AS t FROM traffic_samples GROUP BY ALL UNION ALL
     SELECT c.service_id, min(x.sampled_at) FROM chain c JOIN traffic_samples x
       ON x.service_id = c.service_id AND x.sampled_at >= c.t + INTERVAL 1 HOUR GROUP BY c.service_id, c.t),

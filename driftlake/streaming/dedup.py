@@ -7,7 +7,11 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from driftlake.functions.scalars import micros
+from driftlake.operators.anchors import drop_repeats
 
 WATERMARK = "10 minutes"
 
@@ -56,7 +60,11 @@ def dedup_stream(
     stream: DataFrame, key: str = "content_hash", time: str = "sampled_at", row_id: str = "sample_id",
     seconds: int = 300, watermark: str = WATERMARK,
 ) -> DataFrame:
-    """Keep a row if no kept row of its key lies less than ``seconds`` before it."""
+    """Keep a row if no kept row of its key lies less than ``seconds`` before it.
+
+    The rows of one key and micro-batch meet in one task, which the trigger's batch size bounds;
+    :func:`dedup_batches` also splits such a group.
+    """
     rows = stream.withWatermark(time, watermark)
     return rows.groupBy(key).transformWithStateInPandas(
         statefulProcessor=_KeepFirst(time, row_id, seconds * 1_000_000),
@@ -101,6 +109,41 @@ def rate_limit_stream(
     )
 
 
+def dedup_batches(
+    stream: DataFrame, out_path: str, state_path: str, checkpoint: str, key: str = "content_hash", time: str = "sampled_at",
+    row_id: str = "sample_id", seconds: int = 300, watermark_seconds: int = 600, trigger: dict | None = None,
+) -> StreamingQuery:
+    """The same dedup for streams in which one key may hold much of a micro-batch.
+
+    Each micro-batch runs the batch operator, which cuts busy keys into time segments. The last
+    kept time per key is a table in ``state_path``, one folder per batch; keys whose period
+    ended before the watermark leave it.
+    """
+    spark = stream.sparkSession
+    key_type = stream.schema[key].dataType.simpleString()
+    state_schema = f"{key} {key_type}, last bigint"
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        before = spark.createDataFrame([], state_schema)
+        if batch_id > 0:
+            before = spark.read.schema(state_schema).parquet(f"{state_path}/batch={batch_id - 1}")
+        timed = batch.withColumn("t_us", micros(F.col(time)))
+        kept = drop_repeats(timed, [key], "t_us", row_id, seconds * 1_000_000, last_kept=before)
+        kept.drop("t_us").write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        written = spark.read.schema(batch.schema).parquet(f"{out_path}/batch={batch_id}")
+        state = before.unionByName(written.select(key, micros(F.col(time)).alias("last")))
+        newest = batch.agg(F.max(micros(F.col(time)))).first()[0]
+        state = state.groupBy(key).agg(F.max("last").alias("last"))
+        if newest is not None:
+            state = state.filter(F.col("last") >= newest - (seconds + watermark_seconds) * 1_000_000)
+        state.write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+
+    return (
+        stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
 def dedup_cheap(stream: DataFrame, key: str = "content_hash", time: str = "sampled_at", period: str = "5 minutes") -> DataFrame:
     """Built-in form without Python; it may also drop a repeat that comes after the period."""
     return stream.withWatermark(time, period).dropDuplicatesWithinWatermark([key])
