@@ -55,76 +55,77 @@ def latency_quantiles(
 RANK_BUCKET = 4096
 
 
+def value_counts(rows: DataFrame, keys: Sequence[str], value: str, **weights: Column) -> DataFrame:
+    """Rows reduced to counts per (keys, value); ``weights`` are conditions counted beside all rows."""
+    extra = [F.count_if(w).alias(name) for name, w in weights.items()]
+    return rows.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"), *extra)
+
+
 def values_at(
-    values: DataFrame, keys: Sequence[str], value: str, indexes: dict[str, Callable[[Column], Column]], bucket: int = RANK_BUCKET
+    counts: DataFrame, keys: Sequence[str], indexes: dict[str, Callable[[Column], Column]], weight: str = "c",
+    extra: Sequence[Column] = (), bucket: int = RANK_BUCKET,
 ) -> DataFrame:
     """The values at given 0-based sorted indexes per key, without a global sort.
 
-    ``indexes`` maps an output name to a function of the row count. Values are reduced to
-    counts; running counts are taken inside value buckets and then over the bucket totals, so
-    no task walks all distinct values of a key.
+    ``counts`` comes from :func:`value_counts`; ``indexes`` maps an output name to a function of
+    the total weight. Running counts are taken inside value buckets and then over the bucket
+    totals, so no task walks all distinct values of a key. ``extra`` aggregates share the pass.
     """
     keys = list(keys)
-    counts = (
-        values.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-        .withColumn("b", F.floor(F.col("v") / bucket))
-    )
-    totals = counts.groupBy(*keys, "b").agg(F.sum("c").alias("bucket_n"))
+    w = F.when(F.col("v").isNotNull(), F.col(weight)).otherwise(0)
+    counts = counts.withColumns({"w": w, "b": F.coalesce(F.floor(F.col("v") / bucket), F.lit(0))})
+    totals = counts.groupBy(*keys, "b").agg(F.sum("w").alias("bucket_n"))
     before = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *keys, "b", F.coalesce(F.sum("bucket_n").over(before), F.lit(0)).alias("offset"),
         F.sum("bucket_n").over(Window.partitionBy(*keys)).alias("total"),
     )
     inside = Window.partitionBy(*keys, "b").orderBy("v")
-    placed = counts.withColumn("upto", F.sum("c").over(inside)).join(offsets, [*keys, "b"])
+    placed = counts.withColumn("upto", F.sum("w").over(inside)).join(offsets, [*keys, "b"])
     high = F.col("offset") + F.col("upto")
-    low = high - F.col("c")
+    low = high - F.col("w")
 
     def pick(index: Column) -> Column:
         return F.max(F.when((low <= index) & (index < high), F.col("v")))
 
     picked = [pick(index(F.col("total"))).alias(name) for name, index in indexes.items()]
-    return placed.groupBy(*keys).agg(*picked, F.first("total").alias("total"))
+    return placed.groupBy(*keys).agg(*picked, F.first("total").alias("total"), *extra)
+
+
+def _ranks(percents: Sequence[int]) -> dict[str, Callable[[Column], Column]]:
+    return {f"p{p}": (lambda n, p=p: F.floor(n * p / 100)) for p in percents}
 
 
 def nearest_ranks(
-    values: DataFrame, keys: Sequence[str], value: str, percents: Sequence[int], bucket: int = RANK_BUCKET
+    rows: DataFrame, keys: Sequence[str], value: str, percents: Sequence[int], bucket: int = RANK_BUCKET
 ) -> DataFrame:
     """Nearest-rank percentiles: the value at index ``floor(n * p / 100)``."""
-    indexes = {f"p{p}": (lambda n, p=p: F.floor(n * p / 100)) for p in percents}
-    return values_at(values, keys, value, indexes, bucket).drop("total")
-
-
-def interpolated(values: DataFrame, keys: Sequence[str], value: str, share: float, name: str, bucket: int = RANK_BUCKET) -> DataFrame:
-    """The exact interpolated quantile per key, for keys with very many distinct values."""
-    ends = {"lo": lambda n: F.floor((n - 1) * share), "hi": lambda n: F.ceil((n - 1) * share)}
-    found = values_at(values, keys, value, ends, bucket)
-    at = (F.col("total") - 1) * share
-    return found.select(*keys, (F.col("lo") + (F.col("hi") - F.col("lo")) * (at - F.floor(at))).alias(name))
+    return values_at(value_counts(rows, keys, value), keys, _ranks(percents), bucket=bucket).drop("total")
 
 
 def load_stats(samples: DataFrame, keys: Sequence[str] = ("endpoint",)) -> DataFrame:
     """Request and error counts; min, integer average, nearest-rank percentiles and max of the
-    latency of the successful requests."""
-    keys = list(keys)
-    ok = F.col("status_code") < 400
-    latency = F.when(ok, F.col("duration_ms"))
-    totals = samples.groupBy(*keys).agg(
-        F.count("*").alias("requests"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("errors"),
-        F.min(latency).alias("min_ms"), F.floor(F.sum(latency) / F.count(latency)).alias("avg_ms"),
-        F.max(latency).alias("max_ms"),
-    )
-    ranks = nearest_ranks(samples.filter(ok), keys, "duration_ms", (50, 95, 99))
-    return totals.join(ranks, keys, "left")
+    latency of the successful requests. Everything is taken from one table of counts."""
+    counts = value_counts(samples, keys, "duration_ms", ok=F.col("status_code") < 400)
+    seen = F.when((F.col("ok") > 0) & F.col("v").isNotNull(), F.col("v"))
+    timed = F.when(F.col("v").isNotNull(), F.col("ok")).otherwise(0)
+    extra = [
+        F.sum("c").alias("requests"), F.sum("ok").alias("successful"), (F.sum("c") - F.sum("ok")).alias("errors"),
+        F.min(seen).alias("min_ms"), F.floor(F.sum(seen * F.col("ok")) / F.nullif(F.sum(timed), F.lit(0))).alias("avg_ms"),
+        F.max(seen).alias("max_ms"),
+    ]
+    return values_at(counts, keys, _ranks((50, 95, 99)), "ok", extra).drop("total")
 
 
 def slo_check(samples: DataFrame, keys: Sequence[str] = ("endpoint",), p95_ms: float = SLO_P95_MS, failures: float = SLO_FAILURES) -> DataFrame:
-    keys = list(keys)
-    failed = F.count_if(F.col("status_code") >= 400) / F.count("*")
-    rates = samples.groupBy(*keys).agg(failed.alias("failure_rate"))
-    return rates.join(interpolated(samples, keys, "duration_ms", 0.95, "p95_ms"), keys).select(
-        *keys, "p95_ms", "failure_rate", (F.col("p95_ms") < p95_ms).alias("latency_ok"),
-        (F.col("failure_rate") < failures).alias("failures_ok"),
+    """Interpolated p95 of the duration and the failure rate against their bounds."""
+    counts = value_counts(samples, keys, "duration_ms", failed=F.col("status_code") >= 400)
+    ends = {"lo": lambda n: F.floor((n - 1) * 0.95), "hi": lambda n: F.ceil((n - 1) * 0.95)}
+    found = values_at(counts, keys, ends, extra=[(F.sum("failed") / F.sum("c")).alias("failure_rate")])
+    at = (F.col("total") - 1) * 0.95
+    p95 = F.col("lo") + (F.col("hi") - F.col("lo")) * (at - F.floor(at))
+    return found.select(*keys, p95.alias("p95_ms"), "failure_rate").select(
+        "*", (F.col("p95_ms") < p95_ms).alias("latency_ok"), (F.col("failure_rate") < failures).alias("failures_ok")
     )
 
 
