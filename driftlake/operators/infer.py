@@ -95,14 +95,12 @@ def use_suggested_enums(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("enum_values", F.coalesce("enum_suggestion", "enum_values"))
 
 
+STUB = {"openapi": "3.1.0", "info": {"title": "Inferred Schema", "version": "1.0.0"}, "type": "object"}
+
+
 def _document(rows: pd.DataFrame) -> dict:
     """Nested schema document of one contract from its node rows."""
-    root = {
-        "openapi": "3.1.0",
-        "info": {"title": "Inferred Schema", "version": "1.0.0"},
-        "jsonSchemaDialect": "https://spec.openapis.org/oas/3.1/dialect/base",
-        "type": "object",
-    }
+    root = {**STUB, "jsonSchemaDialect": "https://spec.openapis.org/oas/3.1/dialect/base"}
     by_path = {"": root}
     for row in rows.sort_values(["depth", "path"]).itertuples(index=False):
         types = sorted({*row.type.split("|"), *(["null"] if row.nullable else [])})
@@ -122,8 +120,11 @@ def _document(rows: pd.DataFrame) -> dict:
     return root
 
 
-def schema_documents(nodes: DataFrame, keys: Sequence[str] = TRAFFIC_KEYS) -> DataFrame:
-    """One JSON schema document per key; the groups are node tables, not samples."""
+def schema_documents(nodes: DataFrame, keys: Sequence[str] = TRAFFIC_KEYS, expected: DataFrame | None = None) -> DataFrame:
+    """One JSON schema document per key; the groups are node tables, not samples.
+
+    A key of ``expected`` without a single valid sample gets the stub document.
+    """
     keys = list(keys)
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         out = rows.iloc[:1][keys].copy()
@@ -132,4 +133,8 @@ def schema_documents(nodes: DataFrame, keys: Sequence[str] = TRAFFIC_KEYS) -> Da
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.select(*keys).schema)
     cols = [*keys, "path", "parent_path", "name", "depth", "type", "required", "nullable", "observed_types", "enum_suggestion"]
-    return nodes.select(*cols).groupBy(*keys).applyInPandas(build, f"{schema}, schema_json string")
+    documents = nodes.select(*cols).groupBy(*keys).applyInPandas(build, f"{schema}, schema_json string")
+    if expected is None:
+        return documents
+    everyone = expected.select(*keys).distinct().join(documents, keys, "left")
+    return everyone.withColumn("schema_json", F.coalesce("schema_json", F.lit(json.dumps(STUB, sort_keys=True))))

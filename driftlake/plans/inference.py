@@ -275,7 +275,8 @@ def infer_contract(spark, sf_dir):
 
 @query("infer_document")
 def infer_document(spark, sf_dir):
-    return I.schema_documents(I.schema_nodes(S.path_stats(nodes(spark, sf_dir), values=True)))
+    found = I.schema_nodes(S.path_stats(nodes(spark, sf_dir), values=True))
+    return I.schema_documents(found, expected=samples(spark, sf_dir))
 
 
 @query("schema_diff", f"SELECT {KEYS_SQL}, path, severity, description FROM compared WHERE severity IS NOT NULL", TRAFFIC, COMPARED_SQL)

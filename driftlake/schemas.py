@@ -44,8 +44,17 @@ GATE_HISTORY = Schema(
     "service_id string, version_sha string, target_env string, decision string, drift_score int, "
     "override_reason string, override_by string, decided_at timestamp_ntz"
 )
+TABLES = {
+    "samples": AGENT_SAMPLE,
+    "raw_samples": RAW_SAMPLE,
+    "contracts": CONTRACT,
+    "violations": VIOLATION,
+    "deployments": DEPLOYMENT,
+    "gate_history": GATE_HISTORY,
+}
 # The words the tables allow.
-CONTRACT_SOURCES = ("inferred", "manual", "imported")
-CONTRACT_STATUSES = ("active", "superseded", "archived")
-SEVERITIES = ("BREAKING", "WARNING", "ADDITIVE")
-DECISIONS = ("ALLOW", "DENY", "OVERRIDE")
+ALLOWED = {
+    "contracts": {"source": ("inferred", "manual", "imported"), "status": ("active", "superseded", "archived")},
+    "violations": {"severity": ("BREAKING", "WARNING", "ADDITIVE")},
+    "gate_history": {"decision": ("ALLOW", "DENY", "OVERRIDE")},
+}

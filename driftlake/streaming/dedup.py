@@ -24,8 +24,8 @@ def _sorted(batches: Iterator[pd.DataFrame], time: str, row_id: str) -> tuple[pd
 class _KeepFirst(StatefulProcessor):
     """State per key: the time of the last kept row. A timer clears it once the period is over."""
 
-    def __init__(self, time: str, row_id: str, period_us: int):
-        self.time, self.row_id, self.period = time, row_id, period_us
+    def __init__(self, time: str, row_id: str, period_us: int | None, period_column: str | None):
+        self.time, self.row_id, self.period, self.period_column = time, row_id, period_us, period_column
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -33,13 +33,16 @@ class _KeepFirst(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame, times = _sorted(rows, self.time, self.row_id)
-        after = self.last.get()[0] + self.period if self.last.exists() else np.iinfo(np.int64).min
+        period = self.period
+        if self.period_column:
+            period = int(frame[self.period_column].iloc[0]) * 1_000_000
+        after = self.last.get()[0] + period if self.last.exists() else np.iinfo(np.int64).min
         keep, at = [], 0
         while at < len(times):
             at = int(np.searchsorted(times[at:], after, "left")) + at
             if at < len(times):
                 keep.append(at)
-                after = int(times[at]) + self.period
+                after = int(times[at]) + period
                 at += 1
         if keep:
             self.last.update((int(times[keep[-1]]),))
@@ -57,17 +60,19 @@ class _KeepFirst(StatefulProcessor):
 
 
 def dedup_stream(
-    stream: DataFrame, key: str = "content_hash", time: str = "sampled_at", row_id: str = "sample_id",
-    seconds: int = 300, watermark: str = WATERMARK,
+    stream: DataFrame, key: str | Sequence[str] = "content_hash", time: str = "sampled_at", row_id: str = "sample_id",
+    seconds: int | None = 300, watermark: str = WATERMARK, period_column: str | None = None,
 ) -> DataFrame:
     """Keep a row if no kept row of its key lies less than ``seconds`` before it.
 
     The rows of one key and micro-batch meet in one task, which the trigger's batch size bounds;
-    :func:`dedup_batches` also splits such a group.
+    :func:`dedup_batches` also splits such a group. With ``period_column`` each key brings its
+    own period in seconds, as alert throttling needs it.
     """
     rows = stream.withWatermark(time, watermark)
-    return rows.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_KeepFirst(time, row_id, seconds * 1_000_000),
+    period = None if period_column else seconds * 1_000_000
+    return rows.groupBy(*([key] if isinstance(key, str) else key)).transformWithStateInPandas(
+        statefulProcessor=_KeepFirst(time, row_id, period, period_column),
         outputStructType=stream.schema, outputMode="Append", timeMode="EventTime",
     )
 
