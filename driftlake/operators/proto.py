@@ -107,7 +107,10 @@ def proto_nodes(corpus: DataFrame, keys: Sequence[str], text: str = "proto") ->
     )
     is_map = F.col("kind").startswith("map")
     value = F.regexp_extract("kind", r", ?([\w.]+) ?>", 1)
-    found = _resolve(F.when(is_map, value).otherwise(F.col("kind")))
+    fields = fields.withColumn("wanted", F.when(is_map, value).otherwise(F.col("kind")))
+    # resolved once into columns, because the node rows below refer to them several times
+    fields = fields.withColumn("r", F.struct(*[c.alias(n) for n, c in _resolve(F.col("wanted")).items()]))
+    found = {n: F.col(f"r.{n}") for n in ("type", "format", "enum_values", "ref")}
     repeated = F.col("label") == "repeated"
     none = F.array().cast("array<string>")
     null = F.lit(None).cast("string")
