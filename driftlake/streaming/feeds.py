@@ -8,18 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from driftlake.session import scratch_folder
-
 
 def newest_feed(
     stream: DataFrame, time: str, row_id: str, n: int, publish: Callable[[DataFrame], None], checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
     """Publish the ``n`` newest rows after every batch.
 
-    The view before the batch is a table of at most ``n`` rows in the shared folder.
+    The view before the batch is a table of at most ``n`` rows beside the checkpoint, so a
+    restarted query finds it again.
     """
     spark = stream.sparkSession
-    folder = scratch_folder(spark, "feed")
+    folder = f"{checkpoint}-view"
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         rows = batch
