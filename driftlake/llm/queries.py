@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlake.llm import source_mixing
+from driftlake.llm import source_mixing, token_counts
 from driftlake.llm.common import ready
 
 
@@ -16,5 +17,9 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op9_source_mixing,)}
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op8_token_counts, op9_source_mixing)}
 ORACLE = {"op9_source_mixing": source_mixing.ORACLE}
