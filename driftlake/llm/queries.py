@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlake.llm import source_mixing, token_counts
+from driftlake.llm import role_repair, source_mixing, token_counts, token_output
 from driftlake.llm.common import ready
 
 
@@ -21,5 +21,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op8_token_counts, op9_source_mixing)}
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.write_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return role_repair.repair(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op3_token_output, op8_token_counts, op9_source_mixing, op10_role_repair)}
 ORACLE = {"op9_source_mixing": source_mixing.ORACLE}
