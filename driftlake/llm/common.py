@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
 import uuid
 from collections.abc import Iterator
@@ -10,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,7 +67,7 @@ def raw_bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash64(value: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(value, digest_size=8).digest(), "little")
+    return xxhash.xxh3_64_intdigest(value)
 
 
 def words(values: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlake.llm import role_repair, source_mixing, token_counts, token_output
+from driftlake.llm import decontaminate, role_repair, source_mixing, token_counts, token_output
 from driftlake.llm.common import ready
 
 
@@ -17,6 +17,10 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -29,5 +33,5 @@ def op10_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role_repair.repair(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_output, op8_token_counts, op9_source_mixing, op10_role_repair)}
+QUERIES = {f.__name__: f for f in (op3_token_output, op6_decontaminate, op8_token_counts, op9_source_mixing, op10_role_repair)}
 ORACLE = {"op9_source_mixing": source_mixing.ORACLE}
