@@ -42,6 +42,7 @@ class Encoder:
 
             self.model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.ids = lambda batch: self.model.encode(batch, num_threads=1)
+            self.size = self.model.get_piece_size()
         else:
             import tokenizers
 
@@ -49,6 +50,7 @@ class Encoder:
                 spec = json.load(f)
             self.model = None
             self.tokenizer = tokenizers.Tokenizer.from_file(path)
+            self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
             self.tokenizer.no_truncation()
             self.tokenizer.no_padding()
             self.ids = lambda batch: [e.ids for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]

@@ -1,8 +1,8 @@
 """Token ids as Arrow IPC files of fixed-size-list batches.
 
 Documents are put in ascending order of (id, text hash) by a range partitioning; each task encodes its range and writes
-it as one sequence file: record batches of fixed-size lists ``ids`` (int32) and ``mask`` (bool), so that sequence ``i``
-lies at byte offset ``i * length`` of its buffer and a memory map gives it without a copy. Only the last sequence of a
+it as one sequence file: record batches of fixed-size lists ``ids`` (uint16 if the vocabulary allows, else int32) and ``mask``
+(bool), so that sequence ``i`` begins at entry ``i * length`` of its buffer and a memory map gives it without a copy. Only the last sequence of a
 file is padded (id 0, mask false). Beside it lies an index file with the documents' ids, first position and number of
 tokens. A file appears under its name only when it is whole, and a task that runs twice writes the same name, so lost
 executors leave no partial or doubled data.
@@ -38,20 +38,20 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def _schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.int32(), length)), ("mask", pa.list_(pa.bool_(), length))])
+def _schema(length: int, narrow: bool) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.uint16() if narrow else pa.int32(), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class _Sequences:
     """Cuts a stream of ids into record batches of whole sequences."""
 
-    def __init__(self, sink, length: int):
-        self.length, self.schema = length, _schema(length)
-        self.writer, self.rest, self.total = ipc.new_file(sink, self.schema), np.zeros(0, np.int32), 0
+    def __init__(self, sink, length: int, narrow: bool):
+        self.length, self.schema, self.kind = length, _schema(length, narrow), np.uint16 if narrow else np.int32
+        self.writer, self.rest, self.total = ipc.new_file(sink, self.schema), np.zeros(0, self.kind), 0
 
     def add(self, ids: np.ndarray) -> None:
         self.total += len(ids)
-        self.rest = np.concatenate([self.rest, ids.astype(np.int32)])
+        self.rest = np.concatenate([self.rest, ids.astype(self.kind)])
         step = self.length * BATCH
         while len(self.rest) >= step:
             self._write(self.rest[:step], step)
@@ -64,7 +64,7 @@ class _Sequences:
 
     def close(self) -> None:
         if used := len(self.rest):
-            self._write(np.concatenate([self.rest, np.zeros(-used % self.length, np.int32)]), used)
+            self._write(np.concatenate([self.rest, np.zeros(-used % self.length, self.kind)]), used)
         self.writer.close()
 
 
@@ -84,7 +84,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, length: int = LE
         store.create_dir(base)
         n_docs = 0
         with store.open_output_stream(f"{temp}.arrow") as data, store.open_output_stream(f"{temp}.index") as marks:
-            out, rows = _Sequences(data, length), ipc.new_file(marks, index)
+            out, rows = _Sequences(data, length, enc.size <= 1 << 16), ipc.new_file(marks, index)
             for piece in slices((b for bs in ([first], batches) for b in bs), limit=8 << 20):
                 ids, ends = encoded(enc, texts(piece))
                 counts = np.diff(ends, prepend=0) + 1
