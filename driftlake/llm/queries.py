@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlake.llm import decontaminate, role_repair, source_mixing, token_counts, token_output
+from driftlake.llm import decontaminate, language_id, role_repair, source_mixing, token_counts, token_output
 from driftlake.llm.common import ready
 
 
@@ -25,6 +25,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_all(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages"))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.write_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -33,5 +37,5 @@ def op10_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role_repair.repair(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_output, op6_decontaminate, op8_token_counts, op9_source_mixing, op10_role_repair)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_output, op6_decontaminate, op8_token_counts, op9_source_mixing, op10_role_repair)}
 ORACLE = {"op9_source_mixing": source_mixing.ORACLE}
