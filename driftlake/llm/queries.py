@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlake.llm import decontaminate, language_id, role_repair, source_mixing, token_counts, token_output
+from driftlake.llm import bagminhash, decontaminate, language_id, role_repair, source_mixing, token_counts, token_output
 from driftlake.llm.common import ready
 
 
@@ -21,6 +21,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classify(_table(spark, sf_dir, "documents")).drop("bmh_node")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -37,5 +41,5 @@ def op10_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role_repair.repair(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_output, op6_decontaminate, op8_token_counts, op9_source_mixing, op10_role_repair)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_output, op6_decontaminate, op7_bagminhash, op8_token_counts, op9_source_mixing, op10_role_repair)}
 ORACLE = {"op9_source_mixing": source_mixing.ORACLE}
