@@ -6,11 +6,11 @@ signature and a random height, and counts if the height lies under the shingle's
 point, so two texts agree in a slot with a probability equal to their weighted Jaccard similarity. Points are made in
 order of time and only up to the time by which all slots are filled, so the work hardly grows with the weights.
 
-Signatures are banded. Equal texts are one node. In a band's bucket, every node is paired with a few leaders (the nodes
-that come first in fixed hash orders, so buckets of one group share them), never with all others. Pairs are verified on
-the exact multisets, and verified links are joined into components. Buckets that still hold several components are then
-compared in blocks of signatures, and every pair that might be similar is verified, so that no link is lost between
-components. Classes are the components.
+Signatures are banded. Equal texts are one node. In a band's bucket, every node is paired with two leaders (the node that
+shares the most buckets with others, and one by hash), never with all others. Pairs are verified on the exact multisets,
+and verified links are joined into components. Components that still share a bucket are then compared block by block:
+pairs that their signatures hold for possible are verified in place, and a block gives only the links that join
+components, so that none is lost and none is told twice. Classes are the components.
 
 Words are lower-cased; a text of fewer than five words is one shingle, a text without words links to nothing. Null and
 empty texts are one text. Null ids are passed on and never name a class unless it has no other id. Repeated rows are
@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from driftlake.llm.common import hash64, mixed, ready, saved, slices, texts, word_hashes, words
 
 SHINGLE, SIMILAR = 5, 0.8
-#: Slots of a signature and slots of a band; leaders of a bucket.
-SLOTS, BAND, LEADERS = 96, 4, 2
+#: Slots of a signature and slots of a band.
+SLOTS, BAND = 96, 4
 #: Share of equal slots under which a pair is not verified (five standard deviations below ``SIMILAR``).
 MAYBE = 0.6
-#: Nodes of one block in the comparison of mixed buckets.
-BLOCK = 256
+#: Nodes of one block in the comparison of components that share a bucket.
+BLOCK = 128
 
 _WORD = np.array([hash64(f"word {i}".encode()) | 1 for i in range(SHINGLE)], np.uint64)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -156,10 +156,13 @@ def signed(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, bmh_node binary, bmh_bands array<bigint>, bmh_slots binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """bmh_node and text of the given nodes, a row each."""
+    return docs.select(_node().alias("bmh_node"), "text").join(nodes, "bmh_node", "left_semi").groupBy("bmh_node").agg(F.first("text").alias("text"))
+
+
+def verified(pairs: DataFrame, found: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are similar, with the similarity."""
-    wanted = pairs.select(F.col("a").alias("bmh_node")).union(pairs.select("b")).distinct()
-    found = docs.select(_node().alias("bmh_node"), "text").join(wanted, "bmh_node", "left_semi").groupBy("bmh_node").agg(F.first("text").alias("text"))
     both = pairs.join(found.select(F.col("bmh_node").alias("a"), F.col("text").alias("text_a")), "a").join(found.select(F.col("bmh_node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,43 +193,82 @@ def components(links: DataFrame) -> DataFrame:
 def leader_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of nodes in buckets of several: bmh_key, bmh_node; pairs of each with the bucket's leaders)."""
     members = nodes.select("bmh_node", F.explode("bmh_bands").alias("bmh_key"))
-    orders = [F.struct(F.xxhash64("bmh_node", F.lit(k)).alias("h"), F.col("bmh_node")) for k in range(LEADERS)]
-    buckets = members.groupBy("bmh_key").agg(F.count("*").alias("n"), *[F.min(o)["bmh_node"].alias(f"l{k}") for k, o in enumerate(orders)]).where("n > 1")
+    buckets = members.groupBy("bmh_key").agg(F.count("*").alias("n")).where("n > 1")
     shared = saved(members.join(buckets, "bmh_key"), "buckets")
-    pairs = shared.select(F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(LEADERS)]))).alias("a"), F.col("bmh_node").alias("b")).where("a != b").distinct()
-    return shared, pairs
-
-
-def _mixed_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket whose signatures may be similar, compared block by block."""
-    labelled = shared.select("bmh_key", "bmh_node", "n").join(labels, "bmh_node", "left").withColumn("bmh_class", F.coalesce("bmh_class", "bmh_node"))
-    several = labelled.groupBy("bmh_key").agg(F.min("bmh_class").alias("x"), F.max("bmh_class").alias("y")).where("x != y").select("bmh_key")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    rows = labelled.join(several, "bmh_key").withColumn("bmh_blocks", blocks).withColumn("bmh_block", F.pmod(F.xxhash64("bmh_node", F.lit("block")), "bmh_blocks").cast("int")).join(nodes.select("bmh_node", "bmh_slots"), "bmh_node")
-    # each block meets itself and every other block once: task (i, j) with i <= j gets blocks i and j
-    sent = rows.withColumn("bmh_other", F.explode(F.sequence(F.lit(0), F.col("bmh_blocks") - 1)))
-    sent = sent.select("bmh_key", F.least("bmh_block", "bmh_other").alias("i"), F.greatest("bmh_block", "bmh_other").alias("j"), "bmh_block", "bmh_node", "bmh_class", "bmh_slots")
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        if table.num_rows < 2:
-            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
-        i, block = table["i"][0].as_py(), table["bmh_block"].to_numpy()
-        nodes_of, classes = table["bmh_node"].to_pylist(), table["bmh_class"].to_pylist()
-        number = {c: k for k, c in enumerate(dict.fromkeys(classes))}
-        number_of = np.array([number[c] for c in classes])
+    # the text that others were copied from shares the most buckets with them
+    central = shared.groupBy("bmh_node").agg(F.sum("n").alias("meets"))
+    ranked = shared.join(central, "bmh_node")
+    leaders = ranked.groupBy("bmh_key").agg(F.max(F.struct("meets", "bmh_node"))["bmh_node"].alias("l0"), F.min(F.struct(F.xxhash64("bmh_node").alias("h"), "bmh_node"))["bmh_node"].alias("l1"))
+    pairs = shared.join(leaders, "bmh_key").select(F.explode(F.array_distinct(F.array("l0", "l1"))).alias("a"), F.col("bmh_node").alias("b")).where("a != b")
+    # a pair of leaders is met from both sides
+    return shared, saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+
+def _links_between(table: pa.Table) -> pa.Table:
+    """Links that join components, among the rows of two blocks: at most one less than there are components."""
+    table = table.combine_chunks()
+    names, classes = table["bmh_node"].to_pylist(), table["bmh_class"].to_pylist()
+    number = {c: k for k, c in enumerate(dict.fromkeys(classes))}
+    parent, own = list(range(len(number))), [number[c] for c in classes]
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    a, b = [], []
+    if len(number) > 1:
         slot = np.frombuffer(b"".join(table["bmh_slots"].to_pylist()), np.uint16).reshape(-1, SLOTS)
-        left = np.flatnonzero(block == i)
-        right = np.flatnonzero(block == table["j"][0].as_py())
-        a, b = [], []
-        for u in left.tolist():
-            near = right[(number_of[right] != number_of[u]) & ((slot[right] == slot[u]).sum(axis=1) >= MAYBE * SLOTS)]
-            for v in near.tolist():
-                a.append(min(nodes_of[u], nodes_of[v]))
-                b.append(max(nodes_of[u], nodes_of[v]))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return sent.groupBy("bmh_key", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
+        x, owner, weight = weighted(*shingles(texts(table.to_batches()[0])))
+        bound = np.searchsorted(owner, np.arange(len(names) + 1))
+        block, i, j = table["bmh_block"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
+        right = np.flatnonzero(block == j)
+        for u in np.flatnonzero(block == i).tolist():
+            share = (slot[right] == slot[u]).mean(axis=1)
+            xu, wu = x[bound[u] : bound[u + 1]], weight[bound[u] : bound[u + 1]]
+            for k in np.argsort(-share, kind="stable"):
+                if share[k] < MAYBE:
+                    break
+                v = int(right[k])
+                if root(own[u]) == root(own[v]):
+                    continue
+                xv, wv = x[bound[v] : bound[v + 1]], weight[bound[v] : bound[v + 1]]
+                at = np.minimum(np.searchsorted(xv, xu), len(xv) - 1)
+                both = np.minimum(wu, wv[at])[xv[at] == xu].sum()
+                if both >= (SIMILAR - 1e-12) * (wu.sum() + wv.sum() - both):
+                    parent[root(own[u])] = root(own[v])
+                    a.append(names[u])
+                    b.append(names[v])
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
+def rest_links(shared: DataFrame, nodes: DataFrame, labels: DataFrame, found: DataFrame) -> DataFrame | None:
+    """Links between components that share a bucket; None if no two do.
+
+    Components that share buckets form a family. Its nodes are dealt into blocks, those of its largest component and
+    the others apart; each block of others meets every block of the family, so all pairs of different components are
+    compared, but pairs within the largest are not.
+    """
+    labelled = shared.select("bmh_key", "bmh_node").join(labels, "bmh_node", "left").withColumn("bmh_class", F.coalesce("bmh_class", "bmh_node"))
+    labelled = saved(labelled, "labelled")
+    several = labelled.groupBy("bmh_key").agg(F.min("bmh_class").alias("a"), F.max("bmh_class").alias("z")).where("a != z")
+    touching = saved(labelled.join(several, "bmh_key").select("a", F.col("bmh_class").alias("b")).where("a != b").distinct(), "touching")
+    if not touching.limit(1).count():
+        return None
+    families = components(touching).select(F.col("bmh_node").alias("bmh_class"), F.col("bmh_class").alias("bmh_family"))
+    members = saved(labelled.select("bmh_node", "bmh_class").distinct().join(families, "bmh_class"), "members")
+    sizes = members.groupBy("bmh_family", "bmh_class").agg(F.count("*").alias("n"))
+    whole = sizes.groupBy("bmh_family").agg(F.max(F.struct("n", "bmh_class")).alias("big"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    whole = whole.select("bmh_family", F.col("big.bmh_class").alias("bmh_big"), blocks(F.col("n") - F.col("big.n")).alias("others"), blocks(F.col("big.n")).alias("bigs"))
+    dealt = members.join(whole, "bmh_family").withColumn("bmh_block", F.when(
+        F.col("bmh_class") == F.col("bmh_big"), F.col("others") + F.pmod(F.xxhash64("bmh_node"), "bigs").cast("int")
+    ).otherwise(F.pmod(F.xxhash64("bmh_node"), "others").cast("int")))
+    last = F.when(F.col("bmh_block") < F.col("others"), F.col("others") + F.col("bigs")).otherwise(F.col("others")) - 1
+    rows = dealt.join(nodes.select("bmh_node", "bmh_slots"), "bmh_node").join(found, "bmh_node").withColumn("bmh_other", F.explode(F.sequence(F.lit(0), last)))
+    sent = rows.select("bmh_family", F.least("bmh_block", "bmh_other").alias("i"), F.greatest("bmh_block", "bmh_other").alias("j"), "bmh_block", "bmh_node", "bmh_class", "bmh_slots", "text")
+    return sent.groupBy("bmh_family", "i", "j").applyInArrow(_links_between, "a binary, b binary")
 
 
 def classify(docs: DataFrame) -> DataFrame:
@@ -235,11 +277,12 @@ def classify(docs: DataFrame) -> DataFrame:
     rows = saved(signed(docs), "signed")
     nodes = saved(rows.groupBy("bmh_node").agg(F.first("bmh_bands").alias("bmh_bands"), F.first("bmh_slots").alias("bmh_slots")), "nodes")
     shared, pairs = leader_pairs(nodes)
-    links = saved(verified(pairs, docs), "verified")
+    found = saved(node_texts(docs, shared.select("bmh_node").distinct()), "texts")
+    links = saved(verified(pairs, found), "verified")
     labels = components(links)
-    more = saved(_mixed_pairs(shared, nodes, labels), "mixed")
-    if more.limit(1).count():
-        labels = components(links.union(verified(more, docs)))
+    more = rest_links(shared, nodes, labels, found)
+    if more is not None:
+        labels = components(links.select("a", "b").union(saved(more, "rest")))
     members = rows.select("doc_id", "bmh_node").join(labels, "bmh_node", "left").withColumn("bmh_class", F.coalesce("bmh_class", "bmh_node"))
     # the least id, nulls last; among equal ids the least text
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "bmh_node"))
