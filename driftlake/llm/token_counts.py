@@ -27,7 +27,7 @@ from driftlake.llm.common import ready, slices, texts
 #: Characters above which a document is encoded in chunks, their length and first overlap.
 HUGE, CHUNK, OVERLAP = 50_000, 20_000, 400
 #: Distinct pieces a Python worker remembers between batches, and pieces encoded in one call.
-REMEMBERED, PACK = 200_000, 500
+REMEMBERED, PACK = 1_000_000, 500
 LIMIT = 1024
 
 
