@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlake.llm import bagminhash, decontaminate, language_id, lm_mixing, role_repair, source_mixing, token_counts, token_output
+from driftlake.llm import ann_tree, bagminhash, decontaminate, language_id, lm_mixing, role_repair, source_mixing, token_counts, token_output
 from driftlake.llm.common import ready
 
 
@@ -17,6 +17,10 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op4_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_lm_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_mixing.score(_table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op10_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role_repair.repair(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_output, op5_lm_mixing, op6_decontaminate, op7_bagminhash, op8_token_counts, op9_source_mixing, op10_role_repair)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_output, op4_ann_tree, op5_lm_mixing, op6_decontaminate, op7_bagminhash, op8_token_counts, op9_source_mixing, op10_role_repair)}
 ORACLE = {"op9_source_mixing": source_mixing.ORACLE}
