@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlake.llm import ann_tree, bagminhash, decontaminate, language_id, lm_mixing, role_repair, source_mixing, token_counts, token_output
+from driftlake.llm import ann_tree, bagminhash, decontaminate, language_id, lm_mixing, role_repair, source_mixing, suffix_dedup, token_counts, token_output
 from driftlake.llm.common import ready
 
 
@@ -37,6 +37,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_all(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages"))
 
@@ -49,5 +53,5 @@ def op10_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role_repair.repair(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_output, op4_ann_tree, op5_lm_mixing, op6_decontaminate, op7_bagminhash, op8_token_counts, op9_source_mixing, op10_role_repair)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_token_output, op4_ann_tree, op5_lm_mixing, op6_decontaminate, op7_bagminhash, op8_token_counts, op9_source_mixing, op10_role_repair)}
 ORACLE = {"op9_source_mixing": source_mixing.ORACLE}
