@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -40,12 +38,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new sub-folder of the cluster's shared folder, or of a local one if none is set."""
+    """A new sub-folder of the cluster's shared folder; where none is set, of the warehouse, which is shared as well."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        shared = tempfile.mkdtemp(prefix="driftlake-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return os.path.join(shared, f"{name}-{uuid.uuid4().hex}")
+        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/driftlake-scratch"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
