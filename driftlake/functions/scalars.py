@@ -21,7 +21,7 @@ def from_micros(us: Column, like: str = "timestamp_ntz") -> Column:
 
 def window_seconds(text: Column) -> Column:
     """``90m`` / ``24h`` / ``2d`` as seconds; empty or null means since the epoch (null here);
-    anything else means 24 hours.
+    anything else, and a window too long to count, means 24 hours.
     """
     t = F.lower(F.trim(text))
     unit = F.substring(t, -1, 1)
@@ -29,8 +29,7 @@ def window_seconds(text: Column) -> Column:
     seconds = F.when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86400)
     return (
         F.when(text.isNull() | (text == ""), F.lit(None).cast("bigint"))
-        .when(number != "", number.cast("bigint") * seconds)
-        .otherwise(F.lit(DEFAULT_WINDOW_SECONDS).cast("bigint"))
+        .otherwise(F.coalesce(F.try_multiply(number.try_cast("bigint"), seconds.cast("bigint")), F.lit(DEFAULT_WINDOW_SECONDS).cast("bigint")))
     )
 
 

@@ -85,7 +85,7 @@ def scrub_json(bodies: pd.Series) -> pd.Series:
             return body
         try:
             root = json.loads(body)
-        except ValueError:
+        except (ValueError, RecursionError):
             return plain(body)
         return json.dumps(walk(root), separators=(",", ":"), ensure_ascii=False)
 

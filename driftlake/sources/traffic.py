@@ -32,11 +32,12 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
 def decode_envelope(records: DataFrame, headers: str = "headers", keep: Sequence[str] = ()) -> DataFrame:
     """Service, endpoint, method and payload of raw records, with the fallbacks of the consumer.
 
-    ``headers`` is a map of strings; ``key`` and ``value`` are binary or string.
+    ``headers`` is a map of strings; ``key`` and ``value`` are binary or string. Malformed UTF-8 is replaced.
     """
     def text(name: str) -> Column:
         kind = records.schema[name].dataType
-        return F.decode(F.col(name), "UTF-8") if isinstance(kind, T.BinaryType) else F.col(name).cast("string")
+        value = F.col(name).cast("string")
+        return F.make_valid_utf8(value) if isinstance(kind, T.BinaryType) else value
 
     return records.select(
         *keep,
@@ -49,8 +50,17 @@ def decode_envelope(records: DataFrame, headers: str = "headers", keep: Sequence
 
 def header_map(headers: Column) -> Column:
     """Kafka's array of (key, binary value) as a map of strings; the last value of a name wins."""
-    pairs = F.transform(headers, lambda h: F.struct(h["key"], F.decode(h["value"], "UTF-8")))
-    return F.map_from_entries(pairs)
+    pairs = F.transform(headers, lambda h: F.struct(h["key"].alias("key"), F.make_valid_utf8(h["value"].cast("string")).alias("value")))
+    named = F.filter(pairs, lambda p: p["key"].isNotNull())
+    names = F.array_distinct(F.transform(named, lambda p: p["key"]))
+    last = F.transform(names, lambda n: F.struct(n, F.element_at(F.filter(named, lambda p: p["key"] == n), -1)["value"]))
+    return F.map_from_entries(last)
+
+
+def _from_millis(column: str) -> Column:
+    """Epoch milliseconds as a time; null outside the years 1 to 9999."""
+    inside = F.col(column).between(-62135596800000, 253402300799999)
+    return F.when(inside, from_micros(F.try_multiply(F.when(inside, F.col(column)), F.lit(1000))))
 
 
 def decode_wire(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -61,20 +71,20 @@ def decode_wire(lines: DataFrame, value: str = "value") -> DataFrame:
         F.coalesce("r.request_schema_sample", F.lit("")).alias("request_schema_sample"),
         F.coalesce("r.response_schema_sample", F.lit("")).alias("response_schema_sample"),
         "r.status_code",
-        from_micros(F.col("r.timestamp") * 1000).alias("captured_at"),
-        from_micros(F.col("r.sampled_at") * 1000).alias("sampled_at"),
+        _from_millis("r.timestamp").alias("captured_at"),
+        _from_millis("r.sampled_at").alias("sampled_at"),
     )
 
 
 def parse_ndjson(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Proxy samples from lines of JSON; blank and unparsable lines are skipped."""
+    """Proxy samples from lines of JSON; blank and unparsable lines are skipped, a malformed time is null."""
     bad = F.col("s._corrupt_record").isNotNull()
     sample = F.from_json(F.trim(F.col(value)), PROXY_SAMPLE, {"columnNameOfCorruptRecord": "_corrupt_record"})
     names = [f for f in PROXY_SAMPLE.names if f not in ("timestamp", "_corrupt_record")]
     return (
         lines.filter(not_blank(F.col(value))).select(sample.alias("s"))
         .filter(F.col("s").isNotNull() & ~bad)
-        .select(F.to_timestamp("s.timestamp").cast("timestamp_ntz").alias("sampled_at"), *[f"s.{n}" for n in names])
+        .select(F.try_to_timestamp(F.col("s.timestamp")).cast("timestamp_ntz").alias("sampled_at"), *[f"s.{n}" for n in names])
     )
 
 
