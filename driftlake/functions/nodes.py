@@ -1,22 +1,31 @@
 """JSON payloads as one long table of nodes.
 
 Every document is unfolded level by level inside its own row (array functions over VARIANT),
-then exploded once: one scan, one generator, no join, no Python, and the same expression
-works on a stream.
+then exploded once: one scan, one generator, no join, and the same expression works on a stream.
+Only documents deeper than the unrolled levels are taken further by Python.
 """
 
 from __future__ import annotations
 
+import json
+import sys
 from collections.abc import Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftlake.functions.normalize import TIMESTAMP_PLACEHOLDER, VOLATILE_FIELDS, mask_uuid
 
 TRAFFIC_KEYS = ("service_id", "endpoint", "method")
 JSON_TYPES = ("integer", "number", "string", "boolean", "null", "array", "object")
+# levels unrolled as SQL; what lies deeper is rare and walked in Python
 MAX_DEPTH = 8
+_NODE = {"path": "string", "parent_path": "string", "name": "string", "depth": "integer", "is_item": "boolean", "in_array": "boolean", "v": "string"}
+_DEEP = T.ArrayType(T.StructType())
+for _name, _kind in _NODE.items():
+    _DEEP.elementType.add(_name, _kind)
 
 _MEMBERS = "try_variant_get({v}, '$', 'map<string,variant>')"
 _ITEMS = "try_variant_get({v}, '$', 'array<variant>')"
@@ -65,6 +74,47 @@ def _level(depth: int, raw_paths: bool, masked: Iterable[str]) -> str:
     return f"flatten(transform(l{depth - 1}, n -> coalesce({members}, {items}, array())))"
 
 
+class _Number(str):
+    """A number as it is written."""
+
+
+def _text(value) -> str:
+    if isinstance(value, _Number):
+        return value
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_text(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_text, value)) + "]"
+    return json.dumps(value, ensure_ascii=False)
+
+
+@F.pandas_udf(_DEEP)
+def _deeper_nodes(parents: pd.Series, depth: pd.Series, raw_paths: pd.Series, masked: pd.Series) -> pd.Series:
+    """All nodes below the given ones (path, in_array, JSON text), whose level is ``depth``."""
+
+    def below(parent, depth, raw, masked):
+        out = []
+        todo = [(parent["path"], parent["in_array"], depth, json.loads(parent["v"], parse_int=_Number, parse_float=_Number))]
+        while todo:
+            path, in_array, at, value = todo.pop()
+            if isinstance(value, dict):
+                kids = [(k, f"{path}.{k if raw else k.replace('.', chr(92) + '.')}", False, TIMESTAMP_PLACEHOLDER if k in masked else v) for k, v in value.items()]
+            else:
+                kids = [("[]", path + "[]", True, v) for v in value]
+            for name, own, is_item, v in kids:
+                inside = in_array or is_item
+                # the members of an object have rows of their own
+                text = "{}" if isinstance(v, dict) else _text(v)
+                out.append({"path": own, "parent_path": path, "name": name, "depth": at + 1, "is_item": is_item, "in_array": inside, "v": text})
+                if isinstance(v, (dict, list)):
+                    todo.append((own, inside, at + 1, v))
+        return out
+
+    sys.setrecursionlimit(20_000)  # the parser nests at most 1000 levels
+    rows = zip(parents, depth, raw_paths, masked, strict=True)
+    return pd.Series([[n for p in nodes for n in below(p, d, raw, set(names))] if len(nodes) else [] for nodes, d, raw, names in rows])
+
+
 def json_nodes(
     df: DataFrame,
     keys: Sequence[str],
@@ -77,8 +127,9 @@ def json_nodes(
     """One row per JSON node of the documents that are objects, the root (``path = ''``) included.
 
     ``doc`` is a VARIANT column or SQL expression. ``values=False`` leaves out the value text, which keeps the
-    rows small when only types are counted. Nodes at ``max_depth`` that still have children
-    carry ``truncated = true``; nothing is dropped without a trace. A dot inside a name is
+    rows small when only types are counted. ``max_depth`` levels are unrolled in SQL; documents
+    that go deeper are walked by Python from there on, so no node is left out and ``truncated``
+    is false. A dot inside a name is
     escaped as ``\\.`` unless ``raw_paths``. With ``mask_volatile`` the volatile fields become
     a placeholder string and are not descended into, and UUIDs in names and values are masked.
     """
@@ -95,7 +146,13 @@ def json_nodes(
     )
     for depth in range(1, max_depth + 1):
         levels = levels.select("*", F.expr(_level(depth, raw_paths, masked)).alias(f"l{depth}"))
-    all_levels = F.concat(*[F.col(f"l{d}") for d in range(max_depth + 1)])
+    last = f"l{max_depth}"
+    more = f"filter({last}, n -> size({_MEMBERS.format(v='n.v')}) > 0 OR size({_ITEMS.format(v='n.v')}) > 0)"
+    deep = F.expr(f"coalesce(transform({more}, n -> struct(n.path, n.in_array, to_json(n.v) AS v)), array())")
+    names = F.array(*map(F.lit, masked)).cast("array<string>")
+    levels = levels.withColumn("deep", _deeper_nodes(deep, F.lit(max_depth), F.lit(raw_paths), names))
+    fields = ", ".join("parse_json(n.v) AS v" if c == "v" else f"n.{c}" for c in _NODE)
+    all_levels = F.concat(*[F.col(f"l{d}") for d in range(max_depth + 1)], F.expr(f"transform(deep, n -> struct({fields}))"))
     flat = levels.select(*keys, F.explode(all_levels).alias("n")).select(*keys, "n.*")
 
     out = flat.withColumn("json_type", json_type(F.col("v")))
@@ -104,9 +161,7 @@ def json_nodes(
         out = out.withColumn("value_str", mask_uuid(text) if mask_volatile else text)
     if mask_volatile:
         out = out.withColumns({c: mask_uuid(F.col(c)) for c in ("path", "parent_path", "name")})
-    has_children = F.expr(f"size({_MEMBERS.format(v='v')}) > 0 OR size({_ITEMS.format(v='v')}) > 0")
-    truncated = F.when(F.col("depth") == max_depth, F.coalesce(has_children, F.lit(False))).otherwise(False)
-    return out.withColumn("truncated", truncated).drop("v")
+    return out.withColumn("truncated", F.lit(False)).drop("v")
 
 
 def traffic_nodes(samples: DataFrame, extra: Sequence[str] = (), **options) -> DataFrame:
@@ -115,5 +170,5 @@ def traffic_nodes(samples: DataFrame, extra: Sequence[str] = (), **options) -> D
 
 
 def depth_overflow(nodes: DataFrame, keys: Sequence[str] = TRAFFIC_KEYS) -> DataFrame:
-    """How many nodes per key lie at the depth bound and still have children."""
+    """How many nodes per key lack their children; none does, whatever the depth."""
     return nodes.groupBy(*keys).agg(F.count_if("truncated").alias("truncated_nodes"))

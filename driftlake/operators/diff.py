@@ -72,7 +72,8 @@ def compare(baseline: DataFrame, inferred: DataFrame, keys: Sequence[str], requi
     """Every path of either side with its verdict; ``severity`` is null where nothing changed.
 
     Both inputs are node tables. With ``require_both`` a key that exists on one side only is
-    skipped: the joined rows tell which sides a key has, so neither input is read twice.
+    skipped: the joined rows tell which sides a key has, so neither input is read twice. A root row
+    (``path = ''``) shows that a side exists even if it has no fields; it gets no verdict.
     """
     keys = list(keys)
     pairs = _side(baseline, keys, "b").join(_side(inferred, keys, "i"), [*keys, "path"], "full_outer")
@@ -82,6 +83,7 @@ def compare(baseline: DataFrame, inferred: DataFrame, keys: Sequence[str], requi
             pairs.withColumns({f"key_{s}": F.max(f"has_{s}").over(contract) for s in ("b", "i")})
             .filter("key_b AND key_i")
         )
+    pairs = pairs.filter(F.col("path") != "")
     rules = _rules()
 
     def pick(column: int) -> Column:

@@ -53,9 +53,13 @@ def schema_nodes(
     keys: Sequence[str] = TRAFFIC_KEYS,
     union_mode: str = "nullable",
     top_level_only: bool = False,
+    with_root: bool = False,
 ) -> DataFrame:
     """The inferred contract as node rows, with the hints beside the schema columns.
 
+    ``with_root`` keeps the row of the root (``path = ''``), which shows that a key was seen even if its payloads are
+    empty objects.
+
     ``enum_suggestion`` is filled if the statistics hold value sketches. ``enum_values``,
     ``format`` and ``pattern`` stay empty: only declared contracts carry them.
     """
@@ -65,7 +69,9 @@ def schema_nodes(
     if top_level_only:
         hinted = hinted & (F.col("depth") == 1)
     kind, nullable = merged_type(union_mode, top_level_only)
-    full = S.with_parent_objects(S.with_totals(stats, keys), keys).filter("path <> ''")
+    full = S.with_parent_objects(S.with_totals(stats, keys), keys)
+    if not with_root:
+        full = full.filter("path <> ''")
     present = F.col("n") - F.col("n_object")
     suggestion = F.lit(None).cast("array<string>")
     if "value_sketch" in stats.columns:
@@ -103,8 +109,10 @@ def _document(rows: pd.DataFrame) -> dict:
     root = {**STUB, "jsonSchemaDialect": "https://spec.openapis.org/oas/3.1/dialect/base"}
     by_path = {"": root}
     for row in rows.sort_values(["depth", "path"]).itertuples(index=False):
-        types = sorted({*row.type.split("|"), *(["null"] if row.nullable else [])})
+        types = sorted(set(row.type.split("|")))
         node = {"type": types[0] if len(types) == 1 else types}
+        if row.nullable:
+            node["nullable"] = True
         if row.enum_suggestion is not None:
             node["x-enum-suggestion"] = list(row.enum_suggestion)
         if row.observed_types is not None:

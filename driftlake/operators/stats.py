@@ -32,7 +32,8 @@ def path_stats(nodes: DataFrame, keys: Sequence[str] = TRAFFIC_KEYS, values: boo
     if values:
         tracked, lg_size = _sketch_sizes(max_values)
         is_leaf = "NOT in_array AND path <> '' AND json_type NOT IN ('object', 'null')"
-        value = f"CASE WHEN {is_leaf} THEN value_str END"
+        # a sketch passes over empty strings, so every value gets a letter in front
+        value = f"CASE WHEN {is_leaf} THEN concat('v', value_str) END"
         sketches = [
             F.expr(f"theta_sketch_agg({value}, {lg_size})").alias("value_sketch"),
             F.expr(f"approx_top_k_accumulate({value}, {tracked})").alias("value_top"),
@@ -168,7 +169,7 @@ def enums_of(max_values: int = ENUM_MAX_VALUES, min_samples: int = ENUM_MIN_SAMP
     """
     few = F.theta_sketch_estimate("value_sketch").between(2, max_values) & (F.col("total") >= min_samples)
     items = F.expr(f"approx_top_k_estimate(value_top, {max_values + 2})")
-    values = F.array_sort(F.array_compact(F.transform(items, lambda i: i["item"])))
+    values = F.array_sort(F.array_compact(F.transform(items, lambda i: F.substr(i["item"], F.lit(2)))))
     return F.when(few, values)
 
 

@@ -137,17 +137,17 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.path_stats(nodes(spark, sf_dir, values=False))
 
 
-def inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.schema_nodes(stats(spark, sf_dir))
+def inferred(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return I.schema_nodes(stats(spark, sf_dir), **options)
 
 
 def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     contracts = samples(spark, sf_dir).select(*KEYS).distinct().withColumn("schema_json", F.lit(BASELINE_CONTRACT))
-    return C.contract_to_nodes(contracts, KEYS)
+    return C.contract_to_nodes(contracts, KEYS, with_root=True, nested_items=True)
 
 
 def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.compare(baseline(spark, sf_dir), inferred(spark, sf_dir), KEYS)
+    return D.compare(baseline(spark, sf_dir), inferred(spark, sf_dir, with_root=True), KEYS)
 
 
 @query("valid_samples", "SELECT sample_id, service_id FROM valid", TRAFFIC, NODES_SQL)
@@ -281,7 +281,7 @@ def infer_document(spark, sf_dir):
 
 @query("schema_diff", f"SELECT {KEYS_SQL}, path, severity, description FROM compared WHERE severity IS NOT NULL", TRAFFIC, COMPARED_SQL)
 def schema_diff(spark, sf_dir):
-    return D.schema_diff(baseline(spark, sf_dir), inferred(spark, sf_dir), KEYS)
+    return D.schema_diff(baseline(spark, sf_dir), inferred(spark, sf_dir, with_root=True), KEYS)
 
 
 @query("drift_score", f"SELECT {KEYS_SQL}, drift_score FROM scores", TRAFFIC, COMPARED_SQL)

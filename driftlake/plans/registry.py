@@ -67,7 +67,7 @@ def contract_pairs(spark, sf_dir):
 @query(
     "contract_import",
     """SELECT c.id, c.provider_id, c.consumer_id, c.endpoint, c.version, c.source,
-         CASE WHEN t.k IS NOT NULL AND c.status = 'active' THEN 'superseded' ELSE c.status END AS status
+         CASE WHEN t.k IS NOT NULL AND c.status = 'active' AND c.source <> 'inferred' THEN 'superseded' ELSE c.status END AS status
        FROM contracts c LEFT JOIN (SELECT DISTINCT provider_id, consumer_id, endpoint, 1 AS k FROM imports) t USING (provider_id, consumer_id, endpoint)
        UNION ALL
        SELECT i.id, i.provider_id, i.consumer_id, i.endpoint,
@@ -332,11 +332,11 @@ _POLICIES = """policies(ordinal, policy, description, severity, min_count, secon
   (2, 'block-critical-services', 'Deny if any violation on payment-service in last 1h', 'BREAKING', 1, 3600))"""
 
 
-def _gate_sql(mode: str, as_of_sql: str) -> tuple[str, str]:
+def _gate_sql(mode: str, as_of_sql: str, stretch: int = 1) -> tuple[str, str]:
     severities = _SEVERITY.replace(AS_OF_SQL, as_of_sql)
     if mode == "summary":
         count = f"""SELECT s.service_id, p.* FROM severities s JOIN policies p USING (severity)
-          WHERE s.earliest > {as_of_sql} - to_seconds(p.seconds) AND s.latest < {as_of_sql}
+          WHERE s.earliest > {as_of_sql} - to_seconds(p.seconds * {stretch}) AND s.latest < {as_of_sql}
           GROUP BY ALL HAVING sum(s.n) >= p.min_count"""
     else:
         count = f"""SELECT v.service_id, p.* FROM violations v JOIN policies p USING (severity)
@@ -357,26 +357,17 @@ def requests(spark, sf_dir) -> DataFrame:
     return asked.distinct()
 
 
-# In the summary form one old violation hides all others, so the check is made early in the month.
-SUMMARY_AS_OF = "2024-01-01 06:00:00"
-_early = f"TIMESTAMP '{SUMMARY_AS_OF}'"
+# In the summary form one violation before the window hides all others. So that decisions differ over the whole month,
+# the windows are stretched to 31 times their length and begin within its first day.
+SUMMARY_AS_OF, SUMMARY_STRETCH = "2024-02-01 06:00:00", 31
+_sum_sql, _sum_ctes = _gate_sql("summary", f"TIMESTAMP '{SUMMARY_AS_OF}'", SUMMARY_STRETCH)
 
 
-def _until(spark, sf_dir, moment: str) -> DataFrame:
-    return violations(spark, sf_dir).filter(F.col("detected_at") < F.lit(moment).cast("timestamp_ntz"))
-
-
-_sum_sql, _sum_ctes = _gate_sql("summary", _early)
-
-
-@query(
-    "gate_check_summary", _sum_sql, ("violations", "deployments"),
-    _sum_ctes.replace("FROM violations", f"FROM (SELECT * FROM violations WHERE detected_at < {_early})"),
-)
+@query("gate_check_summary", _sum_sql, ("violations", "deployments"), _sum_ctes)
 def gate_check_summary(spark, sf_dir):
     moment = F.lit(SUMMARY_AS_OF).cast("timestamp_ntz")
-    seen = _until(spark, sf_dir, SUMMARY_AS_OF)
-    return G.gate_check(requests(spark, sf_dir), seen, policy_table(spark), moment, "summary")
+    policies = policy_table(spark).withColumn("window_seconds", F.col("window_seconds") * SUMMARY_STRETCH)
+    return G.gate_check(requests(spark, sf_dir), violations(spark, sf_dir), policies, moment, "summary")
 
 
 _event_sql, _event_ctes = _gate_sql("event", AS_OF_SQL)

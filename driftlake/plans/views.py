@@ -34,6 +34,8 @@ SELECT event_id AS sample_id,
            CASE WHEN user_id % 10 = 7 AND event_id % 50 = 0 THEN ',"zip":"1"' ELSE ',"zip":1' END,
            ',"note":', CASE WHEN event_id % 5 = 0 THEN 'null' ELSE '"n"' END,
            CASE WHEN event_id % 9 = 0 THEN ',"lines":[{"q":1,"r":2},{"q":3}]' ELSE '' END,
+           CASE WHEN event_id % 397 = 0
+                THEN ',"deep":{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":{"i":{"j":[{"k":1,"l":[2,[3]]}]}}}}}}}}}}' ELSE '' END,
            ',"ts":', CAST(event_id * 1000 AS STRING),
            '}')
        END AS body
