@@ -29,6 +29,8 @@ HUGE, CHUNK, OVERLAP = 50_000, 20_000, 400
 #: Distinct pieces a Python worker remembers between batches, and pieces encoded in one call.
 REMEMBERED, PACK = 1_000_000, 500
 LIMIT = 1024
+#: Latin letters, then ASCII marks: byte-level pre-tokens part between them, so letters are encoded once for all marks.
+_LETTERS_AND_MARKS = r"^(?P<letters>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
 
 class Encoder:
@@ -117,47 +119,59 @@ class Encoder:
         begins = ends[:-1][whole]
         keep[begins] = True
         run[begins] = n + len(lead) + np.arange(len(begins))
-        run, owner = run[keep], texts_of[keep]
-        length = run_end[run] - run_start[run]
-        total = np.cumsum(length)
-        at = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(run_start[run] - (total - length), length)
-        return table[at], np.cumsum(np.bincount(owner, weights=length, minlength=len(values)).astype(np.int64))
+        owner = texts_of[keep]
+        out, length = _gathered(table, run_start, run_end, run[keep])
+        return out, np.cumsum(np.bincount(owner, weights=length, minlength=len(values)).astype(np.int64))
 
     def _spaced(self, distinct: pa.Array, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of " " + piece for the used pieces (none for others), and their ends, by code."""
-        found = pc.index_in(distinct, value_set=self.known).to_numpy(zero_copy_only=False)
-        need = np.zeros(len(distinct), bool)
-        need[used] = True
-        old = need & ~np.isnan(found.astype(float))
-        new = np.flatnonzero(need & ~old)
+        picked = distinct.take(pa.array(used))
+        parts = pc.extract_regex(picked, _LETTERS_AND_MARKS)
+        plain = parts.is_valid()
+        stems = pc.if_else(plain, parts.field(0), picked).dictionary_encode()
+        marks = pc.if_else(plain, parts.field(1), "").dictionary_encode()
+        stem_ids, stem_ends = self._stems(stems.dictionary)
+        mark_made = [np.array(x, np.uint32) for x in self.ids(marks.dictionary.to_pylist())]
+        table = np.concatenate([stem_ids, *mark_made])
+        run_end = np.concatenate([stem_ends[1:], stem_ends[-1] + np.cumsum([len(x) for x in mark_made], dtype=np.int64)]).astype(np.int64)
+        # each piece is its letters, then its marks
+        runs = np.stack([stems.indices.to_numpy().astype(np.int64), marks.indices.to_numpy().astype(np.int64) + len(stem_ends) - 1], axis=1).ravel()
+        out, length = _gathered(table, np.concatenate([[0], run_end[:-1]]), run_end, runs)
+        counts = np.zeros(len(distinct), np.int64)
+        counts[used] = length.reshape(-1, 2).sum(axis=1)
+        return out, np.concatenate([[0], np.cumsum(counts)])
+
+    def _stems(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of " " + piece for all pieces, and their ends."""
+        n, size = len(distinct), len(self.known)
+        found = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(found < 0)
         pieces = distinct.take(pa.array(new)).to_pylist()
         packs = [" " + " ".join(pieces[i : i + PACK]) for i in range(0, len(pieces), PACK)]
         made = [np.array(x, np.uint32) for i in range(0, len(packs), 16) for x in self.ids(packs[i : i + 16])]
         ids = np.concatenate(made) if made else np.zeros(0, np.uint32)
         begins = np.flatnonzero(self.spaced[ids])
         assert len(begins) == len(new)
-        counts = np.zeros(len(distinct), np.int64)
-        counts[new] = np.diff(np.append(begins, len(ids)))
-        old_at = np.flatnonzero(old)
-        known_at = found[old_at].astype(np.int64)
-        counts[old_at] = self.known_ends[known_at + 1] - self.known_ends[known_at]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        out = np.empty(int(ends[-1]), np.uint32)
-
-        def copy(codes, source, source_start):
-            length = counts[codes]
-            step = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-            out[np.repeat(ends[codes], length) + step] = source[np.repeat(source_start, length) + step]
-
-        copy(new, ids, begins)
-        copy(old_at, self.known_ids, self.known_ends[known_at])
-        if len(self.known) < REMEMBERED and len(new):
-            more = new[: REMEMBERED - len(self.known)]
-            self.known = pa.concat_arrays([self.known, distinct.take(pa.array(more)).cast(pa.string())])
-            cut = int(counts[more].sum())
-            self.known_ids = np.concatenate([self.known_ids, ids[:cut]])
-            self.known_ends = np.concatenate([self.known_ends, self.known_ends[-1] + np.cumsum(counts[more])])
-        return out, ends
+        table = np.concatenate([self.known_ids, ids])
+        run_end = np.concatenate([self.known_ends[1:], np.append(begins[1:], len(ids))[: len(new)] + len(self.known_ids)])
+        run_start = np.concatenate([self.known_ends[:-1], begins + len(self.known_ids)])
+        runs = found.copy()
+        runs[new] = size + np.arange(len(new))
+        out, length = _gathered(table, run_start, run_end, runs)
+        room = min(len(new), REMEMBERED - size)
+        if room > 0:
+            self.known = pa.concat_arrays([self.known, distinct.take(pa.array(new[:room])).cast(pa.string())])
+            self.known_ends = np.concatenate([self.known_ends, run_end[size : size + room]])
+            self.known_ids = table[: self.known_ends[-1]]
+        return out, np.concatenate([[0], np.cumsum(length)]) if n else np.zeros(1, np.int64)
+
+
+def _gathered(table: np.ndarray, start: np.ndarray, end: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the runs of the table one after the other, the length of each)."""
+    length = (end - start)[runs]
+    total = np.cumsum(length)
+    at = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(start[runs] - (total - length), length)
+    return table[at], length
 
 
 _ENCODERS: dict[str, Encoder] = {}
