@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -17,17 +16,23 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names; where it names none, one in the warehouse, which is shared as well."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints").rstrip("/")
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Arrow batches bounded in rows and bytes, and a checkpoint folder where the cluster names none."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", os.path.abspath("spark-warehouse/checkpoints"))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return spark
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{ready(spark).conf.get('spark.checkpoint.dir').rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(ready(spark))}/llm-{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
