@@ -40,8 +40,18 @@ WELL_KNOWN = {
     "google.protobuf.Any": ("object", None),
 }
 
-_STATEMENTS = r"""regexp_extract_all(
-    regexp_replace(regexp_replace({text}, r'(?s)/\*.*?\*/', ' '), r'//[^\n]*', ' '), r'[^{{}};]*[{{}};]', 0)"""
+_LITERAL = r"""\"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'"""
+
+
+def _statements(text: Column) -> Column:
+    """Statements with their ending mark. Literals are found before comments, so that neither hides in the other."""
+    bare = F.regexp_replace(text, rf"({_LITERAL})|(?s:/\*.*?\*/)|//[^\n]*", "$1 ")
+    bare = F.regexp_replace(bare, _LITERAL, " x ")
+    for _ in range(3):  # bracketed options, innermost lists first
+        bare = F.regexp_replace(bare, r"\[[^\[\]]*\]", " ")
+    return F.regexp_extract_all(bare, F.lit(r"[^{};]*[{};]"), F.lit(0))
+
+
 _CLEAN = r"trim(regexp_replace(left(t, length(t) - 1), r'\s+', ' '))"
 _BLOCKS = f"""aggregate(statements,
     named_struct('stack', CAST(array() AS ARRAY<STRING>),
@@ -56,7 +66,8 @@ _NAME = r"regexp_extract({0}, r'^\w+ (\w+)', 1)"
 _MESSAGES = f"transform(filter(blocks, b -> b.opens AND startswith(b.text, 'message ')), b -> {_NAME.format('b.text')})"
 _ENUMS = f"""transform(filter(blocks, b -> NOT b.opens AND size(b.stack) > 0 AND startswith(element_at(b.stack, -1), 'enum ')
       AND b.text RLIKE r'^\\w+ ?=' ),
-    b -> named_struct('name', {_NAME.format('element_at(b.stack, -1)')}, 'value', regexp_extract(b.text, r'^(\\w+)', 1)))"""
+    b -> named_struct('name', {_NAME.format('element_at(b.stack, -1)')}, 'value', regexp_extract(b.text, r'^(\\w+)', 1),
+      'scope', transform(filter(b.stack, x -> startswith(x, 'message ')), x -> {_NAME.format('x')})))"""
 _FIELDS = r"""filter(blocks, b -> NOT b.opens AND size(b.stack) > 0
     AND (startswith(element_at(b.stack, -1), 'message ') OR startswith(element_at(b.stack, -1), 'oneof ')))"""
 _FIELD = r"^(?:(optional|required|repeated) )?(map ?< ?[\w.]+ ?, ?[\w.]+ ?>|[\w.]+) (\w+) ?= ?\d+"
@@ -72,7 +83,16 @@ def _resolve(name: Column) -> dict[str, Column]:
     last = F.element_at(F.split(name, r"\."), -1)
     full = F.when(F.contains(name, F.lit(".")), name).otherwise(F.concat(F.lit("google.protobuf."), name))
     known = F.coalesce(_lookup(SCALARS)[name], _lookup(WELL_KNOWN)[full])
-    values = F.transform(F.filter("enums", lambda e: e["name"] == last), lambda e: e["value"])
+    named = F.filter("enums", lambda e: e["name"] == last)
+    # from the innermost scope outwards; a qualified name says its scope itself
+    dotted = F.concat(F.lit("."), F.ltrim(name, F.lit(".")))
+    inside = F.when(
+        F.contains(name, F.lit(".")),
+        F.filter(named, lambda e: F.endswith(F.concat(F.lit("."), F.array_join(F.concat(e["scope"], F.array(e["name"])), ".")), dotted)),
+    ).otherwise(F.filter(named, lambda e: F.slice("scopes", F.lit(1), F.size(e["scope"])) == e["scope"]))
+    found = F.when(F.size(inside) > 0, inside).otherwise(named)
+    nearest = F.array_max(F.transform(found, lambda e: F.struct(F.size(e["scope"]).alias("n"), e["scope"].alias("scope"))))["scope"]
+    values = F.transform(F.filter(found, lambda e: e["scope"] == nearest), lambda e: e["value"])
     is_enum = known.isNull() & (F.size(values) > 0)
     is_message = known.isNull() & ~is_enum & F.array_contains("messages", last)
     return {
@@ -92,7 +112,7 @@ def proto_nodes(corpus: DataFrame, keys: Sequence[str], text: str = "proto") ->
     """
     keys = list(keys)
     parsed = (
-        corpus.select(*keys, F.expr(_STATEMENTS.format(text=text)).alias("statements"))
+        corpus.select(*keys, _statements(F.col(text)).alias("statements"))
         .select(*keys, F.expr(_BLOCKS).alias("blocks"))
         .select(*keys, F.expr(_MESSAGES).alias("messages"), F.expr(_ENUMS).alias("enums"), F.expr(_FIELDS).alias("fields"))
     )
@@ -137,18 +157,22 @@ def proto_nodes(corpus: DataFrame, keys: Sequence[str], text: str = "proto") ->
     )
 
 
-def expand_refs(nodes: DataFrame, keys: Sequence[str], message: str, depth: int = 4) -> DataFrame:
+def expand_refs(nodes: DataFrame, keys: Sequence[str], message: str, depth: int | None = None) -> DataFrame:
     """Nodes of one message with the fields of referenced messages below their paths.
 
-    Each level is one equi-join on (file, message); recursive definitions end at ``depth``.
+    Each level is one equi-join on (file, message), until a level is empty or at the given ``depth``; a message that
+    stands on its own path is not entered again.
     """
     keys = list(keys)
     tops = [c for c in nodes.columns if c != "message"]
-    level = nodes.filter(F.col("message") == message).drop("message")
+    level = nodes.filter(F.col("message") == message).drop("message").withColumn("inside", F.array(F.lit(message)))
     out = level
     below = nodes.select(*keys, F.col("message").alias("ref"), *[F.col(c).alias(f"x_{c}") for c in tops if c not in keys])
-    for _ in range(depth):
-        heads = level.filter("ref IS NOT NULL").select(*keys, "ref", F.col("path").alias("head"))
+    while depth is None or depth > 0:
+        again = F.lit(depth is None) & F.array_contains("inside", F.col("ref"))
+        heads = level.filter(F.col("ref").isNotNull() & ~again).select(*keys, "ref", F.col("path").alias("head"), "inside")
+        if depth is None and heads.isEmpty():
+            break
         child = heads.join(below, [*keys, "ref"])
         level = child.select(
             *[
@@ -156,7 +180,9 @@ def expand_refs(nodes: DataFrame, keys: Sequence[str], message: str, depth: int
                 else F.concat_ws(".", "head", "x_path").alias("path") if c == "path"
                 else F.col(f"x_{c}").alias(c)
                 for c in tops
-            ]
+            ],
+            F.array_append("inside", F.col("ref")).alias("inside"),
         )
         out = out.unionByName(level)
-    return out
+        depth = depth if depth is None else depth - 1
+    return out.drop("inside")
