@@ -2,12 +2,13 @@
 
 A byte goes if it is covered by a string of ``WINDOW`` bytes that also starts in a document with a smaller id; strings
 are judged on the input. Every such string ("window") has one anchor, the smallest hash among its ``GRAM``-byte grams, so
-equal windows have equal anchors at the same place. The work is done in four exchanges:
+equal windows have equal anchors at the same place; with some bytes to the left or right of it, it is the window's key.
+The work is done in four exchanges:
 
-1. Documents are dealt into blocks. A block sends the hashes of its anchors to buckets.
-2. A bucket answers which anchors occur in more than one document; all others cannot hold a repeated window.
-3. A block sends, for each repeated anchor, the stretch of text whose windows have it (equal stretches once, with the
-   smallest id). The windows of an anchor with many stretches are sent one by one, to the buckets of their own hashes.
+1. Documents are dealt into blocks. A block sends the hashes of its keys to buckets.
+2. A bucket answers which keys occur in more than one document; all others cannot hold a repeated window.
+3. A block sends, for each anchor with repeated keys, the stretch of text whose windows have them (equal stretches once,
+   with the smallest id). The windows of a key that many hold are sent one by one, to the buckets of their own hashes.
 4. A bucket sorts the suffixes of its stretches: those smaller than their successor directly, the others induced by
    scanning the buckets of first bytes. Adjacent common prefixes of ``WINDOW`` bytes make groups of equal windows, whose
    smallest id is sent back; the block removes what a smaller id covers.
@@ -34,13 +35,18 @@ from driftlake.llm.common import hash64, mixed, raw_bytes, ready, slices, text_b
 #: Bytes of a window and of the grams whose least hash is its anchor.
 WINDOW, GRAM = 50, 26
 #: Text bytes of a block, and text bytes for each bucket.
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
-#: Documents that hold an anchor above which its windows are sent one by one.
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 3 << 20
+#: Documents that hold a key above which its windows are sent one by one.
 MANY = 256
 
 _SPAN = WINDOW - GRAM + 1  # grams of a window
 _LAST = np.iinfo(np.int64).max
-_STEP = np.array([hash64(f"gram {i}".encode()) | 1 for i in range(3)], np.uint64)
+_STEP = np.array([hash64(f"gram {i}".encode()) | 1 for i in range(5)], np.uint64)
+# bytes that a key has besides the gram, and where its eight-byte words lie
+_EXTRA = (WINDOW - GRAM) // 2
+_KEY = (0, 8, 16, 24, GRAM + _EXTRA - 8)
+# windows worked on at a time, and bits for a place among them
+_PIECE, _PLACE = 1 << 20, np.uint64(22)
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
@@ -54,17 +60,12 @@ def words_at(data: np.ndarray) -> np.ndarray:
     return four[:n] << np.uint64(32) | four[4 : n + 4]
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the ``GRAM`` bytes from each place at which so many follow."""
-    n = len(data) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    eight = words_at(data)
-    out = np.zeros(n, np.uint64)
-    for k, start in enumerate((0, 8, 16)):
-        out = (out ^ eight[start : start + n]) * _STEP[k]
-        out ^= out >> np.uint64(29)
-    return mixed(out ^ eight[GRAM - 8 : GRAM - 8 + n])
+def _hashed(eight: np.ndarray, at: np.ndarray | slice, starts: tuple[int, ...]) -> np.ndarray:
+    """A hash of the eight bytes at each of the given distances from the places."""
+    out = np.uint64(0)
+    for k, start in enumerate(starts):
+        out = out + (eight[at + start] if isinstance(at, np.ndarray) else eight[at.start + start : at.stop + start]) * _STEP[k]
+    return mixed(out)
 
 
 def least_in_windows(h: np.ndarray) -> np.ndarray:
@@ -72,32 +73,49 @@ def least_in_windows(h: np.ndarray) -> np.ndarray:
     n = len(h) - _SPAN + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    best, at, width = h.copy(), np.arange(len(h)), 1
+    # the place stands in the low bits, so one minimum finds both
+    best, width = h >> _PLACE << _PLACE | np.arange(len(h), dtype=np.uint64), 1
     while width < _SPAN:
         step = min(width, _SPAN - width)
-        later, later_at = best[step:], at[step:]
-        m = len(later)
-        swap = later < best[:m]
-        best = np.where(swap, later, best[:m])
-        at = np.where(swap, later_at, at[:m])
+        best = np.minimum(best[:-step], best[step:])
         width += step
-    return at[:n]
+    return (best & np.uint64((1 << int(_PLACE)) - 1)).astype(np.int64)
+
 
+def stretches(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """Runs of windows that have one anchor and one key: arrays anchor and key (hashes), start, count, occurrence, doc.
 
-def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, number of windows, document) of each run of windows with one anchor."""
-    h = gram_hashes(data)
-    anchor = least_in_windows(h)
+    The windows of an anchor that reach ``_EXTRA`` bytes to its left have the gram and those bytes as key, the others the
+    gram and as many bytes to its right: longer than the anchor, and still inside every one of the windows.
+    """
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    n = len(anchor)
-    inside = owner[:n] == owner[WINDOW - 1 : WINDOW - 1 + n] if n else np.zeros(0, bool)
-    new = np.ones(n, bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:n] != owner[: n - 1])
-    # windows that cross from one document into the next belong to none
-    start = np.flatnonzero(new & inside)
-    run = np.cumsum(new) - 1
-    length = np.bincount(run[inside], minlength=int(run[-1]) + 1 if n else 0)[run[start]]
-    return h[anchor[start]], start, length, owner[start]
+    parts, occurrences = [], 0
+    for begin in range(0, max(1, len(data) - WINDOW + 1), _PIECE):
+        part = data[begin : begin + _PIECE + WINDOW - 1]
+        own = owner[begin : begin + len(part)]
+        eight = words_at(part)
+        grams = len(part) - GRAM + 1
+        h = _hashed(eight, slice(0, grams), (0, 8, 16, GRAM - 8)) if grams > 0 else np.zeros(0, np.uint64)
+        at = least_in_windows(h)
+        n = len(at)
+        if not n:
+            continue
+        left = np.arange(n) <= at - _EXTRA
+        same = np.zeros(n, bool)
+        same[1:] = (at[1:] == at[:-1]) & (own[1:n] == own[: n - 1])
+        new = ~same
+        new[1:] |= left[1:] != left[:-1]
+        # windows that cross from one document into the next belong to none
+        inside = own[:n] == own[WINDOW - 1 :]
+        start = np.flatnonzero(new & inside)
+        run = np.cumsum(new) - 1
+        count = np.bincount(run[inside], minlength=int(run[-1]) + 1)[run[start]]
+        key = at[start] - np.where(left[start], _EXTRA, 0)
+        parts.append((h[at[start]], _hashed(eight, key, _KEY), start + begin, count, (np.cumsum(~same) - 1)[start] + occurrences, own[start]))
+        occurrences += n
+    names = ("anchor", "key", "start", "count", "occurrence", "doc")
+    kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64)
+    return {name: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind) for k, (name, kind) in enumerate(zip(names, kinds, strict=True))}
 
 
 def suffix_order(data: np.ndarray, depth: int = WINDOW) -> np.ndarray:
@@ -207,60 +225,66 @@ class _Block:
     """One block's texts with their stretches."""
 
     def __init__(self, table: pa.Table):
-        self.parts, base = [], 0
-        found = []
-        for part in slices(table.to_batches(), limit=1 << 20):
-            data, offsets = raw_bytes(texts(part))
-            h, start, count, doc = stretches(data, offsets)
-            found.append((h, start + base, count, doc + sum(len(p[1]) - 1 for p in self.parts)))
-            self.parts.append((data, offsets))
-            base += len(data)
-        self.data = np.concatenate([p[0] for p in self.parts])
-        ends, at = [np.zeros(1, np.int64)], 0
-        for data, offsets in self.parts:
-            ends.append(offsets[1:] + at)
-            at += len(data)
-        self.offsets = np.concatenate(ends)
-        self.hash, self.start, self.count, self.doc = (np.concatenate([f[k] for f in found]) for k in range(4))
+        data, ends, found, base = [], [np.zeros(1, np.int64)], [], 0
+        docs = 0
+        for part in slices(table.to_batches(), limit=_PIECE):
+            bytes_of, offsets = raw_bytes(texts(part))
+            f = stretches(bytes_of, offsets)
+            f["start"], f["doc"], f["occurrence"] = f["start"] + base, f["doc"] + docs, f["occurrence"] + base
+            found.append(f)
+            data.append(bytes_of)
+            ends.append(offsets[1:] + base)
+            base, docs = base + len(bytes_of), docs + len(offsets) - 1
+        self.data, self.offsets = np.concatenate(data), np.concatenate(ends)
+        self.anchor, self.key, self.start, self.count, self.occurrence, self.doc = (np.concatenate([f[k] for f in found]) for k in ("anchor", "key", "start", "count", "occurrence", "doc"))
         self.ids = np.array([_LAST if i is None else i for i in table["doc_id"].to_pylist()], np.int64)
-        # anchors once each, in order of their hashes; documents of the block that hold each
-        self.anchors, self.which = np.unique(self.hash, return_inverse=True)
-        pair = np.unique(np.stack([self.which, self.doc]), axis=1)
-        self.holders = np.bincount(pair[0], minlength=len(self.anchors))
-        # documents with equal ids do not remove from each other
-        self.kinds = np.bincount(np.unique(np.stack([self.which, self.ids[self.doc]]), axis=1)[0], minlength=len(self.anchors))
+        # keys once each, in order of their hashes; documents of the block that hold each, and their different ids
+        self.keys, self.which = np.unique(self.key, return_inverse=True)
+        ids, kind = np.unique(self.ids, return_inverse=True)
+        held = np.unique(self.which * len(self.ids) + self.doc)
+        self.holders = np.bincount(held // len(self.ids), minlength=len(self.keys))
+        self.kinds = self.holders
+        if len(ids) < len(self.ids):  # documents with equal ids do not remove from each other
+            held = np.unique(self.which * len(ids) + kind[self.doc])
+            self.kinds = np.bincount(held // len(ids), minlength=len(self.keys))
 
     def flagged(self, answers: pa.Table, buckets: int) -> np.ndarray:
-        """0, 1 (repeated) or 2 (held by many) for each anchor, from the buckets' answers."""
-        out = np.zeros(len(self.anchors), np.uint8)
-        mine = _by_bucket(bucket_of(self.anchors, buckets))
+        """0, 1 (repeated) or 2 (held by many) for each key, from the buckets' answers."""
+        out = np.zeros(len(self.keys), np.uint8)
+        mine = _by_bucket(bucket_of(self.keys, buckets))
         for b, flags in zip(answers["bucket"].to_pylist(), answers["payload"].to_pylist(), strict=True):
             out[mine[b]] = np.frombuffer(flags, np.uint8)
         return out
 
     def units(self, flags: np.ndarray, buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct stretches to look up, their buckets, least id of each, unit of each (occurrence, part)).
+        """(distinct stretches to look up, their buckets, least id of each; unit, start and document of each use).
 
-        An occurrence of a repeated anchor is one unit, or one for each window if the anchor has many holders.
+        The repeated runs of an anchor's occurrence are one unit in the anchor's bucket. The windows of a run whose key
+        many hold are units of their own, in the buckets of their own hashes.
         """
         flag = flags[self.which]
         whole, each = np.flatnonzero(flag == 1), np.flatnonzero(flag == 2)
+        # both runs of an occurrence follow one another
+        head = np.append(True, self.occurrence[whole][1:] != self.occurrence[whole][:-1]) if len(whole) else np.zeros(0, bool)
+        first = whole[head]
+        joined = np.add.reduceat(self.count[whole], np.flatnonzero(head)) if len(whole) else np.zeros(0, np.int64)
         count = self.count[each]
-        start = np.concatenate([self.start[whole], np.repeat(self.start[each], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)])
-        length = np.concatenate([self.count[whole] + WINDOW - 1, np.full(int(count.sum()), WINDOW)])
-        doc = np.concatenate([self.doc[whole], np.repeat(self.doc[each], count)])
+        single = np.repeat(self.start[each], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        start = np.concatenate([self.start[first], single])
+        length = np.concatenate([joined + WINDOW - 1, np.full(len(single), WINDOW)])
+        doc = np.concatenate([self.doc[first], np.repeat(self.doc[each], count)])
         text, seen, unit = self.data.tobytes(), {}, np.empty(len(start), np.int64)
+        bucket = []
+        home = bucket_of(self.anchor[first], buckets).tolist()
         for k, (a, n) in enumerate(zip(start.tolist(), length.tolist(), strict=True)):
-            unit[k] = seen.setdefault(text[a : a + n], len(seen))
-        names = list(seen)
-        least = np.full(len(names), _LAST)
+            # a window that stands alone may be in either kind of bucket, so the kind is part of its name
+            name = (k < len(first), text[a : a + n])
+            u = unit[k] = seen.setdefault(name, len(seen))
+            if u == len(bucket):
+                bucket.append(home[k] if name[0] else hash64(name[1]) % buckets)
+        least = np.full(len(bucket), _LAST)
         np.minimum.at(least, unit, self.ids[doc])
-        bucket = np.empty(len(names), np.int64)
-        anchor = np.concatenate([self.hash[whole], np.zeros(int(count.sum()), np.uint64)])
-        bucket[unit] = bucket_of(anchor, buckets)
-        for u in np.unique(unit[len(whole) :]).tolist():
-            bucket[u] = hash64(names[u]) % buckets
-        return names, bucket, least, np.stack([unit, start, doc])
+        return [name for _, name in seen], np.array(bucket, np.int64), least, np.stack([unit, start, doc])
 
 
 def _packed(rows: list[tuple[int, int, bytes]]) -> pa.Table:
@@ -271,19 +295,19 @@ def _packed(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 _ROWS = "block int, bucket int, payload binary"
 
 
-def _send_anchors(table: pa.Table, buckets: int) -> pa.Table:
+def _send_keys(table: pa.Table, buckets: int) -> pa.Table:
     block = _Block(table)
     number, rows = table["block"][0].as_py(), []
-    for b, mine in _by_bucket(bucket_of(block.anchors, buckets)).items():
-        # 32 bits tell the anchors of a bucket apart well enough; a clash only costs work
-        h = (block.anchors[mine] >> np.uint64(32)).astype("<u4")
+    for b, mine in _by_bucket(bucket_of(block.keys, buckets)).items():
+        # 32 bits tell the keys of a bucket apart well enough; a clash only costs work
+        h = (block.keys[mine] >> np.uint64(32)).astype("<u4")
         held = np.minimum(block.holders[mine], 255).astype(np.uint8)
         several = (block.kinds[mine] > 1).astype(np.uint8)
         rows.append((number, b, h.tobytes() + held.tobytes() + several.tobytes()))
     return _packed(rows)
 
 
-def _answer_anchors(table: pa.Table) -> pa.Table:
+def _answer_keys(table: pa.Table) -> pa.Table:
     payloads = table["payload"].to_pylist()
     sizes = [len(p) // 6 for p in payloads]
     h = np.concatenate([np.frombuffer(p, "<u4", n) for p, n in zip(payloads, sizes, strict=True)])
@@ -376,8 +400,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
         ids = [_LAST if i is None else i for i in table["doc_id"].to_pylist()]
         return table.take(pa.array(np.lexsort((np.array(text, np.uint64), np.array(ids, np.int64)))))
 
-    anchors = by_block.applyInArrow(lambda t: _send_anchors(ordered(t), buckets), _ROWS)
-    flags = anchors.groupBy("bucket").applyInArrow(_answer_anchors, _ROWS)
+    keys = by_block.applyInArrow(lambda t: _send_keys(ordered(t), buckets), _ROWS)
+    flags = keys.groupBy("bucket").applyInArrow(_answer_keys, _ROWS)
     sent = by_block.cogroup(flags.groupBy("block")).applyInArrow(lambda a, b: _send_stretches(ordered(a), b, buckets), _ROWS)
     found = sent.groupBy("bucket").applyInArrow(_answer_stretches, _ROWS)
     # both answers to a block come together, told apart by their kind

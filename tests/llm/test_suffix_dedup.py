@@ -84,12 +84,12 @@ def test_suffix_order():
 def test_every_window_has_one_stretch():
     texts = [t or "" for _, t in corpus(n=30)]
     data, offsets = sd.raw_bytes(pa.array(texts))
-    h, start, count, doc = sd.stretches(data, offsets)
-    own = sorted((int(a) + k) for a, n in zip(start, count, strict=True) for k in range(n))
+    runs = sd.stretches(data, offsets)
+    own = sorted(int(a) + k for a, n in zip(runs["start"], runs["count"], strict=True) for k in range(n))
     want = [int(a) + k for a, b in zip(offsets[:-1], offsets[1:], strict=True) for k in range(b - a - sd.WINDOW + 1)]
     assert own == want
-    anchors = {}
+    names = {}
     text = data.tobytes()
-    for x, a, n in zip(h.tolist(), start.tolist(), count.tolist(), strict=True):
+    for anchor, key, a, n in zip(*(runs[k].tolist() for k in ("anchor", "key", "start", "count")), strict=True):
         for k in range(n):
-            assert anchors.setdefault(text[a + k : a + k + sd.WINDOW], x) == x
+            assert names.setdefault(text[a + k : a + k + sd.WINDOW], (anchor, key)) == (anchor, key)
