@@ -118,11 +118,12 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {name: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind) for k, (name, kind) in enumerate(zip(names, kinds, strict=True))}
 
 
-def suffix_order(data: np.ndarray, depth: int = WINDOW) -> np.ndarray:
-    """Places of ``data`` (no byte is 0 but at the end of a string) in the order of their first ``depth`` bytes.
+def suffix_order(data: np.ndarray, depth: int = WINDOW, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Places of ``data`` in the order of their first ``depth`` bytes.
 
     Two-stage sorting: suffixes smaller than their successors are sorted directly; the others are put in place by
-    scanning, bucket by bucket of first bytes, what is already in place and looking at the byte before it.
+    scanning, bucket by bucket of first bytes, what is already in place and looking at the byte before it. With ``wanted``
+    (a flag for each place), the order holds these places and the few that they are induced from.
     """
     n = len(data)
     if n < 2:
@@ -134,13 +135,19 @@ def suffix_order(data: np.ndarray, depth: int = WINDOW) -> np.ndarray:
     where = np.where(differ, np.arange(n), n)
     nearest = np.minimum.accumulate(where[::-1])[::-1]
     small = data[nearest] < follows[nearest]
+    needed = np.ones(n, bool)
+    if wanted is not None:
+        # each wanted suffix is induced through those behind it, up to the next that is sorted directly
+        onward = np.minimum.accumulate(np.where(small, np.arange(n), n - 1)[::-1])[::-1]
+        mine = np.flatnonzero(wanted)
+        change = np.bincount(mine, minlength=n + 1) - np.bincount(onward[mine] + 1, minlength=n + 1)
+        needed = np.cumsum(change)[:n] > 0
     eight = np.append(words_at(data), np.zeros(depth, np.uint64))
-    picked = np.flatnonzero(small)
+    picked = np.flatnonzero(small & needed)
     keys = [eight[picked + k] for k in range(0, depth + 1, 8)]
     direct = picked[np.lexsort(keys[::-1])]
-    counts = np.bincount(data, minlength=256)
-    begin = np.concatenate([[0], np.cumsum(counts)])
-    order = np.full(n, -1, np.int64)
+    begin = np.concatenate([[0], np.cumsum(np.bincount(data[needed], minlength=256))])
+    order = np.full(int(begin[-1]), -1, np.int64)
     # the small suffixes end each bucket
     small_counts = np.bincount(data[direct], minlength=256)
     small_begin = np.concatenate([[0], np.cumsum(small_counts)])
@@ -152,7 +159,7 @@ def suffix_order(data: np.ndarray, depth: int = WINDOW) -> np.ndarray:
     def induce(found: np.ndarray, lowest: int) -> None:
         """Put the large predecessors of suffixes, in order, at the next free places of their buckets."""
         before = found[found > 0] - 1
-        before = before[~small[before] & (data[before] >= lowest)]
+        before = before[needed[before] & ~small[before] & (data[before] >= lowest)]
         if len(before):
             byte = data[before]
             for c in np.unique(byte).tolist():
@@ -194,13 +201,13 @@ def least_ids(pool: np.ndarray, length: np.ndarray, ids: np.ndarray) -> np.ndarr
     begin = np.cumsum(length + 1) - (length + 1)
     at = np.arange(len(pool)) + np.repeat(np.arange(len(length)), length)
     data[at] = pool + 1
-    order = suffix_order(data)
     windows = length - WINDOW + 1
     first = np.repeat(begin, windows) + np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
     is_window = np.zeros(total, bool)
     is_window[first] = True
     owner = np.zeros(total, np.int64)
     owner[first] = np.repeat(ids, windows)
+    order = suffix_order(data, wanted=is_window)
     order = order[is_window[order]]
     group = np.cumsum(~equal_prefixes(data, order)) - 1
     least = np.full(int(group[-1]) + 1 if len(group) else 0, _LAST)
@@ -241,12 +248,15 @@ class _Block:
         # keys once each, in order of their hashes; documents of the block that hold each, and their different ids
         self.keys, self.which = np.unique(self.key, return_inverse=True)
         ids, kind = np.unique(self.ids, return_inverse=True)
-        held = np.unique(self.which * len(self.ids) + self.doc)
-        self.holders = np.bincount(held // len(self.ids), minlength=len(self.keys))
+        self.holders = self._different(self.doc, len(self.ids))
         self.kinds = self.holders
         if len(ids) < len(self.ids):  # documents with equal ids do not remove from each other
-            held = np.unique(self.which * len(ids) + kind[self.doc])
-            self.kinds = np.bincount(held // len(ids), minlength=len(self.keys))
+            self.kinds = self._different(kind[self.doc], len(ids))
+
+    def _different(self, values: np.ndarray, n: int) -> np.ndarray:
+        """How many different values (of n) each key has."""
+        pairs = np.sort(self.which * n + values)
+        return np.bincount(pairs[np.append(True, pairs[1:] != pairs[:-1])] // n if len(pairs) else pairs, minlength=len(self.keys))
 
     def flagged(self, answers: pa.Table, buckets: int) -> np.ndarray:
         """0, 1 (repeated) or 2 (held by many) for each key, from the buckets' answers."""
@@ -273,18 +283,18 @@ class _Block:
         start = np.concatenate([self.start[first], single])
         length = np.concatenate([joined + WINDOW - 1, np.full(len(single), WINDOW)])
         doc = np.concatenate([self.doc[first], np.repeat(self.doc[each], count)])
-        text, seen, unit = self.data.tobytes(), {}, np.empty(len(start), np.int64)
-        bucket = []
-        home = bucket_of(self.anchor[first], buckets).tolist()
-        for k, (a, n) in enumerate(zip(start.tolist(), length.tolist(), strict=True)):
-            # a window that stands alone may be in either kind of bucket, so the kind is part of its name
-            name = (k < len(first), text[a : a + n])
-            u = unit[k] = seen.setdefault(name, len(seen))
-            if u == len(bucket):
-                bucket.append(home[k] if name[0] else hash64(name[1]) % buckets)
+        text = self.data.tobytes()
+        cut = [text[a : a + n] for a, n in zip(start.tolist(), length.tolist(), strict=True)]
+        # a window that stands alone may be of either kind, so each kind has its own names
+        stands, alone = {}, {}
+        unit = np.array([stands.setdefault(t, len(stands)) for t in cut[: len(first)]] + [alone.setdefault(t, len(alone)) for t in cut[len(first) :]], np.int64)
+        unit[len(first) :] += len(stands)
+        bucket = np.empty(len(stands) + len(alone), np.int64)
+        bucket[unit[: len(first)]] = bucket_of(self.anchor[first], buckets)
+        bucket[len(stands) :] = [hash64(t) % buckets for t in alone]
         least = np.full(len(bucket), _LAST)
         np.minimum.at(least, unit, self.ids[doc])
-        return [name for _, name in seen], np.array(bucket, np.int64), least, np.stack([unit, start, doc])
+        return [*stands, *alone], bucket, least, np.stack([unit, start, doc])
 
 
 def _packed(rows: list[tuple[int, int, bytes]]) -> pa.Table:

@@ -77,6 +77,10 @@ def test_suffix_order():
         text = data.tobytes()
         tops = [text[i : i + sd.WINDOW].ljust(sd.WINDOW, b"\0") for i in order.tolist()]
         assert tops == sorted(tops)
+        wanted = rng.random(n) < 0.3
+        some = sd.suffix_order(data, wanted=wanted)
+        assert set(some.tolist()) >= set(np.flatnonzero(wanted).tolist())
+        assert [text[i : i + sd.WINDOW] for i in some.tolist()] == sorted(text[i : i + sd.WINDOW] for i in some.tolist())
         same = sd.equal_prefixes(data, order)
         assert same.tolist() == [False] + [a == b for a, b in zip(tops[1:], tops[:-1], strict=True)]
 
