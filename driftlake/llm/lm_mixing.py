@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from driftlake.llm.common import ready, saved, slices, text_bytes, texts, word_hashes, words
 
 FOLDS, HELD_OUT = 5, 1
-BLOCK_BYTES, SPAN = 8 << 20, 1 << 20
+BLOCK_BYTES, SPAN = 12 << 20, 1 << 20
 #: Bits of a class, slots of a hashed context table, words between updates of the weights.
 BITS, SLOTS, CHUNK = 8, 1 << 16, 64
 #: Learning rate and starting weights of: corpus alone, after a class, after two words; text alone, after a class.
@@ -248,12 +248,15 @@ def _counted(rows: DataFrame) -> DataFrame:
             a, b = count_slots(t, train)
             seen += a
             ones += b
-            n = len(counts)
-            out.append(pa.table({"block": pa.array([block] * n, pa.int32()), "word": t.distinct, "class": t.classes.astype(np.int32), "n": counts, "slot": pa.nulls(n, pa.int32()), "ones": pa.nulls(n, pa.int64())}))
+            out.append(pa.table({"word": t.distinct, "class": t.classes.astype(np.int32), "n": counts}))
+        # each word of the block once
+        own = pa.concat_tables(out).group_by("word").aggregate([("class", "min"), ("n", "sum")])
+        n = own.num_rows
         slot = np.flatnonzero(seen)
         m = len(slot)
-        out.append(pa.table({"block": pa.nulls(m, pa.int32()), "word": pa.nulls(m, pa.binary()), "class": pa.nulls(m, pa.int32()), "n": seen[slot], "slot": slot.astype(np.int32), "ones": ones[slot]}))
-        return pa.concat_tables(out)
+        both = [pa.table({"block": pa.array(np.full(n, block, np.int32)), "word": own["word"], "class": own["class_min"], "n": own["n_sum"], "slot": pa.nulls(n, pa.int32()), "ones": pa.nulls(n, pa.int64())})]
+        both.append(pa.table({"block": pa.nulls(m, pa.int32()), "word": pa.nulls(m, pa.binary()), "class": pa.nulls(m, pa.int32()), "n": seen[slot], "slot": slot.astype(np.int32), "ones": ones[slot]}))
+        return pa.concat_tables(both)
 
     return rows.groupBy("block").applyInArrow(run, "block int, word binary, class int, n long, slot int, ones long")
 
@@ -263,7 +266,7 @@ def score(docs: DataFrame) -> DataFrame:
     ready(docs.sparkSession)
     rows = _folded(docs)
     counted = saved(_counted(rows), "counted")
-    by_block = counted.where("slot IS NULL").groupBy("block", "word").agg(F.sum("n").alias("n"), F.first("class").alias("class"))
+    by_block = counted.where("slot IS NULL")
     vocabulary = saved(by_block.groupBy("word").agg(F.sum("n").alias("n"), F.first("class").alias("class")).where("n > 0"), "vocabulary")
     # at most one row per class, and one per slot
     classes = vocabulary.groupBy("class").agg(F.sum(F.col("n") + 0.5).alias("mass"), F.sum("n").alias("total"), F.count("*").alias("distinct"), F.count_if(F.col("n") == 1).alias("once")).collect()
