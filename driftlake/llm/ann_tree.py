@@ -3,9 +3,9 @@
 The tree is fitted on a bounded sample (``SAMPLE`` vectors), every vector is put into a leaf by descending it. A query
 walks the tree through a priority queue: the bin with the largest inner product of its centre comes first, and opening
 an inner node queues its children. How many leaves are visited is calibrated: for ``PROBES`` vectors the true neighbours
-are found by brute force over all rows, and leaves are added until ``RECALL`` of them lie in the visited leaves. Pairs of
-query and leaf are joined with the leaf's rows in blocks of bounded size, scored exactly, and the best are kept per block
-and then per query.
+are found by brute force over all rows, and leaves are added until ``RECALL`` of them lie in the visited leaves. Leaves
+are put together into cells of a bounded number of rows; a query goes to each cell in which it visits leaves, is scored
+exactly against their rows in blocks of bounded size, and the best are kept per block and then per query.
 
 Equal vectors score alike, so of each vector only the ``k + 1`` smallest ids can be among the ``k`` nearest of any query:
 that many are kept, and equal queries are searched once. This loses nothing and keeps a common vector from filling a leaf.
@@ -113,14 +113,34 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
-def best(queries: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k best rows as (query, ids, scores); scores are sums row by row, so equal vectors tie."""
+def cells(tree: Tree) -> np.ndarray:
+    """Cell of each leaf: the largest subtrees of at most ``BLOCK_ROWS`` rows, or single larger leaves."""
+    total = np.zeros(len(tree.leaf), np.int64)
+    total[tree.leaf >= 0] = tree.rows[tree.leaf[tree.leaf >= 0]]
+    for node in range(len(total) - 1, -1, -1):  # children come behind their parents
+        total[node] += total[tree.children[node]].sum()
+    out, todo = np.zeros(len(tree.rows), np.int64), [(0, -1)]
+    while todo:
+        node, cell = todo.pop()
+        if cell < 0 and (total[node] <= BLOCK_ROWS or tree.leaf[node] >= 0):
+            cell = node
+        if tree.leaf[node] >= 0:
+            out[tree.leaf[node]] = cell
+        todo.extend((kid, cell) for kid in tree.children[node].tolist())
+    return out
+
+
+def best(queries: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, open_to: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query its k best rows (of those open to it) as (query, ids, scores).
+
+    Scores are sums row by row, so that equal vectors tie.
+    """
     rough = queries @ x.T
     for i in range(len(queries)):
-        near = np.arange(len(x))
-        if len(x) > k:
-            least = np.partition(rough[i], len(x) - k)[len(x) - k]
-            near = np.flatnonzero(rough[i] >= least - 1e-9 * (1 + abs(least)))
+        near = np.arange(len(x)) if open_to is None else np.flatnonzero(open_to[i])
+        if len(near) > k:
+            least = np.partition(rough[i, near], len(near) - k)[len(near) - k]
+            near = near[rough[i, near] >= least - 1e-9 * (1 + abs(least))]
         exact = (x[near] * queries[i]).sum(axis=1)
         order = np.lexsort((ids[near], -exact))[:k]
         yield i, ids[near][order], exact[order]
@@ -180,7 +200,7 @@ def search(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = K) ->
     tree.rows = np.zeros(n_leaves, np.int64)
     for r in index.groupBy("leaf").count().collect():  # a row per leaf
         tree.rows[r["leaf"]] = r["count"]
-    leaves = _calibrated(index, tree, drawn(PROBES, 2), k)
+    leaves, cell_of = _calibrated(index, tree, drawn(PROBES, 2), k), cells(tree)
 
     # equal queries are one
     asked = rows.where(queries)
@@ -190,27 +210,39 @@ def search(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = K) ->
         for part in batches:
             if part.num_rows:
                 dots = _matrix(part.column("vector")) @ tree.centres.T
-                lists = [tree.visits(d, leaves, 4 * k) for d in dots]
-                take = pa.array(np.repeat(np.arange(len(lists)), [len(v) for v in lists]))
-                yield pa.RecordBatch.from_arrays([part.column("query").take(take), part.column("vector").take(take), pa.array([v for x in lists for v in x], pa.int64())], ["query", "vector", "leaf"])
-
-    sent = saved(distinct.select("query", "vector").mapInArrow(routed, "query long, vector array<double>, leaf long"), "routed")
-    # blocks of bounded size: every block of queries of a leaf meets every block of its rows
-    sizes = [(int(leaf), max(1, math.ceil(c / BLOCK_ROWS))) for leaf, c in enumerate(tree.rows)]
-    asked_by = {r["leaf"]: r["count"] for r in sent.groupBy("leaf").count().collect()}
-    plan = spark.createDataFrame([(leaf, r, max(1, math.ceil(asked_by.get(leaf, 0) / BLOCK_QUERIES))) for leaf, r in sizes], "leaf long, row_blocks int, query_blocks int")
+                rows_of, cell, opened = [], [], []
+                for i, d in enumerate(dots):
+                    met: dict[int, list[int]] = {}
+                    for v in tree.visits(d, leaves, 4 * k):
+                        met.setdefault(int(cell_of[v]), []).append(v)
+                    rows_of += [i] * len(met)
+                    cell += met
+                    opened += met.values()
+                take = pa.array(rows_of, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("query").take(take), part.column("vector").take(take), pa.array(cell, pa.int64()), pa.array(opened, pa.list_(pa.int64()))], ["query", "vector", "cell", "leaves"])
+
+    # a query goes once to each cell, with the leaves that it visits there
+    sent = saved(distinct.select("query", "vector").mapInArrow(routed, "query long, vector array<double>, cell long, leaves array<long>"), "routed")
+    # blocks of bounded size: every block of queries of a cell meets every block of its rows
+    held = {c: int(tree.rows[cell_of == c].sum()) for c in np.unique(cell_of).tolist()}
+    asked_by = {r["cell"]: r["count"] for r in sent.groupBy("cell").count().collect()}
+    parts = {c: (max(1, math.ceil(n / BLOCK_ROWS)), max(1, math.ceil(asked_by.get(c, 0) / BLOCK_QUERIES))) for c, n in held.items()}
     all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = sent.join(plan, "leaf").withColumn("i", F.pmod(F.xxhash64("query"), "query_blocks").cast("int")).withColumn("j", all_of("row_blocks"))
-    right = index.join(plan.toDF("leaf", "row_parts", "query_parts"), "leaf").withColumn("j", F.pmod(F.xxhash64("vec_id"), "row_parts").cast("int")).withColumn("i", all_of("query_parts"))
+    for_queries = spark.createDataFrame([(c, *p) for c, p in parts.items()], "cell long, row_blocks int, query_blocks int")
+    for_rows = spark.createDataFrame([(leaf, int(c), *parts[int(c)]) for leaf, c in enumerate(cell_of)], "leaf long, cell long, row_blocks int, query_blocks int")
+    left = sent.join(for_queries, "cell").withColumn("i", F.pmod(F.xxhash64("query"), "query_blocks").cast("int")).withColumn("j", all_of("row_blocks"))
+    right = index.join(for_rows, "leaf").withColumn("j", F.pmod(F.xxhash64("vec_id"), "row_blocks").cast("int")).withColumn("i", all_of("query_blocks"))
 
     def scored(a: pa.Table, b: pa.Table) -> pa.Table:
         found, number = [], a["query"].to_numpy()
         if a.num_rows and b.num_rows:
-            found = list(best(_matrix(a["vector"].combine_chunks()), _matrix(b["vector"].combine_chunks()), b["vec_id"].to_numpy(), k + 1))
+            there, leaf = np.unique(b["leaf"].to_numpy(), return_inverse=True)
+            opened = np.array([np.isin(there, v) for v in a["leaves"].to_pylist()])
+            found = list(best(_matrix(a["vector"].combine_chunks()), _matrix(b["vector"].combine_chunks()), b["vec_id"].to_numpy(), k + 1, opened[:, leaf]))
         return pa.Table.from_batches([_table(found, number)])
 
     columns = "query long, vec_id long, score double"
-    blocks = left.select("query", "vector", "leaf", "i", "j").groupBy("leaf", "i", "j").cogroup(right.select("vec_id", "vector", "leaf", "i", "j").groupBy("leaf", "i", "j")).applyInArrow(scored, columns)
+    blocks = left.select("query", "vector", "leaves", "cell", "i", "j").groupBy("cell", "i", "j").cogroup(right.select("vec_id", "vector", "leaf", "cell", "i", "j").groupBy("cell", "i", "j")).applyInArrow(scored, columns)
     nearest = _top(blocks, "query", [F.desc("score"), "vec_id"], k + 1).select("query", "vec_id", "score")
     # back to all queries, each without itself
     pairs = asked.select(F.col("vec_id").alias("query_id"), "vector").join(distinct, "vector").select("query_id", "query").distinct().join(nearest, "query").where("query_id != vec_id")
