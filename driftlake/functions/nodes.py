@@ -21,7 +21,7 @@ from driftlake.functions.normalize import TIMESTAMP_PLACEHOLDER, VOLATILE_FIELDS
 TRAFFIC_KEYS = ("service_id", "endpoint", "method")
 JSON_TYPES = ("integer", "number", "string", "boolean", "null", "array", "object")
 # levels unrolled as SQL; what lies deeper is rare and walked in Python
-MAX_DEPTH = 8
+UNROLLED = 8
 _NODE = {"path": "string", "parent_path": "string", "name": "string", "depth": "integer", "is_item": "boolean", "in_array": "boolean", "v": "string"}
 _DEEP = T.ArrayType(T.StructType())
 for _name, _kind in _NODE.items():
@@ -119,7 +119,7 @@ def json_nodes(
     df: DataFrame,
     keys: Sequence[str],
     doc: str = "doc",
-    max_depth: int = MAX_DEPTH,
+    max_depth: int | None = None,
     values: bool = True,
     raw_paths: bool = False,
     mask_volatile: bool = False,
@@ -127,9 +127,9 @@ def json_nodes(
     """One row per JSON node of the documents that are objects, the root (``path = ''``) included.
 
     ``doc`` is a VARIANT column or SQL expression. ``values=False`` leaves out the value text, which keeps the
-    rows small when only types are counted. ``max_depth`` levels are unrolled in SQL; documents
-    that go deeper are walked by Python from there on, so no node is left out and ``truncated``
-    is false. A dot inside a name is
+    rows small when only types are counted. ``UNROLLED`` levels are unrolled in SQL; documents
+    that go deeper are walked by Python from there on, so no node is left out. Only a ``max_depth``
+    that the caller gives ends them: nodes there that still have children carry ``truncated = true``. A dot inside a name is
     escaped as ``\\.`` unless ``raw_paths``. With ``mask_volatile`` the volatile fields become
     a placeholder string and are not descended into, and UUIDs in names and values are masked.
     """
@@ -144,15 +144,18 @@ def json_nodes(
               0 AS depth, false AS is_item, false AS in_array, d AS v)) AS l0"""
         ),
     )
-    for depth in range(1, max_depth + 1):
+    unrolled = UNROLLED if max_depth is None else max_depth
+    for depth in range(1, unrolled + 1):
         levels = levels.select("*", F.expr(_level(depth, raw_paths, masked)).alias(f"l{depth}"))
-    last = f"l{max_depth}"
-    more = f"filter({last}, n -> size({_MEMBERS.format(v='n.v')}) > 0 OR size({_ITEMS.format(v='n.v')}) > 0)"
-    deep = F.expr(f"coalesce(transform({more}, n -> struct(n.path, n.in_array, to_json(n.v) AS v)), array())")
-    names = F.array(*map(F.lit, masked)).cast("array<string>")
-    levels = levels.withColumn("deep", _deeper_nodes(deep, F.lit(max_depth), F.lit(raw_paths), names))
-    fields = ", ".join("parse_json(n.v) AS v" if c == "v" else f"n.{c}" for c in _NODE)
-    all_levels = F.concat(*[F.col(f"l{d}") for d in range(max_depth + 1)], F.expr(f"transform(deep, n -> struct({fields}))"))
+    every = [F.col(f"l{d}") for d in range(unrolled + 1)]
+    if max_depth is None:
+        more = f"filter(l{unrolled}, n -> size({_MEMBERS.format(v='n.v')}) > 0 OR size({_ITEMS.format(v='n.v')}) > 0)"
+        deep = F.expr(f"coalesce(transform({more}, n -> struct(n.path, n.in_array, to_json(n.v) AS v)), array())")
+        names = F.array(*map(F.lit, masked)).cast("array<string>")
+        levels = levels.withColumn("deep", _deeper_nodes(deep, F.lit(unrolled), F.lit(raw_paths), names))
+        fields = ", ".join("parse_json(n.v) AS v" if c == "v" else f"n.{c}" for c in _NODE)
+        every.append(F.expr(f"transform(deep, n -> struct({fields}))"))
+    all_levels = F.concat(*every)
     flat = levels.select(*keys, F.explode(all_levels).alias("n")).select(*keys, "n.*")
 
     out = flat.withColumn("json_type", json_type(F.col("v")))
@@ -161,7 +164,9 @@ def json_nodes(
         out = out.withColumn("value_str", mask_uuid(text) if mask_volatile else text)
     if mask_volatile:
         out = out.withColumns({c: mask_uuid(F.col(c)) for c in ("path", "parent_path", "name")})
-    return out.withColumn("truncated", F.lit(False)).drop("v")
+    has_children = F.expr(f"size({_MEMBERS.format(v='v')}) > 0 OR size({_ITEMS.format(v='v')}) > 0")
+    cut = F.lit(False) if max_depth is None else F.when(F.col("depth") == max_depth, F.coalesce(has_children, F.lit(False))).otherwise(False)
+    return out.withColumn("truncated", cut).drop("v")
 
 
 def traffic_nodes(samples: DataFrame, extra: Sequence[str] = (), **options) -> DataFrame:
@@ -170,5 +175,5 @@ def traffic_nodes(samples: DataFrame, extra: Sequence[str] = (), **options) -> D
 
 
 def depth_overflow(nodes: DataFrame, keys: Sequence[str] = TRAFFIC_KEYS) -> DataFrame:
-    """How many nodes per key lack their children; none does, whatever the depth."""
+    """How many nodes per key lie at a given depth bound and still have children; without a bound none does."""
     return nodes.groupBy(*keys).agg(F.count_if("truncated").alias("truncated_nodes"))

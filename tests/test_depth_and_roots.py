@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from driftlake.functions import nodes as N
 from driftlake.functions.nodes import TRAFFIC_KEYS, json_nodes, traffic_nodes
 from driftlake.functions.normalize import normalize_document
 from driftlake.functions.scalars import window_seconds
@@ -43,12 +44,14 @@ def walk(value, path=""):
         yield from walk(v, at)
 
 
-def test_payload_nodes_of_any_depth(spark):
+def test_payload_nodes_of_any_depth(spark, monkeypatch):
     for body in (nested(13, 1), nested(7, [[[{"x": [1.10, {"y": None}]}]]]), nested(300, "x")):
         got = json_nodes(samples(spark, [json.dumps(body)]), KEYS, doc="try_parse_json(body)").collect()
         assert sorted(r.path for r in got) == sorted(walk(body)) and not any(r.truncated for r in got)
-    shallow = json_nodes(samples(spark, [json.dumps(nested(6, [{"ts": 5, "v": "1"}]))]), KEYS, doc="try_parse_json(body)", mask_volatile=True)
-    early = json_nodes(samples(spark, [json.dumps(nested(6, [{"ts": 5, "v": "1"}]))]), KEYS, doc="try_parse_json(body)", mask_volatile=True, max_depth=2)
+    body = json.dumps(nested(6, [{"ts": 5, "v": "1", "u.w": [True, None, "é", 1.50]}]))
+    shallow = json_nodes(samples(spark, [body]), KEYS, doc="try_parse_json(body)", mask_volatile=True)
+    monkeypatch.setattr(N, "UNROLLED", 2)
+    early = json_nodes(samples(spark, [body]), KEYS, doc="try_parse_json(body)", mask_volatile=True)
     assert sorted(map(tuple, shallow.collect()), key=str) == sorted(map(tuple, early.collect()), key=str)
 
 
