@@ -35,7 +35,7 @@ from driftlake.llm.common import hash64, mixed, raw_bytes, ready, slices, text_b
 #: Bytes of a window and of the grams whose least hash is its anchor.
 WINDOW, GRAM = 50, 26
 #: Text bytes of a block, and text bytes for each bucket.
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 3 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 2 << 20
 #: Documents that hold a key above which its windows are sent one by one.
 MANY = 256
 
@@ -345,6 +345,17 @@ def _send_stretches(docs: pa.Table, answers: pa.Table, buckets: int) -> pa.Table
     return _packed(rows)
 
 
+def _short(ids: np.ndarray) -> bytes:
+    """Ids as the different ones and a number for each."""
+    names, number = np.unique(ids, return_inverse=True)
+    return np.array([len(names)], "<u4").tobytes() + names.astype("<i8").tobytes() + number.astype("<u2" if len(names) <= 1 << 16 else "<u4").tobytes()
+
+
+def _long(payload: bytes) -> np.ndarray:
+    n = int(np.frombuffer(payload, "<u4", 1)[0])
+    return np.frombuffer(payload, "<i8", n, 4)[np.frombuffer(payload, "<u2" if n <= 1 << 16 else "<u4", -1, 4 + 8 * n)]
+
+
 def _answer_stretches(table: pa.Table) -> pa.Table:
     sizes, ids, pools = [], [], []
     for p in table["payload"].to_pylist():
@@ -356,7 +367,7 @@ def _answer_stretches(table: pa.Table) -> pa.Table:
     least = least_ids(np.concatenate(pools), length, np.concatenate(ids))
     ends = np.cumsum([int((s - WINDOW + 1).sum()) for s in sizes])
     cuts = np.split(least, ends[:-1])
-    return _packed([(a, b, x.astype("<i8").tobytes()) for a, b, x in zip(table["block"].to_pylist(), table["bucket"].to_pylist(), cuts, strict=True)])
+    return _packed([(a, b, _short(x)) for a, b, x in zip(table["block"].to_pylist(), table["bucket"].to_pylist(), cuts, strict=True)])
 
 
 _RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -372,7 +383,7 @@ def _remove(docs: pa.Table, flags: pa.Table, answers: pa.Table, buckets: int, ke
     for b, payload in zip(answers["bucket"].to_pylist(), answers["payload"].to_pylist(), strict=True):
         mine = places[b]
         at = np.repeat(begin[mine], size[mine]) + np.arange(int(size[mine].sum())) - np.repeat(np.cumsum(size[mine]) - size[mine], size[mine])
-        least[at] = np.frombuffer(payload, "<i8")
+        least[at] = _long(payload)
     # windows of each occurrence that start in a document with a smaller id
     u, start, doc = unit
     n = size[u]
