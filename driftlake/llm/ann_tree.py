@@ -35,7 +35,7 @@ SAMPLE, BRANCH, LEAF_ROWS, ROUNDS = 20_000, 8, 300, 8
 #: Queries of the calibration and the recall aimed at there.
 PROBES, RECALL = 200, 0.97
 #: Rows and queries of one block.
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
+BLOCK_ROWS, BLOCK_QUERIES = 16_384, 256
 
 
 @dataclass
@@ -114,16 +114,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def cells(tree: Tree) -> np.ndarray:
-    """Cell of each leaf: the largest subtrees of at most ``BLOCK_ROWS`` rows, or single larger leaves."""
+    """Cell of each leaf: neighbouring subtrees of ``BLOCK_ROWS`` rows together, or single larger leaves."""
     total = np.zeros(len(tree.leaf), np.int64)
     total[tree.leaf >= 0] = tree.rows[tree.leaf[tree.leaf >= 0]]
     for node in range(len(total) - 1, -1, -1):  # children come behind their parents
         total[node] += total[tree.children[node]].sum()
-    out, todo = np.zeros(len(tree.rows), np.int64), [(0, -1)]
+    out, todo, last, filled = np.zeros(len(tree.rows), np.int64), [(0, -1)], 0, 0
     while todo:
         node, cell = todo.pop()
         if cell < 0 and (total[node] <= BLOCK_ROWS or tree.leaf[node] >= 0):
-            cell = node
+            if filled + total[node] > BLOCK_ROWS:
+                last, filled = last + 1, 0
+            cell, filled = last, filled + total[node]
         if tree.leaf[node] >= 0:
             out[tree.leaf[node]] = cell
         todo.extend((kid, cell) for kid in tree.children[node].tolist())
