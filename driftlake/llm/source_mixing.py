@@ -49,7 +49,7 @@ levels AS (
     (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
       / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM capped),
-leveled AS (SELECT *, min(CASE WHEN level <= ratio THEN level END) OVER () AS water FROM levels)
+leveled AS (SELECT *, max(CASE WHEN level <= ratio THEN level END) OVER () AS water FROM levels)
 SELECT source, source_size, weight, least(cap, weight * water) AS target,
        CASE WHEN source_size > 0 THEN least({MOST_REPEATS}, weight * water / source_size) ELSE 0 END AS rate
 FROM leveled"""

@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    odd = spark.createDataFrame([(900_001, "qzxv jkqw " * 40, "en", "src0", 1), (900_002, None, None, None, None), (900_003, None, "en", None, 0)], docs.schema)
+    odd = spark.createDataFrame([(900_001, "qzxv jkqw " * 40, None, "src0", 1), (900_002, None, None, None, None), (900_003, None, "en", None, 0)], docs.schema)
     docs = docs.union(odd)
     languages = cp.known_language(spark, docs, SF)
     assert languages.columns == docs.columns
