@@ -2,16 +2,21 @@
 
 A text is a sequence of words and an end. A first decision says whether a word is one of the training words; a known word
 is written as eight bits that its first letters decide, then as one of the words with these bits. Each bit is predicted by
-several hashed contexts: counts over the training corpus of the bits so far alone, after the class of the word before, and
-after the two words before; and counts over the text so far, alone and after the class of the word before. Their log odds
-are mixed by weights that bit position and experience select; the weights learn from their errors every ``CHUNK`` words,
-and an adaptive table corrects the mix. The word within its class, and the rate of unknown words, blend corpus counts with
-those of the text so far. The product over all decisions is a probability over training words, one unknown word and the
-end, so it can be held against a unigram model.
+several contexts: counts over the training corpus of the bits so far alone, after the class of the word before, and after
+the two words before; and counts over the text so far, alone and after the class of the word before. Their log odds are
+mixed by weights that bit position and experience select; the weights learn from their errors every ``CHUNK`` words, and an
+adaptive table corrects the mix. The word within its class has two predictions: the counts of the corpus and of the text so
+far, and the training words that followed the word before and the two words before; a logistic gate that learns in the same
+way mixes them. It is one decision among the words of the class, not a row of bits. The rate of unknown words blends corpus
+and text. The product over all decisions is a probability over training words, one unknown word and the end, so it can be
+held against a unigram model.
 
 Documents are dealt into blocks of about ``BLOCK_BYTES``. A block's distinct words are counted, joined with the corpus
-counts and sent back to the block, so the vocabulary may be of any size; nothing but the fixed-size context tables and a
-few sums is broadcast. Every text is scored by itself, from fixed starting weights: results do not depend on the blocks.
+counts and sent back to the block, so the vocabulary may be of any size. The same holds for words in context: each block
+sends its distinct (context, word) pairs to parts by the context's hash, a part sums them over all training documents, and
+returns to each block the counts on the way to its own pairs, from the context over the class bits to the word. Full 64-bit
+hashes are compared, so contexts share no counts. Only tables whose size the classes fix (after a class) and a few sums are
+broadcast. Every text is scored by itself, from fixed starting weights: results do not depend on the blocks.
 
 Null and empty texts consist of the end. A null id counts as an empty one (a training document). Repeated rows are scored
 and counted each. Texts of more than ``SPAN`` words begin with fresh adaptive state every ``SPAN`` words. With no training
@@ -29,21 +34,28 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlake.llm.common import ready, saved, slices, text_bytes, texts, word_hashes, words
+from driftlake.llm.common import mixed, ready, saved, slices, text_bytes, texts, word_hashes, words
 
 FOLDS, HELD_OUT = 5, 1
 BLOCK_BYTES, SPAN = 12 << 20, 1 << 20
-#: Bits of a class, slots of a hashed context table, words between updates of the weights.
-BITS, SLOTS, CHUNK = 8, 1 << 16, 64
+#: Text bytes to one part of the (context, word) pairs.
+PART_BYTES = 8 << 20
+#: Bits of a class, words between updates of the weights.
+BITS, CHUNK = 8, 64
 #: Learning rate and starting weights of: corpus alone, after a class, after two words; text alone, after a class.
 RATE, WEIGHTS = 0.004, (0.35, 0.3, 0.25, 0.25, 0.15)
 #: Strength of the corpus estimate of unknown words, of the words of a class, and of the correcting table.
 UNKNOWN_PRIOR, WORD_PRIOR, TABLE_PRIOR = 40.0, 6.0, 100.0
+#: Learning rate and starting weights of the gate: constant, repetition after one word, after two words.
+GATE_RATE, GATE_WEIGHTS = 0.02, (0.0, 0.3, 0.3)
 
 _NODES = 1 << BITS
 _POS = np.int64(20)
-# multiplicative hashing into SLOTS
-_ODD, _ODD2, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(64 - (SLOTS - 1).bit_length())
+_SIZE = _NODES + (_NODES + 1) * _NODES
+_ODD, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Counts on the way to a pair: the context, each class bit, the word; and how many words the class has there.
+_WORD, _KINDS = BITS + 1, BITS + 2
+_WAY = BITS + 3
 
 
 @dataclass
@@ -71,8 +83,8 @@ def tokens(values: pa.Array) -> Tokens:
     return Tokens(distinct, word, np.repeat(np.arange(n), count + 1), word_hashes(distinct), classes, n)
 
 
-def _contexts(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each token, class of the token before, hash of the two before)."""
+def _contexts(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(class of each token, class of the token before, hash of the one before, hash of the two before)."""
     code = t.classes[t.word]
     begins = np.append(True, t.text[1:] != t.text[:-1])
     before = np.append(_NODES, code[:-1])
@@ -82,7 +94,7 @@ def _contexts(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     last[begins] = 1
     last2 = np.append(np.uint64(2), last[:-1])
     last2[begins] = 2
-    return code, before, (last * _ODD + last2) * _ODD2
+    return code, before, last, (last * _ODD + last2) * _ODD2
 
 
 def _node(code: np.ndarray, depth: int) -> np.ndarray:
@@ -90,27 +102,64 @@ def _node(code: np.ndarray, depth: int) -> np.ndarray:
     return (code | _NODES) >> (BITS - depth)
 
 
-def _places(node: np.ndarray, before: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of the three corpus contexts in one table."""
-    step = node.astype(np.uint64) * _ODD
-    near = (before.astype(np.uint64) * _ODD2 + step) * _ODD2 >> _SHIFT
-    far = (pair + step) * _ODD2 >> _SHIFT
-    return node, near.astype(np.int64) + _NODES, far.astype(np.int64) + (_NODES + SLOTS)
+def _places(node: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the two contexts made of classes; no two contexts share one."""
+    return node, before * _NODES + node + _NODES
 
 
 def count_slots(t: Tokens, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bits seen, ones among them) of each slot, over the used tokens."""
-    size = _NODES + 2 * SLOTS
-    seen, ones = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    code, before, pair = (x[used] for x in _contexts(t))
+    seen, ones = np.zeros(_SIZE, np.int64), np.zeros(_SIZE, np.int64)
+    code, before = (x[used] for x in _contexts(t)[:2])
     for depth in range(BITS):
         bit = code >> (BITS - 1 - depth) & 1 == 1
-        for place in _places(_node(code, depth), before, pair):
-            seen += np.bincount(place, minlength=size)
-            ones += np.bincount(place[bit], minlength=size)
+        for place in _places(_node(code, depth), before):
+            seen += np.bincount(place, minlength=_SIZE)
+            ones += np.bincount(place[bit], minlength=_SIZE)
     return seen, ones
 
 
+def pairs(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """(context, word) of each token after the word before, then of each after the two words before.
+
+    The word's class stands in its upper bits. A single word is a context for each class, since few of them may be followed
+    by most of the corpus.
+    """
+    code, _, last, both = _contexts(t)
+    code = code.astype(np.uint64)
+    word = code << np.uint64(64 - BITS) | t.hashed[t.word] >> np.uint64(BITS)
+    return np.concatenate([mixed(last * _ODD + code * _ODD2 + np.uint64(1)), mixed(both)]), np.concatenate([word, word])
+
+
+def _distinct(context: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, the sum of each, and the place of each input among them."""
+    order = np.lexsort((word, context))
+    context, word = context[order], word[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    return context[at], word[at], np.bincount(place, weights=n, minlength=len(at)).astype(np.int64), place
+
+
+def ways(context: np.ndarray, word: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``_WAY`` counts for each pair, from all pairs of its context."""
+    context, word, n, place = _distinct(context, word, n)
+    total, kinds = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(n > 0))
+    out = np.empty((_WAY, len(n)), np.float32)
+    new = np.ones(len(n), bool)
+    for depth in range(BITS + 1):
+        bits = word >> np.uint64(64 - depth) if depth else np.zeros(len(n), np.uint64)
+        new[1:] = (context[1:] != context[:-1]) | (bits[1:] != bits[:-1])
+        start = np.flatnonzero(new)
+        end, group = np.append(start[1:], len(n)), np.cumsum(new) - 1
+        out[depth] = (total[end] - total[start])[group] if len(n) else 0
+    out[_WORD] = n
+    out[_KINDS] = (kinds[end] - kinds[start])[group] if len(n) else 0
+    return out[:, place]
+
+
 def _earlier(key: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each token, in order: how many before it have its key, and how many of those a one."""
     at = np.arange(len(key), dtype=np.int64)
@@ -136,7 +185,7 @@ def _stretch(hits: np.ndarray, seen: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What is learnt from the training corpus, in fixed size."""
+    """What is learnt from the training corpus, in fixed size; counts in context come with the texts."""
 
     odds: np.ndarray  # log odds of a one in each slot
     mass: np.ndarray  # of the words of each class
@@ -147,16 +196,18 @@ class Model:
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
-    def score(self, t: Tokens, count: np.ndarray) -> np.ndarray:
-        """log10 probability of each text; ``count`` has the corpus count of each distinct word."""
+    def score(self, t: Tokens, count: np.ndarray, way: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each text; ``count`` has the corpus count of each distinct word, ``way`` those of ``pairs``."""
         n = len(t.word)
+        if way is None:
+            way = np.zeros((_WAY, 2 * n), np.float32)
         position = np.arange(n) - np.flatnonzero(np.append(True, t.text[1:] != t.text[:-1]))[t.text]
         # adaptive state belongs to a span of a text
         span = np.cumsum(np.append(True, (t.text[1:] != t.text[:-1]) | (position[1:] % SPAN == 0))) - 1
         position = position % SPAN
         c = count[t.word]
         known = c > 0
-        code, before, pair = _contexts(t)
+        code, before = _contexts(t)[:2]
         unknowns = _earlier(span, ~known)
         p_unknown = (unknowns[1] + UNKNOWN_PRIOR * self.unknown) / (unknowns[0] + UNKNOWN_PRIOR)
         out = np.log(np.where(known, 1 - p_unknown, p_unknown))
@@ -174,22 +225,28 @@ class Model:
             # tokens of one chunk of all texts are worked on together
             order = np.lexsort((at, turn))
             ends = np.append(np.flatnonzero(np.diff(turn[order])) + 1, len(order))
+            one, two = way[:, at], way[:, at + n]
             for depth in range(BITS):
-                gain += self._bit(depth, code_k, before[at], pair[at], span_k, order, ends)
+                gain += self._bit(depth, code_k, before[at], two, span_k, order, ends)
             # the word among those of its class
             words_before = _earlier(span_k * np.int64(len(t.distinct)) + t.word[at], np.zeros(len(at), bool))[0]
             class_before = _earlier(span_k * np.int64(_NODES) + code_k, np.zeros(len(at), bool))[0]
-            gain += np.log((words_before + WORD_PRIOR * (c_k + 0.5) / self.mass[code_k]) / (class_before + WORD_PRIOR))
+            plain = (words_before + WORD_PRIOR * (c_k + 0.5) / self.mass[code_k]) / (class_before + WORD_PRIOR)
+            gain += _word(plain, one, two, span_k, order, ends)
         out[at] += gain
         return np.bincount(t.text, weights=out, minlength=t.n) / math.log(10)
 
-    def _bit(self, depth: int, code, before, pair, span, order, ends) -> np.ndarray:
+    def _bit(self, depth: int, code, before, two, span, order, ends) -> np.ndarray:
         """Natural log probability of bit ``depth`` of each token."""
         node = _node(code, depth)
         bit = code >> (BITS - 1 - depth) & 1 == 1
         inputs = np.empty((len(code), len(WEIGHTS)), np.float32)
-        for k, place in enumerate(_places(node, before, pair)):
+        for k, place in enumerate(_places(node, before)):
             inputs[:, k] = self.odds[place]
+        # after two words; what was never seen there falls back to the class of the word before
+        seen, same = two[depth].astype(np.float64), two[depth + 1].astype(np.float64)
+        ones, spread = np.where(bit, same, seen - same), np.exp(inputs[:, 1].astype(np.float64))
+        inputs[:, 2] = np.log((ones + spread / (1 + spread)) / (seen - ones + 1 / (1 + spread)))
         own, own_hits = _earlier(span << BITS | node, bit)
         inputs[:, 3] = _stretch(own_hits, own)
         near, near_hits = _earlier((span * np.int64(_NODES + 1) + before) << BITS | node, bit)
@@ -224,6 +281,37 @@ class Model:
         return back
 
 
+def _word(plain: np.ndarray, one: np.ndarray, two: np.ndarray, span, order, ends) -> np.ndarray:
+    """Natural log probability of each word within its class, by the gate's mix of ``plain`` and the words in context."""
+    near = plain
+    features = [np.ones(len(plain))]
+    for way in (one, two):
+        seen, hits, kinds = (way[k].astype(np.float64) for k in (BITS, _WORD, _KINDS))
+        # as many shares go to the shorter context as there are different words
+        near = np.where(seen > 0, (hits + kinds * near) / np.maximum(seen + kinds, 1), near)
+        features.append(np.log((seen + 0.4) / (kinds + 0.4)))
+    gate = span * 3 + (one[BITS] > 0) + (two[BITS] > 0)
+    features = np.stack(features, 1)[order]
+    gate, far, plain = gate[order], near[order], plain[order]
+    sets = (int(gate.max()) // 3 + 1) * 3
+    weights = np.tile(np.array(GATE_WEIGHTS), (sets, 1))
+    out, a = np.empty(len(plain)), 0
+    for b in ends:
+        x, g = features[a:b], gate[a:b]
+        share = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->i", x, weights[g]), -8, 8)))
+        p = share * far[a:b] + (1 - share) * plain[a:b]
+        out[a:b] = np.log(p)
+        if b < len(plain):
+            error = (share * far[a:b] / p - share) * GATE_RATE
+            running = (int(g.max()) // 3 + 1) * 3
+            for k in range(x.shape[1]):
+                weights[:running, k] += np.bincount(g, weights=error * x[:, k], minlength=running)
+        a = b
+    back = np.empty(len(plain))
+    back[order] = out
+    return back
+
+
 def _folded(docs: DataFrame) -> DataFrame:
     """doc_id, text, held_out and block of each row."""
     blocks = max(1, math.ceil(text_bytes(docs) / BLOCK_BYTES))
@@ -238,8 +326,7 @@ def _counted(rows: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         out = []
-        size = _NODES + 2 * SLOTS
-        seen, ones = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        seen, ones = np.zeros(_SIZE, np.int64), np.zeros(_SIZE, np.int64)
         block = table["block"][0].as_py()
         for part in slices(table.to_batches()):
             t = tokens(texts(part))
@@ -261,18 +348,56 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.groupBy("block").applyInArrow(run, "block int, word binary, class int, n long, slot int, ones long")
 
 
+def _block_pairs(parts_of: list[Tokens], trains: list[np.ndarray], parts: int) -> tuple[np.ndarray, ...]:
+    """Distinct pairs of a block by part, context and word; training counts; where each part begins; places of the tokens."""
+    context, word = (np.concatenate(x) for x in zip(*(pairs(t) for t in parts_of), strict=True))
+    context, word, n, place = _distinct(context, word, np.concatenate([np.tile(x, 2) for x in trains]))
+    # parts are ranges of the hash, so that the order of contexts is that of parts
+    part = ((context >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    return context, word, n, np.searchsorted(part, np.arange(parts + 1)), place
+
+
+def _tokens_of(table: pa.Table) -> tuple[list[pa.RecordBatch], list[Tokens], list[np.ndarray]]:
+    """Slices of a block, their tokens, and which of these are of training texts."""
+    cut = list(slices(table.to_batches()))
+    found = [tokens(texts(part)) for part in cut]
+    return cut, found, [~part.column("held_out").to_numpy(zero_copy_only=False)[t.text] for part, t in zip(cut, found, strict=True)]
+
+
+def _counts_in_context(rows: DataFrame, parts: int) -> DataFrame:
+    """block, part and ``ways`` of the block's pairs in that part, summed over the training texts of all blocks."""
+
+    def ask(table: pa.Table) -> pa.Table:
+        _, found, trains = _tokens_of(table)
+        context, word, n, cuts, _ = _block_pairs(found, trains, parts)
+        part = np.flatnonzero(np.diff(cuts))
+        packed = lambda x: pa.array([x[cuts[p] : cuts[p + 1]].tobytes() for p in part], pa.binary())
+        return pa.table({"part": part.astype(np.int32), "block": pa.array([table["block"][0].as_py()] * len(part), pa.int32()), "context": packed(context), "word": packed(word), "n": packed(n.astype(np.int32))})
+
+    def answer(table: pa.Table) -> pa.Table:
+        read = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
+        context, word, n = read("context", np.uint64), read("word", np.uint64), read("n", np.int32)
+        way = ways(np.concatenate(context), np.concatenate(word), np.concatenate(n))
+        ends = np.cumsum([len(x) for x in n])
+        return pa.table({"block": table["block"], "part": table["part"], "way": pa.array([way[:, e - len(x) : e].tobytes() for e, x in zip(ends, n, strict=True)], pa.binary())})
+
+    asked = rows.groupBy("block").applyInArrow(ask, "part int, block int, context binary, word binary, n binary")
+    return asked.groupBy("part").applyInArrow(answer, "block int, part int, way binary")
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every document."""
     ready(docs.sparkSession)
-    rows = _folded(docs)
+    # a block must hold the same rows each time
+    rows = saved(_folded(docs), "folded")
+    parts = max(1, math.ceil(text_bytes(rows) / PART_BYTES))
     counted = saved(_counted(rows), "counted")
     by_block = counted.where("slot IS NULL")
     vocabulary = saved(by_block.groupBy("word").agg(F.sum("n").alias("n"), F.first("class").alias("class")).where("n > 0"), "vocabulary")
     # at most one row per class, and one per slot
     classes = vocabulary.groupBy("class").agg(F.sum(F.col("n") + 0.5).alias("mass"), F.sum("n").alias("total"), F.count("*").alias("distinct"), F.count_if(F.col("n") == 1).alias("once")).collect()
     slots = counted.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).toArrow()
-    size = _NODES + 2 * SLOTS
-    seen, ones, mass = np.zeros(size), np.zeros(size), np.ones(_NODES)
+    seen, ones, mass = np.zeros(_SIZE), np.zeros(_SIZE), np.ones(_NODES)
     seen[slots["slot"].to_numpy()], ones[slots["slot"].to_numpy()] = slots["n"].to_numpy(), slots["ones"].to_numpy()
     for r in classes:
         mass[r["class"]] = r["mass"]
@@ -280,26 +405,38 @@ def score(docs: DataFrame) -> DataFrame:
     # words seen once are as many as new ones are to be expected
     unknown = min(0.5, max(1e-6, once / total)) if total else 1.0
     model = Model(_stretch(ones, seen).astype(np.float32), mass, total, distinct, unknown)
-    # a block gets the corpus counts of its own words
+    # a block gets the corpus counts of its own words, and of its own words in context
     known = by_block.select("block", "word").join(vocabulary.select("word", "n"), "word").select("block", "word", "n")
+    known = known.unionByName(_counts_in_context(rows, parts), allowMissingColumns=True)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def schema(left: pa.Table) -> pa.Schema:
+        return pa.schema([("doc_id", left.schema.field("doc_id").type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
+        in_context = right.filter(pc.is_valid(right["way"])).sort_by("part")
+        right = right.filter(pc.is_valid(right["word"]))
         known_words, known_counts = right["word"].combine_chunks(), right["n"].to_numpy()
-        for part in slices(left.to_batches()):
-            t = tokens(texts(part))
+        if not left.num_rows:
+            return schema(left).empty_table()
+        cut, found_in, trains = _tokens_of(left)
+        place = _block_pairs(found_in, trains, parts)[-1]
+        way = np.concatenate([np.frombuffer(x, np.float32).reshape(_WAY, -1) for x in in_context["way"].to_pylist()], 1)
+        begin = 0
+        for part, t in zip(cut, found_in, strict=True):
+            own = way[:, place[begin : begin + 2 * len(t.word)]]
+            begin += 2 * len(t.word)
             found = pc.index_in(t.distinct, value_set=known_words)
             count = np.where(found.is_valid(), np.append(known_counts, 0)[pc.fill_null(found, len(known_counts)).to_numpy()], 0)
             per_token = count[t.word]
             of = lambda x: np.bincount(t.text, weights=x, minlength=t.n)  # noqa: B023, E731
-            scored = model.score(t, count)
+            scored = model.score(t, count, own)
             n_bytes = pc.binary_length(texts(part)).to_numpy(zero_copy_only=False)
             out.append(pa.table({
                 "doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": of(np.ones(len(per_token))).astype(np.int64), "n_known": of(per_token > 0).astype(np.int64),
                 "train_tokens": np.full(t.n, model.total, np.int64), "base_score": of(model.base(per_token)), "score": scored, "bits_per_byte": -scored * math.log2(10) / np.maximum(n_bytes, 1),
             }))
-        schema = pa.schema([("doc_id", left.schema.field("doc_id").type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
-        return pa.concat_tables(out) if out else schema.empty_table()
+        return pa.concat_tables(out)
 
     return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")

@@ -82,3 +82,48 @@ def test_edges(spark):
     assert lm.score(docs.limit(0)).count() == 0
     only_held = spark.createDataFrame([(i, "a b") for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1], "doc_id long, text string")
     assert all(r.train_tokens == 0 and r.base_score == 0 and r.score <= 0 for r in lm.score(only_held).collect())
+
+
+def test_contexts_share_no_counts_and_reach_the_word(spark):
+    # far more contexts than a fixed table holds; the two words before decide the next one, the class alone does not
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"a{a} b{b} x{(a * 7 + b * 13) % 500}" for a, b in rng.integers(0, 1000, (300, 2))) for _ in range(300)]
+    first = lm.tokens(pa.array(texts))
+    context, word = lm.pairs(first)
+    n = len(first.word)
+    way = lm.ways(context, word, np.ones(len(word)))
+    want, after = Counter(), Counter()
+    words_of = first.distinct.to_pylist()
+    flat = [(words_of[first.word[i - 2]], words_of[first.word[i - 1]], words_of[first.word[i]]) for i in range(2, n)]
+    for a, b, c in flat:
+        want[a, b, c] += 1
+        after[a, b] += 1
+    assert len(after) > 1 << 16
+    for i in range(2, n, 997):
+        if first.text[i] == first.text[i - 2]:
+            a, b, c = flat[i - 2]
+            if b"" not in (a, b):
+                assert (way[0, n + i], way[lm._WORD, n + i]) == (after[a, b], want[a, b, c])
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    held = [r for r in lm.score(docs).collect() if r.held_out]
+    # a third of the words follow from the two before
+    seen = sum(r.score for r in held)
+    shuffled = [" ".join(rng.permutation(t.split())) for t in texts]
+    mixed = spark.createDataFrame([(i, t if zlib.crc32(str(i).encode()) % 5 != 1 else shuffled[i]) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert seen > 0.97 * sum(r.score for r in lm.score(mixed).collect() if r.held_out)
+
+
+def test_words_in_context_sum_to_one():
+    t = lm.tokens(pa.array(["the cat then the cat that the cat", "the dog the cat thus then"]))
+    n = len(t.word)
+    context, word = lm.pairs(t)
+    # every word of the class of "the" after the same words
+    same = np.flatnonzero(t.classes == t.classes[t.word[0]])
+    plain = np.arange(1, len(same) + 1) / sum(range(1, len(same) + 1))
+    total = 0.0
+    for k, w in enumerate(same):
+        one, two = context[4], context[n + 4]
+        key = np.uint64(t.classes[w]) << np.uint64(56) | t.hashed[w] >> np.uint64(8)
+        way = lm.ways(np.append(context, [one, two]), np.append(word, [key, key]), np.append(np.ones(2 * n), [0, 0]))
+        total += np.exp(lm._word(plain[k : k + 1], way[:, -2:-1], way[:, -1:], np.zeros(1, int), np.zeros(1, int), np.array([1])))[0]
+    assert total == pytest.approx(1)
