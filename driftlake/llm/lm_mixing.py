@@ -9,7 +9,8 @@ adaptive table corrects the mix. The word within its class has two predictions:
 far, and the training words that followed the word before and the two words before; a logistic gate that learns in the same
 way mixes them. It is one decision among the words of the class, not a row of bits. The rate of unknown words blends corpus
 and text. The product over all decisions is a probability over training words, one unknown word and the end, so it can be
-held against a unigram model.
+held against a unigram model. ``bits_per_byte`` also pays for the letters of unknown words: each is spelled byte by byte up
+to a blank, every bit predicted by a mix of hashed counts after no, one, two and three bytes, taken from the training words.
 
 Documents are dealt into blocks of about ``BLOCK_BYTES``. A block's distinct words are counted, joined with the corpus
 counts and sent back to the block, so the vocabulary may be of any size. The same holds for words in context: each block
@@ -34,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlake.llm.common import mixed, ready, saved, slices, text_bytes, texts, word_hashes, words
+from driftlake.llm.common import mixed, raw_bytes, ready, saved, slices, text_bytes, texts, word_hashes, words
 
 FOLDS, HELD_OUT = 5, 1
 BLOCK_BYTES, SPAN = 12 << 20, 1 << 20
@@ -48,6 +49,8 @@ RATE, WEIGHTS = 0.004, (0.35, 0.3, 0.25, 0.25, 0.15)
 UNKNOWN_PRIOR, WORD_PRIOR, TABLE_PRIOR = 40.0, 6.0, 100.0
 #: Learning rate and starting weights of the gate: constant, repetition after one word, after two words.
 GATE_RATE, GATE_WEIGHTS = 0.02, (0.0, 0.3, 0.3)
+#: Bytes before that spelling looks at, at most, and slots of each table.
+SPELL_ORDERS, SPELL_SLOTS = 3, 1 << 18
 
 _NODES = 1 << BITS
 _POS = np.int64(20)
@@ -281,6 +284,74 @@ class Model:
         return back
 
 
+def _letters(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Bytes of all words, each with a blank behind it; the word of each; and its contexts by number of bytes."""
+    data, offsets = raw_bytes(distinct)
+    count = np.diff(offsets)
+    letter = np.insert(data, offsets[1:], 32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(count)), count + 1)
+    contexts, past = [np.zeros(len(letter), np.uint64)], letter
+    for _ in range(SPELL_ORDERS):
+        # a word begins after blanks
+        past = np.append(np.uint64(32), past[:-1])
+        past[np.append(True, owner[1:] != owner[:-1])[: len(past)]] = 32
+        contexts.append(contexts[-1] << np.uint64(8) | past + np.uint64(1))
+    return letter.astype(np.int64), owner, contexts
+
+
+def _spelled(letter: np.ndarray, contexts: list[np.ndarray]):
+    """For each bit of the letters: is it a one, and its slot in each table."""
+    for depth in range(8):
+        node = (letter | 256) >> (8 - depth)
+        yield letter >> (7 - depth) & 1 == 1, [k * SPELL_SLOTS + (mixed(c * _ODD + node.astype(np.uint64)) % np.uint64(SPELL_SLOTS)).astype(np.int64) for k, c in enumerate(contexts)]
+
+
+def spelling_slots(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bits seen, ones among them) of each slot, over the letters of the words."""
+    size = (SPELL_ORDERS + 1) * SPELL_SLOTS
+    seen, ones = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    letter, _, contexts = _letters(distinct)
+    for bit, places in _spelled(letter, contexts):
+        for place in places:
+            seen += np.bincount(place, minlength=size)
+            ones += np.bincount(place[bit], minlength=size)
+    return seen, ones
+
+
+def spelling_bits(distinct: pa.Array, seen: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Bits that it takes to spell each word."""
+    letter, owner, contexts = _letters(distinct)
+    out = np.zeros(len(letter))
+    for bit, places in _spelled(letter, contexts):
+        z, weight = np.zeros(len(letter)), np.zeros(len(letter))
+        for k, place in enumerate(places):
+            # the more a context was seen, and the longer it is, the more it counts
+            trust = (k + 1) ** 2 * seen[place] / (seen[place] + 4.0) + 1e-3
+            z += trust * _stretch(ones[place], seen[place])
+            weight += trust
+        out += np.logaddexp(0, np.where(bit, -1, 1) * z / weight)
+    return np.bincount(owner, weights=out, minlength=len(distinct)) / math.log(2)
+
+
+def _spelling(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """``spelling_slots`` of the training words, each taken once; tables of fixed size from every task."""
+
+    def run(batches):
+        size = (SPELL_ORDERS + 1) * SPELL_SLOTS
+        seen, ones = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for part in slices(batches, "word"):
+            a, b = spelling_slots(part.column("word"))
+            seen += a
+            ones += b
+        slot = np.flatnonzero(seen)
+        yield pa.record_batch({"slot": slot.astype(np.int32), "seen": seen[slot], "ones": ones[slot]})
+
+    found = vocabulary.select("word").mapInArrow(run, "slot int, seen long, ones long").groupBy("slot").agg(F.sum("seen").alias("seen"), F.sum("ones").alias("ones")).toArrow()
+    seen, ones = (np.zeros((SPELL_ORDERS + 1) * SPELL_SLOTS, np.int64) for _ in range(2))
+    seen[found["slot"].to_numpy()], ones[found["slot"].to_numpy()] = found["seen"].to_numpy(), found["ones"].to_numpy()
+    return seen, ones
+
+
 def _word(plain: np.ndarray, one: np.ndarray, two: np.ndarray, span, order, ends) -> np.ndarray:
     """Natural log probability of each word within its class, by the gate's mix of ``plain`` and the words in context."""
     near = plain
@@ -405,6 +476,7 @@ def score(docs: DataFrame) -> DataFrame:
     # words seen once are as many as new ones are to be expected
     unknown = min(0.5, max(1e-6, once / total)) if total else 1.0
     model = Model(_stretch(ones, seen).astype(np.float32), mass, total, distinct, unknown)
+    spelling = _spelling(vocabulary)
     # a block gets the corpus counts of its own words, and of its own words in context
     known = by_block.select("block", "word").join(vocabulary.select("word", "n"), "word").select("block", "word", "n")
     known = known.unionByName(_counts_in_context(rows, parts), allowMissingColumns=True)
@@ -432,10 +504,14 @@ def score(docs: DataFrame) -> DataFrame:
             per_token = count[t.word]
             of = lambda x: np.bincount(t.text, weights=x, minlength=t.n)  # noqa: B023, E731
             scored = model.score(t, count, own)
+            # the letters of unknown words; the end, an empty word, has none
+            strange = np.flatnonzero((count == 0) & (pc.binary_length(t.distinct).to_numpy() > 0))
+            letters = np.zeros(len(count))
+            letters[strange] = spelling_bits(t.distinct.take(pa.array(strange)), *spelling)
             n_bytes = pc.binary_length(texts(part)).to_numpy(zero_copy_only=False)
             out.append(pa.table({
                 "doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": of(np.ones(len(per_token))).astype(np.int64), "n_known": of(per_token > 0).astype(np.int64),
-                "train_tokens": np.full(t.n, model.total, np.int64), "base_score": of(model.base(per_token)), "score": scored, "bits_per_byte": -scored * math.log2(10) / np.maximum(n_bytes, 1),
+                "train_tokens": np.full(t.n, model.total, np.int64), "base_score": of(model.base(per_token)), "score": scored, "bits_per_byte": (of(letters[t.word]) - scored * math.log2(10)) / np.maximum(n_bytes, 1),
             }))
         return pa.concat_tables(out)
 

@@ -127,3 +127,22 @@ def test_words_in_context_sum_to_one():
         way = lm.ways(np.append(context, [one, two]), np.append(word, [key, key]), np.append(np.ones(2 * n), [0, 0]))
         total += np.exp(lm._word(plain[k : k + 1], way[:, -2:-1], way[:, -1:], np.zeros(1, int), np.zeros(1, int), np.array([1])))[0]
     assert total == pytest.approx(1)
+
+
+def test_unknown_words_pay_for_their_letters(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(300).collect()]
+    prose = {i for i, x in rows if zlib.crc32(str(i).encode()) % 5 == 1 and len(x) > 500}
+    rng = np.random.default_rng(2)
+    junk = next(i for i in range(10**6, 10**7) if zlib.crc32(str(i).encode()) % 5 == 1)
+    rows.append((junk, " ".join("".join(rng.choice(list("qxzjkvwy0123"), 8)) for _ in range(200))))
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[junk].n_known <= 1
+    assert got[junk].bits_per_byte > max(got[i].bits_per_byte for i in prose)
+    assert got[junk].bits_per_byte > 2
+
+
+def test_spelling_is_a_probability():
+    seen, ones = lm.spelling_slots(pa.array([b"ab", b"abc", b"\xff"], pa.binary()))
+    letter = [bytes([b]) for b in range(256) if b != 32]
+    of = lambda words: (2.0 ** -lm.spelling_bits(pa.array(words, pa.binary()), seen, ones)).sum()
+    assert 0 < of(letter) + of([x + y for x in letter for y in letter]) < 1
