@@ -186,3 +186,9 @@ def expand_refs(nodes: DataFrame, keys: Sequence[str], message: str, depth: int
         out = out.unionByName(level)
         depth = depth if depth is None else depth - 1
     return out.drop("inside")
+
+
+def with_roots(nodes: DataFrame, files: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Nodes of a contract and one root row (``path = ''``) per file, which shows that a contract without fields exists."""
+    roots = files.select(*keys).distinct().withColumn("path", F.lit(""))
+    return nodes.unionByName(roots, allowMissingColumns=True)

@@ -92,5 +92,5 @@ def proto_drift(spark, sf_dir):
     """Traffic of every key against its proto contract."""
     corpus = samples(spark, sf_dir).select(*KEYS).distinct().withColumn("proto", F.lit(TRAFFIC_PROTO))
     declared = P.expand_refs(P.proto_nodes(corpus, KEYS), KEYS, "Order")
-    seen = I.schema_nodes(S.path_stats(nodes(spark, sf_dir, values=False)))
-    return D.schema_diff(declared, seen, KEYS).select(*KEYS, "path", "severity")
+    seen = I.schema_nodes(S.path_stats(nodes(spark, sf_dir, values=False)), with_root=True)
+    return D.schema_diff(P.with_roots(declared, corpus, KEYS), seen, KEYS).select(*KEYS, "path", "severity")

@@ -44,7 +44,8 @@ def detect_drift(
 ) -> StreamingQuery:
     """Every 60 seconds: infer the contracts of the new samples and compare all keys at once.
 
-    Payloads that are no JSON objects go to ``reject_path`` and do not stop the batch.
+    A key whose payloads in a batch are all ``{}`` has lost every field of its contract. For a contract without fields to
+    count as well, ``baseline`` needs its root rows (``with_root=True``). Payloads that are no JSON objects go to ``reject_path`` and do not stop the batch.
     A batch that is run again overwrites its own folder.
     """
 
@@ -53,7 +54,7 @@ def detect_drift(
         parsed = F.try_parse_json("body")
         rejected = batch.withColumn("doc", parsed).filter(~is_object("doc")).drop("doc")
         rejected.write.mode("overwrite").parquet(f"{reject_path}/batch={batch_id}")
-        inferred = I.schema_nodes(S.path_stats(traffic_nodes(batch, values=False), keys), keys)
+        inferred = I.schema_nodes(S.path_stats(traffic_nodes(batch, values=False), keys), keys, with_root=True)
         found = D.schema_diff(baseline, inferred, keys)
         found.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
         batch.unpersist()

@@ -84,3 +84,27 @@ def test_table_checks(spark, tmp_path):
     path = str(tmp_path / "contracts")
     rows.write.json(path)
     assert read_table(spark, "contracts", path, "json").columns == TABLES["contracts"].names
+
+
+def test_batch_of_empty_objects_is_drift(spark, tmp_path):
+    rows = [("s", "e", "GET", b, T0 + timedelta(minutes=i)) for i, b in enumerate(['{"a":1}', '{"a":2}', "{}", "{}"])]
+    table = spark.createDataFrame(rows, "service_id string, endpoint string, method string, body string, sampled_at timestamp_ntz")
+    baseline = I.schema_nodes(S.path_stats(traffic_nodes(table.limit(1))), with_root=True)
+    out = str(tmp_path / "out")
+    job = inference.detect_drift(as_stream(table, "sampled_at", 2), baseline, out, str(tmp_path / "bad"), str(tmp_path / "c"), trigger={"availableNow": True})
+    job.awaitTermination()
+    assert [(r["path"], r["severity"]) for r in spark.read.parquet(out).collect()] == [("a", "BREAKING")]
+
+
+def test_proto_drift_of_empty_objects(spark, monkeypatch):
+    from driftlake.plans import proto
+
+    rows = [("s", "e", "GET", "{}"), ("t", "e", "GET", "[1]")]
+    table = spark.createDataFrame(rows, "service_id string, endpoint string, method string, body string")
+    monkeypatch.setattr(proto, "samples", lambda *_: table)
+    monkeypatch.setattr(proto, "nodes", lambda *_, **options: traffic_nodes(table, **options))
+    found = proto.proto_drift(spark, "").collect()
+    assert {r["service_id"] for r in found} == {"s"} and len(found) == 11
+    monkeypatch.setattr(proto, "TRAFFIC_PROTO", "message Order { }")
+    monkeypatch.setattr(proto, "nodes", lambda *_, **options: traffic_nodes(table.withColumn("body", F.lit('{"n":1}')), **options))
+    assert {(r["path"], r["severity"]) for r in proto.proto_drift(spark, "").collect()} == {("n", "BREAKING")}
