@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftlake.functions import deep_json
+
 # Field names whose value changes on every request, and the placeholders.
 VOLATILE_FIELDS = (
     "timestamp", "ts", "created_at", "updated_at", "traceId", "spanId", "requestId", "correlationId",
@@ -31,19 +31,15 @@ def content_hash(payload: Column) -> Column:
 def _mask_volatile(bodies: pd.Series) -> pd.Series:
     names = frozenset(VOLATILE_FIELDS)
 
-    def walk(node):
-        if isinstance(node, dict):
-            return {k: TIMESTAMP_PLACEHOLDER if k in names else walk(v) for k, v in node.items()}
-        if isinstance(node, list):
-            return [walk(v) for v in node]
-        return node
-
     def one(body):
         try:
-            root = json.loads(body)
-        except (ValueError, RecursionError):
+            root = deep_json.loads(body)
+        except ValueError:
             return body
-        return json.dumps(walk(root), separators=(",", ":"), ensure_ascii=False)
+        for node in deep_json.containers(root):
+            if isinstance(node, dict):
+                node.update(dict.fromkeys(names & node.keys(), TIMESTAMP_PLACEHOLDER))
+        return deep_json.dumps(root)
 
     return bodies.map(one, na_action="ignore")
 

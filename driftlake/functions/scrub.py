@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftlake.functions import deep_json
+
 # The redaction rules, in the order they are applied.
 TEXT_RULES = [
     ("EMAIL", r"(?i)[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"),
@@ -73,20 +74,17 @@ def scrub_json(bodies: pd.Series) -> pd.Series:
             text = pattern.sub(label, text)
         return text
 
-    def walk(node):
-        if isinstance(node, dict):
-            return {k: plain(v) if isinstance(v, str) else walk(v) for k, v in node.items()}
-        if isinstance(node, list):
-            return [plain(v) if isinstance(v, str) else walk(v) for v in node]
-        return node
-
     def one(body):
         if body is None or not body.strip():
             return body
         try:
-            root = json.loads(body)
-        except (ValueError, RecursionError):
+            root = deep_json.loads(body)
+        except ValueError:
             return plain(body)
-        return json.dumps(walk(root), separators=(",", ":"), ensure_ascii=False)
+        for node in deep_json.containers(root):
+            for k, v in node.items() if isinstance(node, dict) else enumerate(node):
+                if isinstance(v, str):
+                    node[k] = plain(v)
+        return deep_json.dumps(root)
 
     return bodies.map(one, na_action="ignore")

@@ -2,8 +2,10 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from driftlake.functions import deep_json
 from driftlake.functions import nodes as N
 from driftlake.functions.nodes import TRAFFIC_KEYS, json_nodes, traffic_nodes
 from driftlake.functions.normalize import normalize_document
@@ -119,3 +121,19 @@ def test_bad_records_do_not_end_the_job(spark):
     assert [r[0] for r in spans.select(window_seconds(F.col("w"))).collect()] == [86400, 86400, 7200]
     deep = spark.createDataFrame([("[" * 100_000 + "]" * 100_000,)], "b string")
     assert deep.select(scrub_json("b").alias("b"), normalize_document(F.col("b")).alias("n")).first().b.startswith("[[")
+
+
+def test_deep_bodies_are_scrubbed_and_masked(spark):
+    body = lambda levels: '[{"a":' * levels + '{"ts":5,"mail":"joe@example.com","n":[1.5,null,"é"]}' + "}]" * levels
+    for levels in (1_000, 2_000, 50_000):  # two levels each
+        row = spark.createDataFrame([(body(levels),)], "b string").select(scrub_json("b").alias("s"), normalize_document(F.col("b")).alias("n")).first()
+        assert row.s == body(levels).replace("joe@example.com", "[REDACTED_EMAIL]")
+        assert row.n == body(levels).replace('"ts":5', '"ts":"__NORMALIZED_TIMESTAMP__"')
+
+
+def test_deep_reader_equals_the_shallow_one():
+    for text in (' {"a" : [1, -2.5e3, {"b":{}, "c":[ ]}, "x\\u00e9\\n"], "a":true} ', "[]", "3", '"s"', "[[null,false],[]]"):
+        assert deep_json._parse(text) == json.loads(text)
+    for text in ("", "[1,]", '{"a" 1}', "[1", '{"a":1,}', "[] []", "{1:2}", "]", '{"a":1]'):
+        with pytest.raises(ValueError):
+            deep_json._parse(text)
