@@ -156,15 +156,18 @@ def doc_severity(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _paths(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return nodes.filter(F.col("path") != "").select(*keys, "path")
+
+
 def path_union(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    cols = [*keys, "path"]
-    return left.select(*cols).union(right.select(*cols)).distinct()
+    """Paths of either side; the root of a document (path ``''``) is no path of its own."""
+    return _paths(left, keys).union(_paths(right, keys)).distinct()
 
 
 def paths_missing(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Paths of ``left`` that ``right`` does not have."""
-    cols = [*keys, "path"]
-    return left.select(*cols).subtract(right.select(*cols))
+    """Paths of ``left`` that ``right`` does not have, the root left out."""
+    return _paths(left, keys).subtract(_paths(right, keys))
 
 
 def enum_drift(baseline: DataFrame, inferred: DataFrame, keys: Sequence[str]) -> DataFrame:
