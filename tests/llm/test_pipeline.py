@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -44,7 +45,7 @@ def test_stages_against_brute_force(spark):
 def test_registered(spark):
     assert "pipeline" in entry.queries() and [n for n, _ in cp.STAGES] == ["language_id", "near_duplicates", "decontaminate", "mix", "token_output"]
     assert entry.queries()["pipeline"](spark, SF).count() > 0
-    assert sorted(n.split("_")[0] for n in entry.queries() if n.startswith("op")) == sorted(f"op{i}" for i in range(1, 11))
+    assert {n.split("_")[0] for n in entry.queries() if re.match(r"op\d+_", n)} >= {f"op{i}" for i in range(1, 11)}
 
 
 def test_an_empty_table_passes_all_stages(spark):
