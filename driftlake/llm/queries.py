@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlake.llm import ann_tree, bagminhash, decontaminate, language_id, lm_mixing, role_repair, source_mixing, suffix_dedup, token_counts, token_output
+from driftlake.llm import ann_tree, bagminhash, decontaminate, language_id, lm_mixing, role_repair, source_mixing, suffix_dedup, token_counts, token_output, whitening
 from driftlake.llm.common import ready
 
 
@@ -53,5 +53,9 @@ def op10_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role_repair.repair(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_token_output, op4_ann_tree, op5_lm_mixing, op6_decontaminate, op7_bagminhash, op8_token_counts, op9_source_mixing, op10_role_repair)}
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_token_output, op4_ann_tree, op5_lm_mixing, op6_decontaminate, op7_bagminhash, op8_token_counts, op9_source_mixing, op10_role_repair, op13_whitening)}
 ORACLE = {"op9_source_mixing": source_mixing.ORACLE}
