@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlake.llm import ann_tree, bagminhash, decontaminate, language_id, lm_mixing, role_repair, source_mixing, suffix_dedup, token_counts, token_output, toxicity, whitening
+from driftlake.llm import ann_tree, bagminhash, collocations, decontaminate, language_id, lm_mixing, role_repair, source_mixing, suffix_dedup, token_counts, token_output, toxicity, whitening
 from driftlake.llm.common import ready
 
 
@@ -57,9 +57,13 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(_table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_token_output, op4_ann_tree, op5_lm_mixing, op6_decontaminate, op7_bagminhash, op8_token_counts, op9_source_mixing, op10_role_repair, op11_toxicity, op13_whitening)}
-ORACLE = {"op9_source_mixing": source_mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_token_output, op4_ann_tree, op5_lm_mixing, op6_decontaminate, op7_bagminhash, op8_token_counts, op9_source_mixing, op10_role_repair, op11_toxicity, op12_collocations, op13_whitening)}
+ORACLE = {"op9_source_mixing": source_mixing.ORACLE, "op12_collocations": collocations.ORACLE}

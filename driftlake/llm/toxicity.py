@@ -1,7 +1,8 @@
 """Toxicity of texts whose disguised words are restored first (operator 11).
 
 Texts are restored by :mod:`driftlake.llm.deobfuscate` and scored on the restored words: every word gives the 4 and 5 byte
-windows of itself between two blanks, and a text's score is the logistic function of the weights of the windows it holds.
+windows of itself between two blanks, its beginnings of 5 to 9 bytes that it goes on after (stems of longer words), and
+itself; these are called windows here. A text's score is the logistic function of the weights of the windows it holds.
 Windows are chosen by their association with the label (likelihood ratio), weights are fitted together with an L1 penalty,
 so what only comes along with a toxic word (the rest of a copied text) gets none.
 
@@ -26,13 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from driftlake.llm.common import saved, slices, texts
+from driftlake.llm.common import mixed, saved, slices, texts
 from driftlake.llm.deobfuscate import Restorer, character_model, restore_text, spread_out
 
 SAMPLE, WINDOWS = 10_000, 4096
 #: Least likelihood ratio (2 log L) and least number of texts of a window; penalty and steps of the fit.
 ASSOCIATED, SEEN, PENALTY, STEPS = 20.0, 3, 3e-4, 400
 FOLDS = 5
+STEMS, WORD = range(5, 10), 15
 
 _SEPARATES = np.zeros(256, bool)
 _SEPARATES[:128] = True
@@ -64,11 +66,33 @@ def _windows(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(fine)
         codes.append(code[at].astype(np.int64))
         places.append(np.searchsorted(starts, at, "right") - 1)
-    if not codes:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for code, place in _stems(wide, blank, starts):
+        codes.append(code)
+        places.append(place)
     return np.concatenate(codes), np.concatenate(places)
 
 
+def _stems(wide: np.ndarray, blank: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the beginnings of words that go on, and of whole words; a token may hold several words."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
+    begin, end = edge[::2], edge[1::2]
+    place = np.searchsorted(starts, begin, "right") - 1
+    length = end - begin
+    low = np.uint64((1 << 56) - 1)
+    letters = np.flatnonzero(~blank)
+    position = (letters - np.repeat(begin, length)).astype(np.uint64)
+    parts = mixed(wide[letters] | position << np.uint64(8))
+    if len(begin):
+        cut = np.cumsum(length) - length
+        yield ((np.add.reduceat(parts, cut) & low) | np.uint64(WORD << 56)).astype(np.int64), place
+    for n in STEMS:
+        on = np.flatnonzero(length > n)
+        h = np.zeros(len(on), np.uint64)
+        for i in range(n):
+            h += parts[cut[on] + i] if len(on) else h
+        yield ((h & low) | np.uint64((16 + n) << 56)).astype(np.int64), place[on]
+
+
 def _expanded(token: np.ndarray, text: np.ndarray, word: np.ndarray, value: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, value) for every value of every token of a text, each pair once; values are given per word."""
     order = np.argsort(word, kind="stable")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from driftlake.llm import deobfuscate as D
 from driftlake.llm import toxicity as T
+from driftlake.llm.common import mixed as D_mixed
 
 SF = "/root/testdata/sf0.01"
 LEET = str.maketrans({"i": "1", "o": "0", "e": "3", "a": "@", "s": "$", "t": "7"})
@@ -101,9 +102,15 @@ def test_windows_and_pairs_against_python(learnt):
             for p in "".join(c if c.isalnum() else " " for c in w).split():
                 b = b" " + p.encode() + b" "
                 want |= {(i, int.from_bytes(b[j : j + n], "big") | n << 56) for n in (4, 5) for j in range(len(b) - n + 1)}
+                want |= {(i, hashed(p.encode()[:n], 16 + n)) for n in T.STEMS if n < len(p.encode())} | {(i, hashed(p.encode(), T.WORD))}
     assert got == want
 
 
+def hashed(prefix, kind):
+    h = D_mixed(np.array([b | i << 8 for i, b in enumerate(prefix)], np.uint64)).sum(dtype=np.uint64)
+    return int(h) & ((1 << 56) - 1) | kind << 56
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([(1, None, 5, "x"), (1, "", 5, "x"), (None, "a 1d10t", 5, "x"), (4, "word " * 200_000, 5, "x")], "doc_id long, text string, score int, toxic string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
