@@ -503,20 +503,21 @@ def phrases(docs: DataFrame, least: int = LEAST, share: int = SHARE, best: int |
 ORACLE = r"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
-w AS (SELECT id, i, lang, word, lead(word) OVER o AS word2, lead(word, 2) OVER o AS word3
+w AS MATERIALIZED (SELECT id, i, lang, word, lead(word) OVER o AS word2, lead(word, 2) OVER o AS word3
   FROM (SELECT id, lang, unnest(ws) AS word, generate_subscripts(ws, 1) AS i
     FROM (SELECT lang, row_number() OVER () AS id, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p))
   WINDOW o AS (PARTITION BY id ORDER BY i)),
 g AS (SELECT lang, 1 AS k, word AS phrase FROM w
   UNION ALL SELECT lang, 2, word || ' ' || word2 FROM w WHERE word2 IS NOT NULL
   UNION ALL SELECT lang, 3, word || ' ' || word2 || ' ' || word3 FROM w WHERE word3 IS NOT NULL),
-f AS (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY ALL),
-c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
-s AS (SELECT c.lang, c.phrase, c.k, c.a, j, l.f AS l, r.f AS r, 1000000 * c.a * c.a // (l.f * r.f) AS score
-  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
-  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[:c.j], ' ')
-  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[c.j + 1:], ' ')
-  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY 1000000 * c.a * c.a // (l.f * r.f), j) = 1),
+f AS MATERIALIZED (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY ALL),
+c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
+parts AS MATERIALIZED (SELECT lang, phrase, k, a, j, array_to_string(ws[:j], ' ') AS first_part, array_to_string(ws[j + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+lefts AS MATERIALIZED (SELECT parts.*, f.f AS l FROM parts JOIN f ON f.lang = parts.lang AND f.phrase = parts.first_part),
+s AS MATERIALIZED (SELECT lefts.lang, lefts.phrase, lefts.k, a, j, l, f.f AS r, 1000000 * a * a // (l * f.f) AS score
+  FROM lefts JOIN f ON f.lang = lefts.lang AND f.phrase = lefts.rest
+  QUALIFY row_number() OVER (PARTITION BY lefts.lang, lefts.phrase ORDER BY 1000000 * a * a // (l * f.f), j) = 1),
 inner_parts AS (SELECT lang, part, max(a) AS a FROM (SELECT lang, a, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS part FROM c WHERE k = 3) GROUP BY ALL),
 kept AS (SELECT s.* FROM s LEFT JOIN inner_parts i ON i.lang = s.lang AND i.part = s.phrase WHERE i.a IS NULL OR 100 * i.a < 50 * s.a)
 SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
