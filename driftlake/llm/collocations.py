@@ -33,7 +33,7 @@ from driftlake.llm.common import raw_bytes, saved, texts
 
 LEAST, SHARE, BEST, LONGEST = 10, 50, 2000, 3
 #: Bytes of text of a shard and of a range; shards (or united shards) per union; sampled bytes for the cuts.
-SHARD_BYTES, RANGE_BYTES, FAN, SAMPLE_BYTES = 16 << 20, 12 << 20, 64, 2 << 20
+SHARD_BYTES, RANGE_BYTES, FAN, SAMPLE_BYTES = 8 << 20, 12 << 20, 64, 2 << 20
 BITS = 21
 _MASK = (1 << BITS) - 1
 
@@ -492,10 +492,18 @@ def phrases(docs: DataFrame, least: int = LEAST, share: int = SHARE, best: int |
     own = table.groupBy("range")
     answers = asked.cogroup(own).applyInArrow(_composed, _ANSWER)
     scored = answers.groupBy("range").cogroup(own).applyInArrow(lambda x, y: _scored(x, y, least, share), "lang string, phrase string, a long, l long, r long, score long")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(order).cast("long"))
+    order = F.desc("score"), F.desc("a"), F.col("phrase")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    if best is not None:
+        # the best of shares of a language first, so that the last task of it reads a bounded number of rows
+        for shares in (64, 8):
+            scored = scored.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(shares)))
+            part = Window.partitionBy("lang", "share").orderBy(*order)
+            scored = scored.withColumn("place", F.row_number().over(part)).where(F.col("place") <= best).drop("place", "share")
+    ranked = scored.withColumn("rank", rank)
     if best is not None:
         ranked = ranked.where(F.col("rank") <= best)
+    ranked = ranked.withColumn("rank", F.col("rank").cast("long"))
     totals = table.groupBy("lang").agg(F.sum("n").alias("n"))
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 

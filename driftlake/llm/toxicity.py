@@ -32,7 +32,9 @@ from driftlake.llm.deobfuscate import Restorer, character_model, restore_text, s
 
 SAMPLE, WINDOWS = 10_000, 4096
 #: Least likelihood ratio (2 log L) and least number of texts of a window; penalty and steps of the fit.
-ASSOCIATED, SEEN, PENALTY, STEPS = 20.0, 3, 3e-4, 400
+ASSOCIATED, SEEN, PENALTY, STEPS = 12.0, 3, 5e-5, 600
+#: Squared penalty of the last fit, of the windows that the first one keeps.
+RIDGE = 2e-5
 FOLDS = 5
 STEMS, WORD = range(5, 10), 15
 
@@ -193,8 +195,8 @@ def _associated(sample: DataFrame, language: np.ndarray) -> np.ndarray:
     return np.sort(best.select("code").toArrow().column("code").to_numpy())
 
 
-def _fitted(text: np.ndarray, window: np.ndarray, toxic: np.ndarray, n_windows: int) -> tuple[np.ndarray, float]:
-    """L1-penalised logistic regression on presence, by accelerated proximal gradient steps."""
+def _fitted(text: np.ndarray, window: np.ndarray, toxic: np.ndarray, n_windows: int, lasso: float, ridge: float) -> tuple[np.ndarray, float]:
+    """Penalised logistic regression on presence, by accelerated proximal gradient steps."""
     n = len(toxic)
     weights, bias = np.zeros(n_windows), float(np.log(toxic.mean() / (1 - toxic.mean())))
     ahead, ahead_bias, t = weights, bias, 1.0
@@ -202,8 +204,8 @@ def _fitted(text: np.ndarray, window: np.ndarray, toxic: np.ndarray, n_windows:
     for _ in range(STEPS):
         z = np.bincount(text, weights=ahead[window], minlength=n) + ahead_bias
         rest = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - toxic
-        now = ahead - step * np.bincount(window, weights=rest[text], minlength=n_windows) / n
-        now = np.sign(now) * np.maximum(np.abs(now) - step * PENALTY, 0)
+        now = ahead - step * (np.bincount(window, weights=rest[text], minlength=n_windows) / n + ridge * ahead)
+        now = np.sign(now) * np.maximum(np.abs(now) - step * lasso, 0)
         now_bias = ahead_bias - step * float(rest.mean())
         again = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, ahead_bias = now + (t - 1) / again * (now - weights), now_bias + (t - 1) / again * (now_bias - bias)
@@ -211,6 +213,20 @@ def _fitted(text: np.ndarray, window: np.ndarray, toxic: np.ndarray, n_windows:
     return weights, bias
 
 
+def _chosen(text: np.ndarray, window: np.ndarray, toxic: np.ndarray, n_windows: int) -> tuple[np.ndarray, float]:
+    """Windows chosen by the lasso, their weights fitted again without its shrinking."""
+    first, bias = _fitted(text, window, toxic, n_windows, PENALTY, 0.0)
+    kept = np.flatnonzero(first)
+    if not len(kept):
+        return first, bias
+    place = np.full(n_windows, -1)
+    place[kept] = np.arange(len(kept))
+    inside = place[window] >= 0
+    again, bias = _fitted(text[inside], place[window[inside]], toxic, len(kept), 0.0, RIDGE)
+    first[kept] = again
+    return first, bias
+
+
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", column: str = "text", label: str = "toxic") -> Classifier:
     language = character_model(docs, column)
     sample, totals = labelled_sample(docs, labels, doc_id, column, label)
@@ -235,7 +251,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", column: st
     held = rows.column("held").combine_chunks()
     text = np.repeat(np.arange(len(held)), np.diff(held.offsets.to_numpy()))
     toxic = rows.column("toxic").to_numpy().astype(np.float64)
-    weights, bias = _fitted(text, held.values.to_numpy().astype(np.int64), toxic, len(codes))
+    weights, bias = _chosen(text, held.values.to_numpy().astype(np.int64), toxic, len(codes))
     # the sample holds another share of toxic rows than the table
     bias += np.log(totals[1] / totals[0]) - np.log(used[1] / used[0])
     kept = weights != 0

@@ -11,7 +11,8 @@ from driftlake.llm import deobfuscate as D
 from driftlake.llm import toxicity as T
 from driftlake.llm.common import mixed as D_mixed
 
-SF = "/root/testdata/sf0.01"
+# the smaller tables hold some forty toxic rows to learn from
+SF = "/root/testdata/sf0.1"
 LEET = str.maketrans({"i": "1", "o": "0", "e": "3", "a": "@", "s": "$", "t": "7"})
 
 
@@ -47,7 +48,9 @@ def test_held_out_documents(spark, learnt):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     truth = {r.doc_id: r.toxic for r in labels.collect()}
     held = [(r.score, truth[r.doc_id]) for r in rows if r.held_out and r.doc_id in truth]
-    assert auc(*map(np.array, zip(*held))) > 0.85
+    assert auc(*map(np.array, zip(*held))) > 0.95
+    clean = [r.predicted for r in rows if r.held_out and truth.get(r.doc_id) == 0]
+    assert np.mean(clean) < 0.01
 
 
 def test_disguised_words_are_caught(spark, learnt):
