@@ -7,7 +7,7 @@ from __future__ import annotations
 from driftlake.plans.catalog import query
 from driftlake.plans.inference import KEYS, KEYS_SQL, NODES_SQL, TRAFFIC, baseline
 from driftlake.plans.registry import _correlated_sql
-from driftlake.plans.traffic import _DEDUP, coarse_hash, samples
+from driftlake.plans.traffic import _DEDUP, _DEDUP_NORMALIZED, _KEPT, payload_hashes, samples
 from driftlake.plans.views import view
 from driftlake.session import scratch_folder
 from driftlake.streaming import correlate as SC
@@ -18,25 +18,15 @@ from driftlake.streaming import late as SL
 from driftlake.streaming.replay import as_stream, plain_times, run_to_table
 
 
-@query(
-    "stream_dedup",
-    """SELECT h.sample_id, h.sampled_at, h.content_hash FROM hashed h JOIN chain c
-       ON h.content_hash = c.content_hash AND h.sampled_at = c.t""",
-    TRAFFIC, _DEDUP,
-)
+@query("stream_dedup", _KEPT, TRAFFIC, _DEDUP)
 def stream_dedup(spark, sf_dir):
-    source = as_stream(coarse_hash(spark, sf_dir), "sampled_at")
+    source = as_stream(payload_hashes(spark, sf_dir), "sampled_at")
     return plain_times(run_to_table(SD.dedup_stream(source), "stream_dedup"))
 
 
-@query(
-    "stream_dedup_batches",
-    """SELECT h.sample_id, h.sampled_at, h.content_hash FROM hashed h JOIN chain c
-       ON h.content_hash = c.content_hash AND h.sampled_at = c.t""",
-    TRAFFIC, _DEDUP,
-)
+@query("stream_dedup_batches", _KEPT, TRAFFIC, _DEDUP_NORMALIZED)
 def stream_dedup_batches(spark, sf_dir):
-    source = as_stream(coarse_hash(spark, sf_dir), "sampled_at")
+    source = as_stream(payload_hashes(spark, sf_dir, "normalized"), "sampled_at")
     out, state, checkpoint = (scratch_folder(spark, f"dedup-{n}") for n in ("out", "state", "checkpoint"))
     SD.dedup_batches(source, out, state, checkpoint).awaitTermination()
     return plain_times(spark.read.parquet(out).select("sample_id", "sampled_at", "content_hash"))

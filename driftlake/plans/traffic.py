@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftlake.functions.normalize import content_hash
 from driftlake.functions.scalars import endpoint_with_query
 from driftlake.operators import metrics as M
 from driftlake.operators import sampling as A
-from driftlake.operators.dedup import dedup
+from driftlake.operators.dedup import dedup, with_hash
 from driftlake.plans.catalog import query
 from driftlake.plans.inference import TRAFFIC
 from driftlake.plans.registry import AS_OF_SQL, as_of
@@ -214,36 +213,44 @@ def reservoir_per_endpoint(spark, sf_dir):
     return kept.select("sample_id", "endpoint", "window_start")
 
 
-_DEDUP = """hashed AS (SELECT sample_id, sampled_at, sha256(service_id) AS content_hash FROM traffic_samples),
+# Four samples in five repeat one of three payloads; the time inside differs for half of those, so only masking makes them equal.
+PAYLOAD = """CASE WHEN sample_id % 5 = 0 THEN body ELSE concat('{"order_id":"ord_1","amount":', CAST(sample_id % 3 AS STRING), ',"ts":',
+  CASE WHEN sample_id % 2 = 0 THEN '0' ELSE CAST(sample_id * 1000 AS STRING) END, '}') END"""
+_MASKED_SQL = r"""CASE WHEN json_valid(p) THEN regexp_replace(p, '"ts":\d+', '"ts":"__NORMALIZED_TIMESTAMP__"') ELSE p END"""
+
+
+def _dedup_sql(payload: str) -> str:
+    return f"""hashed AS (SELECT sample_id, sampled_at, sha256({payload}) AS content_hash FROM (SELECT *, {PAYLOAD} AS p FROM traffic_samples)),
   chain AS (SELECT content_hash, min(sampled_at) AS t FROM hashed GROUP BY ALL UNION ALL
     SELECT c.content_hash, min(h.sampled_at) FROM chain c JOIN hashed h
       ON h.content_hash = c.content_hash AND h.sampled_at >= c.t + INTERVAL 5 MINUTE GROUP BY c.content_hash, c.t)"""
 
 
-def coarse_hash(spark, sf_dir):
-    """All bodies differ in the fixture, so the hash is taken of the service alone."""
-    return samples(spark, sf_dir).select("sample_id", "sampled_at", content_hash(F.col("service_id")).alias("content_hash"))
+_DEDUP, _DEDUP_NORMALIZED = _dedup_sql("p"), _dedup_sql(_MASKED_SQL)
+_KEPT = """SELECT h.sample_id, h.sampled_at, h.content_hash FROM hashed h JOIN chain c
+       ON h.content_hash = c.content_hash AND h.sampled_at = c.t"""
 
 
-@query(
-    "dedup_5m",
-    """SELECT h.sample_id, h.sampled_at, h.content_hash FROM hashed h JOIN chain c
-       ON h.content_hash = c.content_hash AND h.sampled_at = c.t""",
-    TRAFFIC, _DEDUP,
-)
+def payload_hashes(spark, sf_dir, hash_on="raw"):
+    """Samples with the hash of their whole payload, as captured or with volatile fields masked."""
+    rows = samples(spark, sf_dir).withColumn("body", F.expr(PAYLOAD))
+    return with_hash(rows, hash_on=hash_on).select("sample_id", "sampled_at", "content_hash")
+
+
+@query("dedup_5m", _KEPT, TRAFFIC, _DEDUP)
 def dedup_5m(spark, sf_dir):
-    return dedup(coarse_hash(spark, sf_dir))
+    return dedup(payload_hashes(spark, sf_dir))
 
 
-@query(
-    "dedup_5m_busy",
-    """SELECT h.sample_id, h.sampled_at, h.content_hash FROM hashed h JOIN chain c
-       ON h.content_hash = c.content_hash AND h.sampled_at = c.t""",
-    TRAFFIC, _DEDUP,
-)
+@query("dedup_5m_normalized", _KEPT, TRAFFIC, _DEDUP_NORMALIZED)
+def dedup_5m_normalized(spark, sf_dir):
+    return dedup(payload_hashes(spark, sf_dir, "normalized"))
+
+
+@query("dedup_5m_busy", _KEPT, TRAFFIC, _DEDUP_NORMALIZED)
 def dedup_5m_busy(spark, sf_dir):
     """The same result with every key cut into segments, as busy keys are."""
-    return dedup(coarse_hash(spark, sf_dir), fold_limit=0, leaf_rows=400)
+    return dedup(payload_hashes(spark, sf_dir, "normalized"), fold_limit=0, leaf_rows=400)
 
 
 # -- metrics -----------------------------------------------------------------------------------
