@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
-
+from driftlake.operators import metrics as M
 from driftlake.plans.catalog import query
 from driftlake.plans.inference import KEYS, KEYS_SQL, NODES_SQL, TRAFFIC, baseline
 from driftlake.plans.registry import _correlated_sql
-from driftlake.plans.traffic import _DEDUP, _DEDUP_NORMALIZED, _KEPT, payload_hashes, samples
+from driftlake.plans.traffic import _DEDUP, _DEDUP_NORMALIZED, _KEPT, _ENVELOPE_SQL, _SECONDS, grouped_alerts, payload_hashes, raw_records, samples
 from driftlake.plans.views import view
 from driftlake.session import scratch_folder
+from driftlake.sources import record_dump as RD
+from driftlake.sources.traffic import decode_envelope, header_map
+from driftlake.streaming import alerts as SA
 from driftlake.streaming import correlate as SC
 from driftlake.streaming import dedup as SD
 from driftlake.streaming import feeds
@@ -18,6 +22,18 @@ from driftlake.streaming import late as SL
 from driftlake.streaming.replay import as_stream, plain_times, run_to_table
 
 
+@query("src_record_stream", _ENVELOPE_SQL)
+def src_record_stream(spark, sf_dir):
+    """A dump of a topic in four partitions, read as a stream of records and decoded with the consumer's fallbacks."""
+    header = "transform(map_entries(map_concat(headers, map('event_id', CAST(event_id AS STRING)))), e -> struct(e.key AS key, encode(e.value, 'UTF-8') AS value))"
+    records = raw_records(spark, sf_dir).select("event_id", F.col("ts").cast("timestamp").alias("timestamp"), "key", "value", F.expr(header).alias("headers"))
+    dump = scratch_folder(spark, "dump")
+    RD.write_dump(records, dump, 4, ["timestamp", "event_id"])
+    named = RD.stream_dump(spark, dump, recordsPerTask="50000").withColumn("headers", header_map(F.col("headers")))
+    named = named.withColumn("event_id", F.col("headers")["event_id"].cast("bigint"))
+    return run_to_table(decode_envelope(named, keep=["event_id"]), "record_stream")
+
+
 @query("stream_dedup", _KEPT, TRAFFIC, _DEDUP)
 def stream_dedup(spark, sf_dir):
     source = as_stream(payload_hashes(spark, sf_dir), "sampled_at")
@@ -99,6 +115,39 @@ def stream_recent(spark, sf_dir):
     return plain_times(latest[-1])
 
 
+@query(
+    "stream_alert_groups",
+    """SELECT service_id, alert_severity, notified_at, n_new FROM sent
+       WHERE notified_at < (SELECT date_trunc('millisecond', max(detected_at)) FROM violations) - INTERVAL 10 MINUTE""",
+    ("violations",), _SECONDS,
+)
+def stream_alert_groups(spark, sf_dir):
+    """The notifications that are due when the watermark has passed them; timers send them."""
+    source = as_stream(grouped_alerts(spark, sf_dir), "detected_at")
+    return plain_times(run_to_table(SA.notification_stream(source, ["service_id", "alert_severity"], "detected_at"), "alert_groups"))
+
+
+@query(
+    "stream_alert_sustained",
+    """SELECT endpoint, min(w) AS started_at, max(w) AS last_at, CAST(epoch(max(w)) - epoch(min(w)) AS BIGINT) AS held_seconds
+       FROM (SELECT *, sum(new) OVER (PARTITION BY endpoint ORDER BY w) AS island FROM (
+         SELECT *, CASE WHEN hit IS DISTINCT FROM lag(hit) OVER (PARTITION BY endpoint ORDER BY w) THEN 1 ELSE 0 END AS new FROM series))
+       WHERE hit AND w < (SELECT max(w) FROM series) - INTERVAL 10 MINUTE GROUP BY endpoint, island HAVING epoch(max(w)) - epoch(min(w)) >= 7200""",
+    TRAFFIC,
+    """series AS (SELECT endpoint, time_bucket(INTERVAL 1 HOUR, sampled_at) AS w, quantile_cont(duration_ms, 0.95) > 450 AS hit
+         FROM traffic_samples GROUP BY ALL)""",
+)
+def stream_alert_sustained(spark, sf_dir):
+    """The latency rule on a stream of hourly evaluations: the stretches that its alerts tell of."""
+    series = M.latency_quantiles(samples(spark, sf_dir), window="1 hour").select("endpoint", "window_start", (F.col("p95") > 450).alias("hit"))
+    raised = SA.sustained_stream(as_stream(series, "window_start"), ["endpoint"], "window_start", "hit", 7200)
+    told = plain_times(run_to_table(raised, "alert_sustained"))
+    stretches = told.groupBy("endpoint", "started_at").agg(F.max("last_at").alias("last_at"))
+    held = F.unix_seconds(F.col("last_at").cast("timestamp")) - F.unix_seconds(F.col("started_at").cast("timestamp"))
+    # an alert that a timer raised may have ended with the evaluation before it
+    return stretches.withColumn("held_seconds", held).where(F.col("held_seconds") >= 7200)
+
+
 @query("stream_late_rows")
 def stream_late(spark, sf_dir):
     """Samples that arrive out of order: the late ones, from the side table."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftlake.functions.scalars import endpoint_with_query
 from driftlake.operators import metrics as M
+from driftlake.operators import notify as N
 from driftlake.operators import sampling as A
 from driftlake.operators.dedup import dedup, with_hash
 from driftlake.plans.catalog import query
@@ -13,6 +14,7 @@ from driftlake.plans.inference import TRAFFIC
 from driftlake.plans.registry import AS_OF_SQL, as_of
 from driftlake.plans.views import base, view
 from driftlake.session import scratch_folder
+from driftlake.sources import avro_wire as A2
 from driftlake.sources import sinks as K
 from driftlake.sources import traffic as T
 from driftlake.streaming.late import late_by_batch
@@ -25,24 +27,28 @@ def samples(spark, sf_dir):
 # -- sources and sinks -------------------------------------------------------------------------
 
 
-@query(
-    "envelope_defaults",
-    """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('svc-', CAST(user_id % 10 AS STRING))
+_ENVELOPE_SQL = """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('svc-', CAST(user_id % 10 AS STRING))
          WHEN event_id % 3 = 0 THEN concat('key-', CAST(event_id AS STRING)) ELSE 'unknown' END AS service_id,
        CASE WHEN event_id % 5 = 0 THEN '/unknown' ELSE concat('/api/', event_type) END AS endpoint,
        CASE WHEN event_id % 7 = 0 THEN 'GET' ELSE 'POST' END AS method,
-       CASE WHEN event_id % 11 = 0 THEN '{}' ELSE props END AS payload FROM events""",
-)
+       CASE WHEN event_id % 11 = 0 THEN '{}' ELSE props END AS payload FROM events"""
+
+
+@query("envelope_defaults", _ENVELOPE_SQL)
 def envelope_defaults(spark, sf_dir):
-    records = base(spark, sf_dir, "events").selectExpr(
-        "event_id",
+    return T.decode_envelope(raw_records(spark, sf_dir), keep=["event_id"])
+
+
+def raw_records(spark, sf_dir):
+    """Raw records with a map of headers; some lack headers, key or value."""
+    return base(spark, sf_dir, "events").selectExpr(
+        "event_id", "ts",
         """map_filter(map('service_id', CASE WHEN event_id % 2 = 0 THEN concat('svc-', user_id % 10) END,
              'endpoint', CASE WHEN event_id % 5 <> 0 THEN concat('/api/', event_type) END,
              'method', CASE WHEN event_id % 7 <> 0 THEN 'POST' END), (k, v) -> v IS NOT NULL) AS headers""",
         "CASE WHEN event_id % 3 = 0 THEN encode(concat('key-', event_id), 'UTF-8') END AS key",
         "CASE WHEN event_id % 11 <> 0 THEN encode(props, 'UTF-8') END AS value",
     )
-    return T.decode_envelope(records, keep=["event_id"])
 
 
 @query(
@@ -62,6 +68,37 @@ def src_traffic(spark, sf_dir):
     return T.decode_wire(wire)
 
 
+_WIRE_SQL = """SELECT service_id, endpoint, method, CASE WHEN sample_id % 3 = 0 THEN '' ELSE endpoint END AS request_schema_sample,
+       '' AS response_schema_sample, status_code, date_trunc('millisecond', sampled_at) AS captured_at,
+       date_trunc('millisecond', sampled_at) + INTERVAL 1 SECOND AS sampled_at FROM traffic_samples"""
+
+
+def _avro_records(spark, sf_dir):
+    """Avro records behind a schema number; each nineteenth is cut off, each twenty-third has bytes left over."""
+    rows = samples(spark, sf_dir).selectExpr(
+        "sample_id", "service_id", "endpoint", "method", "CASE WHEN sample_id % 3 <> 0 THEN endpoint END AS request_schema_sample",
+        "CAST(NULL AS STRING) AS response_schema_sample", "status_code", "unix_millis(CAST(sampled_at AS TIMESTAMP)) AS ts",
+        "unix_millis(CAST(sampled_at AS TIMESTAMP)) + 1000 AS sampled_at",
+    )
+    records = A2.encode_avro(rows, ["sample_id"], schema_number=7)
+    return records.withColumn("value", F.expr("CASE WHEN sample_id % 19 = 0 THEN substring(value, 1, 12) WHEN sample_id % 23 = 0 THEN concat(value, X'01') ELSE value END"))
+
+
+@query("src_traffic_avro", f"{_WIRE_SQL} WHERE sample_id % 19 <> 0 AND sample_id % 23 <> 0", TRAFFIC)
+def src_traffic_avro(spark, sf_dir):
+    return A2.decode_avro(_avro_records(spark, sf_dir), framed=True)[0]
+
+
+@query(
+    "rejected_avro",
+    """SELECT sample_id, CASE WHEN sample_id % 19 = 0 THEN 'endpoint is cut off' ELSE 'bytes left over' END AS error
+       FROM traffic_samples WHERE sample_id % 19 = 0 OR sample_id % 23 = 0""",
+    TRAFFIC,
+)
+def rejected_avro(spark, sf_dir):
+    return A2.decode_avro(_avro_records(spark, sf_dir), keep=["sample_id"], framed=True)[1].drop("value")
+
+
 @query(
     "src_ndjson",
     """SELECT date_trunc('second', sampled_at) AS sampled_at, service_id AS source, consumer_id AS destination, method, endpoint AS path,
@@ -360,6 +397,36 @@ def alert_throttle(spark, sf_dir):
     return sent.select("violation_id", "service_id", "detected_at", "alert_severity", "receiver", "repeat_seconds")
 
 
+_SECONDS = """seconds AS (SELECT service_id, alert_severity, CAST(floor(epoch(detected_at)) AS BIGINT) AS t, count(*) AS n,
+    CASE alert_severity WHEN 'P1' THEN 3600 ELSE 14400 END AS rep FROM ({alerts}) GROUP BY ALL),
+  chain AS (SELECT service_id, alert_severity, min(t) + 30 AS f FROM seconds GROUP BY ALL UNION ALL
+    SELECT service_id, alert_severity, f FROM (
+      SELECT service_id, alert_severity, CASE WHEN least(CASE WHEN fresh <= closing THEN fresh END, CASE WHEN rep // 300 < closing THEN rep // 300 END) IS NOT NULL
+          THEN f + 300 * least(CASE WHEN fresh <= closing THEN fresh END, CASE WHEN rep // 300 < closing THEN rep // 300 END) ELSE upcoming + 30 END AS f
+      FROM (SELECT *, greatest(1, (l + 7200 - f + 299) // 300) AS closing, (upcoming - f + 299) // 300 AS fresh FROM (
+        SELECT c.service_id, c.alert_severity, c.f, any_value(s.rep) AS rep, max(s.t) FILTER (s.t <= c.f) AS l, min(s.t) FILTER (s.t > c.f) AS upcoming
+        FROM chain c JOIN seconds s ON s.service_id = c.service_id AND s.alert_severity = c.alert_severity GROUP BY c.service_id, c.alert_severity, c.f)))
+    WHERE f IS NOT NULL),
+  spans AS (SELECT *, coalesce(lag(f) OVER (PARTITION BY service_id, alert_severity ORDER BY f), -1) AS b FROM chain),
+  sent AS (SELECT s.service_id, s.alert_severity, CASE s.alert_severity WHEN 'P2' THEN 'slack-warning' ELSE 'slack-critical' END AS receiver,
+      CAST(to_timestamp(s.f) AT TIME ZONE 'UTC' AS TIMESTAMP) AS notified_at, CAST(coalesce(sum(x.n), 0) AS BIGINT) AS n_new
+    FROM spans s LEFT JOIN seconds x ON x.service_id = s.service_id AND x.alert_severity = s.alert_severity AND x.t > s.b AND x.t <= s.f
+    GROUP BY s.service_id, s.alert_severity, s.f)""".replace("{alerts}", _ALERTS)
+
+
+def grouped_alerts(spark, sf_dir):
+    level = F.when(F.col("severity") == "BREAKING", "P1").when(F.col("severity") == "WARNING", "P2").otherwise("P3")
+    return view(spark, sf_dir, "violations").select("service_id", "detected_at", level.alias("alert_severity"))
+
+
+@query("alert_groups", "SELECT * FROM sent", ("violations",), _SECONDS)
+def alert_groups(spark, sf_dir):
+    """Notifications per service and severity: after 30 s, then every 5 minutes, repeated while an alert fires."""
+    routed = M.route_alerts(grouped_alerts(spark, sf_dir), M.route_table(spark))
+    sent = N.notifications(routed, ["service_id", "alert_severity", "receiver"], "detected_at")
+    return sent.select("service_id", "alert_severity", "receiver", "notified_at", "n_new")
+
+
 @query(
     "late_rows",
     """SELECT sample_id, sampled_at, b.batch FROM arrivals a JOIN (

@@ -57,7 +57,7 @@ def header_map(headers: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def _from_millis(column: str) -> Column:
+def from_millis(column: str) -> Column:
     """Epoch milliseconds as a time; null outside the years 1 to 9999."""
     inside = F.col(column).between(-62135596800000, 253402300799999)
     return F.when(inside, from_micros(F.try_multiply(F.when(inside, F.col(column)), F.lit(1000))))
@@ -71,8 +71,8 @@ def decode_wire(lines: DataFrame, value: str = "value") -> DataFrame:
         F.coalesce("r.request_schema_sample", F.lit("")).alias("request_schema_sample"),
         F.coalesce("r.response_schema_sample", F.lit("")).alias("response_schema_sample"),
         "r.status_code",
-        _from_millis("r.timestamp").alias("captured_at"),
-        _from_millis("r.sampled_at").alias("sampled_at"),
+        from_millis("r.timestamp").alias("captured_at"),
+        from_millis("r.sampled_at").alias("sampled_at"),
     )
 
 
