@@ -33,7 +33,7 @@ from driftlake.llm.common import raw_bytes, saved, texts
 
 LEAST, SHARE, BEST, LONGEST = 10, 50, 2000, 3
 #: Bytes of text of a shard and of a range; shards (or united shards) per union; sampled bytes for the cuts.
-SHARD_BYTES, RANGE_BYTES, FAN, SAMPLE_BYTES = 8 << 20, 12 << 20, 64, 2 << 20
+SHARD_BYTES, RANGE_BYTES, FAN, SAMPLE_BYTES = 8 << 20, 12 << 20, 256, 2 << 20
 BITS = 21
 _MASK = (1 << BITS) - 1
 
