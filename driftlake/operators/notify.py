@@ -9,6 +9,7 @@ closes the group; the next alert opens it anew. Times are whole seconds.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -57,18 +58,19 @@ def notifications(
     # the pause before a second is looked for inside buckets, and between the ends of the buckets of a group
     bucket = F.floor(F.col("t") / 86400)
     inside = Window.partitionBy(*keys, "bucket").orderBy("t")
-    days = seconds.groupBy(*keys, bucket.alias("bucket")).agg(F.min("t").alias("first"), F.max("t").alias("end"))
     order = Window.partitionBy(*keys).orderBy("bucket")
     pause = firing + 2 * interval
-    marked = seconds.withColumn("bucket", bucket)
-    marked = marked.withColumn("opens", (F.col("t") - F.lag("t").over(inside) > pause).cast("int"))
-    opened = marked.groupBy(*keys, "bucket").agg(F.sum(F.coalesce("opens", F.lit(0))).alias("inner_opens"))
-    days = days.join(opened, [*keys, "bucket"]).withColumn("head", F.coalesce((F.col("first") - F.lag("end").over(order) > pause).cast("int"), F.lit(1)))
+    opens = F.coalesce((F.col("t") - F.lag("t").over(inside) > pause).cast("int"), F.lit(0))
+    marked = seconds.withColumn("bucket", bucket).withColumn("opens", opens)
+    days = marked.groupBy(*keys, "bucket").agg(F.min("t").alias("first"), F.max("t").alias("end"), F.sum("opens").alias("inner_opens"))
+    days = days.withColumn("head", F.coalesce((F.col("first") - F.lag("end").over(order) > pause).cast("int"), F.lit(1)))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("stretch", F.coalesce(F.sum(F.col("head") + F.col("inner_opens")).over(before), F.lit(0)) + F.col("head"))
+    days = days.withColumn("base", F.coalesce(F.sum(F.col("head") + F.col("inner_opens")).over(before), F.lit(0)) + F.col("head"))
+    # groups may have null keys
+    same = reduce(lambda x, y: x & y, [F.col(f"m.{k}").eqNullSafe(F.col(f"d.{k}")) for k in [*keys, "bucket"]])
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    placed = marked.join(days.select(*keys, "bucket", "stretch"), [*keys, "bucket"])
-    placed = placed.withColumn("stretch", F.col("stretch") + F.sum(F.coalesce("opens", F.lit(0))).over(upto))
+    placed = marked.withColumn("opened", F.sum("opens").over(upto)).alias("m").join(days.select(*keys, "bucket", "base").alias("d"), same)
+    placed = placed.select("m.*", (F.col("base") + F.col("opened")).alias("stretch"))
 
     def send(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t")

@@ -10,6 +10,7 @@ from driftlake.operators import contracts as C
 from driftlake.operators import correlate as R
 from driftlake.operators import gate as G
 from driftlake.operators import metrics as M
+from driftlake.operators import registry_drift as RD
 from driftlake.plans.catalog import query
 from driftlake.plans.views import base, view
 from driftlake.sources.policies import policy_table
@@ -64,6 +65,46 @@ def contract_pairs(spark, sf_dir):
     return C.pairs(contracts(spark, sf_dir))
 
 
+# A document per contract: a is an integer or a number, b comes and goes, and is required in some; each 17th is cut off.
+_DOCUMENT = """CASE WHEN {n} % 17 = 0 THEN '{"properties":' ELSE concat('{"type":"object","required":["a"', CASE WHEN {n} % 7 < 3 THEN ',"b"' ELSE '' END,
+  '],"properties":{"a":{"type":"', CASE WHEN {n} % 2 = 0 THEN 'integer' ELSE 'number' END, '"}', CASE WHEN {n} % 5 > 1 THEN ',"b":{"type":"string"}' ELSE '' END, '}}') END"""
+_PAIRS_SQL = """pairs AS (SELECT provider_id, consumer_id, endpoint,
+    arg_max(id, (version, id)) FILTER (source <> 'inferred') AS baseline_id, arg_max(id, (version, id)) FILTER (source = 'inferred') AS inferred_id
+    FROM contracts WHERE status = 'active' GROUP BY ALL HAVING baseline_id IS NOT NULL AND inferred_id IS NOT NULL),
+  numbered AS (SELECT *, CAST(substr(baseline_id, 5) AS BIGINT) AS n, CAST(substr(inferred_id, 5) AS BIGINT) AS m FROM pairs),
+  verdicts AS (SELECT provider_id, consumer_id, endpoint, baseline_id, inferred_id, 'a' AS path,
+      CASE WHEN n % 2 = 0 AND m % 2 = 1 THEN 'ADDITIVE' WHEN n % 2 = 1 AND m % 2 = 0 THEN 'BREAKING' END AS severity
+      FROM numbered WHERE n % 17 <> 0 AND m % 17 <> 0 UNION ALL
+    SELECT provider_id, consumer_id, endpoint, baseline_id, inferred_id, 'b',
+      CASE WHEN n % 5 > 1 AND m % 5 <= 1 THEN CASE WHEN n % 7 < 3 THEN 'BREAKING' ELSE 'WARNING' END
+           WHEN n % 5 <= 1 AND m % 5 > 1 THEN CASE WHEN m % 7 < 3 THEN 'BREAKING' ELSE 'ADDITIVE' END
+           WHEN n % 5 > 1 AND n % 7 < 3 AND m % 7 >= 3 THEN 'BREAKING' END
+      FROM numbered WHERE n % 17 <> 0 AND m % 17 <> 0)"""
+_DRIFT_SQL = "SELECT * FROM verdicts WHERE severity IS NOT NULL"
+
+
+def documents(spark, sf_dir) -> DataFrame:
+    number = "CAST(substring(id, 5) AS BIGINT)"
+    return contracts(spark, sf_dir).withColumn("schema_json", F.expr(_DOCUMENT.replace("{n}", number)))
+
+
+@query("registry_drift", _DRIFT_SQL, ("contracts",), _PAIRS_SQL)
+def registry_drift(spark, sf_dir):
+    """Latest declared document of every key against its latest inferred one."""
+    return RD.evaluate(RD.document_pairs(documents(spark, sf_dir)))[0].drop("description")
+
+
+@query(
+    "registry_rejects",
+    """SELECT provider_id, consumer_id, endpoint, baseline_id, inferred_id, 'baseline' AS side, baseline_id AS contract_id FROM numbered WHERE n % 17 = 0
+       UNION ALL SELECT provider_id, consumer_id, endpoint, baseline_id, inferred_id, 'inferred', inferred_id FROM numbered WHERE m % 17 = 0""",
+    ("contracts",), _PAIRS_SQL,
+)
+def registry_rejects(spark, sf_dir):
+    """Pairs with a document that cannot be read; the others are evaluated all the same."""
+    return RD.evaluate(RD.document_pairs(documents(spark, sf_dir)))[1]
+
+
 @query(
     "contract_import",
     """SELECT c.id, c.provider_id, c.consumer_id, c.endpoint, c.version, c.source,

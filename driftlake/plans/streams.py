@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from driftlake.operators import metrics as M
 from driftlake.plans.catalog import query
 from driftlake.plans.inference import KEYS, KEYS_SQL, NODES_SQL, TRAFFIC, baseline
-from driftlake.plans.registry import _correlated_sql
+from driftlake.plans.registry import _DRIFT_SQL, _PAIRS_SQL, _correlated_sql, documents
 from driftlake.plans.traffic import _DEDUP, _DEDUP_NORMALIZED, _KEPT, _ENVELOPE_SQL, _SECONDS, grouped_alerts, payload_hashes, raw_records, samples
 from driftlake.plans.views import view
 from driftlake.session import scratch_folder
@@ -19,6 +19,7 @@ from driftlake.streaming import dedup as SD
 from driftlake.streaming import feeds
 from driftlake.streaming import inference as SI
 from driftlake.streaming import late as SL
+from driftlake.streaming import registry as SR
 from driftlake.streaming.replay import as_stream, plain_times, run_to_table
 
 
@@ -88,6 +89,19 @@ def stream_drift(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@query("stream_registry_drift", _DRIFT_SQL, ("contracts",), _PAIRS_SQL)
+def stream_registry_drift(spark, sf_dir):
+    """Cycles over contracts that change in four batches: each is active when it comes, later ones take its place or archive it."""
+    number = F.expr("CAST(substring(id, 5) AS BIGINT)")
+    final = documents(spark, sf_dir).withColumn("changed_at", number + 1_000_000_000)
+    early = final.where("id LIKE '%5'").withColumns({"status": F.lit("active"), "changed_at": number})
+    source = as_stream(early.unionByName(final), "changed_at")
+    folder, checkpoint = scratch_folder(spark, "registry"), scratch_folder(spark, "registry-checkpoint")
+    job = SR.drift_cycles(source, folder, checkpoint, trigger={"availableNow": True})
+    job.awaitTermination()
+    return SR.current(spark, folder, job.lastProgress["batchId"], "violations").drop("description")
+
+
 @query(
     "correlate_stream",
     """SELECT violation_id, severity, service_id, detected_at, deployed_at, deployment_id, version_sha FROM correlated
