@@ -6,9 +6,13 @@ cover what one would miss. Hashes of all test stretches are joined with the hash
 hit, test item and document are laid on each other word by word, and they overlap if in some ``OVERLAP`` words in a row
 (or the whole of a shorter item) at least ``SIMILAR`` of them are equal. The masks find every such overlap.
 
-The test set is looked up in blocks of a bounded number of hashes (``BLOCK_HASHES``, 8 bytes each): each block is sent
-to the tasks and one pass over the documents is made per block, so neither memory nor a shuffle grows with the product.
-Documents are not moved at all; hits are verified where the text is.
+Test seeds are a table of hashes. Documents send the seeds that a bit table of the test hashes lets through (at most
+``FILTER_BITS`` bits, so it is bounded and may only let more through), both are joined by hash, and the distinct
+(text, item, diagonal) of the hits are verified beside the text, once for equal texts. Nothing of the benchmark but the
+bit table and the lengths of short items passes through the driver, and texts without hits stay where they are.
+
+``find_overlaps`` reports overlaps with items of any length. ``drop_contaminated`` drops a document only for an overlap of at
+least ``LEAST_EQUAL`` equal words: a word or a short phrase is no passage of a test.
 
 Items of fewer words than the longest mask are also looked up whole, under all masks that ignore
 as many words as may differ. Empty items and documents
@@ -18,7 +22,6 @@ Empty tables give no rows. Other columns are passed over.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlake.llm.common import hash64, mixed, ready, slices, texts, words
+from driftlake.llm.common import hash64, mixed, ready, saved, slices, texts, words
 
 #: Seen (1) and ignored (0) positions: together they find any 13 words with 2 substitutions, 15 with 3 or 20 with 4.
 MASKS = ("1101111", "111010011", "1100011011", "10110001011")
@@ -35,8 +38,10 @@ MASKS = ("1101111", "111010011", "1100011011", "10110001011")
 OVERLAP, SIMILAR = 13, 0.8
 #: Score of an unequal word in the stretch that is reported; an equal one counts 1.
 UNEQUAL = -3
-#: Test hashes looked up in one pass over the documents.
-BLOCK_HASHES = 2_000_000
+#: Equal words of an overlap for which a document is dropped.
+LEAST_EQUAL = 8
+#: Size of the bit table of test hashes, as a power of two: the least and the most.
+LEAST_BITS, FILTER_BITS = 16, 27
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SPREAD = np.array([hash64(f"position {i}".encode()) | 1 for i in range(64)], np.uint64)
@@ -72,43 +77,11 @@ def _whole(n: int) -> list[tuple[np.ndarray, int]]:
     return [(np.delete(np.arange(n), gone), n) for gone in combinations(range(n), int(n - SIMILAR * n + 1e-9))]
 
 
-class _Block:
-    """One block of test items as sorted seed hashes."""
-
-    def __init__(self, ids: list, values: list[str | None]):
-        flat, first = _coded(pa.array([v or "" for v in values], pa.string()))
-        self.ids, self.items = ids, [flat[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        hashes, item, at = [], [], []
-        self.spans: set[int] = set()
-        for i, tokens in enumerate(self.items):
-            short = 0 < len(tokens) < _SHORTEST
-            if short:
-                self.spans.add(len(tokens))
-            for seen, span in _SEED + (_whole(len(tokens)) if short else []):
-                h = _seeds(tokens, seen, span)
-                hashes.append(h)
-                item.append(np.full(len(h), i))
-                at.append(np.arange(len(h)))
-        joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, item, at)]
-        order = np.argsort(joined[0], kind="stable")
-        self.hashes = joined[0][order].astype(np.uint64)
-        self.item, self.at = (x[order].astype(np.int32) for x in joined[1:])
-        # most seeds of clean documents end at a bit of this filter
-        self.low = np.uint64((1 << min(24, (16 * len(order)).bit_length())) - 1)
-        self.filter = np.zeros(int(self.low) + 1, bool)
-        self.filter[(self.hashes & self.low).astype(np.int64)] = True
-
-    def hits(self, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(position in tokens, item, position in item) of equal seeds."""
-        for seen, span in _SEED + [x for n in sorted(self.spans) for x in _whole(n)]:
-            h = _seeds(tokens, seen, span)
-            near = np.flatnonzero(self.filter[(h & self.low).astype(np.int64)])
-            left = np.searchsorted(self.hashes, h[near], "left")
-            count = np.searchsorted(self.hashes, h[near], "right") - left
-            if count.sum():
-                own = np.repeat(np.arange(len(near)), count)
-                row = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + left[own]
-                yield near[own], self.item[row], self.at[row]
+def _item_seeds(tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(seed hashes, positions) of a test item under each mask."""
+    for seen, span in _SEED + (_whole(len(tokens)) if 0 < len(tokens) < _SHORTEST else []):
+        h = _seeds(tokens, seen, span)
+        yield h, np.arange(len(h))
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int]:
@@ -120,45 +93,128 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return begin, end
 
 
-def _overlaps(block: _Block, tokens: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
-    """(text, item, begin in text, begin in item, words, equal words), the best for each text and item."""
-    found: dict[tuple[int, int], tuple] = {}
-    tried = set()
-    for at, item, place in block.hits(tokens):
-        owner = np.searchsorted(first, at, "right") - 1
-        for o, i, shift in set(zip(owner.tolist(), item.tolist(), (at - place).tolist(), strict=True)):
-            if (o, i, shift) in tried:
-                continue
-            tried.add((o, i, shift))
-            own = block.items[i]
-            a, b = max(shift, int(first[o])), min(shift + len(own), int(first[o + 1]))
-            if a >= b:
-                continue
-            equal = tokens[a:b] == own[a - shift : b - shift]
-            m = min(OVERLAP, len(own))
-            if len(equal) < m:
-                continue
-            total = np.concatenate([[0], np.cumsum(equal)])
-            windows = total[m:] - total[:-m]
-            good = windows.max() >= SIMILAR * m
-            x, y = best_stretch(equal)
-            if y - x < m:
-                x = int(np.argmax(windows))
-                y = x + m
-            n, same = y - x, int(total[y] - total[x])
-            if good and ((o, i) not in found or (same, n) > found[o, i][3:1:-1]):
-                found[o, i] = (a + x - int(first[o]), a + x - shift, n, same)
-    return [(o, i, *v) for (o, i), v in found.items()]
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[_Block]:
-    """The test items in blocks of about ``BLOCK_HASHES`` seeds, each read for itself."""
-    seeds = benchmark.select(F.sum(F.length("text") / 2.0)).first()[0] or 0
-    n = max(1, math.ceil(seeds * len(MASKS) / BLOCK_HASHES))
-    for k in range(n):
-        rows = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        if rows:
-            yield _Block([r[0] for r in rows], [r[1] for r in rows])
+def _overlap(tokens: np.ndarray, item: np.ndarray, shifts: np.ndarray) -> tuple[int, int, int, int] | None:
+    """(begin in the text, begin in the item, words, equal words) of the best overlap on the given diagonals."""
+    best = None
+    for shift in shifts.tolist():
+        a, b = max(shift, 0), min(shift + len(item), len(tokens))
+        if a >= b:
+            continue
+        equal = tokens[a:b] == item[a - shift : b - shift]
+        m = min(OVERLAP, len(item))
+        if len(equal) < m:
+            continue
+        total = np.concatenate([[0], np.cumsum(equal)])
+        windows = total[m:] - total[:-m]
+        if windows.max() < SIMILAR * m:
+            continue
+        x, y = best_stretch(equal)
+        if y - x < m:
+            x = int(np.argmax(windows))
+            y = x + m
+        found = (a + x, a + x - shift, y - x, int(total[y] - total[x]))
+        if best is None or (found[3], found[2]) > (best[3], best[2]):
+            best = found
+    return best
+
+
+def _seed_table(items: DataFrame) -> DataFrame:
+    """h, item, at: every seed of every test item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            flat, first = _coded(texts(part))
+            for i, name in enumerate(part.column("item").to_pylist()):
+                for h, at in _item_seeds(flat[first[i] : first[i + 1]]):
+                    if len(h):
+                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([name] * len(h)), pa.array(at)], ["h", "item", "at"])
+
+    return items.select("item", "text").mapInArrow(run, "h long, item long, at long").distinct()
+
+
+def _short_spans(items: DataFrame) -> list[int]:
+    """The lengths of items that are shorter than the longest mask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for part in slices(batches):
+            sizes = np.diff(_coded(texts(part))[1])
+            seen |= set(sizes[(sizes > 0) & (sizes < _SHORTEST)].tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.int64())], ["n"])
+
+    return sorted(r.n for r in items.select("text").mapInArrow(run, "n long").distinct().collect())
+
+
+def _bit_table(seeds: DataFrame) -> np.ndarray:
+    """Bits of the seeds' low ends; about one in sixteen is set until the table has its full size."""
+    bits = min(FILTER_BITS, max(LEAST_BITS, (16 * seeds.count()).bit_length()))
+    low = (1 << bits) - 1
+    words = seeds.selectExpr(f"shiftright(h & {low}L, 5) AS w", "shiftleft(1L, CAST(h & 31L AS INT)) AS b")
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(1 << (bits - 5), np.uint32)
+    table[rows.column("w").to_numpy()] = rows.column("b").to_numpy().astype(np.uint32)
+    return table
+
+
+def _hits(docs: DataFrame, table: np.ndarray, spans: list[int]) -> DataFrame:
+    """h, text_key, at: seeds of documents that may be seeds of a test item."""
+    mask = np.uint64(32 * len(table) - 1)
+    masks = _SEED + [x for n in spans for x in _whole(n)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            flat, first = _coded(texts(part))
+            owner_end = first[1:]
+            for seen, span in masks:
+                h = _seeds(flat, seen, span)
+                slot = h & mask
+                near = np.flatnonzero((table[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
+                owner = np.searchsorted(owner_end, near, "right")
+                # a stretch that runs over the end of its text is none
+                inside = near + span <= owner_end[owner] if len(near) else np.zeros(0, bool)
+                near, owner = near[inside], owner[inside]
+                if len(near):
+                    yield pa.RecordBatch.from_arrays([pa.array(h[near].view(np.int64)), part.column("text_key").take(pa.array(owner)), pa.array(near - first[owner])], ["h", "text_key", "at"])
+
+    return docs.select("text_key", "text").mapInArrow(run, "h long, text_key string, at long")
+
+
+_FOUND = "text_key string, item long, doc_word long, item_word long, n_words long, n_equal long"
+
+
+def _verified(key, texts_, candidates):
+    """The best overlap of one text with each of its candidate items."""
+    out = []
+    if texts_.num_rows and candidates.num_rows:
+        tokens, _ = _coded(texts_.column("text").slice(0, 1).combine_chunks())
+        order = candidates.sort_by([("item", "ascending"), ("shift", "ascending")])
+        item, shift = order.column("item").to_numpy(), order.column("shift").to_numpy()
+        cuts = np.flatnonzero(np.diff(item)) + 1
+        for low, high in zip([0, *cuts], [*cuts, len(item)], strict=True):
+            own, _ = _coded(pa.array([order.column("item_text")[int(low)].as_py() or ""], pa.string()))
+            found = _overlap(tokens, own, shift[low:high])
+            if found:
+                out.append((key[0].as_py(), int(item[low]), *found))
+    columns = list(zip(*out, strict=True)) or [[] for _ in range(6)]
+    return pa.table([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(columns)], names=["text_key", "item", "doc_word", "item_word", "n_words", "n_equal"])
+
+
+def _overlapping_texts(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(overlaps by key of the text and number of the item, numbered items); ``docs`` has text_key and text."""
+    ready(docs.sparkSession)
+    items = saved(benchmark.select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), "items")
+    seeds = saved(_seed_table(items), "seeds")
+    hits = _hits(docs, _bit_table(seeds), _short_spans(items))
+    candidates = hits.withColumnRenamed("at", "doc_at").join(seeds, "h").select("text_key", "item", (F.col("doc_at") - F.col("at")).alias("shift"))
+    candidates = saved(candidates.distinct(), "candidates")
+    wanted = docs.select("text_key", "text").join(candidates.select("text_key").distinct(), "text_key", "left_semi").groupBy("text_key").agg(F.min("text").alias("text"))
+    laid = candidates.join(items.select("item", F.col("text").alias("item_text")), "item")
+    return wanted.groupBy("text_key").cogroup(laid.groupBy("text_key")).applyInArrow(_verified, _FOUND), items
+
+
+def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(*columns, F.sha2(text, 256).alias("text_key"), text.alias("text"))
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -166,38 +222,14 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Columns doc_id, item_id, doc_word and item_word (first word of the overlap), n_words, n_equal.
     """
-    spark = ready(docs.sparkSession)
-    kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, doc_word long, item_word long, n_words long, n_equal long"
-    item_type = pa.string() if kinds[1] == "string" else pa.int32() if kinds[1] == "int" else pa.int64()
-    out = spark.createDataFrame([], schema)
-    for block in _blocks(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches):
-                hits = _overlaps(block, *_coded(texts(part)))
-                if hits:
-                    columns = list(zip(*hits, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id").take(pa.array(columns[0])), pa.array([block.ids[i] for i in columns[1]], item_type), *(pa.array(c, pa.int64()) for c in columns[2:])],
-                        ["doc_id", "item_id", "doc_word", "item_word", "n_words", "n_equal"],
-                    )
-
-        out = out.union(docs.select("doc_id", "text").mapInArrow(run, schema))
-    return out
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that overlap a test item; all columns and their order are kept."""
-    ready(docs.sparkSession)
-    kept = docs
-    for block in _blocks(benchmark):
+    keyed = _keyed(docs, "doc_id")
+    found, items = _overlapping_texts(keyed, benchmark)
+    named = saved(found, "overlaps").join(items.select("item", "item_id"), "item")
+    return keyed.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "item_id", "doc_word", "item_word", "n_words", "n_equal")
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches):
-                keep = np.ones(part.num_rows, bool)
-                keep[[h[0] for h in _overlaps(block, *_coded(texts(part)))]] = False
-                yield part.filter(pa.array(keep))
 
-        kept = kept.mapInArrow(run, docs.schema)
-    return kept
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_equal: int = LEAST_EQUAL) -> DataFrame:
+    """``docs`` without the rows that overlap a test item in ``least_equal`` equal words; all columns and their order are kept."""
+    found, _ = _overlapping_texts(_keyed(docs), benchmark)
+    bad = saved(found.where(F.col("n_equal") >= least_equal).select("text_key").distinct(), "contaminated")
+    return docs.join(bad, F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == bad["text_key"], "left_anti")

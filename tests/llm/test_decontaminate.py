@@ -41,19 +41,29 @@ def test_equals_brute_force(spark):
     got = {(r.doc_id, r.item_id) for r in dc.find_overlaps(d, b).collect()}
     want = {(i, j) for i, t in enumerate(docs) for j, m in enumerate(items) if naive(t, m)}
     assert got == want and len(want) > 30
-    kept = {r.doc_id for r in dc.drop_contaminated(d, b).collect()}
+    kept = {r.doc_id for r in dc.drop_contaminated(d, b, least_equal=1).collect()}
     assert kept == set(range(len(docs))) - {i for i, _ in got}
+    long = {r.doc_id for r in dc.find_overlaps(d, b).where("n_equal >= 8").collect()}
+    assert {r.doc_id for r in dc.drop_contaminated(d, b).collect()} == set(range(len(docs))) - long and long < {i for i, _ in got}
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
+def test_a_full_bit_table_gives_the_same(spark, monkeypatch):
     docs, items = sample()
     d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     whole = sorted(map(tuple, dc.find_overlaps(d, b).collect()))
-    monkeypatch.setattr(dc, "BLOCK_HASHES", 1500)
+    monkeypatch.setattr(dc, "FILTER_BITS", 6)
+    monkeypatch.setattr(dc, "LEAST_BITS", 5)
     assert sorted(map(tuple, dc.find_overlaps(d, b).collect())) == whole
 
 
+def test_short_items_are_reported_but_drop_nothing(spark):
+    d = spark.createDataFrame([(1, "we saw Paris in spring", 5), (2, "Paris", 5), (3, "x " * 50_000 + "a b c d e f g h i j", 5)], "doc_id long, text string, item_id int")
+    b = spark.createDataFrame([(7, "Paris", "q"), (8, "a b c d e f g h i j", "q")], "item_id long, text string, doc_id string")
+    assert {(r.doc_id, r.item_id, r.doc_word) for r in dc.find_overlaps(d, b).collect()} == {(1, 7, 2), (2, 7, 0), (3, 8, 50_000)}
+    assert [(r.doc_id, r.item_id) for r in dc.drop_contaminated(d, b).orderBy("doc_id").collect()] == [(1, 5), (2, 5)]
+
+
 def test_edges(spark):
     d = spark.createDataFrame([(None, None), (1, ""), (2, "..."), (None, "one two three"), (None, "one two three")], "doc_id long, text string")
     b = spark.createDataFrame([(1, None), (2, ""), (None, "one two THREE!"), (4, "one two")], "item_id long, text string")
