@@ -6,7 +6,8 @@ the host. Host priors are counts of the languages that the text and markup give,
 with a grouped aggregation; each level is smoothed towards the level above it, so a small host leans on its domain.
 
 The trigram models are fitted on a bounded sample: at most ``FIT_DOCS`` labelled texts for each language, those with the
-smallest hashes, ``FIT_CHARS`` characters of each. All texts are scored whole.
+smallest hashes, ``FIT_CHARS`` characters of each. Every label gets a model, and plans do not grow with their number but
+for lists of the names. All texts are scored whole.
 
 Rejected are texts for which the flat model is likelier than all languages, or the best language has a posterior under
 ``SURE``. Null and empty texts carry no evidence and are rejected unless markup and address decide. A null host, address
@@ -17,19 +18,21 @@ names beginning with ``lid_`` are reserved.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftlake.llm.common import mixed, raw_bytes, ready, saved, slices, texts
 
-#: Bounds of the sample that the models are fitted on.
-FIT_DOCS, FIT_CHARS, MOST_LANGUAGES = 400, 4000, 64
+#: Bounds of the sample that the models are fitted on, for each language.
+FIT_DOCS, FIT_CHARS = 400, 4000
 #: Slots of a hashed trigram model, its additive smoothing, and the share of one trigram's evidence that counts.
 SLOTS, SMOOTHING, TEMPER = 1 << 15, 0.5, 0.3
 #: Nats a trigram may be worse than a language's own texts before the flat model wins.
@@ -81,21 +84,30 @@ def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang") -> TextModels:
-    """Trigram models of the most frequent languages in ``label``, from a bounded sample."""
+    """Trigram models of all languages in ``label``, from a bounded sample of each."""
     ready(labelled.sparkSession)
-    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(F.col(label).cast("string").alias("l")).count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["l"] for r in counts)
+    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(label).cast("string").alias("l"), F.substring(text, 1, FIT_CHARS).alias("t"), F.pmod(F.xxhash64(text), F.lit(1 << 40)).alias("h")
+    )
     # a text is drawn if its hash is low enough to leave about twice the bound, then the lowest stay
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, 2 * FIT_DOCS / r["count"]))]) if counts else F.create_map()
-    drawn = rows.select(F.col(label).cast("string").alias("l"), F.substring(text, 1, FIT_CHARS).alias("t"), F.xxhash64(text).alias("h")).where(F.pmod("h", F.lit(1 << 40)) < F.coalesce(F.try_element_at(rate, F.col("l")), F.lit(0.0)) * (1 << 40))
-    lowest = Window.partitionBy("l").orderBy(F.pmod("h", F.lit(1 << 40)), "t")
-    by: dict[str, list[str]] = {language: [] for language in languages}
-    for r in drawn.distinct().withColumn("r", F.row_number().over(lowest)).where(F.col("r") <= FIT_DOCS).collect() if counts else []:
-        by[r["l"]].append(r["t"])
+    counts = rows.groupBy("l").agg(F.count("*").alias("n"))
+    languages = sorted(r["l"] for r in counts.select("l").collect())
+    drawn = rows.join(counts, "l").where(F.col("h") < F.least(F.lit(1.0), 2 * FIT_DOCS / F.col("n")) * (1 << 40)).drop("n")
+    lowest = Window.partitionBy("l").orderBy("h", "t")
+    sample = drawn.distinct().withColumn("r", F.row_number().over(lowest)).where(F.col("r") <= FIT_DOCS).select("l", "t")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "t"):
+            names = part.column("l").dictionary_encode()
+            slot, owner = _trigrams(*raw_bytes(texts(part, "t")))
+            pairs, n = np.unique(names.indices.to_numpy()[owner].astype(np.int64) * SLOTS + slot, return_counts=True)
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(pairs // SLOTS)), pa.array(pairs % SLOTS), pa.array(n)], ["l", "slot", "n"])
+
+    grams = sample.mapInArrow(count, "l string, slot long, n long").groupBy("l", "slot").agg(F.sum("n").alias("n")).toArrow()
     seen = np.zeros((SLOTS, len(languages)))
-    for k, language in enumerate(languages):
-        seen[:, k] = np.bincount(_trigrams(*raw_bytes(pa.array(by[language], pa.string())))[0], minlength=SLOTS)
+    if grams.num_rows:
+        column = pc.index_in(grams.column("l"), value_set=pa.array(languages)).to_numpy()
+        seen[grams.column("slot").to_numpy(), column] = grams.column("n").to_numpy()
     total = seen.sum(axis=0)
     table = np.log((seen + SMOOTHING) / (total + SMOOTHING * SLOTS))
     floor = (table * seen).sum(axis=0) / np.maximum(total, 1) - SLACK
@@ -116,27 +128,52 @@ def with_text_scores(rows: DataFrame, models: TextModels, text: str = "text") ->
     return rows.mapInArrow(run, schema)
 
 
-def _votes(column: str, languages: list[str], odds: float) -> list[Column]:
-    """Log odds of one declared language, for each language; 0 if it is none of them."""
-    lower = F.lower(F.substring(F.coalesce(F.col(column), F.lit("")), 1, 2))
-    return [F.when(lower == language, F.lit(float(np.log(odds)))).otherwise(F.lit(0.0)) for language in languages]
+def _main_part(name: Column) -> Column:
+    """The language itself of a tag such as fr-CA, in lower case."""
+    return F.lower(F.regexp_extract(name, "^[A-Za-z]+", 0))
+
+
+def _votes(column: str, known: Column, odds: float) -> Column:
+    """Log odds of one declared language, as a list over the languages; 0 for all others."""
+    said = _main_part(F.coalesce(F.col(column), F.lit("")))
+    return F.transform(known, lambda name: F.when((said != "") & (said == name), F.lit(float(np.log(odds)))).otherwise(F.lit(0.0)))
+
+
+def _plus(*lists: Column) -> Column:
+    whole, *rest = lists
+    for more in rest:
+        whole = F.zip_with(whole, more, lambda x, y: x + y)
+    return whole
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda x, y: x + y)
+
+
+def _smoothed(mine: str, above: Column) -> Column:
+    """Shares of the counts in a list, leaning on the shares above."""
+    whole = _total(F.col(mine)) + PARENT_WEIGHT
+    return F.zip_with(F.col(mine), above, lambda x, y: (x + PARENT_WEIGHT * y) / whole)
 
 
 def host_priors(rows: DataFrame, languages: list[str]) -> DataFrame:
     """lid_host and lid_prior (log probability of each language) from counts of lid_votes by host, domain and suffix."""
     n = len(languages)
-    one = [F.sum(F.col("lid_votes")[i]).alias(f"v{i}") for i in range(n)]
-    hosts = saved(rows.where(F.col("lid_host").isNotNull()).groupBy("lid_host").agg(*one), "hosts")
+
+    def added(column: str) -> Column:
+        return F.array(*[F.sum(F.col(column)[i]) for i in range(n)]).alias("v")
+
+    hosts = saved(rows.where(F.col("lid_host").isNotNull()).groupBy("lid_host").agg(added("lid_votes")), "hosts")
     parts = F.split("lid_host", r"\.")
     hosts = hosts.withColumn("lid_suffix", F.element_at(parts, -1)).withColumn("lid_domain", F.when(F.size(parts) > 1, F.concat_ws(".", F.element_at(parts, -2), "lid_suffix")).otherwise(F.col("lid_host")))
-    totals = [F.sum(f"v{i}").alias(f"v{i}") for i in range(n)]
-    smooth = lambda mine, above: [((F.col(f"{mine}v{i}") + PARENT_WEIGHT * above[i]) / (sum((F.col(f"{mine}v{j}") for j in range(n)), F.lit(0.0)) + PARENT_WEIGHT)).alias(f"p{i}") for i in range(n)]
     # each level is a table of its own and far smaller than the one below
-    top = hosts.agg(*totals).select(*smooth("", [F.lit(1.0 / n)] * n)).first()
-    suffixes = hosts.groupBy("lid_suffix").agg(*totals).select("lid_suffix", *smooth("", [F.lit(1.0 / n if p is None else float(p)) for p in top]))
-    domains = hosts.groupBy("lid_domain", "lid_suffix").agg(*totals).alias("d").join(suffixes.alias("s"), "lid_suffix").select("lid_domain", *smooth("d.", [F.col(f"s.p{i}") for i in range(n)]))
-    level = hosts.alias("h").join(domains.alias("d"), "lid_domain").select("lid_host", *smooth("h.", [F.col(f"d.p{i}") for i in range(n)]))
-    return saved(level.select("lid_host", F.array(*[F.log(f"p{i}") for i in range(n)]).alias("lid_prior")), "priors")
+    even = [1.0 / n] * n
+    counted = hosts.agg(added("v")).select(_smoothed("v", F.array(*[F.lit(x) for x in even])).alias("p")).first().p
+    top = F.array(*[F.lit(float(x)) for x in (counted if counted and None not in counted else even)])
+    suffixes = hosts.groupBy("lid_suffix").agg(added("v")).select("lid_suffix", _smoothed("v", top).alias("above"))
+    domains = hosts.groupBy("lid_domain", "lid_suffix").agg(added("v")).join(suffixes, "lid_suffix").select("lid_domain", _smoothed("v", F.col("above")).alias("above"))
+    level = hosts.join(domains, "lid_domain").select("lid_host", _smoothed("v", F.col("above")).alias("p"))
+    return saved(level.select("lid_host", F.transform("p", lambda x: F.log(x)).alias("lid_prior")), "priors")
 
 
 def identify(rows: DataFrame, models: TextModels, text: str = "text", host: str | None = None, declared: str | None = None) -> DataFrame:
@@ -150,35 +187,36 @@ def identify(rows: DataFrame, models: TextModels, text: str = "text", host: str
     suffix = F.element_at(F.split("lid_host", r"\."), -1)
     spoken = F.create_map(*[F.lit(x) for pair in SUFFIX_LANGUAGE.items() for x in pair])
     by_suffix = F.when(F.instr("lid_host", ".") > 0, F.try_element_at(spoken, suffix))
-    own = _votes(declared, languages, DECLARED_ODDS) if declared else [F.lit(0.0)] * n
+    known = F.array(*[F.lit(x) for x in languages])
+    tags = F.array(*[F.lit(m.group().lower() if (m := re.match("[A-Za-z]+", x)) else x) for x in languages])
+    zeros = F.array(*[F.lit(0.0)] * n)
     scored = scored.withColumn("lid_suffix_language", by_suffix)
-    address = _votes("lid_suffix_language", languages, SUFFIX_ODDS)
-    evidence = F.array(*[F.col("lid_scores")[i + 1] + own[i] for i in range(n)])
-    address = F.array(*address)
-    scored = scored.withColumn("lid_evidence", evidence).withColumn("lid_address", address)
-    share = lambda column: _softmax(column, n)
+    own = _votes(declared, tags, DECLARED_ODDS) if declared else zeros
+    scored = scored.withColumn("lid_evidence", _plus(F.slice("lid_scores", 2, n), own)).withColumn("lid_address", _votes("lid_suffix_language", tags, SUFFIX_ODDS))
     # the flat model stands against the best language by the text alone; without any text, markup or address must speak
     heard = F.array_max(F.slice("lid_scores", 2, n)) >= F.col("lid_scores")[0]
     silent = F.array_max("lid_scores") == F.array_min("lid_scores")
-    priors = host_priors(scored.where(heard & ~silent).select("lid_host", share(F.col("lid_evidence")).alias("lid_votes")), languages)
+    voices = _shares(scored.where(heard & ~silent & F.col("lid_host").isNotNull()).select("lid_host", "lid_evidence"), F.col("lid_evidence"), "lid_votes")
+    priors = host_priors(voices.select("lid_host", "lid_votes"), languages)
     # rows without a host get keys that match nothing but spread over the tasks
     spread = F.coalesce("lid_host", F.concat(F.lit("\0"), F.pmod(F.xxhash64(text), F.lit(4096)).cast("string")))
     joined = scored.withColumn("lid_host", spread).join(priors, "lid_host", "left")
-    total = F.array(*[F.col("lid_evidence")[i] + F.col("lid_address")[i] + F.coalesce(F.col("lid_prior")[i], F.lit(float(-np.log(n)))) for i in range(n)])
-    joined = joined.withColumn("lid_posteriors", share(total))
+    prior = F.coalesce("lid_prior", F.array(*[F.lit(float(-np.log(n)))] * n))
+    joined = _shares(joined, _plus(F.col("lid_evidence"), F.col("lid_address"), prior), "lid_posteriors")
     best = F.array_max("lid_posteriors")
     at = F.array_position("lid_posteriors", best).cast("int")
-    known = F.array(*[F.lit(x) for x in languages])
     spoke = (F.array_max("lid_address") > 0) | (F.array_max("lid_evidence") > 0)
     kept = (best >= SURE) & F.when(silent, spoke).otherwise(heard)
     return joined.select(*rows.columns, F.element_at(known, at).alias("lid_language"), best.alias("lid_posterior"), kept.alias("lid_kept"))
 
 
-def _softmax(column: Column, n: int) -> Column:
-    top = F.array_max(column)
-    powers = [F.exp(column[i] - top) for i in range(n)]
-    total = sum(powers[1:], powers[0])
-    return F.array(*[p / total for p in powers])
+def _shares(rows: DataFrame, logs: Column, name: str) -> DataFrame:
+    """``rows`` with probabilities from a list of log odds; each list is made once."""
+    rows = rows.withColumn("lid_logs", logs)
+    rows = rows.withColumn("lid_top", F.array_max("lid_logs"))
+    rows = rows.withColumn("lid_powers", F.transform("lid_logs", lambda x: F.exp(x - F.col("lid_top"))))
+    rows = rows.withColumn("lid_sum", _total(F.col("lid_powers")))
+    return rows.withColumn(name, F.transform("lid_powers", lambda x: x / F.col("lid_sum"))).drop("lid_logs", "lid_top", "lid_powers", "lid_sum")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:

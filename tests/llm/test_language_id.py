@@ -57,3 +57,32 @@ def test_clashing_names_and_empty_tables(spark):
 def test_trigrams_stay_inside_texts():
     data, offsets = li.raw_bytes(pa.array(["ab", "", "cde", "É"]))
     assert li._trigrams(data, offsets)[1].tolist() == [2]
+
+
+def test_seventy_labels_are_all_fitted(spark):
+    rng = random.Random(2)
+    words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(40)] for _ in range(70)]
+    rows = [(f"x{k:02d}"[0] + "abcdefghij"[k // 10] + "abcdefghij"[k % 10], " ".join(rng.choices(words[k], k=60)), f"h{k}.example.org") for k in range(70) for _ in range(12)]
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, source string")
+    models = li.fit(docs)
+    assert len(models.languages) == 70
+    found = li.identify(docs, models, host="source").collect()
+    assert np.mean([r.lang == r.lid_language for r in found]) > 0.98 and np.mean([r.lid_kept for r in found]) > 0.98
+
+
+def test_declared_tags_of_any_length_and_case(spark):
+    table = np.log(np.full((li.SLOTS, 3), 1 / li.SLOTS)).astype(np.float32)
+    models = li.TextModels(["EN", "deu", "fil"], table, np.array([-20.0] * 3))
+    rows = spark.createDataFrame([("words", "en-GB"), ("words", "DEU"), ("words", "fil_PH"), ("words", "fi"), ("words", "")], "text string, declared string")
+    got = [(r.lid_language, round(r.lid_posterior, 3)) for r in li.identify(rows, models, declared="declared").collect()]
+    assert [g for g, _ in got[:3]] == ["EN", "deu", "fil"] and {p for _, p in got[3:]} == {0.333}
+
+
+def test_repeated_rows_long_texts_and_ties(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    models = li.fit(docs)
+    one = docs.where("lang = 'fr'").orderBy(F.desc("n_chars")).limit(1).collect()[0]
+    rows = [(one.text * 40, "s")] + [(one.text, "s")] * 3 + [("zz " * 300_000, None)]
+    out = li.identify(spark.createDataFrame(rows, "text string, source string"), models, host="source").collect()
+    assert len(out) == 5 and {r.lid_language for r in out[:4]} == {"fr"} and len({r.lid_posterior for r in out[1:4]}) == 1
