@@ -6,10 +6,10 @@ cover what one would miss. Hashes of all test stretches are joined with the hash
 hit, test item and document are laid on each other word by word, and they overlap if in some ``OVERLAP`` words in a row
 (or the whole of a shorter item) at least ``SIMILAR`` of them are equal. The masks find every such overlap.
 
-Test seeds are a table of hashes. Documents send the seeds that a bit table of the test hashes lets through (at most
-``FILTER_BITS`` bits, so it is bounded and may only let more through), both are joined by hash, and the distinct
-(text, item, diagonal) of the hits are verified beside the text, once for equal texts. Nothing of the benchmark but the
-bit table and the lengths of short items passes through the driver, and texts without hits stay where they are.
+Test seeds are a table of hashes. A document of which some seed passes a bit table of the test hashes (at most ``FILTER_BITS``
+bits, so it is bounded and may only let more through) is written down with those seeds; both are joined by hash, and the
+distinct (text, item, diagonal) of the hits are verified beside the text, once for equal texts. Nothing of the benchmark
+but the bit table and the lengths of short items passes through the driver, and texts without hits are not moved.
 
 ``find_overlaps`` reports overlaps with items of any length. ``drop_contaminated`` drops a document only for an overlap of at
 least ``LEAST_EQUAL`` equal words: a word or a short phrase is no passage of a test.
@@ -42,6 +42,8 @@ UNEQUAL = -3
 LEAST_EQUAL = 8
 #: Size of the bit table of test hashes, as a power of two: the least and the most.
 LEAST_BITS, FILTER_BITS = 16, 27
+#: Bits that each hash sets and tests; about one bit in 32 is set until the table has its full size.
+PROBES = 4
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SPREAD = np.array([hash64(f"position {i}".encode()) | 1 for i in range(64)], np.uint64)
@@ -145,38 +147,71 @@ def _short_spans(items: DataFrame) -> list[int]:
     return sorted(r.n for r in items.select("text").mapInArrow(run, "n long").distinct().collect())
 
 
-def _bit_table(seeds: DataFrame) -> np.ndarray:
-    """Bits of the seeds' low ends; about one in sixteen is set until the table has its full size."""
-    bits = min(FILTER_BITS, max(LEAST_BITS, (16 * seeds.count()).bit_length()))
-    low = (1 << bits) - 1
-    words = seeds.selectExpr(f"shiftright(h & {low}L, 5) AS w", "shiftleft(1L, CAST(h & 31L AS INT)) AS b")
-    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    table = np.zeros(1 << (bits - 5), np.uint32)
-    table[rows.column("w").to_numpy()] = rows.column("b").to_numpy().astype(np.uint32)
-    return table
+def _slots(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The bits of each hash."""
+    for k in range(PROBES):
+        yield (mixed(h ^ _SPREAD[k]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _hits(docs: DataFrame, table: np.ndarray, spans: list[int]) -> DataFrame:
-    """h, text_key, at: seeds of documents that may be seeds of a test item."""
-    mask = np.uint64(32 * len(table) - 1)
+class _Bits:
+    """A bit table of hashes."""
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.bits = words, bits
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Positions of the hashes that may be in the table."""
+        at = np.arange(len(h))
+        for k in range(PROBES):
+            slot = (mixed(h[at] ^ _SPREAD[k]) >> np.uint64(64 - self.bits)).astype(np.int64)
+            at = at[(self.words[slot >> 5] >> (slot & 31).astype(np.uint32)) & np.uint32(1) == 1]
+        return at
+
+
+def _bit_table(hashes: DataFrame) -> _Bits:
+    """The bits of column ``h``."""
+    bits = min(FILTER_BITS, max(LEAST_BITS, (32 * PROBES * hashes.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            slot = np.unique(np.concatenate(list(_slots(part.column("h").to_numpy().view(np.uint64), bits))))
+            yield pa.RecordBatch.from_arrays([pa.array(slot >> 5), pa.array(np.int64(1) << (slot & 31))], ["w", "b"])
+
+    rows = hashes.select("h").mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    words_ = np.zeros(1 << (bits - 5), np.uint32)
+    words_[rows.column("w").to_numpy()] = rows.column("b").to_numpy().astype(np.uint32)
+    return _Bits(words_, bits)
+
+
+def _hits(docs: DataFrame, table: _Bits, spans: list[int]) -> DataFrame:
+    """text_key, h64, text, and the hashes and positions (h, at) of its seeds that may be seeds of a test item."""
     masks = _SEED + [x for n in spans for x in _whole(n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             flat, first = _coded(texts(part))
-            owner_end = first[1:]
+            hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for seen, span in masks:
                 h = _seeds(flat, seen, span)
-                slot = h & mask
-                near = np.flatnonzero((table[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
-                owner = np.searchsorted(owner_end, near, "right")
+                near = table.find(h)
+                owner = np.searchsorted(first[1:], near, "right")
                 # a stretch that runs over the end of its text is none
-                inside = near + span <= owner_end[owner] if len(near) else np.zeros(0, bool)
-                near, owner = near[inside], owner[inside]
-                if len(near):
-                    yield pa.RecordBatch.from_arrays([pa.array(h[near].view(np.int64)), part.column("text_key").take(pa.array(owner)), pa.array(near - first[owner])], ["h", "text_key", "at"])
-
-    return docs.select("text_key", "text").mapInArrow(run, "h long, text_key string, at long")
+                near = near[near + span <= first[1:][owner]] if len(near) else near
+                hashes.append(h[near])
+                places.append(near)
+            h, place = np.concatenate(hashes), np.concatenate(places)
+            order = np.argsort(place, kind="stable")
+            h, place = h[order], place[order]
+            owner = np.searchsorted(first[1:], place, "right")
+            text, count = np.unique(owner, return_counts=True)
+            if len(text):
+                ends = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c).take(pa.array(text)) for c in ("text_key", "h64", "text")), pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(place - first[owner]))],
+                    ["text_key", "h64", "text", "h", "at"],
+                )
+
+    return docs.select("text_key", "h64", "text").mapInArrow(run, "text_key string, h64 long, text string, h array<long>, at array<long>")
 
 
 _FOUND = "text_key string, item long, doc_word long, item_word long, n_words long, n_equal long"
@@ -199,22 +234,22 @@ def _verified(key, texts_, candidates):
     return pa.table([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(columns)], names=["text_key", "item", "doc_word", "item_word", "n_words", "n_equal"])
 
 
-def _overlapping_texts(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(overlaps by key of the text and number of the item, numbered items); ``docs`` has text_key and text."""
+def _overlapping_texts(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(overlaps by key of the text and number of the item, numbered items, texts with hits); ``docs`` has text_key, h64, text."""
     ready(docs.sparkSession)
     items = saved(benchmark.select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), "items")
     seeds = saved(_seed_table(items), "seeds")
-    hits = _hits(docs, _bit_table(seeds), _short_spans(items))
-    candidates = hits.withColumnRenamed("at", "doc_at").join(seeds, "h").select("text_key", "item", (F.col("doc_at") - F.col("at")).alias("shift"))
-    candidates = saved(candidates.distinct(), "candidates")
-    wanted = docs.select("text_key", "text").join(candidates.select("text_key").distinct(), "text_key", "left_semi").groupBy("text_key").agg(F.min("text").alias("text"))
+    near = saved(_hits(docs, _bit_table(seeds), _short_spans(items)), "hits")
+    hits = near.select("text_key", F.explode(F.arrays_zip("h", "at")).alias("s")).select("text_key", "s.h", F.col("s.at").alias("doc_at"))
+    candidates = saved(hits.join(seeds, "h").select("text_key", "item", (F.col("doc_at") - F.col("at")).alias("shift")).distinct(), "candidates")
+    wanted = near.select("text_key", "text").join(candidates.select("text_key").distinct(), "text_key", "left_semi").groupBy("text_key").agg(F.min("text").alias("text"))
     laid = candidates.join(items.select("item", F.col("text").alias("item_text")), "item")
-    return wanted.groupBy("text_key").cogroup(laid.groupBy("text_key")).applyInArrow(_verified, _FOUND), items
+    return wanted.groupBy("text_key").cogroup(laid.groupBy("text_key")).applyInArrow(_verified, _FOUND), items, near
 
 
 def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(*columns, F.sha2(text, 256).alias("text_key"), text.alias("text"))
+    text = F.coalesce(docs["text"], F.lit(""))
+    return docs.select(*columns, F.sha2(text, 256).alias("text_key"), F.xxhash64(text).alias("h64"), text.alias("text"))
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -223,13 +258,32 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Columns doc_id, item_id, doc_word and item_word (first word of the overlap), n_words, n_equal.
     """
     keyed = _keyed(docs, "doc_id")
-    found, items = _overlapping_texts(keyed, benchmark)
+    found, items, _ = _overlapping_texts(keyed, benchmark)
     named = saved(found, "overlaps").join(items.select("item", "item_id"), "item")
     return keyed.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "item_id", "doc_word", "item_word", "n_words", "n_equal")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_equal: int = LEAST_EQUAL) -> DataFrame:
     """``docs`` without the rows that overlap a test item in ``least_equal`` equal words; all columns and their order are kept."""
-    found, _ = _overlapping_texts(_keyed(docs), benchmark)
-    bad = saved(found.where(F.col("n_equal") >= least_equal).select("text_key").distinct(), "contaminated")
-    return docs.join(bad, F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == bad["text_key"], "left_anti")
+    found, _, near = _overlapping_texts(_keyed(docs), benchmark)
+    bad = found.where(F.col("n_equal") >= least_equal).select("text_key").distinct()
+    bad = saved(near.select("text_key", F.col("h64").alias("h")).distinct().join(bad, "text_key"), "contaminated")
+    table = _bit_table(bad)
+    mark = "text_hash"
+    while mark in docs.columns:
+        mark += "_"
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
+
+    def parted(passing: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                near_ = np.zeros(part.num_rows, bool)
+                near_[table.find(part.column(mark).to_numpy().view(np.uint64))] = True
+                yield part.filter(pa.array(near_ == passing)).drop_columns([mark])
+
+        return marked.mapInArrow(run, docs.schema)
+
+    # rows that the bit table lets through are told apart exactly, all others stay without being moved
+    maybe = parted(True)
+    exact = maybe.join(bad.select(F.col("text_key").alias(mark)), F.sha2(F.coalesce(maybe["text"], F.lit("")), 256) == F.col(mark), "left_anti")
+    return parted(False).unionByName(exact)
