@@ -52,6 +52,38 @@ def latency_quantiles(
     return out if alert_p95 is None else out.withColumn("alert", F.col("p95") > alert_p95)
 
 
+#: Leading bits of a value that a latency sketch keeps; a value is told to within one part in 2**(bits - 1).
+SKETCH_BITS = 7
+
+
+def sketch_bucket(value: Column, bits: int = SKETCH_BITS) -> Column:
+    """The least value with the same leading bits; values below ``2**bits`` stay as they are, negative ones count as 0."""
+    v = F.greatest(value.cast("bigint"), F.lit(0).cast("bigint"))
+    drop = F.greatest(F.length(F.bin(v)) - bits, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", v, drop), drop)
+
+
+def latency_panes(samples: DataFrame, keys: Sequence[str] = ("endpoint",), time: str = "sampled_at", value: str = "duration_ms", pane: str = "1 minute", bits: int = SKETCH_BITS) -> DataFrame:
+    """Sketches of a value per key and pane: counts by leading bits.
+
+    Counts of equal buckets add up, so panes merge into windows of any length, days into months, and parts of a stream
+    into the whole; a sketch has at most ``64 * 2**(bits - 1)`` buckets.
+    """
+    counted = samples.filter(F.col(value).isNotNull()).groupBy(F.window(time, pane).alias("w"), *keys, sketch_bucket(F.col(value), bits).alias("bucket")).agg(F.count("*").alias("c"))
+    return counted.select(F.col("w.start").alias("pane"), *keys, "bucket", "c")
+
+
+def sketch_quantiles(panes: DataFrame, keys: Sequence[str] = ("endpoint",), window: str = "5 minutes", slide: str = "1 minute", percents: Sequence[int] = (50, 95, 99)) -> DataFrame:
+    """Nearest-rank quantiles of sliding windows, merged from panes: the value at index ``floor(n * p / 100)``, low by at most its share of ``SKETCH_BITS``."""
+    merged = panes.groupBy(F.window("pane", window, slide).start.alias("window_start"), *keys, "bucket").agg(F.sum("c").alias("c"))
+    # a window of a key has a bounded number of buckets
+    whole = Window.partitionBy("window_start", *keys)
+    upto = F.sum("c").over(whole.orderBy("bucket"))
+    placed = merged.withColumns({"upto": upto, "n": F.sum("c").over(whole)})
+    picked = [F.min(F.when(F.col("upto") > F.floor(F.col("n") * p / 100), F.col("bucket"))).alias(f"p{p}") for p in percents]
+    return placed.groupBy("window_start", *keys).agg(F.first("n").alias("n"), *picked)
+
+
 RANK_BUCKET = 4096
 
 

@@ -15,6 +15,7 @@ from driftlake.plans.catalog import query
 from driftlake.plans.views import base, view
 from driftlake.sources.policies import policy_table
 from driftlake.sources.sinks import append, keyed_json
+from driftlake.sources.snapshots import SnapshotTable
 from driftlake.sources.traffic import deployments_from_releases
 from driftlake.session import scratch_folder
 
@@ -124,13 +125,42 @@ def registry_rejects(spark, sf_dir):
 )
 def contract_import(spark, sf_dir):
     """Every supplier row is an import request; each fourth lacks its schema and is rejected."""
-    existing = contracts(spark, sf_dir)
-    requests = base(spark, sf_dir, "supplier").selectExpr(
+    return C.import_contracts(contracts(spark, sf_dir), import_requests(spark, sf_dir))
+
+
+def import_requests(spark, sf_dir) -> DataFrame:
+    return base(spark, sf_dir, "supplier").selectExpr(
         "concat('new-', s_suppkey) AS id", "concat('svc-', s_suppkey % 10) AS provider_id",
         "concat('svc-', (s_suppkey + 3) % 10) AS consumer_id", "'/api/click' AS endpoint",
         "CASE WHEN s_suppkey % 4 = 0 THEN ' ' ELSE '{\"type\":\"object\"}' END AS schema_json", "CAST(NULL AS STRING) AS source",
     )
-    return C.import_contracts(existing, requests)
+
+
+@query(
+    "contract_versions",
+    """SELECT id, provider_id, consumer_id, endpoint, version, source, CASE WHEN version = 0 THEN 'archived' ELSE status END AS status FROM (
+      SELECT c.id, c.provider_id, c.consumer_id, c.endpoint, c.version, c.source,
+         CASE WHEN t.k IS NOT NULL AND c.status = 'active' AND c.source <> 'inferred' THEN 'superseded' ELSE c.status END AS status
+       FROM contracts c LEFT JOIN (SELECT DISTINCT provider_id, consumer_id, endpoint, 1 AS k FROM imports) t USING (provider_id, consumer_id, endpoint)
+       UNION ALL
+       SELECT i.id, i.provider_id, i.consumer_id, i.endpoint,
+         coalesce(m.top, 0) + row_number() OVER (PARTITION BY i.provider_id, i.consumer_id, i.endpoint ORDER BY i.id), 'manual',
+         CASE WHEN row_number() OVER (PARTITION BY i.provider_id, i.consumer_id, i.endpoint ORDER BY i.id DESC) = 1
+              THEN 'active' ELSE 'superseded' END
+       FROM imports i LEFT JOIN (SELECT provider_id, consumer_id, endpoint, max(version) AS top FROM contracts GROUP BY ALL) m
+         USING (provider_id, consumer_id, endpoint))""",
+    ("contracts",),
+    """imports AS (SELECT concat('new-', CAST(s_suppkey AS STRING)) AS id, concat('svc-', CAST(s_suppkey % 10 AS STRING)) AS provider_id,
+         concat('svc-', CAST((s_suppkey + 3) % 10 AS STRING)) AS consumer_id, '/api/click' AS endpoint
+       FROM supplier WHERE s_suppkey % 4 <> 0)""",
+)
+def contract_versions(spark, sf_dir):
+    """A table of versions: loaded, changed by an import, then by an archive; each change is one checked commit."""
+    table = SnapshotTable(spark, scratch_folder(spark, "contracts"))
+    table.commit(contracts(spark, sf_dir), 0)
+    table.update(lambda rows: C.import_contracts(rows, import_requests(spark, sf_dir)))
+    table.update(lambda rows: C.archive(rows, rows.filter("version = 0").select("id")))
+    return table.read()
 
 
 @query(

@@ -8,7 +8,7 @@ from driftlake.operators import metrics as M
 from driftlake.plans.catalog import query
 from driftlake.plans.inference import KEYS, KEYS_SQL, NODES_SQL, TRAFFIC, baseline
 from driftlake.plans.registry import _DRIFT_SQL, _PAIRS_SQL, _correlated_sql, documents
-from driftlake.plans.traffic import _DEDUP, _DEDUP_NORMALIZED, _KEPT, _ENVELOPE_SQL, _SECONDS, grouped_alerts, payload_hashes, raw_records, samples
+from driftlake.plans.traffic import _DEDUP, _DEDUP_NORMALIZED, _KEPT, _ENVELOPE_SQL, _MASKED_SQL, _SECONDS, PAYLOAD, _rate_sql, _sketch_sql, grouped_alerts, payload_hashes, raw_records, samples
 from driftlake.plans.views import view
 from driftlake.session import scratch_folder
 from driftlake.sources import record_dump as RD
@@ -18,7 +18,9 @@ from driftlake.streaming import correlate as SC
 from driftlake.streaming import dedup as SD
 from driftlake.streaming import feeds
 from driftlake.streaming import inference as SI
+from driftlake.streaming import ingest as SG
 from driftlake.streaming import late as SL
+from driftlake.streaming import rates as SP
 from driftlake.streaming import registry as SR
 from driftlake.streaming.replay import as_stream, plain_times, run_to_table
 
@@ -129,6 +131,57 @@ def stream_recent(spark, sf_dir):
     return plain_times(latest[-1])
 
 
+@query(
+    "stream_violation_rate",
+    f"""SELECT * FROM ({_rate_sql("violations", "detected_at", "severity")})
+        WHERE window_start + INTERVAL 15 MINUTE <= (SELECT date_trunc('millisecond', max(detected_at)) FROM violations)""",
+    ("violations",),
+)
+def stream_violation_rate(spark, sf_dir):
+    """The windows that the watermark has passed, summed from one-minute counts."""
+    source = as_stream(view(spark, sf_dir, "violations").select("severity", "detected_at"), "detected_at")
+    return plain_times(run_to_table(SP.rate_stream(source, "detected_at", ["severity"]), "violation_rate"))
+
+
+@query(
+    "stream_latency_sketch",
+    _sketch_sql("""WHERE time_bucket(INTERVAL 1 MINUTE, sampled_at) + INTERVAL 11 MINUTE <= (SELECT date_trunc('millisecond', max(sampled_at)) FROM traffic_samples)"""),
+    TRAFFIC,
+)
+def stream_latency_sketch(spark, sf_dir):
+    """Quantiles merged from the sketches that a stream has completed."""
+    source = as_stream(samples(spark, sf_dir).select("endpoint", "duration_ms", "sampled_at"), "sampled_at")
+    return M.sketch_quantiles(plain_times(run_to_table(SP.pane_stream(source), "latency_panes")))
+
+
+_INGESTED = f"""rows_in AS (SELECT sample_id, CASE WHEN sample_id % 10 = 0 THEN ' ' ELSE service_id END AS service_id, endpoint, method, sampled_at, {PAYLOAD} AS p FROM traffic_samples),
+  hashed AS (SELECT *, sha256(p) AS content_hash FROM rows_in WHERE trim(service_id) <> ''),
+  chain AS (SELECT content_hash, min(sampled_at) AS t FROM hashed GROUP BY ALL UNION ALL
+    SELECT c.content_hash, min(h.sampled_at) FROM chain c JOIN hashed h
+      ON h.content_hash = c.content_hash AND h.sampled_at >= c.t + INTERVAL 5 MINUTE GROUP BY c.content_hash, c.t)"""
+
+
+@query(
+    "stream_ingest",
+    f"""SELECT sample_id, service_id, endpoint, method, {_MASKED_SQL} AS normalized_payload, h.content_hash, sampled_at AS ingested_at, false AS rejected
+        FROM hashed h JOIN chain c ON h.content_hash = c.content_hash AND h.sampled_at = c.t
+        UNION ALL SELECT sample_id, service_id, endpoint, method, NULL, NULL, sampled_at, true FROM rows_in WHERE trim(service_id) = ''""",
+    TRAFFIC, _INGESTED,
+)
+def stream_ingest(spark, sf_dir):
+    """Samples checked, hashed, cleared of repeats and stored by one query, which is stopped half-way and started again."""
+    rows = samples(spark, sf_dir).withColumns({"body": F.expr(PAYLOAD), "service_id": F.expr("CASE WHEN sample_id % 10 = 0 THEN ' ' ELSE service_id END")})
+    rows = rows.select("sample_id", "service_id", "endpoint", "method", "body", F.col("sampled_at").cast("timestamp").alias("sampled_at"))
+    source, out, rejects, checkpoint = (scratch_folder(spark, f"ingest-{n}") for n in ("source", "out", "rejects", "checkpoint"))
+    half = rows.agg(F.percentile_approx(F.col("sampled_at"), 0.5)).first()[0]
+    for part in (rows.filter(F.col("sampled_at") <= F.lit(half)), rows.filter(F.col("sampled_at") > F.lit(half))):
+        part.repartition(8).write.mode("append").parquet(source)
+        SG.ingest(spark.readStream.schema(rows.schema).parquet(source), out, rejects, checkpoint, trigger={"availableNow": True}).awaitTermination()
+    stored = spark.read.parquet(out).drop("batch", "ingest_date").withColumn("rejected", F.lit(False))
+    refused = spark.read.parquet(rejects).drop("batch", "body").withColumnRenamed("sampled_at", "ingested_at").withColumn("rejected", F.lit(True))
+    return plain_times(stored.unionByName(refused, allowMissingColumns=True))
+
+
 @query(
     "stream_alert_groups",
     """SELECT service_id, alert_severity, notified_at, n_new FROM sent

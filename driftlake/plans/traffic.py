@@ -330,6 +330,22 @@ def latency_quantiles(spark, sf_dir):
     return M.latency_quantiles(samples(spark, sf_dir))
 
 
+_FLOORED = "(duration_ms >> greatest(length(bin(duration_ms)) - 7, 0)) << greatest(length(bin(duration_ms)) - 7, 0)"
+
+
+def _sketch_sql(where: str = "") -> str:
+    return f"""SELECT window_start, endpoint, count(*) AS n, {', '.join(f"CAST(max(v) FILTER (rn - 1 = c * {p} // 100) AS BIGINT) AS p{p}" for p in (50, 95, 99))}
+      FROM (SELECT *, row_number() OVER (PARTITION BY window_start, endpoint ORDER BY v) AS rn, count(*) OVER (PARTITION BY window_start, endpoint) AS c
+        FROM (SELECT endpoint, {_FLOORED} AS v, unnest([time_bucket(INTERVAL 1 MINUTE, sampled_at) - to_minutes(m) for m in [0, 1, 2, 3, 4]]) AS window_start
+          FROM traffic_samples {where})) GROUP BY ALL"""
+
+
+@query("latency_sketch", _sketch_sql(), TRAFFIC)
+def latency_sketch(spark, sf_dir):
+    """Sliding quantiles merged from one-minute sketches, exact below 128 ms and within 1/64 above."""
+    return M.sketch_quantiles(M.latency_panes(samples(spark, sf_dir)))
+
+
 @query(
     "load_stats",
     """SELECT t.*, p50, p95, p99 FROM (
