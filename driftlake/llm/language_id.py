@@ -90,9 +90,12 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang") -> TextMod
         F.col(label).cast("string").alias("l"), F.substring(text, 1, FIT_CHARS).alias("t"), F.pmod(F.xxhash64(text), F.lit(1 << 40)).alias("h")
     )
     # a text is drawn if its hash is low enough to leave about twice the bound, then the lowest stay
-    counts = rows.groupBy("l").agg(F.count("*").alias("n"))
-    languages = sorted(r["l"] for r in counts.select("l").collect())
-    drawn = rows.join(counts, "l").where(F.col("h") < F.least(F.lit(1.0), 2 * FIT_DOCS / F.col("n")) * (1 << 40)).drop("n")
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(counts)
+    # one list of rates in the plan, so that no text is moved to meet its rate
+    names, rates = (F.array(*[F.lit(x) for x in y]) for y in (languages, [min(1.0, 2 * FIT_DOCS / counts[x]) for x in languages]))
+    rate = F.try_element_at(F.map_from_arrays(names, rates), F.col("l")) if languages else F.lit(0.0)
+    drawn = rows.where(F.col("h") < rate * (1 << 40))
     lowest = Window.partitionBy("l").orderBy("h", "t")
     sample = drawn.distinct().withColumn("r", F.row_number().over(lowest)).where(F.col("r") <= FIT_DOCS).select("l", "t")
 
