@@ -374,12 +374,17 @@ def enum_drift(spark, sf_dir):
     return out.withColumns({c: F.array_join(c, ",") for c in ("removed", "added")})
 
 
-_ENDS = ", ".join(
-    f"{n} AS (SELECT service_id, endpoint, path, value_str FROM nodes WHERE NOT in_array AND json_type <> 'object' "
-    f"AND sample_id IN (SELECT {f}(sample_id, sampled_at) FROM valid GROUP BY service_id, endpoint))"
-    for n, f in (("old", "arg_min"), ("new", "arg_max"))
-)
-_DOC_SQL = NODES_SQL + ", " + _ENDS + """, lines AS (
+# only the first and the last document of each (service, endpoint) are taken apart
+_DOC_SQL = NODES_SQL.replace(
+    "valid AS (SELECT * FROM traffic_samples WHERE json_valid(body) AND json_type(body) = 'OBJECT')",
+    """proper AS MATERIALIZED (SELECT * FROM traffic_samples WHERE json_valid(body) AND json_type(body) = 'OBJECT'),
+firsts AS MATERIALIZED (SELECT arg_min(sample_id, sampled_at) AS old_id, arg_max(sample_id, sampled_at) AS new_id FROM proper GROUP BY service_id, endpoint),
+valid AS MATERIALIZED (SELECT * FROM proper WHERE sample_id IN (SELECT old_id FROM firsts UNION ALL SELECT new_id FROM firsts))""",
+) + ", " + ", ".join(
+    f"{n} AS MATERIALIZED (SELECT service_id, endpoint, path, value_str FROM nodes WHERE NOT in_array AND json_type <> 'object' "
+    f"AND sample_id IN (SELECT {n}_id FROM firsts))"
+    for n in ("old", "new")
+) + """, lines AS (
   SELECT service_id, endpoint, path, CASE WHEN n.path IS NULL THEN 'removed' WHEN o.path IS NULL THEN 'added'
          WHEN o.value_str IS NOT DISTINCT FROM n.value_str THEN 'unchanged' ELSE 'changed' END AS change,
          o.value_str AS old_value, n.value_str AS new_value

@@ -215,13 +215,22 @@ def stream_alert_sustained(spark, sf_dir):
     return stretches.withColumn("held_seconds", held).where(F.col("held_seconds") >= 7200)
 
 
-@query("stream_late_rows")
+@query(
+    "stream_late_rows",
+    """SELECT sample_id, sampled_at FROM batched JOIN marks USING (batch) WHERE sampled_at < seen - INTERVAL 10 MINUTE""",
+    TRAFFIC,
+    """arrivals AS (SELECT sample_id, sampled_at, sample_id + CASE WHEN sample_id % 97 = 0 THEN 500 ELSE 0 END AS arrival FROM traffic_samples),
+      batched AS (SELECT *, CASE WHEN arrival <= t // 4 THEN 0 WHEN arrival <= t * 2 // 4 THEN 1 WHEN arrival <= t * 3 // 4 THEN 2 ELSE 3 END AS batch
+        FROM arrivals, (SELECT max(arrival) AS t FROM arrivals)),
+      marks AS (SELECT batch, max(max(sampled_at)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM batched GROUP BY batch)""",
+)
 def stream_late(spark, sf_dir):
-    """Samples that arrive out of order: the late ones, from the side table."""
+    """Samples that arrive out of order, in four batches: the late ones, from the side table."""
     arrivals = samples(spark, sf_dir).selectExpr(
         "sample_id", "sampled_at", "sample_id + CASE WHEN sample_id % 97 = 0 THEN 500 ELSE 0 END AS arrival"
     )
-    source = as_stream(arrivals, "arrival")
+    last = arrivals.agg(F.max("arrival")).first()[0] or 0
+    source = as_stream(arrivals, "arrival", cuts=[last * i // 4 for i in (1, 2, 3)])
     ok, late, marks, checkpoint = (scratch_folder(spark, f"late-{n}") for n in ("ok", "late", "marks", "checkpoint"))
     SL.split_late(source, "sampled_at", ok, late, marks, checkpoint).awaitTermination()
     return plain_times(spark.read.parquet(late).select("sample_id", "sampled_at"))

@@ -51,13 +51,15 @@ def detect_drift(
 
     def detect(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        parsed = F.try_parse_json("body")
-        rejected = batch.withColumn("doc", parsed).filter(~is_object("doc")).drop("doc")
-        rejected.write.mode("overwrite").parquet(f"{reject_path}/batch={batch_id}")
-        inferred = I.schema_nodes(S.path_stats(traffic_nodes(batch, values=False), keys), keys, with_root=True)
-        found = D.schema_diff(baseline, inferred, keys)
-        found.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-        batch.unpersist()
+        try:
+            parsed = F.try_parse_json("body")
+            rejected = batch.withColumn("doc", parsed).filter(~is_object("doc")).drop("doc")
+            rejected.write.mode("overwrite").parquet(f"{reject_path}/batch={batch_id}")
+            inferred = I.schema_nodes(S.path_stats(traffic_nodes(batch, values=False), keys), keys, with_root=True)
+            found = D.schema_diff(baseline, inferred, keys)
+            found.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(detect).option("checkpointLocation", checkpoint)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,11 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 from driftlake.session import scratch_folder, state_partitions
 
 
-def as_stream(table: DataFrame, time: str, slices: int = 4) -> DataFrame:
+def as_stream(table: DataFrame, time: str, slices: int = 4, cuts: Sequence | None = None) -> DataFrame:
     """Write the table as successive time slices and read them back, one slice per micro-batch.
 
     The file source takes files by age, so the slices are written one after the other; each is
-    written in parallel. Event times must be TIMESTAMP for a watermark, so TIMESTAMP_NTZ is cast.
+    written in parallel. ``cuts`` are the last values of all slices but the newest one. Event times must be TIMESTAMP for a watermark, so TIMESTAMP_NTZ is cast.
     """
     spark = table.sparkSession
     path = scratch_folder(spark, "stream")
@@ -21,7 +23,7 @@ def as_stream(table: DataFrame, time: str, slices: int = 4) -> DataFrame:
     rows = table.withColumns(casts)
     files = spark.sparkContext.defaultParallelism
     shares = [i / slices for i in range(1, slices)]
-    cuts = rows.agg(F.percentile_approx(F.col(time), shares)).first()[0]
+    cuts = rows.agg(F.percentile_approx(F.col(time), shares)).first()[0] if cuts is None else list(cuts)
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = rows if low is None else rows.filter(F.col(time) > F.lit(low))
         part = part if high is None else part.filter(F.col(time) <= F.lit(high))
