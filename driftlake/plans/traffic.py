@@ -286,8 +286,8 @@ def dedup_5m_normalized(spark, sf_dir):
 
 @query("dedup_5m_busy", _KEPT, TRAFFIC, _DEDUP_NORMALIZED)
 def dedup_5m_busy(spark, sf_dir):
-    """The same result with every key cut into segments, as busy keys are."""
-    return dedup(payload_hashes(spark, sf_dir, "normalized"), fold_limit=0, leaf_rows=400)
+    """The same result with the repeated payloads cut into segments, as busy keys are."""
+    return dedup(payload_hashes(spark, sf_dir, "normalized"), fold_limit=50, leaf_rows=400)
 
 
 # -- metrics -----------------------------------------------------------------------------------
