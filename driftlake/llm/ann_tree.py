@@ -71,7 +71,8 @@ class Tree:
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((centres**2).sum(axis=1) - 2 * (x @ centres.T)).argmin(axis=1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        return ((centres**2).sum(axis=1) - 2 * (x @ centres.T)).argmin(axis=1)
 
 
 def _split(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -135,15 +136,23 @@ def cells(tree: Tree) -> np.ndarray:
 def best(queries: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, open_to: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query its k best rows (of those open to it) as (query, ids, scores).
 
-    Scores are sums row by row, so that equal vectors tie.
+    Scores are sums row by row, so that equal vectors tie. A first choice is made by a matrix product, which may be off by
+    a share of the norms; where products leave the range of doubles, all rows are looked at. A sum that is no number
+    (infinite parts of both signs) counts as the least.
     """
+    with np.errstate(over="ignore", invalid="ignore"):
+        yield from _best(queries, x, ids, k, open_to)
+
+
+def _best(queries: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, open_to: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     rough = queries @ x.T
+    error = 1e-12 * np.linalg.norm(queries, axis=1) * (np.linalg.norm(x, axis=1).max() if len(x) else 0.0)
     for i in range(len(queries)):
         near = np.arange(len(x)) if open_to is None else np.flatnonzero(open_to[i])
-        if len(near) > k:
+        if len(near) > k and np.isfinite(error[i]) and np.isfinite(rough[i, near]).all():
             least = np.partition(rough[i, near], len(near) - k)[len(near) - k]
-            near = near[rough[i, near] >= least - 1e-9 * (1 + abs(least))]
-        exact = (x[near] * queries[i]).sum(axis=1)
+            near = near[rough[i, near] >= least - error[i]]
+        exact = np.nan_to_num((x[near] * queries[i]).sum(axis=1), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
         order = np.lexsort((ids[near], -exact))[:k]
         yield i, ids[near][order], exact[order]
 
@@ -273,4 +282,4 @@ def _calibrated(index: DataFrame, tree: Tree, probes: np.ndarray, k: int) -> int
         order = tree.visits(d, n_leaves, 0)
         turn[i, order] = np.arange(len(order))
     needed = np.sort([turn[r["query"], r["leaf"]] for r in true])
-    return int(needed[max(0, math.ceil(RECALL * len(needed)) - 1)]) + 1
+    return int(needed[max(0, math.ceil(RECALL * len(needed)) - 1)]) + 1 if len(needed) else n_leaves

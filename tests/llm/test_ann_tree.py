@@ -76,3 +76,25 @@ def test_visits_follow_the_priority_queue():
     order = tree.visits(tree.centres @ x[0], len(tree.rows), 0)
     assert sorted(order) == list(range(len(tree.rows)))
     assert len(tree.visits(tree.centres @ x[0], 1, 700)) > 1
+
+
+def test_nearly_orthogonal_vectors_of_large_norm():
+    rng = np.random.default_rng(4)
+    q = np.zeros((1, 8))
+    q[0, 0] = 4e6
+    x = rng.standard_normal((500, 8)) * 4e6
+    x[:, 0] = rng.standard_normal(500) * 1e-9
+    (_, ids, scores), = at.best(q, x, np.arange(500), 20)
+    exact = (x * q).sum(axis=1)
+    assert ids.tolist() == np.lexsort((np.arange(500), -exact))[:20].tolist() and (scores == exact[ids]).all()
+
+
+def test_products_beyond_the_range_of_doubles(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(c) for c in rng.standard_normal(4) * 1e200], 0) for i in range(60)]
+    out = at.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.query_id for r in out} == {0, 20, 40} and len(out) == 60
+    for r in out:
+        with np.errstate(over="ignore", invalid="ignore"):
+            want = sum(a * b for a, b in zip(rows[r.query_id][1], rows[r.vec_id][1]))
+        assert r.score == want or (np.isnan(want) and r.score == -np.inf)
