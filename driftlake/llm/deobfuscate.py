@@ -217,7 +217,7 @@ def spaced_runs(codes: np.ndarray, firsts: np.ndarray, one: np.ndarray) -> Itera
 class Restorer:
     """Restored words of a batch of texts; remembers the tokens it has decoded (as many as fit a bounded table)."""
 
-    REMEMBERED = 200_000
+    REMEMBERED = 100_000
 
     def __init__(self, table: np.ndarray):
         self.model = array("f", np.ascontiguousarray(table, np.float32).tobytes())

@@ -31,11 +31,13 @@ from driftlake.llm.common import mixed, saved, slices, texts
 from driftlake.llm.deobfuscate import Restorer, character_model, restore_text, spread_out
 
 SAMPLE, WINDOWS = 10_000, 4096
-#: Least likelihood ratio (2 log L) and least number of texts of a window; penalty and steps of the fit.
-ASSOCIATED, SEEN, PENALTY, STEPS = 12.0, 3, 5e-5, 600
+#: Least likelihood ratio (2 log L) and least number of texts of a window; penalty, steps, and the move that ends the fit.
+ASSOCIATED, SEEN, PENALTY, STEPS, SETTLED = 12.0, 3, 5e-5, 600, 1e-4
 #: Squared penalty of the last fit, of the windows that the first one keeps.
 RIDGE = 2e-5
 FOLDS = 5
+#: Text bytes worked on at a time; every word of it stands for some twenty windows.
+SLICE = 1 << 21
 STEMS, WORD = range(5, 10), 15
 
 _SEPARATES = np.zeros(256, bool)
@@ -172,7 +174,7 @@ def _associated(sample: DataFrame, language: np.ndarray) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(language)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             toxic = batch.column("toxic").to_numpy()
             distinct, token, text = restorer.batch(batch.column("text"))
             code, word = _windows(distinct)
@@ -209,7 +211,10 @@ def _fitted(text: np.ndarray, window: np.ndarray, toxic: np.ndarray, n_windows:
         now_bias = ahead_bias - step * float(rest.mean())
         again = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, ahead_bias = now + (t - 1) / again * (now - weights), now_bias + (t - 1) / again * (now_bias - bias)
+        moved = max(float(np.abs(now - weights).max(initial=0)), abs(now_bias - bias))
         weights, bias, t = now, now_bias, again
+        if moved < SETTLED:
+            break
     return weights, bias
 
 
@@ -241,7 +246,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", column: st
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(language)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             text, number = _present(restorer, lookup, batch.column("text"))
             cuts = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
             held = pa.ListArray.from_arrays(pa.array(cuts), pa.array(number.astype(np.int16)))
@@ -265,7 +270,7 @@ def score_texts(docs: DataFrame, classifier: Classifier, doc_id: str = "doc_id",
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(language)
-        for batch in slices(batches, "tox_text"):
+        for batch in slices(batches, "tox_text", SLICE):
             text, number = _present(restorer, lookup, texts(batch, "tox_text"))
             z = np.bincount(text, weights=weights[number], minlength=batch.num_rows) + bias
             p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
