@@ -273,6 +273,23 @@ def infer_contract(spark, sf_dir):
     )
 
 
+_KINDS = ", ".join(
+    f"CASE WHEN n_{t} > 0{' AND n_number = 0' if t == 'integer' else ''} THEN '{t}' END" for t in ("array", "boolean", "integer", "null", "number", "object", "string")
+)
+
+
+@query(
+    "infer_contract_unions",
+    f"""SELECT {KEYS_SQL}, path, CASE WHEN NOT in_array AND n_object = 0 AND top < present AND top * 1.0 / present >= 0.95 AND (n_integer = top OR n_number = top) THEN 'number'
+          WHEN len(kinds) = 1 THEN kinds[1] ELSE '' END AS type, false AS nullable
+        FROM (SELECT *, list_filter([{_KINDS}], lambda x: x IS NOT NULL) AS kinds FROM leaf)""",
+    TRAFFIC, STATS_SQL,
+)
+def infer_contract_unions(spark, sf_dir):
+    """Types with unions written as an empty type, and null as a type of its own."""
+    return inferred(spark, sf_dir, union_mode="reference").select(*KEYS, "path", "type", "nullable")
+
+
 @query("infer_document")
 def infer_document(spark, sf_dir):
     found = I.schema_nodes(S.path_stats(nodes(spark, sf_dir), values=True))

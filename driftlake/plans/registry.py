@@ -449,6 +449,28 @@ def gate_check_event(spark, sf_dir):
     return G.gate_check(requests(spark, sf_dir), violations(spark, sf_dir), policy_table(spark), as_of(), "event")
 
 
+# Warnings of a day first: with honor_action they let a request pass, and a breaking change behind them does not block it.
+WARN_FIRST = [
+    {"name": "warn-on-warnings", "description": "Warn on any WARNING of the day", "conditions": [{"severity": "WARNING", "min_count": 2, "window": "24h"}], "action": "warn"},
+    {"name": "block-breaking", "description": "Deny on any BREAKING of the day", "conditions": [{"severity": "BREAKING", "min_count": 1, "window": "24h"}], "action": "deny"},
+]
+_WARN_POLICIES = """policies(ordinal, policy, description, severity, min_count, seconds) AS (VALUES
+  (0, 'warn-on-warnings', 'Warn on any WARNING of the day', 'WARNING', 2, 86400),
+  (1, 'block-breaking', 'Deny on any BREAKING of the day', 'BREAKING', 1, 86400))"""
+
+
+@query(
+    "gate_check_warnings",
+    _event_sql.replace("h.policy IS NULL AS allowed", "h.policy IS DISTINCT FROM 'block-breaking' AS allowed")
+    .replace("CASE WHEN h.policy IS NULL THEN 'ALLOW' ELSE 'DENY' END", "CASE WHEN h.policy IS DISTINCT FROM 'block-breaking' THEN 'ALLOW' ELSE 'DENY' END")
+    .replace("CASE WHEN h.policy IS NULL THEN 'proceed' ELSE 'deny' END", "CASE WHEN h.policy IS NULL THEN 'proceed' WHEN h.policy = 'block-breaking' THEN 'deny' ELSE 'warn' END"),
+    ("violations", "deployments"), _event_ctes.replace(_POLICIES, _WARN_POLICIES),
+)
+def gate_check_warnings(spark, sf_dir):
+    """The first matching policy decides, and one that only warns lets the request pass."""
+    return G.gate_check(requests(spark, sf_dir), violations(spark, sf_dir), policy_table(spark, WARN_FIRST), as_of(), "event", honor_action=True)
+
+
 @query(
     "gate_audit",
     f"""SELECT service_id, version_sha, target_env, decision, 0 AS drift_score, CAST(NULL AS VARCHAR) AS override_reason,

@@ -7,8 +7,6 @@ import __spark_entry__ as entry
 from tools.check import TABLES, bag
 
 SF_DIR = "/root/testdata/sf0.001"
-# these need Python state workers or many micro-batches; the checks at a larger scale cover them
-SLOW = {"stream_rate_limit", "stream_infer_window", "stream_drift", "dedup_5m_busy"}
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +21,7 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", list(entry.queries()))
 def test_query(spark, oracle, name):
     df = entry.queries()[name](spark, SF_DIR)
     rows = df.collect()
