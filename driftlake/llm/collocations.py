@@ -13,6 +13,9 @@ Words end a window where the text or a piece ends, so every word starts one wind
 words is the weight of its prefix. Scores are Python integers, so nothing overflows. Ranges are cut by a sample of texts,
 which decides where work is done and has no influence on results.
 
+A range may hold 2**21 - 1 different words; beyond, the run ends with an
+error that names ``RANGE_BYTES``.
+
 Edge cases: a null text is empty; a null language is ``und``, also beside one called so; texts without words give
 nothing; equal rows count each; phrases of equal rank columns are ordered by their bytes; other columns take no part.
 """
