@@ -78,29 +78,39 @@ def _lookup(table: dict[str, tuple[str, str | None]]) -> Column:
     return F.create_map(*entries)
 
 
-def _resolve(name: Column) -> dict[str, Column]:
-    """type, format, enum values and reference of a type name, in the order the names are looked up."""
-    last = F.element_at(F.split(name, r"\."), -1)
+def _resolved(fields: DataFrame) -> DataFrame:
+    """Columns ``type``, ``format``, ``enum_values`` and ``ref`` of the type name ``wanted``, in the order names are looked up.
+
+    Every step is a column of its own: the optimizer does not merge them, as each is used several times, while the fields
+    of one struct would be put in place wherever they are used.
+    """
+    name = F.col("wanted")
     full = F.when(F.contains(name, F.lit(".")), name).otherwise(F.concat(F.lit("google.protobuf."), name))
-    known = F.coalesce(_lookup(SCALARS)[name], _lookup(WELL_KNOWN)[full])
-    named = F.filter("enums", lambda e: e["name"] == last)
+    fields = fields.withColumns({
+        "known": F.coalesce(_lookup(SCALARS)[name], _lookup(WELL_KNOWN)[full]), "last": F.element_at(F.split(name, r"\."), -1)
+    })
+    unknown = F.col("known").isNull()
+    named = F.filter("enums", lambda e: e["name"] == F.col("last"))
+    fields = fields.withColumn("named", F.when(unknown, named))
     # from the innermost scope outwards; a qualified name says its scope itself
     dotted = F.concat(F.lit("."), F.ltrim(name, F.lit(".")))
     inside = F.when(
         F.contains(name, F.lit(".")),
-        F.filter(named, lambda e: F.endswith(F.concat(F.lit("."), F.array_join(F.concat(e["scope"], F.array(e["name"])), ".")), dotted)),
-    ).otherwise(F.filter(named, lambda e: F.slice("scopes", F.lit(1), F.size(e["scope"])) == e["scope"]))
-    found = F.when(F.size(inside) > 0, inside).otherwise(named)
-    nearest = F.array_max(F.transform(found, lambda e: F.struct(F.size(e["scope"]).alias("n"), e["scope"].alias("scope"))))["scope"]
-    values = F.transform(F.filter(found, lambda e: e["scope"] == nearest), lambda e: e["value"])
-    is_enum = known.isNull() & (F.size(values) > 0)
-    is_message = known.isNull() & ~is_enum & F.array_contains("messages", last)
-    return {
-        "type": F.when(known.isNotNull(), known["type"]).when(is_enum, "string").otherwise("object"),
-        "format": known["format"],
-        "enum_values": F.when(is_enum, values).otherwise(F.array().cast("array<string>")),
-        "ref": F.when(is_message, last),
-    }
+        F.filter("named", lambda e: F.endswith(F.concat(F.lit("."), F.array_join(F.concat(e["scope"], F.array(e["name"])), ".")), dotted)),
+    ).otherwise(F.filter("named", lambda e: F.slice("scopes", F.lit(1), F.size(e["scope"])) == e["scope"]))
+    fields = fields.withColumn("inside", F.when(F.size("named") > 0, inside))
+    fields = fields.withColumn("found", F.when(F.size("inside") > 0, F.col("inside")).otherwise(F.col("named"))).drop("inside", "named")
+    nearest = F.array_max(F.transform("found", lambda e: F.struct(F.size(e["scope"]).alias("n"), e["scope"].alias("scope"))))["scope"]
+    fields = fields.withColumn("nearest", nearest)
+    none = F.array().cast("array<string>")
+    values = F.transform(F.filter("found", lambda e: e["scope"] == F.col("nearest")), lambda e: e["value"])
+    fields = fields.withColumn("enum_values", F.coalesce(F.when(F.size("found") > 0, values), none)).drop("found", "nearest")
+    is_enum = F.size("enum_values") > 0
+    return fields.withColumns({
+        "type": F.when(unknown & is_enum, "string").otherwise(F.coalesce("known.type", F.lit("object"))),
+        "format": F.col("known.format"),
+        "ref": F.when(unknown & ~is_enum & F.array_contains("messages", F.col("last")), F.col("last")),
+    }).drop("known", "last")
 
 
 def proto_nodes(corpus: DataFrame, keys: Sequence[str], text: str = "proto") -> DataFrame:
@@ -120,7 +130,8 @@ def proto_nodes(corpus: DataFrame, keys: Sequence[str], text: str = "proto") ->
     scopes = F.transform(F.filter("f.stack", lambda b: b.startswith("message ")), lambda b: F.regexp_extract(b, r"^\w+ (\w+)", 1))
     block = F.element_at("f.stack", -1)
     fields = (
-        parsed.select(*keys, "messages", "enums", F.explode("fields").alias("f"))
+        # outer: else a filter on the size of the list would parse every file once more at the scan
+        parsed.select(*keys, "messages", "enums", F.explode_outer("fields").alias("f"))
         .withColumns({"label": part[0], "kind": part[1], "name": part[2], "scopes": scopes})
         .withColumn("oneof", F.when(block.startswith("oneof "), F.regexp_extract(block, r"^\w+ (\w+)", 1)))
         .filter("name <> '' AND kind <> 'option' AND size(scopes) > 0")
@@ -128,9 +139,8 @@ def proto_nodes(corpus: DataFrame, keys: Sequence[str], text: str = "proto") ->
     is_map = F.col("kind").startswith("map")
     value = F.regexp_extract("kind", r", ?([\w.]+) ?>", 1)
     fields = fields.withColumn("wanted", F.when(is_map, value).otherwise(F.col("kind")))
-    # resolved once into columns, because the node rows below refer to them several times
-    fields = fields.withColumn("r", F.struct(*[c.alias(n) for n, c in _resolve(F.col("wanted")).items()]))
-    found = {n: F.col(f"r.{n}") for n in ("type", "format", "enum_values", "ref")}
+    fields = _resolved(fields)
+    found = {n: F.col(n) for n in ("type", "format", "enum_values", "ref")}
     repeated = F.col("label") == "repeated"
     none = F.array().cast("array<string>")
     null = F.lit(None).cast("string")
