@@ -16,8 +16,9 @@ def correlate(
     """One deployment per violation with ``detected - minutes < deployed < detected``, both strict.
 
     ``first`` takes the earliest in the window (ties by id), ``nearest`` the latest. Violations
-    without one are dropped.
+    without one are dropped; rows without a service match nothing.
     """
+    deployments = deployments.filter(F.col("service_id").isNotNull())
     window = F.expr(f"INTERVAL {minutes} MINUTES")
     opened = violations.withColumn("opened_at", F.col("detected_at") - window)
     if pick == "first":

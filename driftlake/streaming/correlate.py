@@ -2,42 +2,126 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from driftlake.functions.scalars import micros
 
 WATERMARK = "10 minutes"
+_MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
+
+
+class _First(StatefulProcessor):
+    """State of one (service, bucket): its deployments, the first one of the bucket after it, and the violations of the
+    bucket after it that the watermark has not passed. Times are in microseconds.
+    """
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "t bigint, v string", "n bigint")
+        self.own = handle.getMapState("own", "t bigint, id string, sha string", "n bigint")
+        self.next = handle.getValueState("next", "t bigint, id string, sha string")
+
+    @staticmethod
+    def _order(deployment: tuple) -> tuple:
+        return deployment[0], deployment[1] or "", deployment[2] or ""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        following = self.next.get() if self.next.exists() else None
+        known = following
+        for frame in rows:
+            for t, v, own_id, sha in zip(frame["t"], frame["v"], frame["deployment_id"], frame["version_sha"], strict=True):
+                t = int(t)
+                if v is not None:
+                    self.waiting.updateValue((t, v), (1,))
+                elif t // self.width == key[1]:
+                    self.own.updateValue((t, own_id, sha), (1,))
+                else:
+                    following = min((d for d in (following, (t, own_id, sha)) if d is not None), key=self._order)
+        if following != known:
+            self.next.update(following)
+        yield from self._run(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._run(key, timerValues)
+
+    def _run(self, key, timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(k for k, _ in self.waiting.iterator())
+        ready = [k for k in waiting if k[0] <= passed]
+        out = []
+        if ready:
+            own = sorted((k for k, _ in self.own.iterator()), key=self._order)
+            times = [d[0] for d in own]
+            following = self.next.get() if self.next.exists() else None
+            for t, v in ready:
+                at = bisect_right(times, t - self.width)
+                found = own[at] if at < len(own) else following
+                if found is not None and found[0] < t:
+                    out.append((key[0], v, *found))
+                self.waiting.removeKey((t, v))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        end = (int(key[1]) + 2) * self.width
+        if passed >= end:
+            # no violation of this bucket can come any more
+            for state in (self.waiting, self.own, self.next):
+                state.clear()
+        else:
+            # a timer fires once the watermark lies behind it
+            ahead = [-(-k[0] // 1000) - 1 for k in waiting[len(ready) :][:1]]
+            self.handle.registerTimer(min([*ahead, -(-end // 1000)]))
+        if out:
+            yield pd.DataFrame(out, columns=["service_id", "v", "t", "deployment_id", "version_sha"])
+
+    def close(self) -> None:
+        pass
 
 
 def correlate_stream(
     violations: DataFrame, deployments: DataFrame, minutes: int = 30, watermark: str = WATERMARK
 ) -> DataFrame:
-    """The first deployment in the window before each violation.
+    """The first deployment in the window before each violation, both ends of the window strict.
 
-    The join key holds a time bucket next to the service: a violation looks into the two buckets
-    its window touches, so a busy service spreads over its buckets, and old deployments leave the
-    state with the watermark. A result is emitted only after the watermark has passed the
-    violation, because an earlier deployment may still arrive before that.
+    The state is keyed by service and time bucket as long as the window. A violation belongs to the bucket in which its
+    window opens, and either finds its deployment there, by binary search, or takes the first one of the bucket after it;
+    so a deployment goes to two buckets, a violation to one, and no pairs are built. A busy service spreads over its
+    buckets. A result is emitted only after the watermark has passed the violation, because an earlier deployment may
+    still arrive before that; a bucket leaves the state when no violation can need it. Violations that are equal in
+    every column count once. Rows without a service or a time match nothing.
     """
-    width = minutes * 60
-    window = F.expr(f"INTERVAL {minutes} MINUTES")
+    width = minutes * 60_000_000
+    shape = violations.drop("service_id").schema
+    kind = violations.schema["service_id"].dataType.simpleString()
+    null = F.lit(None).cast("string")
 
-    def bucket(time):
-        return F.floor(F.unix_seconds(time) / width)
+    def sides(rows: DataFrame, time: str, buckets, v, own_id, sha) -> DataFrame:
+        t = micros(F.col(time))
+        return rows.withWatermark(time, watermark).filter(F.col("service_id").isNotNull() & F.col(time).isNotNull()).select(
+            "service_id", buckets(F.floor(t / width)).alias("bucket"), F.col(time).alias("at"), t.alias("t"),
+            v.alias("v"), own_id.alias("deployment_id"), sha.alias("version_sha"),
+        )
 
-    v = (
-        violations.withWatermark("detected_at", watermark)
-        .withColumn("bucket", F.explode(F.sequence(bucket(F.col("detected_at") - window), bucket(F.col("detected_at")))))
-        .withColumnRenamed("service_id", "v_service").withColumnRenamed("bucket", "v_bucket")
-    )
-    d = (
-        deployments.withWatermark("deployed_at", watermark)
-        .select("service_id", "deployed_at", "deployment_id", "version_sha", bucket(F.col("deployed_at")).alias("bucket"))
+    seen = F.to_json(F.struct(*shape.names), _MICROS)
+    left = sides(violations, "detected_at", lambda b: b - 1, seen, null, null)
+    right = sides(
+        deployments, "deployed_at", lambda b: F.explode(F.array(b, b - 1)), null,
+        F.col("deployment_id").cast("string"), F.col("version_sha").cast("string"),
     )
-    joined = v.join(
-        d,
-        (F.col("v_service") == F.col("service_id")) & (F.col("v_bucket") == F.col("bucket"))
-        & (F.col("deployed_at") > F.col("detected_at") - window) & (F.col("deployed_at") < F.col("detected_at")),
+    found = left.unionByName(right).groupBy("service_id", "bucket").transformWithStateInPandas(
+        statefulProcessor=_First(width), outputStructType=f"service_id {kind}, v string, t bigint, deployment_id string, version_sha string",
+        outputMode="Append", timeMode="EventTime",
     )
-    first = F.min(F.struct("deployed_at", "deployment_id", "version_sha")).alias("d")
-    keys = [c for c in violations.columns if c != "service_id"]
-    return joined.groupBy("service_id", *keys).agg(first).select("service_id", *keys, "d.*")
+    types = {f.name: f.dataType for f in deployments.schema}
+    return found.select(
+        "service_id", F.from_json("v", shape, _MICROS).alias("v"), F.timestamp_micros("t").alias("deployed_at"),
+        F.col("deployment_id").cast(types["deployment_id"]), F.col("version_sha").cast(types["version_sha"]),
+    ).select("service_id", "v.*", "deployed_at", "deployment_id", "version_sha")
