@@ -1,31 +1,23 @@
 """JSON payloads as one long table of nodes.
 
-Every document is unfolded level by level inside its own row (array functions over VARIANT),
-then exploded once: one scan, one generator, no join, and the same expression works on a stream.
-Only documents deeper than the unrolled levels are taken further by Python.
+Every document is unfolded inside its own row (nested array functions over VARIANT), then exploded once: one scan, one
+generator, no join, no Python, and the same expression works on a stream. Types and value texts are taken while a document
+is unfolded, so only plain columns are copied for a node, never the dictionary of its VARIANT.
 """
 
 from __future__ import annotations
 
-import json
-import sys
 from collections.abc import Iterable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from driftlake.functions.normalize import TIMESTAMP_PLACEHOLDER, VOLATILE_FIELDS, mask_uuid
 
 TRAFFIC_KEYS = ("service_id", "endpoint", "method")
 JSON_TYPES = ("integer", "number", "string", "boolean", "null", "array", "object")
-# levels unrolled as SQL; what lies deeper is rare and walked in Python
-UNROLLED = 8
-_NODE = {"path": "string", "parent_path": "string", "name": "string", "depth": "integer", "is_item": "boolean", "in_array": "boolean", "v": "string"}
-_DEEP = T.ArrayType(T.StructType())
-for _name, _kind in _NODE.items():
-    _DEEP.elementType.add(_name, _kind)
+# levels written out as nested expressions; what lies deeper is rare and taken level by level in a loop
+UNROLLED = 4
 
 _MEMBERS = "try_variant_get({v}, '$', 'map<string,variant>')"
 _ITEMS = "try_variant_get({v}, '$', 'array<variant>')"
@@ -37,16 +29,18 @@ def is_object(variant: str) -> Column:
 
 def json_type(variant: Column) -> Column:
     """JSON type name of a VARIANT value."""
-    shape = F.schema_of_variant(variant)
-    head = F.regexp_extract(shape, r"^([A-Z]+)", 1)
-    big_integer = shape.rlike(r"^DECIMAL\((19|[23]\d),0\)$")
+    return _type_of(F.schema_of_variant(variant))
+
+
+def _type_of(shape: Column) -> Column:
+    """JSON type name of what ``schema_of_variant`` tells; integers beyond 18 digits are decimals without a fraction."""
     return (
-        F.when((head == "BIGINT") | big_integer, "integer")
-        .when(head == "STRING", "string")
-        .when(head == "BOOLEAN", "boolean")
-        .when(head == "VOID", "null")
-        .when(head == "ARRAY", "array")
-        .when(head == "OBJECT", "object")
+        F.when(shape.isin("BIGINT", *[f"DECIMAL({p},0)" for p in range(19, 39)]), "integer")
+        .when(shape == "STRING", "string")
+        .when(shape == "BOOLEAN", "boolean")
+        .when(shape == "VOID", "null")
+        .when(shape.startswith("ARRAY"), "array")
+        .when(shape.startswith("OBJECT"), "object")
         .otherwise("number")
     )
 
@@ -57,62 +51,63 @@ def parse_objects(df: DataFrame, body: str = "body", out: str = "doc") -> DataFr
     return parsed.filter(is_object(out))
 
 
-def _level(depth: int, raw_paths: bool, masked: Iterable[str]) -> str:
-    """SQL for the children of the nodes of one level."""
-    name = "e.key" if raw_paths else "replace(e.key, '.', '\\\\.')"
-    value = "e.value"
-    names = ", ".join(f"'{m}'" for m in masked)
-    if names:
-        value = f"""CASE WHEN e.key IN ({names}) THEN parse_json('"{TIMESTAMP_PLACEHOLDER}"') ELSE e.value END"""
-    members = f"""transform(map_entries({_MEMBERS.format(v='n.v')}), e -> struct(
-        concat(n.path, CASE WHEN n.path = '' THEN '' ELSE '.' END, {name}) AS path,
-        n.path AS parent_path, e.key AS name, {depth} AS depth, false AS is_item,
-        n.in_array AS in_array, {value} AS v))"""
-    items = f"""transform({_ITEMS.format(v='n.v')}, e -> struct(
-        concat(n.path, '[]') AS path, n.path AS parent_path, '[]' AS name, {depth} AS depth,
-        true AS is_item, true AS in_array, e AS v))"""
-    return f"flatten(transform(l{depth - 1}, n -> coalesce({members}, {items}, array())))"
-
-
-class _Number(str):
-    """A number as it is written."""
-
-
-def _text(value) -> str:
-    if isinstance(value, _Number):
-        return value
-    if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_text(v)}" for k, v in value.items()) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join(map(_text, value)) + "]"
-    return json.dumps(value, ensure_ascii=False)
-
-
-@F.pandas_udf(_DEEP)
-def _deeper_nodes(parents: pd.Series, depth: pd.Series, raw_paths: pd.Series, masked: pd.Series) -> pd.Series:
-    """All nodes below the given ones (path, in_array, JSON text), whose level is ``depth``."""
-
-    def below(parent, depth, raw, masked):
-        out = []
-        todo = [(parent["path"], parent["in_array"], depth, json.loads(parent["v"], parse_int=_Number, parse_float=_Number))]
-        while todo:
-            path, in_array, at, value = todo.pop()
-            if isinstance(value, dict):
-                kids = [(k, f"{path}.{k if raw else k.replace('.', chr(92) + '.')}", False, TIMESTAMP_PLACEHOLDER if k in masked else v) for k, v in value.items()]
-            else:
-                kids = [("[]", path + "[]", True, v) for v in value]
-            for name, own, is_item, v in kids:
-                inside = in_array or is_item
-                # the members of an object have rows of their own
-                text = "{}" if isinstance(v, dict) else _text(v)
-                out.append({"path": own, "parent_path": path, "name": name, "depth": at + 1, "is_item": is_item, "in_array": inside, "v": text})
-                if isinstance(v, (dict, list)):
-                    todo.append((own, inside, at + 1, v))
-        return out
-
-    sys.setrecursionlimit(20_000)  # the parser nests at most 1000 levels
-    rows = zip(parents, depth, raw_paths, masked, strict=True)
-    return pd.Series([[n for p in nodes for n in below(p, d, raw, set(names))] if len(nodes) else [] for nodes, d, raw, names in rows])
+class _Unfold:
+    """SQL for the nodes of a document. ``n`` is a node with its VARIANT ``v``, ``x`` what it holds: members or items."""
+
+    def __init__(self, max_depth: int | None, values: bool, raw_paths: bool, masked: Iterable[str]):
+        self.max_depth, self.values = max_depth, values
+        self.name = "e.key" if raw_paths else "replace(e.key, '.', '\\\\.')"
+        names = ", ".join(f"'{m}'" for m in masked)
+        self.value = f"""CASE WHEN e.key IN ({names}) THEN parse_json('"{TIMESTAMP_PLACEHOLDER}"') ELSE e.value END""" if names else "e.value"
+
+    @staticmethod
+    def _let(name: str, value: str, body: str) -> str:
+        """``body`` with ``name`` for a struct. Array functions ask for the type of their argument in every row; that of a name is at hand."""
+        return f"aggregate(array(0), struct({value}), ({name}, u) -> {name}, {name} -> {body})"
+
+    def _with_content(self, node: str, body: str) -> str:
+        return self._let("x", f"{_MEMBERS.format(v=f'{node}.v')} AS m, {_ITEMS.format(v=f'{node}.v')} AS a", body)
+
+    def _flat(self, name: str, arrays: str) -> str:
+        return self._let(name, f"{arrays} AS parts", f"flatten({name}.parts)")
+
+    def _kids(self, node: str) -> str:
+        """Nodes below ``node``, null for a scalar."""
+        return f"""coalesce(
+            transform(map_entries(x.m), e -> struct(concat({node}.path, CASE WHEN {node}.path = '' THEN '' ELSE '.' END, {self.name}) AS path,
+              {node}.path AS parent_path, e.key AS name, false AS is_item, {node}.in_array AS in_array, {self.value} AS v)),
+            transform(x.a, e -> struct(concat({node}.path, '[]') AS path, {node}.path AS parent_path, '[]' AS name, true AS is_item, true AS in_array, e AS v)))"""
+
+    def _row(self, node: str, depth: int | str) -> str:
+        text = f"CASE WHEN x.m IS NULL THEN CAST({node}.v AS STRING) END" if self.values else "CAST(NULL AS STRING)"
+        cut = "size(x.m) > 0 OR size(x.a) > 0" if depth == self.max_depth else "false"
+        return f"""struct({node}.path AS path, {node}.parent_path AS parent_path, {node}.name AS name, {depth} AS depth, {node}.is_item AS is_item,
+            {node}.in_array AS in_array, CASE WHEN x.m IS NOT NULL THEN 'OBJECT' WHEN x.a IS NOT NULL THEN 'ARRAY' ELSE schema_of_variant({node}.v) END AS shape,
+            {text} AS value_str, coalesce({cut}, false) AS truncated)"""
+
+    def _below(self, node: str, depth: int) -> str:
+        """All nodes below one at the last level that is written out. A level needs a bracket, which bounds the rounds."""
+        json = f"to_json({node}.v)"
+        brackets = f"length({json}) - length(replace(replace({json}, '{{', ''), '[', ''))"
+        deeper = self._flat("y", f"transform(s.front, d -> {self._with_content('d', f'coalesce({self._kids("d")}, array())')})")
+        rows = f"transform(s.front, d -> {self._with_content('d', self._row('d', 'i'))})"
+        return f"""CASE WHEN size(x.m) > 0 OR size(x.a) > 0 THEN aggregate(sequence({depth + 1}, {depth} + {brackets}),
+            struct({self._kids(node)} AS front, array({self._row(node, depth)}) AS done),
+            (s, i) -> CASE WHEN size(s.front) = 0 THEN s ELSE struct({deeper} AS front, concat(s.done, {rows}) AS done) END, s -> s.done)
+          ELSE array({self._row(node, depth)}) END"""
+
+    def nodes(self, node: str, depth: int = 0) -> str:
+        """An array of ``node`` and all nodes below it, null if it is the root and no object."""
+        own = f"array({self._row(node, depth)})"
+        if depth == self.max_depth:
+            whole = own
+        elif self.max_depth is None and depth == max(UNROLLED, 1):
+            whole = self._below(node, depth)
+        else:
+            below = f"n{depth + 1}"
+            subtrees = self._flat(f"y{depth}", f"transform({self._kids(node)}, {below} -> {self.nodes(below, depth + 1)})")
+            whole = f"CASE WHEN x.m IS NULL AND x.a IS NULL THEN {own} ELSE concat({own}, {subtrees}) END"
+        return self._with_content(node, whole if depth else f"CASE WHEN x.m IS NOT NULL THEN {whole} END")
 
 
 def json_nodes(
@@ -127,46 +122,23 @@ def json_nodes(
     """One row per JSON node of the documents that are objects, the root (``path = ''``) included.
 
     ``doc`` is a VARIANT column or SQL expression. ``values=False`` leaves out the value text, which keeps the
-    rows small when only types are counted. ``UNROLLED`` levels are unrolled in SQL; documents
-    that go deeper are walked by Python from there on, so no node is left out. Only a ``max_depth``
+    rows small when only types are counted. Documents of any depth are unfolded whole. Only a ``max_depth``
     that the caller gives ends them: nodes there that still have children carry ``truncated = true``. A dot inside a name is
     escaped as ``\\.`` unless ``raw_paths``. With ``mask_volatile`` the volatile fields become
     a placeholder string and are not descended into, and UUIDs in names and values are masked.
     """
-    masked = VOLATILE_FIELDS if mask_volatile else ()
+    unfold = _Unfold(max_depth, values, raw_paths, VOLATILE_FIELDS if mask_volatile else ())
+    # a name for the root, so that a document is parsed once; a non-object leaves no node
+    root = f"'' AS path, CAST(NULL AS STRING) AS parent_path, CAST(NULL AS STRING) AS name, false AS is_item, false AS in_array, {doc} AS v"
+    whole = F.expr(unfold._let("n0", root, unfold.nodes("n0")))
     keys = list(keys)
-    # one array element per document: it is parsed once, and a non-object leaves no node
-    levels = df.select(
-        *keys,
-        F.expr(
-            f"""transform(filter(array({doc}), d -> {_MEMBERS.format(v='d')} IS NOT NULL), d -> struct(
-              '' AS path, CAST(NULL AS STRING) AS parent_path, CAST(NULL AS STRING) AS name,
-              0 AS depth, false AS is_item, false AS in_array, d AS v)) AS l0"""
-        ),
-    )
-    unrolled = UNROLLED if max_depth is None else max_depth
-    for depth in range(1, unrolled + 1):
-        levels = levels.select("*", F.expr(_level(depth, raw_paths, masked)).alias(f"l{depth}"))
-    every = [F.col(f"l{d}") for d in range(unrolled + 1)]
-    if max_depth is None:
-        more = f"filter(l{unrolled}, n -> size({_MEMBERS.format(v='n.v')}) > 0 OR size({_ITEMS.format(v='n.v')}) > 0)"
-        deep = F.expr(f"coalesce(transform({more}, n -> struct(n.path, n.in_array, to_json(n.v) AS v)), array())")
-        names = F.array(*map(F.lit, masked)).cast("array<string>")
-        levels = levels.withColumn("deep", _deeper_nodes(deep, F.lit(unrolled), F.lit(raw_paths), names))
-        fields = ", ".join("parse_json(n.v) AS v" if c == "v" else f"n.{c}" for c in _NODE)
-        every.append(F.expr(f"transform(deep, n -> struct({fields}))"))
-    all_levels = F.concat(*every)
-    flat = levels.select(*keys, F.explode(all_levels).alias("n")).select(*keys, "n.*")
-
-    out = flat.withColumn("json_type", json_type(F.col("v")))
-    if values:
-        text = F.when(F.col("json_type") != "object", F.col("v").cast("string"))
-        out = out.withColumn("value_str", mask_uuid(text) if mask_volatile else text)
+    # with a plain explode, the filter that Spark infers would unfold every document a second time, before the exchange
+    flat = df.select(*keys, whole.alias("all")).select(*keys, F.explode_outer("all").alias("n")).select(*keys, "n.*").filter("path IS NOT NULL")
+    out = flat.withColumn("json_type", _type_of(F.col("shape")))
     if mask_volatile:
-        out = out.withColumns({c: mask_uuid(F.col(c)) for c in ("path", "parent_path", "name")})
-    has_children = F.expr(f"size({_MEMBERS.format(v='v')}) > 0 OR size({_ITEMS.format(v='v')}) > 0")
-    cut = F.lit(False) if max_depth is None else F.when(F.col("depth") == max_depth, F.coalesce(has_children, F.lit(False))).otherwise(False)
-    return out.withColumn("truncated", cut).drop("v")
+        out = out.withColumns({c: mask_uuid(F.col(c)) for c in ("path", "parent_path", "name", "value_str")})
+    columns = ["path", "parent_path", "name", "depth", "is_item", "in_array", "json_type", *(["value_str"] if values else []), "truncated"]
+    return out.select(*keys, *columns)
 
 
 def traffic_nodes(samples: DataFrame, extra: Sequence[str] = (), **options) -> DataFrame:

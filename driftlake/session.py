@@ -20,6 +20,9 @@ RUNTIME_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
 }
 
+#: Rows of a scan that one task takes.
+TASK_ROWS = 50_000
+
 
 def build_session(app: str = "driftlake", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -68,11 +71,11 @@ def state_partitions(spark: SparkSession, n: int | None = None) -> Iterator[None
         spark.conf.set(key, before)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input is smaller than the cluster, else keep its splits.
+def spread(df: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Use all cores and give no task more than about ``task_rows`` rows, or keep the splits of the input if they are finer.
 
-    Only for plain scans: a file that gives fewer splits than cores is small by definition,
-    so the extra exchange is too.
+    Only for plain scans, whose rows are counted from the files' footers: a compact file is cut into a few splits per core
+    at most, however many rows it holds, and a payload takes far more work than its bytes tell.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    pieces = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // task_rows))
+    return df.repartition(pieces) if df.rdd.getNumPartitions() < pieces else df

@@ -57,6 +57,21 @@ def test_payload_nodes_of_any_depth(spark, monkeypatch):
     assert sorted(map(tuple, shallow.collect()), key=str) == sorted(map(tuple, early.collect()), key=str)
 
 
+def test_payloads_are_unfolded_once_and_without_python(spark):
+    flat = traffic_nodes(samples(spark, ['{"a":{"b":[1]}}', "[1]", "{"]).repartition(3))
+    plan = flat._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and plan.count("try_parse_json") + plan.count("ParseJson") <= plan.count("aggregate(") + 1
+    assert "Filter (size(" not in plan and sorted(r.path for r in flat.collect()) == ["", "a", "a.b", "a.b[]"]
+
+
+def test_wide_and_deep_payloads(spark):
+    body = {"w": [nested(9, i) for i in range(50)], "s": "[[{{", "e": [{}, [], [[]], "x", None, 1.5, 10**20], "d": nested(5, {})}
+    got = json_nodes(samples(spark, [json.dumps(body)]), KEYS, doc="try_parse_json(body)").collect()
+    assert sorted(r.path for r in got) == sorted(walk(body))
+    assert sorted(r.json_type for r in got if r.path == "e[]") == ["array", "array", "integer", "null", "number", "object", "string"]
+    assert {r.value_str for r in got if r.depth == 11} == {str(i) for i in range(50)}
+
+
 def test_contract_nodes_of_any_depth(spark):
     def deep(levels, leaf):
         for k in range(levels):
