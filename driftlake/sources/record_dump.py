@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from driftlake.session import materialize
+
 FORMAT = "record_dump"
 SCHEMA = "partition int, offset bigint, timestamp timestamp, key binary, value binary, headers array<struct<key:string,value:binary>>"
 #: Offsets that one task reads.
@@ -156,12 +158,15 @@ def write_dump(records: DataFrame, path: str, partitions: int, order: Sequence[C
     """
     dealt = records.withColumn("partition", F.pmod(F.xxhash64(F.coalesce("key", F.lit(b""))), F.lit(partitions)).cast("int"))
     begin = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in (first or {}).items() for x in kv]), F.col("partition")), F.lit(0)) if first else F.lit(0)
-    # numbered by pieces of the order, so that no task sorts a partition as a whole
-    spread = dealt.repartitionByRange(*order).withColumn("piece", F.spark_partition_id())
-    counts = spread.groupBy("partition", "piece").agg(F.count("*").alias("n"))
+    # Numbered by pieces of the order, so that no task sorts a partition as a whole. The pieces are written down first: the
+    # bounds of a range partitioning are sampled, and adaptive execution joins its pieces as it likes, so two readers of the
+    # plan (counts and records) may see different ones, which loses records or gives them the same offset.
+    pieces = materialize(dealt.repartitionByRange(*order).withColumn("piece", F.spark_partition_id()), "dump-pieces")
+    counts = pieces.groupBy("partition", "piece").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("partition").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("partition", "piece", F.coalesce(before, F.lit(0)).alias("start"))
     inside = F.row_number().over(Window.partitionBy("partition", "piece").orderBy(*order))
-    numbered = spread.withColumn("at", inside).join(starts, ["partition", "piece"]).withColumn("offset", (begin + F.col("start") + F.col("at") - 1).cast("bigint"))
+    numbered = pieces.withColumn("at", inside).join(starts, ["partition", "piece"]).withColumn("offset", (begin + F.col("start") + F.col("at") - 1).cast("bigint"))
     columns = ["partition", "offset", "timestamp", "key", "value", "headers"]
-    numbered.select(*columns).repartition("partition").sortWithinPartitions("partition", "offset").write.mode("append").partitionBy("partition").parquet(path)
+    # a partition is written by as many tasks as hold its pieces; offsets go up inside a segment
+    numbered.select(*columns).sortWithinPartitions("partition", "offset").write.mode("append").partitionBy("partition").parquet(path)

@@ -98,3 +98,24 @@ def test_defaults_framing_and_clashing_names(spark):
     assert sorted((x.id, x.error) for x in bad.collect()) == [(2, "no schema number"), (3, "null")]
     with pytest.raises(ValueError):
         W.decode_avro(rows, fields=short[1:])
+
+
+def test_dump_whose_readers_see_other_pieces(spark, tmp_path):
+    conf = {
+        "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "60000", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        wide = records(spark, 0, 4000).withColumn("value", F.expr("encode(concat(value, repeat(md5(value), 8)), 'UTF-8')"))
+        R.write_dump(wide, str(tmp_path / "dump"), 3, ["timestamp", "value"])
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    rows = spark.read.parquet(str(tmp_path / "dump")).select("partition", "offset", "timestamp").collect()
+    assert len(rows) == 4000
+    for p in {r.partition for r in rows}:
+        mine = sorted((r.offset, r.timestamp) for r in rows if r.partition == p)
+        assert [o for o, _ in mine] == list(range(len(mine))) and [t for _, t in mine] == sorted(t for _, t in mine)
