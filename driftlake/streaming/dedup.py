@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -14,6 +15,9 @@ from driftlake.functions.scalars import micros
 from driftlake.operators.anchors import drop_repeats
 
 WATERMARK = "10 minutes"
+#: Groups of keys that share a state.
+BUCKETS = 512
+_ID, _BUCKET = "dedup_id", "dedup_bucket"
 
 
 def _sorted(batches: Iterator[pd.DataFrame], time: str, row_id: str) -> tuple[pd.DataFrame, np.ndarray]:
@@ -22,34 +26,68 @@ def _sorted(batches: Iterator[pd.DataFrame], time: str, row_id: str) -> tuple[pd
 
 
 class _KeepFirst(StatefulProcessor):
-    """State per key: the time of the last kept row. A timer clears it once the period is over."""
+    """State per bucket of keys: the last kept time of each key, as one Arrow table, so that a bucket costs a few calls to the
+    state store however many keys it holds. Keys whose period ended before the watermark leave it; a timer clears the rest.
+    """
 
-    def __init__(self, time: str, row_id: str, period_us: int | None, period_column: str | None):
-        self.time, self.row_id, self.period, self.period_column = time, row_id, period_us, period_column
+    def __init__(self, columns: list[str], time: str, row_id: str, period_us: int | None, period_column: str | None):
+        self.columns, self.time, self.row_id, self.period, self.period_column = columns, time, row_id, period_us, period_column
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "t bigint")
+        self.last = handle.getValueState("last", "keys binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame, times = _sorted(rows, self.time, self.row_id)
-        period = self.period
+        codes, ids = pd.factorize(frame[_ID])
+        order = np.argsort(codes, kind="stable")
+        times = times[order]
+        starts = np.searchsorted(codes[order], np.arange(len(ids) + 1))
+        periods = np.full(len(ids), self.period or 0, dtype="int64")
         if self.period_column:
-            period = int(frame[self.period_column].iloc[0]) * 1_000_000
-        after = self.last.get()[0] + period if self.last.exists() else np.iinfo(np.int64).min
-        keep, at = [], 0
-        while at < len(times):
-            at = int(np.searchsorted(times[at:], after, "left")) + at
-            if at < len(times):
-                keep.append(at)
-                after = int(times[at]) + period
+            periods = frame[self.period_column].to_numpy()[order[starts[:-1]]].astype("int64") * 1_000_000
+        known = self._known(timerValues.getCurrentWatermarkInMs() * 1000)
+        before = known["last"].reindex(ids)
+        seen = before.notna().to_numpy()
+        after = np.where(seen, before.fillna(0).to_numpy(dtype="int64") + periods, np.iinfo(np.int64).min)
+
+        keep = np.zeros(len(times), dtype=bool)
+        last = before.fillna(0).to_numpy(dtype="int64").copy()
+        kept_some = times[starts[:-1]] >= after
+        # most keys come once
+        single = np.diff(starts) == 1
+        once = np.flatnonzero(single & kept_some)
+        keep[starts[once]] = True
+        last[once] = times[starts[once]]
+        for k in np.flatnonzero(~single).tolist():
+            low, high = int(starts[k]), int(starts[k + 1])
+            own, at, free = times[low:high], 0, int(after[k])
+            while (at := at + int(np.searchsorted(own[at:], free, "left"))) < len(own):
+                keep[low + at] = kept_some[k] = True
+                last[k] = own[at]
+                free = int(own[at]) + int(periods[k])
                 at += 1
-        if keep:
-            self.last.update((int(times[keep[-1]]),))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(after // 1000 + 1)
-        yield frame.iloc[keep]
+        if kept_some.any():
+            fresh = pd.DataFrame({"last": last[kept_some], "until": (last + periods)[kept_some]}, index=ids[kept_some])
+            self._store(pd.concat([known[~known.index.isin(fresh.index)], fresh]))
+        yield frame.iloc[np.sort(order[keep])][self.columns]
+
+    def _known(self, passed: int) -> pd.DataFrame:
+        if not self.last.exists():
+            return pd.DataFrame({"last": pd.Series(dtype="int64"), "until": pd.Series(dtype="int64")}, index=pd.Index([], dtype=object))
+        with pa.ipc.open_stream(self.last.get()[0]) as reader:
+            known = reader.read_all().to_pandas().set_index("id")
+        return known[known["until"] > passed]
+
+    def _store(self, keys: pd.DataFrame) -> None:
+        table = pa.table({"id": pa.array(keys.index, pa.string()), "last": keys["last"].to_numpy("int64"), "until": keys["until"].to_numpy("int64")})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        self.last.update((sink.getvalue().to_pybytes(),))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(keys["until"].max()) // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
@@ -61,18 +99,22 @@ class _KeepFirst(StatefulProcessor):
 
 def dedup_stream(
     stream: DataFrame, key: str | Sequence[str] = "content_hash", time: str = "sampled_at", row_id: str = "sample_id",
-    seconds: int | None = 300, watermark: str = WATERMARK, period_column: str | None = None,
+    seconds: int | None = 300, watermark: str = WATERMARK, period_column: str | None = None, buckets: int = BUCKETS,
 ) -> DataFrame:
     """Keep a row if no kept row of its key lies less than ``seconds`` before it.
 
-    The rows of one key and micro-batch meet in one task, which the trigger's batch size bounds;
-    :func:`dedup_batches` also splits such a group. With ``period_column`` each key brings its
-    own period in seconds, as alert throttling needs it.
+    Keys are dealt to ``buckets``, which are the groups of the state, and the rows of a bucket and micro-batch are handled
+    at once: a key that comes once costs no call to the state store. A bucket is bounded by the trigger's batch size;
+    :func:`dedup_batches` also splits the rows of one key. With ``period_column`` each key brings its
+    own period in seconds, as alert throttling needs it. ``buckets`` is fixed for the life of a checkpoint.
     """
-    rows = stream.withWatermark(time, watermark)
+    keys = [key] if isinstance(key, str) else list(key)
     period = None if period_column else seconds * 1_000_000
-    return rows.groupBy(*([key] if isinstance(key, str) else key)).transformWithStateInPandas(
-        statefulProcessor=_KeepFirst(time, row_id, period, period_column),
+    rows = stream.withWatermark(time, watermark).withColumns({
+        _ID: F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), _BUCKET: F.pmod(F.xxhash64(*keys), F.lit(buckets)),
+    })
+    return rows.groupBy(_BUCKET).transformWithStateInPandas(
+        statefulProcessor=_KeepFirst(stream.columns, time, row_id, period, period_column),
         outputStructType=stream.schema, outputMode="Append", timeMode="EventTime",
     )
 

@@ -12,6 +12,7 @@ from driftlake.operators import stats as S
 from driftlake.schemas import TABLES
 from driftlake.sources.tables import check_words, read_table
 from driftlake.streaming import alerts, inference
+from driftlake.streaming import dedup as SD
 from driftlake.streaming.replay import as_stream, plain_times, run_to_table
 
 T0 = datetime(2024, 1, 1)
@@ -108,3 +109,17 @@ def test_proto_drift_of_empty_objects(spark, monkeypatch):
     monkeypatch.setattr(proto, "TRAFFIC_PROTO", "message Order { }")
     monkeypatch.setattr(proto, "nodes", lambda *_, **options: traffic_nodes(table.withColumn("body", F.lit('{"n":1}')), **options))
     assert {(r["path"], r["severity"]) for r in proto.proto_drift(spark, "").collect()} == {("n", "BREAKING")}
+
+
+def test_dedup_calls_the_state_once_for_many_keys(spark, monkeypatch):
+    rows = [(i, T0 + timedelta(seconds=7 * i), f"k{i % 3}" if i % 2 else f"own{i}" if i % 4 else None) for i in range(1200)]
+    table = spark.createDataFrame(rows, "sample_id bigint, sampled_at timestamp_ntz, content_hash string")
+    stream = SD.dedup_stream(as_stream(table, "sampled_at", 3), buckets=4)
+    assert "dedup_bucket" in stream._jdf.queryExecution().analyzed().toString()
+    got = plain_times(run_to_table(stream, "many")).collect()
+    free, want = {}, set()
+    for i, t, k in rows:
+        if t >= free.get(k, t):
+            want.add(i)
+            free[k] = t + timedelta(seconds=300)
+    assert sorted(r.sample_id for r in got) == sorted(want) and got[0].asDict().keys() == set(table.columns)
