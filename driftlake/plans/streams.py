@@ -10,7 +10,7 @@ from driftlake.plans.inference import KEYS, KEYS_SQL, NODES_SQL, TRAFFIC, baseli
 from driftlake.plans.registry import _DRIFT_SQL, _PAIRS_SQL, _correlated_sql, documents
 from driftlake.plans.traffic import _DEDUP, _DEDUP_NORMALIZED, _KEPT, _ENVELOPE_SQL, _MASKED_SQL, _SECONDS, PAYLOAD, _rate_sql, _sketch_sql, grouped_alerts, payload_hashes, raw_records, samples
 from driftlake.plans.views import view
-from driftlake.session import scratch_folder
+from driftlake.session import materialize, scratch_folder
 from driftlake.sources import record_dump as RD
 from driftlake.sources.traffic import decode_envelope, header_map
 from driftlake.streaming import alerts as SA
@@ -86,7 +86,9 @@ def stream_drift(spark, sf_dir):
     """Violations per micro-batch of the replayed traffic."""
     source = as_stream(samples(spark, sf_dir).select(*KEYS, "sampled_at", "body"), "sampled_at")
     out, bad, checkpoint = (scratch_folder(spark, f"drift-{n}") for n in ("out", "bad", "checkpoint"))
-    job = SI.detect_drift(source, baseline(spark, sf_dir), out, bad, checkpoint, trigger={"availableNow": True})
+    # the contracts are read once, not with every micro-batch
+    declared = materialize(baseline(spark, sf_dir), "drift-baseline")
+    job = SI.detect_drift(source, declared, out, bad, checkpoint, trigger={"availableNow": True})
     job.awaitTermination()
     return spark.read.parquet(out)
 

@@ -12,6 +12,7 @@ from driftlake.functions.nodes import TRAFFIC_KEYS, is_object, traffic_nodes
 from driftlake.operators import diff as D
 from driftlake.operators import infer as I
 from driftlake.operators import stats as S
+from driftlake.session import spread
 
 WATERMARK = "10 minutes"
 
@@ -52,10 +53,12 @@ def detect_drift(
     def detect(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
+            # files of a trigger are packed into one task per core, however many rows they hold
+            rows = spread(batch)
             parsed = F.try_parse_json("body")
-            rejected = batch.withColumn("doc", parsed).filter(~is_object("doc")).drop("doc")
+            rejected = rows.withColumn("doc", parsed).filter(~is_object("doc")).drop("doc")
             rejected.write.mode("overwrite").parquet(f"{reject_path}/batch={batch_id}")
-            inferred = I.schema_nodes(S.path_stats(traffic_nodes(batch, values=False), keys), keys, with_root=True)
+            inferred = I.schema_nodes(S.path_stats(traffic_nodes(rows, values=False), keys), keys, with_root=True)
             found = D.schema_diff(baseline, inferred, keys)
             found.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
         finally:

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from driftlake import session
 from driftlake.functions.nodes import TRAFFIC_KEYS, traffic_nodes
 from driftlake.operators import diff as D
 from driftlake.operators import infer as I
@@ -123,3 +124,22 @@ def test_dedup_calls_the_state_once_for_many_keys(spark, monkeypatch):
             want.add(i)
             free[k] = t + timedelta(seconds=300)
     assert sorted(r.sample_id for r in got) == sorted(want) and got[0].asDict().keys() == set(table.columns)
+
+
+def test_a_drift_batch_is_dealt_by_rows(spark, tmp_path, monkeypatch):
+    rows = [("s", "e", "GET", '{"a":1}' if i % 50 else "[1]", T0 + timedelta(minutes=i)) for i in range(400)]
+    table = spark.createDataFrame(rows, "service_id string, endpoint string, method string, body string, sampled_at timestamp_ntz")
+    tasks = []
+
+    def deal(batch):
+        out = session.spread(batch, 10)
+        tasks.append((batch.count(), out.rdd.getNumPartitions()))
+        return out
+
+    monkeypatch.setattr(inference, "spread", deal)
+    baseline = I.schema_nodes(S.path_stats(traffic_nodes(table.filter("body = '{\"a\":1}'").withColumn("body", F.lit('{"a":"x"}')).limit(1))))
+    out, bad = str(tmp_path / "out"), str(tmp_path / "bad")
+    inference.detect_drift(as_stream(table, "sampled_at", 2), baseline, out, bad, str(tmp_path / "c"), trigger={"availableNow": True}).awaitTermination()
+    assert sum(n for n, _ in tasks) == 400 and all(k >= n / 10 for n, k in tasks)
+    assert [r["severity"] for r in spark.read.parquet(out).collect()] == ["BREAKING"] * len([n for n, _ in tasks if n])
+    assert spark.read.parquet(bad).count() == 8
