@@ -299,6 +299,17 @@ def _letters(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarra
     return letter.astype(np.int64), owner, contexts
 
 
+def _grams(distinct: pa.Array) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct letters with all their contexts, the contexts, which of them each letter of the words is, and its word."""
+    letter, owner, contexts = _letters(distinct)
+    key = letter.astype(np.uint64)
+    # a context of k bytes has 8 k + 1 bits
+    for k, context in enumerate(contexts[1:], 1):
+        key = key << np.uint64(8 * k + 1) | context
+    _, first, of = np.unique(key, return_index=True, return_inverse=True)
+    return letter[first], [c[first] for c in contexts], of, owner
+
+
 def _spelled(letter: np.ndarray, contexts: list[np.ndarray]):
     """For each bit of the letters: is it a one, and its slot in each table."""
     for depth in range(8):
@@ -310,17 +321,19 @@ def spelling_slots(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bits seen, ones among them) of each slot, over the letters of the words."""
     size = (SPELL_ORDERS + 1) * SPELL_SLOTS
     seen, ones = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    letter, _, contexts = _letters(distinct)
+    letter, contexts, of, _ = _grams(distinct)
+    count = np.bincount(of, minlength=len(letter))
     for bit, places in _spelled(letter, contexts):
-        for place in places:
-            seen += np.bincount(place, minlength=size)
-            ones += np.bincount(place[bit], minlength=size)
+        for k, place in enumerate(places):
+            own, place = slice(k * SPELL_SLOTS, (k + 1) * SPELL_SLOTS), place - k * SPELL_SLOTS
+            seen[own] += np.bincount(place, count, SPELL_SLOTS).astype(np.int64)
+            ones[own] += np.bincount(place[bit], count[bit], SPELL_SLOTS).astype(np.int64)
     return seen, ones
 
 
 def spelling_bits(distinct: pa.Array, seen: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Bits that it takes to spell each word."""
-    letter, owner, contexts = _letters(distinct)
+    letter, contexts, of, owner = _grams(distinct)
     out = np.zeros(len(letter))
     for bit, places in _spelled(letter, contexts):
         z, weight = np.zeros(len(letter)), np.zeros(len(letter))
@@ -330,7 +343,7 @@ def spelling_bits(distinct: pa.Array, seen: np.ndarray, ones: np.ndarray) -> np.
             z += trust * _stretch(ones[place], seen[place])
             weight += trust
         out += np.logaddexp(0, np.where(bit, -1, 1) * z / weight)
-    return np.bincount(owner, weights=out, minlength=len(distinct)) / math.log(2)
+    return np.bincount(owner, weights=out[of], minlength=len(distinct)) / math.log(2)
 
 
 def _spelling(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -435,6 +448,21 @@ def _tokens_of(table: pa.Table) -> tuple[list[pa.RecordBatch], list[Tokens], lis
     return cut, found, [~part.column("held_out").to_numpy(zero_copy_only=False)[t.text] for part, t in zip(cut, found, strict=True)]
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Integers by columns: differences of neighbours, the bytes of equal weight side by side, compressed."""
+    values = np.ascontiguousarray(values).astype(np.uint64)
+    steps = np.diff(values, axis=0, prepend=np.zeros((1, *values.shape[1:]), np.uint64))
+    planes = np.ascontiguousarray(steps.reshape(-1, 1).view(np.uint8).T)
+    return planes.nbytes.to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, rows: int = 0) -> np.ndarray:
+    """What ``_pack`` was given, as unsigned integers; with ``rows`` a table of so many."""
+    planes = np.frombuffer(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True), np.uint8)
+    steps = np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).reshape(-1)
+    return np.cumsum(steps.reshape(rows, -1) if rows else steps, axis=0, dtype=np.uint64)
+
+
 def _counts_in_context(rows: DataFrame, parts: int) -> DataFrame:
     """block, part and ``ways`` of the block's pairs in that part, summed over the training texts of all blocks."""
 
@@ -442,15 +470,14 @@ def _counts_in_context(rows: DataFrame, parts: int) -> DataFrame:
         _, found, trains = _tokens_of(table)
         context, word, n, cuts, _ = _block_pairs(found, trains, parts)
         part = np.flatnonzero(np.diff(cuts))
-        packed = lambda x: pa.array([x[cuts[p] : cuts[p + 1]].tobytes() for p in part], pa.binary())
-        return pa.table({"part": part.astype(np.int32), "block": pa.array([table["block"][0].as_py()] * len(part), pa.int32()), "context": packed(context), "word": packed(word), "n": packed(n.astype(np.int32))})
+        packed = lambda x: pa.array([_pack(x[cuts[p] : cuts[p + 1]]) for p in part], pa.binary())
+        return pa.table({"part": part.astype(np.int32), "block": pa.array([table["block"][0].as_py()] * len(part), pa.int32()), "context": packed(context), "word": packed(word), "n": packed(n)})
 
     def answer(table: pa.Table) -> pa.Table:
-        read = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
-        context, word, n = read("context", np.uint64), read("word", np.uint64), read("n", np.int32)
+        context, word, n = ([_unpack(x) for x in table[name].to_pylist()] for name in ("context", "word", "n"))
         way = ways(np.concatenate(context), np.concatenate(word), np.concatenate(n))
         ends = np.cumsum([len(x) for x in n])
-        return pa.table({"block": table["block"], "part": table["part"], "way": pa.array([way[:, e - len(x) : e].tobytes() for e, x in zip(ends, n, strict=True)], pa.binary())})
+        return pa.table({"block": table["block"], "part": table["part"], "way": pa.array([_pack(way[:, e - len(x) : e]) for e, x in zip(ends, n, strict=True)], pa.binary())})
 
     asked = rows.groupBy("block").applyInArrow(ask, "part int, block int, context binary, word binary, n binary")
     return asked.groupBy("part").applyInArrow(answer, "block int, part int, way binary")
@@ -494,7 +521,7 @@ def score(docs: DataFrame) -> DataFrame:
             return schema(left).empty_table()
         cut, found_in, trains = _tokens_of(left)
         place = _block_pairs(found_in, trains, parts)[-1]
-        way = np.concatenate([np.frombuffer(x, np.float32).reshape(_WAY, -1) for x in in_context["way"].to_pylist()], 1)
+        way = np.concatenate([_unpack(x, _WAY).astype(np.float32) for x in in_context["way"].to_pylist()], 1)
         begin = 0
         for part, t in zip(cut, found_in, strict=True):
             own = way[:, place[begin : begin + 2 * len(t.word)]]

@@ -146,3 +146,33 @@ def test_spelling_is_a_probability():
     letter = [bytes([b]) for b in range(256) if b != 32]
     of = lambda words: (2.0 ** -lm.spelling_bits(pa.array(words, pa.binary()), seen, ones)).sum()
     assert 0 < of(letter) + of([x + y for x in letter for y in letter]) < 1
+
+
+def test_letters_in_the_same_context_are_counted_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.choice([97, 98, 99, 255], int(rng.integers(1, 9))).astype(np.uint8)) for _ in range(3000)]
+    spelled, taken = lm._spelled, []
+    monkeypatch.setattr(lm, "_spelled", lambda letter, contexts: taken.append(len(letter)) or spelled(letter, contexts))
+    seen, ones = lm.spelling_slots(pa.array(words, pa.binary()))
+    bits = lm.spelling_bits(pa.array(words, pa.binary()), seen, ones)
+    letter, _, contexts = lm._letters(pa.array(words, pa.binary()))
+    want = np.zeros((2, len(seen)), np.int64)
+    for bit, places in spelled(letter, contexts):
+        for place in places:
+            np.add.at(want[0], place, 1)
+            np.add.at(want[1], place[bit], 1)
+    assert (seen == want[0]).all() and (ones == want[1]).all() and max(taken) <= 5**4 < len(letter)
+    alone = [lm.spelling_bits(pa.array([w], pa.binary()), seen, ones)[0] for w in words[:50]]
+    assert np.allclose(bits[:50], alone, rtol=1e-12)
+
+
+def test_counts_on_the_way_are_sent_packed():
+    rng = np.random.default_rng(6)
+    context, word = np.sort(rng.integers(0, 2**63, 5000).astype(np.uint64)), rng.integers(0, 2**63, 5000).astype(np.uint64)
+    context[100:400] = context[100]
+    way = lm.ways(context, word, np.ones(5000, np.int64))
+    way[:, 7] = 3.0 * 2**33
+    packed = lm._pack(way)
+    assert (lm._unpack(packed, len(way)).astype(np.float32) == way).all() and len(packed) < way.nbytes / 20
+    assert (lm._unpack(lm._pack(context)) == context).all() and (lm._unpack(lm._pack(word)) == word).all()
+    assert len(lm._unpack(lm._pack(word[:0]))) == 0 and lm._unpack(lm._pack(way[:, :0]), len(way)).shape == (len(way), 0)
