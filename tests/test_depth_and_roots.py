@@ -15,6 +15,7 @@ from driftlake.operators import contracts as C
 from driftlake.operators import diff as D
 from driftlake.operators import infer as I
 from driftlake.operators import stats as S
+from driftlake.session import spread
 from driftlake.sources import traffic as T
 
 KEYS = list(TRAFFIC_KEYS)
@@ -152,3 +153,11 @@ def test_deep_reader_equals_the_shallow_one():
     for text in ("", "[1,]", '{"a" 1}', "[1", '{"a":1,}', "[] []", "{1:2}", "]", '{"a":1]'):
         with pytest.raises(ValueError):
             deep_json._parse(text)
+
+
+def test_no_task_takes_more_rows_when_a_table_grows(spark, tmp_path):
+    for rows in (2_000, 20_000):
+        path = str(tmp_path / str(rows))
+        spark.range(rows).coalesce(1).write.parquet(path)
+        dealt = spread(spark.read.parquet(path), 500).groupBy(F.spark_partition_id()).count()
+        assert max(r["count"] for r in dealt.collect()) <= 600
