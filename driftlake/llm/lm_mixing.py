@@ -12,12 +12,16 @@ and text. The product over all decisions is a probability over training words, o
 held against a unigram model. ``bits_per_byte`` also pays for the letters of unknown words: each is spelled byte by byte up
 to a blank, every bit predicted by a mix of hashed counts after no, one, two and three bytes, taken from the training words.
 
-Documents are dealt into blocks of about ``BLOCK_BYTES``. A block's distinct words are counted, joined with the corpus
-counts and sent back to the block, so the vocabulary may be of any size. The same holds for words in context: each block
-sends its distinct (context, word) pairs to parts by the context's hash, a part sums them over all training documents, and
-returns to each block the counts on the way to its own pairs, from the context over the class bits to the word. Full 64-bit
-hashes are compared, so contexts share no counts. Only tables whose size the classes fix (after a class) and a few sums are
-broadcast. Every text is scored by itself, from fixed starting weights: results do not depend on the blocks.
+Each task cuts its rows into blocks of about ``BLOCK_BYTES`` of text, which are written once, as the places of their tokens
+in the block's list of words, in a table bucketed by block; texts are not shuffled. The list goes to parts by the words'
+hash. A part sums the training counts over all blocks, numbers the training words within their class, frequent ones first,
+and returns count and number of each block's own words, so the vocabulary may be of any size. The same holds for words in
+context: each block sends its distinct (words before, word) by these numbers to parts by the context's hash, with columns
+compressed; a part sums them over all training documents, and returns to each block the counts on the way to its own pairs,
+from the context over the class bits to the word. A pair with a word that no training text holds has no counts and is not
+sent. A part compares full 64-bit hashes of contexts, so these share no counts. Only tables whose size the classes fix
+(after a class), those of spelling and a few sums are broadcast. Every text is scored by itself, from fixed starting
+weights: results do not depend on the blocks.
 
 Null and empty texts consist of the end. A null id counts as an empty one (a training document). Repeated rows are scored
 and counted each. Texts of more than ``SPAN`` words begin with fresh adaptive state every ``SPAN`` words. With no training
@@ -27,20 +31,22 @@ document every token is unknown. An empty table gives no rows. Other columns are
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlake.llm.common import mixed, raw_bytes, ready, saved, slices, text_bytes, texts, word_hashes, words
+from driftlake.llm.common import SLICE_BYTES, mixed, raw_bytes, ready, saved, shared_path, slices, text_bytes, texts, word_hashes, words
 
 FOLDS, HELD_OUT = 5, 1
 BLOCK_BYTES, SPAN = 12 << 20, 1 << 20
-#: Text bytes to one part of the (context, word) pairs.
-PART_BYTES = 8 << 20
+#: Text bytes to one part of the words and of the (context, word) pairs; tokens that are scored at a time.
+PART_BYTES, SCORED = 8 << 20, 250_000
 #: Bits of a class, words between updates of the weights.
 BITS, CHUNK = 8, 64
 #: Learning rate and starting weights of: corpus alone, after a class, after two words; text alone, after a class.
@@ -78,26 +84,27 @@ def tokens(values: pa.Array) -> Tokens:
     n, count = len(values), np.diff(first)
     word = np.insert(codes.astype(np.int64), first[1:], len(distinct))
     distinct = pa.concat_arrays([distinct, pa.array([b""], pa.binary())])
-    lead = distinct.to_pylist()
-    one = np.array([w[0] & 31 if w else 0 for w in lead], np.int64)
-    two = np.array([w[1] & 7 if len(w) > 1 else 0 for w in lead], np.int64)
-    classes = np.maximum(one * 8 + two, 1)
-    classes[-1] = 0
-    return Tokens(distinct, word, np.repeat(np.arange(n), count + 1), word_hashes(distinct), classes, n)
+    return Tokens(distinct, word, np.repeat(np.arange(n), count + 1), word_hashes(distinct), classes_of(distinct), n)
 
 
-def _contexts(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each token, class of the token before, hash of the one before, hash of the two before)."""
-    code = t.classes[t.word]
-    begins = np.append(True, t.text[1:] != t.text[:-1])
+def _leading(distinct: pa.Array, count: int) -> list[np.ndarray]:
+    """The first bytes of each word, 0 behind its end."""
+    data, offsets = raw_bytes(distinct)
+    length, data = np.diff(offsets), np.append(data, np.zeros(count, np.uint8))
+    return [np.where(length > k, data[offsets[:-1] + k], 0).astype(np.int64) for k in range(count)]
+
+
+def classes_of(distinct: pa.Array) -> np.ndarray:
+    """Class of each word; the end, an empty word, alone has 0."""
+    one, two = _leading(distinct, 2)
+    return np.where(pc.binary_length(distinct).to_numpy() > 0, np.maximum((one & 31) * 8 + (two & 7), 1), 0)
+
+
+def _before(code: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Class of the token before each one."""
     before = np.append(_NODES, code[:-1])
-    before[begins] = _NODES
-    h = t.hashed[t.word]
-    last = np.append(np.uint64(1), h[:-1])
-    last[begins] = 1
-    last2 = np.append(np.uint64(2), last[:-1])
-    last2[begins] = 2
-    return code, before, last, (last * _ODD + last2) * _ODD2
+    before[np.append(True, text[1:] != text[:-1])[: len(code)]] = _NODES
+    return before[: len(code)]
 
 
 def _node(code: np.ndarray, depth: int) -> np.ndarray:
@@ -110,76 +117,138 @@ def _places(node: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return node, before * _NODES + node + _NODES
 
 
+def class_pairs(code: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """How often each class follows each class."""
+    return np.bincount(before * _NODES + code, minlength=(_NODES + 1) * _NODES)
+
+
+def slots_of(followed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bits seen, ones among them) of each slot, from ``class_pairs``."""
+    followed = followed.reshape(_NODES + 1, _NODES)
+    seen, ones = np.zeros((_NODES + 2, _NODES), np.int64), np.zeros((_NODES + 2, _NODES), np.int64)
+    for depth in range(BITS):
+        halves = followed.reshape(_NODES + 1, 1 << depth, 2, -1).sum(3)
+        nodes = slice(1 << depth, 2 << depth)
+        seen[1:, nodes], ones[1:, nodes] = halves.sum(2), halves[:, :, 1]
+    seen[0], ones[0] = seen[1:].sum(0), ones[1:].sum(0)
+    return seen.reshape(-1), ones.reshape(-1)
+
+
 def count_slots(t: Tokens, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bits seen, ones among them) of each slot, over the used tokens."""
-    seen, ones = np.zeros(_SIZE, np.int64), np.zeros(_SIZE, np.int64)
-    code, before = (x[used] for x in _contexts(t)[:2])
-    for depth in range(BITS):
-        bit = code >> (BITS - 1 - depth) & 1 == 1
-        for place in _places(_node(code, depth), before):
-            seen += np.bincount(place, minlength=_SIZE)
-            ones += np.bincount(place[bit], minlength=_SIZE)
-    return seen, ones
+    code = t.classes[t.word]
+    return slots_of(class_pairs(code[used], _before(code, t.text)[used]))
+
+
+def _after_one(last: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """A single word as context. It is one for each class, since few words may be followed by most of the corpus."""
+    return mixed(last.astype(np.uint64) * _ODD + code.astype(np.uint64) * _ODD2 + np.uint64(1))
+
+
+def _after_two(last: np.ndarray, last2: np.ndarray) -> np.ndarray:
+    return mixed((last.astype(np.uint64) * _ODD + last2.astype(np.uint64)) * _ODD2)
 
 
 def pairs(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """(context, word) of each token after the word before, then of each after the two words before.
+    """(context, word) of each token after the word before, then of each after the two words before, by hashes.
 
-    The word's class stands in its upper bits. A single word is a context for each class, since few of them may be followed
-    by most of the corpus.
+    The word's class stands in its upper bits.
     """
-    code, _, last, both = _contexts(t)
-    code = code.astype(np.uint64)
-    word = code << np.uint64(64 - BITS) | t.hashed[t.word] >> np.uint64(BITS)
-    return np.concatenate([mixed(last * _ODD + code * _ODD2 + np.uint64(1)), mixed(both)]), np.concatenate([word, word])
+    code, h = t.classes[t.word], t.hashed[t.word]
+    begins = np.append(True, t.text[1:] != t.text[:-1])
+    last = np.append(np.uint64(1), h[:-1])
+    last[begins] = 1
+    last2 = np.append(np.uint64(2), last[:-1])
+    last2[begins] = 2
+    word = code.astype(np.uint64) << np.uint64(64 - BITS) | h >> np.uint64(BITS)
+    return np.concatenate([_after_one(last, code), _after_two(last, last2)]), np.concatenate([word, word])
 
 
 def _distinct(context: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs in order, the sum of each, and the place of each input among them."""
-    order = np.lexsort((word, context))
+    # blocks send their pairs in order: a stable sort merges them
+    order = np.argsort(context, kind="stable")
+    group = np.cumsum(np.append(False, np.diff(context[order]) != 0)[: len(order)]).astype(np.uint64)
+    # numbers of words leave room for the context's place before them, hashes do not
+    low = int((word & np.uint64((1 << (64 - BITS)) - 1)).max(initial=0)).bit_length()
+    if len(word) and low + BITS + int(group[-1]).bit_length() <= 64:
+        short = word >> np.uint64(64 - BITS) << np.uint64(low) | word & np.uint64((1 << low) - 1)
+        order = order[np.argsort(group << np.uint64(low + BITS) | short[order], kind="stable")]
+    else:
+        order = np.lexsort((word, context))
     context, word = context[order], word[order]
     new = np.ones(len(order), bool)
     new[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
+    at = np.flatnonzero(new)
     place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(new) - 1
-    at = np.flatnonzero(new)
-    return context[at], word[at], np.bincount(place, weights=n, minlength=len(at)).astype(np.int64), place
+    return context[at], word[at], _sums(np.asarray(n)[order].astype(np.int64), at), place
+
+
+def _sums(values: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of the stretches that begin at ``start``."""
+    return np.add.reduceat(values, start) if len(start) else np.zeros(0, values.dtype)
 
 
 def ways(context: np.ndarray, word: np.ndarray, n: np.ndarray) -> np.ndarray:
     """``_WAY`` counts for each pair, from all pairs of its context."""
+    way, place = _ways(context, word, n, range(BITS + 1))
+    return way.astype(np.float32)[:, place]
+
+
+def _ways(context: np.ndarray, word: np.ndarray, n: np.ndarray, depths) -> tuple[np.ndarray, np.ndarray]:
+    """(counts on the way to each distinct pair after ``depths`` bits, its own and the words of its class; place of each input)."""
     context, word, n, place = _distinct(context, word, n)
-    total, kinds = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(n > 0))
-    out = np.empty((_WAY, len(n)), np.float32)
-    new = np.ones(len(n), bool)
-    for depth in range(BITS + 1):
-        bits = word >> np.uint64(64 - depth) if depth else np.zeros(len(n), np.uint64)
-        new[1:] = (context[1:] != context[:-1]) | (bits[1:] != bits[:-1])
+    out = np.empty((len(depths) + 2, len(n)), np.uint32 if n.sum() < 1 << 31 else np.uint64)
+    other = np.append(True, context[1:] != context[:-1])[: len(n)]
+    for k, depth in enumerate(depths):
+        new = other.copy()
+        if depth:
+            bits = word >> np.uint64(64 - depth)
+            new[1:] |= bits[1:] != bits[:-1]
         start = np.flatnonzero(new)
-        end, group = np.append(start[1:], len(n)), np.cumsum(new) - 1
-        out[depth] = (total[end] - total[start])[group] if len(n) else 0
-    out[_WORD] = n
-    out[_KINDS] = (kinds[end] - kinds[start])[group] if len(n) else 0
-    return out[:, place]
+        size = np.diff(np.append(start, len(n)))
+        out[k] = np.repeat(_sums(n, start), size)
+        if depth == BITS:
+            out[-1] = np.repeat(_sums((n > 0).astype(np.int64), start), size)
+    out[-2] = n
+    return out, place
 
 
-def _earlier(key: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token, in order: how many before it have its key, and how many of those a one."""
+def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens by key, in order within each; where the key of each begins among them)."""
     at = np.arange(len(key), dtype=np.int64)
-    order = np.sort(key << _POS | at) if len(key) <= 1 << int(_POS) else None
-    if order is None:
+    if len(key) <= 1 << int(_POS):
+        order = np.sort(key << _POS | at)
+        place, group = order & ((1 << int(_POS)) - 1), order >> _POS
+    else:
         place = np.argsort(key, kind="stable")
         group = key[place]
-    else:
-        place, group = order & ((1 << int(_POS)) - 1), order >> _POS
-    new = np.append(True, group[1:] != group[:-1])
-    start = np.maximum.accumulate(np.where(new, at, 0))
-    ones = bit[place].astype(np.int64)
-    total = np.cumsum(ones) - ones
-    seen, hits = np.empty(len(key), np.float32), np.empty(len(key), np.float32)
-    seen[place] = at - start
-    hits[place] = total - total[start]
-    return seen, hits
+    new = np.append(True, group[1:] != group[:-1])[: len(key)]
+    return place, np.maximum.accumulate(np.where(new, at, 0))
+
+
+def _along(place: np.ndarray, start: np.ndarray, code: np.ndarray):
+    """For each bit of the class: the tokens by group and bits so far, how many before each are alike, and how many of those have a one.
+
+    ``place`` and ``start`` are those of ``_grouped``. Each bit splits the groups in order, so nothing is sorted again.
+    """
+    at, code = np.arange(len(code)), code.astype(np.uint8)[place]
+    for depth in range(BITS):
+        one = (code >> (BITS - 1 - depth) & 1).astype(np.int64)
+        total = np.cumsum(one) - one
+        hits = total - total[start]
+        yield place, (at - start).astype(np.float32), hits.astype(np.float32)
+        head = np.flatnonzero(start == at)
+        size = np.diff(np.append(head, len(at)))
+        zeros = np.repeat(size - _sums(one, head), size)
+        to = at - hits
+        to += one * (start + zeros + hits - to)
+        start = start + one * zeros
+        moved = [np.empty_like(x) for x in (place, start, code)]
+        for x, y in zip(moved, (place, start, code), strict=True):
+            x[to] = y
+        place, start, code = moved
 
 
 def _stretch(hits: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -210,9 +279,11 @@ class Model:
         position = position % SPAN
         c = count[t.word]
         known = c > 0
-        code, before = _contexts(t)[:2]
-        unknowns = _earlier(span, ~known)
-        p_unknown = (unknowns[1] + UNKNOWN_PRIOR * self.unknown) / (unknowns[0] + UNKNOWN_PRIOR)
+        code = t.classes[t.word]
+        before = _before(code, t.text)
+        begin = np.flatnonzero(np.append(True, span[1:] != span[:-1])[:n])[span]
+        unknowns = np.cumsum(~known) - ~known
+        p_unknown = (unknowns - unknowns[begin] + UNKNOWN_PRIOR * self.unknown) / (np.arange(n) - begin + UNKNOWN_PRIOR)
         out = np.log(np.where(known, 1 - p_unknown, p_unknown))
         at = np.flatnonzero(known)
         span_k, code_k, c_k = span[at], code[at], c[at]
@@ -228,60 +299,81 @@ class Model:
             # tokens of one chunk of all texts are worked on together
             order = np.lexsort((at, turn))
             ends = np.append(np.flatnonzero(np.diff(turn[order])) + 1, len(order))
-            one, two = way[:, at], way[:, at + n]
-            for depth in range(BITS):
-                gain += self._bit(depth, code_k, before[at], two, span_k, order, ends)
+            one, two = way[BITS:, at], way[:, at + n]
+            gain, class_before = self._bits(code_k, before[at], two, span_k, order, ends)
             # the word among those of its class
-            words_before = _earlier(span_k * np.int64(len(t.distinct)) + t.word[at], np.zeros(len(at), bool))[0]
-            class_before = _earlier(span_k * np.int64(_NODES) + code_k, np.zeros(len(at), bool))[0]
+            place, start = _grouped(span_k * np.int64(len(t.distinct)) + t.word[at])
+            words_before = np.empty(len(at))
+            words_before[place] = np.arange(len(at)) - start
             plain = (words_before + WORD_PRIOR * (c_k + 0.5) / self.mass[code_k]) / (class_before + WORD_PRIOR)
             gain += _word(plain, one, two, span_k, order, ends)
         out[at] += gain
         return np.bincount(t.text, weights=out, minlength=t.n) / math.log(10)
 
-    def _bit(self, depth: int, code, before, two, span, order, ends) -> np.ndarray:
-        """Natural log probability of bit ``depth`` of each token."""
-        node = _node(code, depth)
-        bit = code >> (BITS - 1 - depth) & 1 == 1
-        inputs = np.empty((len(code), len(WEIGHTS)), np.float32)
-        for k, place in enumerate(_places(node, before)):
-            inputs[:, k] = self.odds[place]
-        # after two words; what was never seen there falls back to the class of the word before
-        seen, same = two[depth].astype(np.float64), two[depth + 1].astype(np.float64)
-        ones, spread = np.where(bit, same, seen - same), np.exp(inputs[:, 1].astype(np.float64))
-        inputs[:, 2] = np.log((ones + spread / (1 + spread)) / (seen - ones + 1 / (1 + spread)))
-        own, own_hits = _earlier(span << BITS | node, bit)
-        inputs[:, 3] = _stretch(own_hits, own)
-        near, near_hits = _earlier((span * np.int64(_NODES + 1) + before) << BITS | node, bit)
-        inputs[:, 4] = _stretch(near_hits, near)
-        gate = span * 3 + (own > 0) + (own > 7)
-        inputs, gate, y = inputs[order], gate[order], bit[order]
-        sets = (int(gate.max()) // 3 + 1) * 3
-        weights = np.tile(np.array(WEIGHTS, np.float32), (sets, 1))
-        # the correcting table: by span and log odds
+    def _bits(self, code, before, two, span, order, ends) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log probability of the class of each token, eight bits, each with weights of its own; and its earlier ones."""
+        m = len(code)
+        spot = np.empty(m, np.int64)
+        spot[order] = np.arange(m)
+        code_o, before_o, span_o, two = code[order], before[order], span[order], two[:, order]
+        share = (1 / (1 + np.exp(-self.odds))).astype(np.float32)
+        inputs, gate = np.empty((len(WEIGHTS), BITS, m), np.float32), np.empty((BITS, m), np.int32)
+        y = np.empty((BITS, m), np.float32)
+        histories = [_along(*_grouped(span), code), _along(*_grouped(span * np.int64(_NODES + 1) + before), code)]
         cells = 16
+        for depth in range(BITS):
+            y[depth] = code_o >> (BITS - 1 - depth) & 1
+            bit = y[depth]
+            for k, place in enumerate(_places(_node(code_o, depth), before_o)):
+                inputs[k, depth] = self.odds.take(place, mode="clip")
+            # after two words; what was never seen there falls back to the class of the word before
+            back, seen, same = share.take(place, mode="clip"), two[depth], two[depth + 1]
+            ones = np.abs((1 - bit) * seen - same)
+            inputs[2, depth] = np.log((ones + back) / (seen - ones + 1 - back))
+            own = np.empty(m, np.float32)
+            for k, history in enumerate(histories, 3):
+                place, seen, hits = next(history)
+                to = spot.take(place, mode="clip")
+                inputs[k, depth, to] = _stretch(hits, seen)
+                if k == 3:
+                    own[to] = seen
+                    alike = (to, seen, hits)
+            gate[depth] = (span_o * 3 + (own > 0) + (own > 7)) * BITS + depth
+        sets = (int(span_o.max()) + 1) * 3 * BITS
+        weights = [np.full(sets, w, np.float32) for w in WEIGHTS]
+        # the correcting table: by span and log odds
         hits, tries = np.zeros(sets // 3 * cells), np.zeros(sets // 3 * cells)
-        out, a = np.empty(len(code)), 0
+        out, a = np.empty(m), 0
         for b in ends:
-            x, g, t = inputs[a:b], gate[a:b], y[a:b]
-            z = np.clip(np.einsum("ij,ij->i", x, weights[g]), -12, 12)
+            x, t = inputs[:, :, a:b].reshape(len(WEIGHTS), -1), y[:, a:b].reshape(-1)
+            g = gate[:, a:b].astype(np.int64)
+            cell = (g // (3 * BITS) * BITS + np.arange(BITS)[:, None]).reshape(-1) * cells
+            g = g.reshape(-1)
+            z = x[0] * weights[0].take(g, mode="clip")
+            for k in range(1, len(WEIGHTS)):
+                z += x[k] * weights[k].take(g, mode="clip")
+            z = np.clip(z, -12, 12)
             p = 1 / (1 + np.exp(-z))
-            cell = (g // 3) * cells + ((z + 12) * (cells / 24.0001)).astype(np.int64)
-            refined = (hits[cell] + TABLE_PRIOR * p) / (tries[cell] + TABLE_PRIOR)
+            cell += ((z + 12) * (cells / 24.0001)).astype(np.int64)
+            refined = (hits.take(cell, mode="clip") + TABLE_PRIOR * p) / (tries.take(cell, mode="clip") + TABLE_PRIOR)
             final = np.clip((p + refined) / 2, 1e-6, 1 - 1e-6)
-            out[a:b] = np.log(np.where(t, final, 1 - final))
-            if b < len(code):
-                error = (t - p) * RATE
-                running = (int(g.max()) // 3 + 1) * 3
-                for k in range(x.shape[1]):
-                    weights[:running, k] += np.bincount(g, weights=error * x[:, k], minlength=running)
+            # the probability of what came, of all bits of a word
+            out[a:b] = np.log(np.abs(final - (1 - t)).reshape(BITS, -1).prod(0))
+            if b < m:
+                error = (t - p) * np.float32(RATE)
+                running = (int(g.max()) // (3 * BITS) + 1) * 3 * BITS
+                for k, own in enumerate(weights):
+                    own[:running] += np.bincount(g, weights=error * x[k], minlength=running)
                 running = running // 3 * cells
                 hits[:running] += np.bincount(cell, weights=t, minlength=running)
                 tries[:running] += np.bincount(cell, minlength=running)
             a = b
-        back = np.empty(len(code))
-        back[order] = out
-        return back
+        gain, earlier = np.empty(m), np.empty(m)
+        gain[order] = out
+        # what shares all bits
+        to, seen, hits = alike
+        earlier[order[to]] = np.where(y[-1][to], hits, seen - hits)
+        return gain, earlier
 
 
 def _letters(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -346,35 +438,16 @@ def spelling_bits(distinct: pa.Array, seen: np.ndarray, ones: np.ndarray) -> np.
     return np.bincount(owner, weights=out[of], minlength=len(distinct)) / math.log(2)
 
 
-def _spelling(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """``spelling_slots`` of the training words, each taken once; tables of fixed size from every task."""
-
-    def run(batches):
-        size = (SPELL_ORDERS + 1) * SPELL_SLOTS
-        seen, ones = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for part in slices(batches, "word"):
-            a, b = spelling_slots(part.column("word"))
-            seen += a
-            ones += b
-        slot = np.flatnonzero(seen)
-        yield pa.record_batch({"slot": slot.astype(np.int32), "seen": seen[slot], "ones": ones[slot]})
-
-    found = vocabulary.select("word").mapInArrow(run, "slot int, seen long, ones long").groupBy("slot").agg(F.sum("seen").alias("seen"), F.sum("ones").alias("ones")).toArrow()
-    seen, ones = (np.zeros((SPELL_ORDERS + 1) * SPELL_SLOTS, np.int64) for _ in range(2))
-    seen[found["slot"].to_numpy()], ones[found["slot"].to_numpy()] = found["seen"].to_numpy(), found["ones"].to_numpy()
-    return seen, ones
-
-
 def _word(plain: np.ndarray, one: np.ndarray, two: np.ndarray, span, order, ends) -> np.ndarray:
     """Natural log probability of each word within its class, by the gate's mix of ``plain`` and the words in context."""
     near = plain
     features = [np.ones(len(plain))]
     for way in (one, two):
-        seen, hits, kinds = (way[k].astype(np.float64) for k in (BITS, _WORD, _KINDS))
+        seen, hits, kinds = way[-3:].astype(np.float64)
         # as many shares go to the shorter context as there are different words
         near = np.where(seen > 0, (hits + kinds * near) / np.maximum(seen + kinds, 1), near)
         features.append(np.log((seen + 0.4) / (kinds + 0.4)))
-    gate = span * 3 + (one[BITS] > 0) + (two[BITS] > 0)
+    gate = span * 3 + (one[-3] > 0) + (two[-3] > 0)
     features = np.stack(features, 1)[order]
     gate, far, plain = gate[order], near[order], plain[order]
     sets = (int(gate.max()) // 3 + 1) * 3
@@ -396,150 +469,464 @@ def _word(plain: np.ndarray, one: np.ndarray, two: np.ndarray, span, order, ends
     return back
 
 
-def _folded(docs: DataFrame) -> DataFrame:
-    """doc_id, text, held_out and block of each row."""
-    blocks = max(1, math.ceil(text_bytes(docs) / BLOCK_BYTES))
-    held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD_OUT
-    # rows that repeat are spread by the part of the input they lie in
-    block = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int")
-    return docs.select("doc_id", "text", held.alias("held_out"), block.alias("block"))
+def _pack(values: np.ndarray, steps: bool = True) -> bytes:
+    """Integers by columns, or with ``steps`` their differences: the bytes of equal weight side by side, compressed."""
+    values = np.ascontiguousarray(values)
+    wide = bool(values.max(initial=0) >= 1 << 31)
+    values = values.astype(np.uint64 if wide else np.uint32, copy=False)
+    if steps:
+        step = values.copy()
+        step[1:] -= values[:-1]
+        step = step.view(np.int64 if wide else np.int32)
+        # small differences of either sign become small numbers
+        values = (step << 1 ^ step >> (8 * step.itemsize - 1)).view(values.dtype)
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(values.reshape(-1, 1).view(np.uint8).T[:width])
+    return bytes([steps, wide, width]) + planes.nbytes.to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """block, word, class, n (training count) of each block's words; and slot, seen, ones of its context tables."""
+def _unpack(packed: bytes, rows: int = 0) -> np.ndarray:
+    """What ``_pack`` was given, as unsigned integers; with ``rows`` a table of so many."""
+    steps, wide, width = packed[:3]
+    planes = np.frombuffer(pa.decompress(packed[11:], int.from_bytes(packed[3:11], "little"), codec="zstd", asbytes=True), np.uint8).reshape(width, -1)
+    kind, signed = (np.uint64, np.int64) if wide else (np.uint32, np.int32)
+    values = np.zeros((planes.shape[1], 8 if wide else 4), np.uint8)
+    for k, plane in enumerate(planes):
+        values[:, k] = plane
+    values = values.view(kind).reshape(-1)
+    values = values.reshape(rows, -1) if rows else values
+    if not steps:
+        return values
+    return np.cumsum((values >> kind(1)).view(signed) ^ -(values & kind(1)).view(signed), axis=0, dtype=signed).view(kind)
+
+
+def _pack_words(distinct: pa.Array) -> bytes:
+    data, offsets = raw_bytes(distinct)
+    lengths = _pack(np.diff(offsets), steps=False)
+    return len(lengths).to_bytes(8, "little") + len(data).to_bytes(8, "little") + lengths + pa.compress(np.ascontiguousarray(data), codec="zstd", asbytes=True)
+
+
+def _unpack_words(packed: bytes) -> pa.Array:
+    at, size = (int.from_bytes(packed[k : k + 8], "little") for k in (0, 8))
+    lengths = _unpack(packed[16 : 16 + at])
+    data = pa.decompress(packed[16 + at :], size, codec="zstd", asbytes=True)
+    offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _part_of(hashed: np.ndarray, parts: int) -> np.ndarray:
+    """Parts are ranges of a hash."""
+    return ((hashed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+
+
+def _dealing(distinct: pa.Array) -> np.ndarray:
+    """A hash of each word by which it is dealt; words may share one."""
+    data, offsets = raw_bytes(distinct)
+    length = np.diff(offsets)
+    power = np.cumprod(np.full(int(length.max(initial=0)) + 1, _ODD))
+    total = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[np.arange(len(data)) - np.repeat(offsets[:-1], length)]))
+    return mixed(total[offsets[1:]] - total[offsets[:-1]])
+
+
+def _planes(lengths: np.ndarray) -> list[np.ndarray]:
+    """Where each of the four bytes of each token stands; those of equal weight of a text are side by side."""
+    first = np.cumsum(lengths) - lengths
+    size = np.repeat(lengths, lengths)
+    base = 4 * np.repeat(first, lengths) + np.arange(len(size)) - np.repeat(first, lengths)
+    return [base + k * size for k in range(4)]
+
+
+def _token_bytes(word: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    data = np.empty(4 * len(word), np.uint8)
+    for k, place in enumerate(_planes(lengths)):
+        data[place] = word >> 8 * k & 255
+    offsets = np.append(0, 4 * np.cumsum(lengths)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _tokens_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of all texts, how many each has), from ``_token_bytes``."""
+    data, offsets = raw_bytes(pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type))
+    lengths = np.diff(offsets) // 4
+    return sum(data[place].astype(np.int64) << 8 * k for k, place in enumerate(_planes(lengths))), lengths
+
+
+def _block_rows(block: int, held: list[tuple], parts: int, schema: pa.Schema):
+    """A block's rows with their tokens; its words by part, with training counts; and its classes in sequence."""
+    coded = pa.concat_arrays([*(found[0] for _, found in held), pa.array([b""], pa.binary())]).dictionary_encode()
+    distinct, of = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    part, lead = _part_of(_dealing(distinct), parts), np.zeros(len(distinct), np.int64)
+    for byte in _leading(distinct, 7):
+        lead = lead << 8 | byte
+    order = np.lexsort((lead, part))
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    distinct, part = distinct.take(pa.array(order)), part[order]
+    of, classes = number[of], classes_of(distinct)
+    n, followed, begin = np.zeros(len(order), np.int64), np.zeros((_NODES + 1) * _NODES, np.int64), 0
+
+    def batch(rows: int, **columns) -> pa.RecordBatch:
+        columns["block"] = pa.array(np.full(rows, block), pa.int64())
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
+
+    for rows, (own, code, first) in held:
+        word = np.insert(of[begin : begin + len(own)][code], first[1:], of[-1])
+        begin += len(own)
+        lengths = np.diff(first) + 1
+        train = np.repeat(~rows.column("held_out").to_numpy(zero_copy_only=False), lengths)
+        n += np.bincount(word[train], minlength=len(n))
+        kind = classes[word]
+        followed += class_pairs(kind[train], _before(kind, np.repeat(np.arange(len(lengths)), lengths))[train])
+        yield batch(len(lengths), doc_id=rows.column("doc_id"), held_out=rows.column("held_out"), n_bytes=rows.column("n_bytes"), tokens=_token_bytes(word, lengths))
+    ends = np.flatnonzero(np.append(part[1:] != part[:-1], True)) + 1
+    cuts = list(zip([0, *ends[:-1]], ends, strict=True))
+    yield batch(len(cuts), part=pa.array(part[ends - 1]), words=pa.array([_pack_words(distinct.slice(a, b - a)) for a, b in cuts], pa.binary()), n=pa.array([_pack(n[a:b], False) for a, b in cuts], pa.binary()))
+    yield batch(1, part=pa.array([-1], pa.int32()), n=pa.array([_pack(followed, False)], pa.binary()))
+
+
+def _dealt(docs: DataFrame, size: int, parts: int) -> DataFrame:
+    """Rows of all blocks, as ``_block_rows`` gives them, in a table bucketed by block."""
+    spark, limit = docs.sparkSession, BLOCK_BYTES
+    held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD_OUT
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        block, kept, filled, schema = TaskContext.get().partitionId() << 32, [], 0, None
+        for rows in slices(batches, limit=min(SLICE_BYTES, limit)):
+            n_bytes = pc.cast(pc.binary_length(texts(rows)), pa.int64())
+            more = pc.sum(n_bytes).as_py()
+            schema = pa.schema([("block", pa.int64()), ("doc_id", rows.schema.field("doc_id").type), ("held_out", pa.bool_()), ("n_bytes", pa.int64()), ("tokens", pa.binary()), ("part", pa.int32()), ("words", pa.binary()), ("n", pa.binary())])
+            if kept and filled + more > limit:
+                yield from _block_rows(block, kept, parts, schema)
+                block, kept, filled = block + 1, [], 0
+            kept.append((pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_bytes": n_bytes}).combine_chunks().to_batches()[0], words(texts(rows))))
+            filled += more
+        if kept:
+            yield from _block_rows(block, kept, parts, schema)
+
+    rows = docs.select("doc_id", "text", held.alias("held_out")).mapInArrow(run, f"block long, doc_id {kind}, held_out boolean, n_bytes long, tokens binary, part int, words binary, n binary")
+    name = f"lm_blocks_{uuid.uuid4().hex}"
+    rows.write.bucketBy(max(1, math.ceil(size / BLOCK_BYTES)), "block").option("compression", "zstd").option("path", shared_path(spark, "blocks")).saveAsTable(name)
+    return spark.table(name)
+
+
+def _numbered(dealt: DataFrame, parts: int) -> DataFrame:
+    """Of each block and part, in order of its words: n (training count) and number; then all training words, without a block.
+
+    A word's number is 0 if no training text holds it, else its class and, above that, its place within the class from 1.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        out = []
-        seen, ones = np.zeros(_SIZE, np.int64), np.zeros(_SIZE, np.int64)
-        block = table["block"][0].as_py()
-        for part in slices(table.to_batches()):
-            t = tokens(texts(part))
-            train = ~part.column("held_out").to_numpy(zero_copy_only=False)[t.text]
-            counts = np.bincount(t.word[train], minlength=len(t.distinct))
-            a, b = count_slots(t, train)
-            seen += a
-            ones += b
-            out.append(pa.table({"word": t.distinct, "class": t.classes.astype(np.int32), "n": counts}))
-        # each word of the block once
-        own = pa.concat_tables(out).group_by("word").aggregate([("class", "min"), ("n", "sum")])
-        n = own.num_rows
-        slot = np.flatnonzero(seen)
-        m = len(slot)
-        both = [pa.table({"block": pa.array(np.full(n, block, np.int32)), "word": own["word"], "class": own["class_min"], "n": own["n_sum"], "slot": pa.nulls(n, pa.int32()), "ones": pa.nulls(n, pa.int64())})]
-        both.append(pa.table({"block": pa.nulls(m, pa.int32()), "word": pa.nulls(m, pa.binary()), "class": pa.nulls(m, pa.int32()), "n": seen[slot], "slot": slot.astype(np.int32), "ones": ones[slot]}))
-        return pa.concat_tables(both)
-
-    return rows.groupBy("block").applyInArrow(run, "block int, word binary, class int, n long, slot int, ones long")
-
-
-def _block_pairs(parts_of: list[Tokens], trains: list[np.ndarray], parts: int) -> tuple[np.ndarray, ...]:
-    """Distinct pairs of a block by part, context and word; training counts; where each part begins; places of the tokens."""
-    context, word = (np.concatenate(x) for x in zip(*(pairs(t) for t in parts_of), strict=True))
-    context, word, n, place = _distinct(context, word, np.concatenate([np.tile(x, 2) for x in trains]))
-    # parts are ranges of the hash, so that the order of contexts is that of parts
-    part = ((context >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-    return context, word, n, np.searchsorted(part, np.arange(parts + 1)), place
-
-
-def _tokens_of(table: pa.Table) -> tuple[list[pa.RecordBatch], list[Tokens], list[np.ndarray]]:
-    """Slices of a block, their tokens, and which of these are of training texts."""
-    cut = list(slices(table.to_batches()))
-    found = [tokens(texts(part)) for part in cut]
-    return cut, found, [~part.column("held_out").to_numpy(zero_copy_only=False)[t.text] for part, t in zip(cut, found, strict=True)]
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """Integers by columns: differences of neighbours, the bytes of equal weight side by side, compressed."""
-    values = np.ascontiguousarray(values).astype(np.uint64)
-    steps = np.diff(values, axis=0, prepend=np.zeros((1, *values.shape[1:]), np.uint64))
-    planes = np.ascontiguousarray(steps.reshape(-1, 1).view(np.uint8).T)
-    return planes.nbytes.to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+        lists = [_unpack_words(x) for x in table["words"].to_pylist()]
+        coded = pa.concat_arrays(lists).dictionary_encode()
+        distinct, of = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        part, ends = table["part"][0].as_py(), np.cumsum([len(x) for x in lists])
+        total = np.bincount(of, weights=np.concatenate([_unpack(x) for x in table["n"].to_pylist()]), minlength=len(distinct)).astype(np.int64)
+        classes = classes_of(distinct)
+        known = np.flatnonzero(total)
+        known = known[np.lexsort((-total[known], classes[known]))]
+        at = np.arange(len(known))
+        first = np.append(True, classes[known][1:] != classes[known][:-1])[: len(known)]
+        place = at - np.maximum.accumulate(np.where(first, at, 0))
+        number = np.zeros(len(distinct), np.int64)
+        number[known] = (place * parts + part + 1) << BITS | classes[known]
+        cut = [of[e - len(x) : e] for e, x in zip(ends, lists, strict=True)] + [known]
+        packed = lambda x: pa.array([_pack(x[c], False) for c in cut], pa.binary())
+        return pa.table({
+            "block": pa.array([*table["block"].to_pylist(), None], pa.int64()), "part": pa.array(np.full(len(cut), part, np.int32)),
+            "n": packed(total), "number": packed(number), "words": pa.array([None] * len(lists) + [_pack_words(distinct.take(pa.array(known)))], pa.binary()),
+        })
+
+    asked = dealt.where("part >= 0").select("block", "part", "words", "n")
+    return asked.groupBy("part").applyInArrow(run, "block long, part int, n binary, number binary, words binary")
+
+
+def _summed(rows: DataFrame, run) -> dict[str, np.ndarray]:
+    """slot, a, b, c: sums over all tasks of tables of fixed size."""
+    found = rows.mapInArrow(run, "slot int, a long, b long, c long").groupBy("slot").agg(*(F.sum(x).alias(x) for x in "abc")).toArrow()
+    return {name: found[name].to_numpy() for name in found.column_names}
+
+
+def _followed(dealt: DataFrame) -> np.ndarray:
+    """``class_pairs`` of all training texts."""
 
+    def run(batches):
+        total = np.zeros((_NODES + 1) * _NODES, np.int64)
+        for batch in batches:
+            for x in batch.column("n").to_pylist():
+                total += _unpack(x).astype(np.int64)
+        slot = np.flatnonzero(total)
+        yield pa.record_batch({"slot": slot.astype(np.int32), "a": total[slot], "b": total[slot], "c": total[slot]})
+
+    found, total = _summed(dealt.where("part = -1").select("n"), run), np.zeros((_NODES + 1) * _NODES, np.int64)
+    total[found["slot"]] = found["a"]
+    return total
 
-def _unpack(packed: bytes, rows: int = 0) -> np.ndarray:
-    """What ``_pack`` was given, as unsigned integers; with ``rows`` a table of so many."""
-    planes = np.frombuffer(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True), np.uint8)
-    steps = np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).reshape(-1)
-    return np.cumsum(steps.reshape(rows, -1) if rows else steps, axis=0, dtype=np.uint64)
 
+def _learnt(vocabulary: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """``spelling_slots`` of the training words, each taken once; and by class: tokens, words, words of one token."""
+    size = (SPELL_ORDERS + 1) * SPELL_SLOTS
 
-def _counts_in_context(rows: DataFrame, parts: int) -> DataFrame:
-    """block, part and ``ways`` of the block's pairs in that part, summed over the training texts of all blocks."""
+    def run(batches):
+        sums = np.zeros((3, size + _NODES), np.int64)
+        for batch in batches:
+            for distinct, n, number in zip(*(batch.column(x).to_pylist() for x in ("words", "n", "number")), strict=True):
+                distinct, n, classes = _unpack_words(distinct), _unpack(n).astype(np.int64), (_unpack(number) & np.uint64(_NODES - 1)).astype(np.int64)
+                for part in slices([pa.record_batch({"word": distinct})], "word"):
+                    sums[:2, :size] += spelling_slots(part.column("word"))
+                for k, x in enumerate((n, np.ones(len(n)), n == 1)):
+                    sums[k, size:] += np.bincount(classes, weights=x, minlength=_NODES).astype(np.int64)
+        slot = np.flatnonzero(sums[0])
+        yield pa.record_batch({"slot": slot.astype(np.int32)} | {name: sums[k, slot] for k, name in enumerate("abc")})
+
+    found, sums = _summed(vocabulary.select("words", "n", "number"), run), np.zeros((3, size + _NODES), np.int64)
+    for k, name in enumerate("abc"):
+        sums[k, found["slot"]] = found[name]
+    return (sums[0, :size], sums[1, :size]), sums[:, size:]
 
-    def ask(table: pa.Table) -> pa.Table:
-        _, found, trains = _tokens_of(table)
-        context, word, n, cuts, _ = _block_pairs(found, trains, parts)
-        part = np.flatnonzero(np.diff(cuts))
-        packed = lambda x: pa.array([_pack(x[cuts[p] : cuts[p + 1]]) for p in part], pa.binary())
-        return pa.table({"part": part.astype(np.int32), "block": pa.array([table["block"][0].as_py()] * len(part), pa.int32()), "context": packed(context), "word": packed(word), "n": packed(n)})
 
-    def answer(table: pa.Table) -> pa.Table:
-        context, word, n = ([_unpack(x) for x in table[name].to_pylist()] for name in ("context", "word", "n"))
-        way = ways(np.concatenate(context), np.concatenate(word), np.concatenate(n))
-        ends = np.cumsum([len(x) for x in n])
-        return pa.table({"block": table["block"], "part": table["part"], "way": pa.array([_pack(way[:, e - len(x) : e]) for e, x in zip(ends, n, strict=True)], pa.binary())})
+@dataclass
+class _Pairs:
+    """Distinct pairs of a block's words before, one or two, with a word behind them; all are training words."""
+
+    columns: list[np.ndarray]  # numbers of the words, those before first; 0: the begin of the text
+    token: np.ndarray  # tokens that have a pair
+    place: np.ndarray  # the pair of each of these
+
+    def parts(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """(the pairs in order of their parts, where each part begins)."""
+        *before, word = self.columns
+        part = _part_of(_after_one(before[0], word & (_NODES - 1)) if len(before) == 1 else _after_two(before[1], before[0]), parts)
+        order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+        return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def _ranked(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys of so many bits in order, the place of each input among them)."""
+    low = len(key).bit_length()
+    if bits + low > 63:
+        return np.unique(key, return_inverse=True)
+    order = np.sort(key << low | np.arange(len(key)))
+    key = order >> low
+    new = np.append(True, key[1:] != key[:-1])[: len(key)]
+    place = np.empty(len(key), np.int64)
+    place[order & ((1 << low) - 1)] = np.cumsum(new) - 1
+    return key[new], place
+
+
+def _pairs_of(word: np.ndarray, lengths: np.ndarray, number: np.ndarray) -> list[_Pairs]:
+    """Pairs after one word and after two; ``number`` is that of each word of the block."""
+    known = np.flatnonzero(number)
+    # by class, then by place in it
+    known = known[np.argsort((number[known] & (_NODES - 1)) << (63 - BITS) | number[known] >> BITS)]
+    place = np.full(len(number), -1)
+    place[known] = np.arange(1, len(known) + 1)
+    numbers, own, begins = np.append(0, number[known]), place[word], np.cumsum(lengths) - lengths
+    bits = len(known).bit_length()
+
+    def ahead(of: np.ndarray) -> np.ndarray:
+        before = np.append(0, of[:-1])[: len(of)]
+        before[begins] = 0
+        return before
+
+    last = ahead(own)
+    token = np.flatnonzero((own > 0) & (last >= 0))
+    key, place = _ranked(last[token] << bits | own[token], 2 * bits)
+    one = _Pairs([numbers[key >> bits], numbers[key & ((1 << bits) - 1)]], token, place)
+    # the two words before a token are the pair of the token before
+    pair = np.full(len(word), -1)
+    pair[token] = place + 1
+    pair = ahead(pair)
+    token = np.flatnonzero((own > 0) & (pair >= 0))
+    key, place = _ranked(pair[token] << bits | own[token], bits + len(key).bit_length())
+    return [one, _Pairs([*(np.append(0, x)[key >> bits] for x in one.columns), numbers[key & ((1 << bits) - 1)]], token, place)]
+
+
+def _levels(columns: list[np.ndarray], depths, cuts: np.ndarray | None = None) -> list[np.ndarray]:
+    """Where the pairs of a context and of each ``depths`` bits of the class behind it begin; anew at each of the ``cuts``."""
+    *before, word = columns
+    new = np.ones(len(word), bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in before])
+    if cuts is not None:
+        new[cuts] = True
+    kind, out = (word & word.dtype.type(_NODES - 1)).astype(np.uint8), []
+    turn = kind[1:] ^ kind[:-1]
+    for depth in depths:
+        flag = new.copy()
+        flag[1:] |= turn >= 1 << (BITS - depth)
+        out.append(np.flatnonzero(flag))
+    return out
+
+
+def _others(count, n: np.ndarray, levels: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(pair, value) of all that blocks with training counts ``n`` cannot know themselves; ``count(k, pairs)`` gives ``_ways``.
+
+    That is what other blocks count in a context, and at each step on the way how many of those turn off. Where none are
+    left, nothing is said.
+    """
+    out, rows = [], None
+    for k, start in enumerate(levels):
+        more = count(k, start) - _sums(n, start)
+        if rows is None:
+            out.append((start, more))
+        else:
+            above = rows[start]
+            said = np.flatnonzero(above)
+            out.append((start[said], (above - more)[said]))
+        rows = np.repeat(more, np.diff(np.append(start, len(n))))
+    said = np.flatnonzero(rows)
+    out.append((said, rows[said] - (count(-2, said) - n[said])))
+    said = start[more > 0]
+    out.append((said, count(-1, said) - _sums((n > 0).astype(np.int64), start)[more > 0]))
+    return out
+
+
+def _with_others(values: list[np.ndarray], n: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+    """The counts of ``_ways`` for each pair, from the values of ``_others``."""
+    out, rows = np.empty((len(levels) + 2, len(n)), np.float32), None
+    for k, start in enumerate(levels):
+        size = np.diff(np.append(start, len(n)))
+        if rows is None:
+            more = values[0].astype(np.int64)
+        else:
+            more = rows[start]
+            more[more > 0] -= values[k].astype(np.int64)
+        out[k] = np.repeat(_sums(n, start) + more, size)
+        rows = np.repeat(more, size)
+    kinds = _sums((n > 0).astype(np.int64), start)
+    kinds[more > 0] += values[-1].astype(np.int64)
+    out[-1] = np.repeat(kinds, size)
+    rows[rows > 0] -= values[-2].astype(np.int64)
+    out[-2] = n + rows
+    return out
+
+
+def _context(columns: list[np.ndarray]) -> np.ndarray:
+    """The context of each pair: its words if their numbers are short, in the order in which blocks send them, else a hash."""
+    *before, word = (x.astype(np.uint64) for x in columns)
+    kind = word & np.uint64(_NODES - 1)
+    if max(int(x.max(initial=0)) for x in before) < 1 << 32:
+        before = [(x & np.uint64(_NODES - 1)) << np.uint64(32 - BITS) | x >> np.uint64(BITS) for x in before]
+        return before[0] << np.uint64(32) | (before[1] if len(before) > 1 else kind)
+    return _after_two(before[1], before[0]) if len(before) > 1 else _after_one(before[0], kind)
+
+
+def _all_numbers(rows: pa.Table, name: str) -> np.ndarray:
+    """Of a block's words, in their order."""
+    return np.concatenate([_unpack(x).astype(np.int64) for x in rows.sort_by("part")[name].to_pylist()])
+
+
+#: Bits of the class after which counts are told, by number of words before: the class belongs to the context of one.
+_DEPTHS = {"one": [BITS], "two": list(range(BITS + 1))}
+
+
+def _counts_in_context(dealt: DataFrame, numbered: DataFrame, parts: int) -> DataFrame:
+    """block, part and what ``_others`` says of the block's pairs in that part, one word before and two."""
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = (left if left.num_rows else right)["block"][0].as_py()
+        word, lengths = _tokens_of(left["tokens"])
+        train = np.repeat(~left["held_out"].to_numpy(), lengths)
+        out = []
+        for p in _pairs_of(word, lengths, _all_numbers(right, "number")):
+            n = np.bincount(p.place, weights=train[p.token], minlength=len(p.columns[0]))
+            order, cuts = p.parts(parts)
+            columns = [x[order] for x in (*p.columns, n.astype(np.int64))]
+            out.append([[_pack(x[a:b], k == 0) for k, x in enumerate(columns)] if b > a else None for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        part = [k for k in range(parts) if out[0][k] or out[1][k]]
+        column = lambda x: pa.array([x[k] for k in part], pa.list_(pa.binary()))
+        return pa.table({"part": pa.array(part, pa.int32()), "block": pa.array([block] * len(part), pa.int64()), "one": column(out[0]), "two": column(out[1])})
 
-    asked = rows.groupBy("block").applyInArrow(ask, "part int, block int, context binary, word binary, n binary")
-    return asked.groupBy("part").applyInArrow(answer, "block int, part int, way binary")
+    def answer(table: pa.Table) -> pa.Table:
+        out = {"block": table["block"], "part": table["part"]}
+        for name, depths in _DEPTHS.items():
+            cells = [x and [_unpack(y) for y in x] for x in table[name].to_pylist()]
+            if not any(cells):
+                out[name] = pa.nulls(len(cells), pa.binary())
+                continue
+            *columns, n = (np.concatenate(x) for x in zip(*(x for x in cells if x), strict=True))
+            word, n = columns[-1].astype(np.uint64), n.astype(np.int64)
+            way, place = _ways(_context(columns), word << np.uint64(64 - BITS) | word >> np.uint64(BITS), n, depths)
+            ends = np.cumsum([len(x[0]) if x else 0 for x in cells])
+            begins = np.append(0, ends[:-1])
+            said = _others(lambda k, at: way[k, place[at]].astype(np.int64), n, _levels(columns, depths, begins[begins < len(n)]))  # noqa: B023
+            cuts = [np.searchsorted(at, np.append(0, ends)) for at, _ in said]
+            # how many values of each kind, and these
+            one = lambda j: np.concatenate([[c[j + 1] - c[j] for c in cuts], *(v[c[j] : c[j + 1]] for (_, v), c in zip(said, cuts, strict=True))])  # noqa: B023, E731
+            out[name] = pa.array([_pack(one(j), False) if x else None for j, x in enumerate(cells)], pa.binary())
+        return pa.table(out)
+
+    rows = dealt.where("part IS NULL").select("block", "held_out", "tokens")
+    own = numbered.where("block IS NOT NULL").select("block", "part", "number")
+    asked = rows.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(ask, "part int, block long, one array<binary>, two array<binary>")
+    return asked.groupBy("part").applyInArrow(answer, "block long, part int, one binary, two binary")
+
+
+def _answered(p: _Pairs, train: np.ndarray, packed: list[bytes], depths: list[int], parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts on the way to each pair, in order of the parts; the place of each token's pair among these)."""
+    order, _ = p.parts(parts)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    place = place[p.place]
+    n = np.bincount(place, weights=train[p.token], minlength=len(order)).astype(np.int64)
+    kinds, cells = len(depths) + 2, [_unpack(x) for x in packed]
+    ends = [np.append(0, np.cumsum(x[:kinds], dtype=np.int64)) + kinds for x in cells]
+    values = [np.concatenate([np.zeros(0, np.uint32), *(x[e[k] : e[k + 1]] for x, e in zip(cells, ends, strict=True))]) for k in range(kinds)]
+    return _with_others(values, n, _levels([x[order] for x in p.columns], depths)), place
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every document."""
     ready(docs.sparkSession)
+    size = text_bytes(docs)
+    parts = max(1, math.ceil(size / PART_BYTES))
     # a block must hold the same rows each time
-    rows = saved(_folded(docs), "folded")
-    parts = max(1, math.ceil(text_bytes(rows) / PART_BYTES))
-    counted = saved(_counted(rows), "counted")
-    by_block = counted.where("slot IS NULL")
-    vocabulary = saved(by_block.groupBy("word").agg(F.sum("n").alias("n"), F.first("class").alias("class")).where("n > 0"), "vocabulary")
-    # at most one row per class, and one per slot
-    classes = vocabulary.groupBy("class").agg(F.sum(F.col("n") + 0.5).alias("mass"), F.sum("n").alias("total"), F.count("*").alias("distinct"), F.count_if(F.col("n") == 1).alias("once")).collect()
-    slots = counted.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).toArrow()
-    seen, ones, mass = np.zeros(_SIZE), np.zeros(_SIZE), np.ones(_NODES)
-    seen[slots["slot"].to_numpy()], ones[slots["slot"].to_numpy()] = slots["n"].to_numpy(), slots["ones"].to_numpy()
-    for r in classes:
-        mass[r["class"]] = r["mass"]
-    total, distinct, once = (sum(r[k] for r in classes) for k in ("total", "distinct", "once"))
+    dealt = _dealt(docs, size, parts)
+    numbered = saved(_numbered(dealt, parts), "numbered")
+    spelling, (tokens_in, words_in, once) = _learnt(numbered.where("block IS NULL"))
+    seen, ones = slots_of(_followed(dealt))
+    total, distinct = int(tokens_in.sum()), int(words_in.sum())
     # words seen once are as many as new ones are to be expected
-    unknown = min(0.5, max(1e-6, once / total)) if total else 1.0
-    model = Model(_stretch(ones, seen).astype(np.float32), mass, total, distinct, unknown)
-    spelling = _spelling(vocabulary)
+    unknown = min(0.5, max(1e-6, int(once.sum()) / total)) if total else 1.0
+    model = Model(_stretch(ones.astype(float), seen.astype(float)).astype(np.float32), np.where(words_in > 0, tokens_in + 0.5 * words_in, 1.0), total, distinct, unknown)
     # a block gets the corpus counts of its own words, and of its own words in context
-    known = by_block.select("block", "word").join(vocabulary.select("word", "n"), "word").select("block", "word", "n")
-    known = known.unionByName(_counts_in_context(rows, parts), allowMissingColumns=True)
+    told = numbered.where("block IS NOT NULL").select("block", "part", "n", "number").unionByName(_counts_in_context(dealt, numbered, parts), allowMissingColumns=True)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def schema(left: pa.Table) -> pa.Schema:
-        return pa.schema([("doc_id", left.schema.field("doc_id").type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
-
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        in_context = right.filter(pc.is_valid(right["way"])).sort_by("part")
-        right = right.filter(pc.is_valid(right["word"]))
-        known_words, known_counts = right["word"].combine_chunks(), right["n"].to_numpy()
-        if not left.num_rows:
-            return schema(left).empty_table()
-        cut, found_in, trains = _tokens_of(left)
-        place = _block_pairs(found_in, trains, parts)[-1]
-        way = np.concatenate([_unpack(x, _WAY).astype(np.float32) for x in in_context["way"].to_pylist()], 1)
-        begin = 0
-        for part, t in zip(cut, found_in, strict=True):
-            own = way[:, place[begin : begin + 2 * len(t.word)]]
-            begin += 2 * len(t.word)
-            found = pc.index_in(t.distinct, value_set=known_words)
-            count = np.where(found.is_valid(), np.append(known_counts, 0)[pc.fill_null(found, len(known_counts)).to_numpy()], 0)
-            per_token = count[t.word]
+        listed = left.filter(pc.is_valid(left["part"])).sort_by("part")
+        left = left.filter(pc.is_null(left["part"]))
+        distinct = pa.concat_arrays([_unpack_words(x) for x in listed["words"].to_pylist()])
+        own = right.filter(pc.is_valid(right["number"]))
+        number, count = _all_numbers(own, "number"), _all_numbers(own, "n")
+        right = right.filter(pc.is_null(right["number"])).sort_by("part")
+        word, lengths = _tokens_of(left["tokens"])
+        train = np.repeat(~left["held_out"].to_numpy(), lengths)
+        answers = [(p.token, *_answered(p, train, right[name].drop_null().to_pylist(), depths, parts)) for p, (name, depths) in zip(_pairs_of(word, lengths, number), _DEPTHS.items(), strict=True)]
+        # the letters of unknown words; the end, an empty word, has none
+        strange = np.flatnonzero((count == 0) & (pc.binary_length(distinct).to_numpy() > 0))
+        letters = np.zeros(len(count))
+        letters[strange] = spelling_bits(distinct.take(pa.array(strange)), *spelling)
+        classes, out = classes_of(distinct), []
+        ends = np.cumsum(lengths)
+        cuts = np.flatnonzero(np.append(np.diff((ends - 1) // SCORED) > 0, True)) + 1
+        for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
+            begin, end = ends[a] - lengths[a], ends[b - 1]
+            t = Tokens(distinct, word[begin:end], np.repeat(np.arange(b - a), lengths[a:b]), None, classes, b - a)
+            n, way = end - begin, np.zeros((_WAY, 2 * (end - begin)), np.float32)
+            for k, (token, counts, place) in enumerate(answers):
+                span = slice(*np.searchsorted(token, [begin, end]))
+                rows = [BITS, _WORD, _KINDS] if k == 0 else list(range(_WAY))
+                for row, values in zip(rows, counts, strict=True):
+                    way[row, k * n + token[span] - begin] = values[place[span]]
+            per_token, scored = count[t.word], model.score(t, count, way)
             of = lambda x: np.bincount(t.text, weights=x, minlength=t.n)  # noqa: B023, E731
-            scored = model.score(t, count, own)
-            # the letters of unknown words; the end, an empty word, has none
-            strange = np.flatnonzero((count == 0) & (pc.binary_length(t.distinct).to_numpy() > 0))
-            letters = np.zeros(len(count))
-            letters[strange] = spelling_bits(t.distinct.take(pa.array(strange)), *spelling)
-            n_bytes = pc.binary_length(texts(part)).to_numpy(zero_copy_only=False)
+            part = left.slice(a, b - a)
             out.append(pa.table({
-                "doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": of(np.ones(len(per_token))).astype(np.int64), "n_known": of(per_token > 0).astype(np.int64),
-                "train_tokens": np.full(t.n, model.total, np.int64), "base_score": of(model.base(per_token)), "score": scored, "bits_per_byte": (of(letters[t.word]) - scored * math.log2(10)) / np.maximum(n_bytes, 1),
+                "doc_id": part["doc_id"], "held_out": part["held_out"], "n_tokens": lengths[a:b], "n_known": of(per_token > 0).astype(np.int64),
+                "train_tokens": np.full(t.n, model.total, np.int64), "base_score": of(model.base(per_token)), "score": scored, "bits_per_byte": (of(letters[t.word]) - scored * math.log2(10)) / np.maximum(part["n_bytes"].to_numpy(), 1),
             }))
         return pa.concat_tables(out)
 
-    return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    rows = dealt.where("part IS NULL OR part >= 0").select("block", "doc_id", "held_out", "n_bytes", "tokens", "part", "words")
+    return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
