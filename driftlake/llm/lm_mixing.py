@@ -46,7 +46,7 @@ from driftlake.llm.common import SLICE_BYTES, mixed, raw_bytes, ready, saved, sh
 FOLDS, HELD_OUT = 5, 1
 BLOCK_BYTES, SPAN = 12 << 20, 1 << 20
 #: Text bytes to one part of the words and of the (context, word) pairs; tokens that are scored at a time.
-PART_BYTES, SCORED = 8 << 20, 250_000
+PART_BYTES, SCORED = 8 << 20, 120_000
 #: Bits of a class, words between updates of the weights.
 BITS, CHUNK = 8, 64
 #: Learning rate and starting weights of: corpus alone, after a class, after two words; text alone, after a class.
@@ -229,22 +229,26 @@ def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _along(place: np.ndarray, start: np.ndarray, code: np.ndarray):
-    """For each bit of the class: the tokens by group and bits so far, how many before each are alike, and how many of those have a one.
+    """For each number of bits of the class: how many tokens of its group before each one have the same.
 
     ``place`` and ``start`` are those of ``_grouped``. Each bit splits the groups in order, so nothing is sorted again.
     """
     at, code = np.arange(len(code)), code.astype(np.uint8)[place]
-    for depth in range(BITS):
+    for depth in range(BITS + 1):
+        seen = np.empty(len(code), np.float32)
+        seen[place] = at - start
+        yield seen
+        if depth == BITS:
+            return
         one = (code >> (BITS - 1 - depth) & 1).astype(np.int64)
         total = np.cumsum(one) - one
         hits = total - total[start]
-        yield place, (at - start).astype(np.float32), hits.astype(np.float32)
         head = np.flatnonzero(start == at)
         size = np.diff(np.append(head, len(at)))
-        zeros = np.repeat(size - _sums(one, head), size)
+        second = start + np.repeat(size - _sums(one, head), size)
         to = at - hits
-        to += one * (start + zeros + hits - to)
-        start = start + one * zeros
+        to += one * (second + hits - to)
+        start += one * (second - start)
         moved = [np.empty_like(x) for x in (place, start, code)]
         for x, y in zip(moved, (place, start, code), strict=True):
             x[to] = y
@@ -273,6 +277,11 @@ class Model:
         n = len(t.word)
         if way is None:
             way = np.zeros((_WAY, 2 * n), np.float32)
+        return self.scored(t, count, lambda at: way[BITS:, at], lambda at: way[:, at + n])
+
+    def scored(self, t: Tokens, count: np.ndarray, after_one, after_two) -> np.ndarray:
+        """``score`` with two functions that give the counts of tokens, after one word from those of the class on."""
+        n = len(t.word)
         position = np.arange(n) - np.flatnonzero(np.append(True, t.text[1:] != t.text[:-1]))[t.text]
         # adaptive state belongs to a span of a text
         span = np.cumsum(np.append(True, (t.text[1:] != t.text[:-1]) | (position[1:] % SPAN == 0))) - 1
@@ -299,49 +308,45 @@ class Model:
             # tokens of one chunk of all texts are worked on together
             order = np.lexsort((at, turn))
             ends = np.append(np.flatnonzero(np.diff(turn[order])) + 1, len(order))
-            one, two = way[BITS:, at], way[:, at + n]
-            gain, class_before = self._bits(code_k, before[at], two, span_k, order, ends)
+            at, code_k, c_k, span_k = at[order], code_k[order], c_k[order], span_k[order]
+            two = after_two(at)
+            gain, class_before = self._bits(code_k, before[at], two, span_k, ends)
             # the word among those of its class
             place, start = _grouped(span_k * np.int64(len(t.distinct)) + t.word[at])
             words_before = np.empty(len(at))
             words_before[place] = np.arange(len(at)) - start
             plain = (words_before + WORD_PRIOR * (c_k + 0.5) / self.mass[code_k]) / (class_before + WORD_PRIOR)
-            gain += _word(plain, one, two, span_k, order, ends)
+            gain += _word(plain, after_one(at), two, span_k, slice(None), ends)
         out[at] += gain
         return np.bincount(t.text, weights=out, minlength=t.n) / math.log(10)
 
-    def _bits(self, code, before, two, span, order, ends) -> tuple[np.ndarray, np.ndarray]:
+    def _bits(self, code, before, two, span, ends) -> tuple[np.ndarray, np.ndarray]:
         """Natural log probability of the class of each token, eight bits, each with weights of its own; and its earlier ones."""
         m = len(code)
-        spot = np.empty(m, np.int64)
-        spot[order] = np.arange(m)
-        code_o, before_o, span_o, two = code[order], before[order], span[order], two[:, order]
         share = (1 / (1 + np.exp(-self.odds))).astype(np.float32)
         inputs, gate = np.empty((len(WEIGHTS), BITS, m), np.float32), np.empty((BITS, m), np.int32)
         y = np.empty((BITS, m), np.float32)
+        # a text's tokens stand in their order here too, only those of others between them
         histories = [_along(*_grouped(span), code), _along(*_grouped(span * np.int64(_NODES + 1) + before), code)]
-        cells = 16
+        alike = [next(history) for history in histories]
         for depth in range(BITS):
-            y[depth] = code_o >> (BITS - 1 - depth) & 1
+            y[depth] = code >> (BITS - 1 - depth) & 1
             bit = y[depth]
-            for k, place in enumerate(_places(_node(code_o, depth), before_o)):
+            sign = 2 * bit - 1
+            for k, place in enumerate(_places(_node(code, depth), before)):
                 inputs[k, depth] = self.odds.take(place, mode="clip")
             # after two words; what was never seen there falls back to the class of the word before
-            back, seen, same = share.take(place, mode="clip"), two[depth], two[depth + 1]
-            ones = np.abs((1 - bit) * seen - same)
-            inputs[2, depth] = np.log((ones + back) / (seen - ones + 1 - back))
-            own = np.empty(m, np.float32)
-            for k, history in enumerate(histories, 3):
-                place, seen, hits = next(history)
-                to = spot.take(place, mode="clip")
-                inputs[k, depth, to] = _stretch(hits, seen)
-                if k == 3:
-                    own[to] = seen
-                    alike = (to, seen, hits)
-            gate[depth] = (span_o * 3 + (own > 0) + (own > 7)) * BITS + depth
-        sets = (int(span_o.max()) + 1) * 3 * BITS
+            same, back = two[depth + 1], np.abs(share.take(place, mode="clip") - (1 - bit))
+            inputs[2, depth] = sign * np.log((same + back) / (two[depth] - same + (1 - back)))
+            gate[depth] = (span * 3 + (alike[0] > 0) + (alike[0] > 7)) * BITS + depth
+            for k, history in enumerate(histories):
+                same = next(history)
+                inputs[3 + k, depth] = sign * _stretch(same, alike[k])
+                alike[k] = same
+        sets = (int(span.max()) + 1) * 3 * BITS
         weights = [np.full(sets, w, np.float32) for w in WEIGHTS]
         # the correcting table: by span and log odds
+        cells = 16
         hits, tries = np.zeros(sets // 3 * cells), np.zeros(sets // 3 * cells)
         out, a = np.empty(m), 0
         for b in ends:
@@ -368,12 +373,7 @@ class Model:
                 hits[:running] += np.bincount(cell, weights=t, minlength=running)
                 tries[:running] += np.bincount(cell, minlength=running)
             a = b
-        gain, earlier = np.empty(m), np.empty(m)
-        gain[order] = out
-        # what shares all bits
-        to, seen, hits = alike
-        earlier[order[to]] = np.where(y[-1][to], hits, seen - hits)
-        return gain, earlier
+        return out, alike[0]
 
 
 def _letters(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -544,11 +544,20 @@ def _token_bytes(word: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
-def _tokens_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens of all texts, how many each has), from ``_token_bytes``."""
+def _frequent(n: np.ndarray) -> np.ndarray:
+    """A block's words, those of many training tokens first."""
+    return np.argsort(-n, kind="stable")
+
+
+def _tokens_of(rows: pa.Table) -> tuple[pa.Table, pa.Table, np.ndarray, np.ndarray]:
+    """(a block's texts, its words by part, the words of all texts, how many each text has)."""
+    listed = rows.filter(pc.is_valid(rows["part"])).sort_by("part")
+    rows = rows.filter(pc.is_null(rows["part"]))
+    column = rows["tokens"]
     data, offsets = raw_bytes(pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type))
     lengths = np.diff(offsets) // 4
-    return sum(data[place].astype(np.int64) << 8 * k for k, place in enumerate(_planes(lengths))), lengths
+    code = sum(data[place].astype(np.int64) << 8 * k for k, place in enumerate(_planes(lengths)))
+    return rows, listed, _frequent(_all_numbers(listed, "n"))[code], lengths
 
 
 def _block_rows(block: int, held: list[tuple], parts: int, schema: pa.Schema):
@@ -569,6 +578,7 @@ def _block_rows(block: int, held: list[tuple], parts: int, schema: pa.Schema):
         columns["block"] = pa.array(np.full(rows, block), pa.int64())
         return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
+    found = []
     for rows, (own, code, first) in held:
         word = np.insert(of[begin : begin + len(own)][code], first[1:], of[-1])
         begin += len(own)
@@ -577,7 +587,12 @@ def _block_rows(block: int, held: list[tuple], parts: int, schema: pa.Schema):
         n += np.bincount(word[train], minlength=len(n))
         kind = classes[word]
         followed += class_pairs(kind[train], _before(kind, np.repeat(np.arange(len(lengths)), lengths))[train])
-        yield batch(len(lengths), doc_id=rows.column("doc_id"), held_out=rows.column("held_out"), n_bytes=rows.column("n_bytes"), tokens=_token_bytes(word, lengths))
+        found.append((rows, word, lengths))
+    # tokens are written by how frequent they are, as small numbers
+    rank = np.empty(len(n), np.int64)
+    rank[_frequent(n)] = np.arange(len(n))
+    for rows, word, lengths in found:
+        yield batch(len(lengths), doc_id=rows.column("doc_id"), held_out=rows.column("held_out"), n_bytes=rows.column("n_bytes"), tokens=_token_bytes(rank[word], lengths))
     ends = np.flatnonzero(np.append(part[1:] != part[:-1], True)) + 1
     cuts = list(zip([0, *ends[:-1]], ends, strict=True))
     yield batch(len(cuts), part=pa.array(part[ends - 1]), words=pa.array([_pack_words(distinct.slice(a, b - a)) for a, b in cuts], pa.binary()), n=pa.array([_pack(n[a:b], False) for a, b in cuts], pa.binary()))
@@ -754,7 +769,7 @@ def _levels(columns: list[np.ndarray], depths, cuts: np.ndarray | None = None) -
     for depth in depths:
         flag = new.copy()
         flag[1:] |= turn >= 1 << (BITS - depth)
-        out.append(np.flatnonzero(flag))
+        out.append(np.flatnonzero(flag).astype(np.int32))
     return out
 
 
@@ -782,8 +797,9 @@ def _others(count, n: np.ndarray, levels: list[np.ndarray]) -> list[tuple[np.nda
 
 
 def _with_others(values: list[np.ndarray], n: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
-    """The counts of ``_ways`` for each pair, from the values of ``_others``."""
-    out, rows = np.empty((len(levels) + 2, len(n)), np.float32), None
+    """The counts of ``_ways`` for each pair, from the values of ``_others``; zeros behind them."""
+    every, rows = np.zeros((len(levels) + 2, len(n) + 1), np.float32), None
+    out = every[:, :-1]
     for k, start in enumerate(levels):
         size = np.diff(np.append(start, len(n)))
         if rows is None:
@@ -798,7 +814,7 @@ def _with_others(values: list[np.ndarray], n: np.ndarray, levels: list[np.ndarra
     out[-1] = np.repeat(kinds, size)
     rows[rows > 0] -= values[-2].astype(np.int64)
     out[-2] = n + rows
-    return out
+    return every
 
 
 def _context(columns: list[np.ndarray]) -> np.ndarray:
@@ -825,7 +841,7 @@ def _counts_in_context(dealt: DataFrame, numbered: DataFrame, parts: int) -> Dat
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         block = (left if left.num_rows else right)["block"][0].as_py()
-        word, lengths = _tokens_of(left["tokens"])
+        left, _, word, lengths = _tokens_of(left)
         train = np.repeat(~left["held_out"].to_numpy(), lengths)
         out = []
         for p in _pairs_of(word, lengths, _all_numbers(right, "number")):
@@ -856,14 +872,14 @@ def _counts_in_context(dealt: DataFrame, numbered: DataFrame, parts: int) -> Dat
             out[name] = pa.array([_pack(one(j), False) if x else None for j, x in enumerate(cells)], pa.binary())
         return pa.table(out)
 
-    rows = dealt.where("part IS NULL").select("block", "held_out", "tokens")
+    rows = dealt.where("part IS NULL OR part >= 0").select("block", "held_out", "tokens", "part", "n")
     own = numbered.where("block IS NOT NULL").select("block", "part", "number")
     asked = rows.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(ask, "part int, block long, one array<binary>, two array<binary>")
     return asked.groupBy("part").applyInArrow(answer, "block long, part int, one binary, two binary")
 
 
 def _answered(p: _Pairs, train: np.ndarray, packed: list[bytes], depths: list[int], parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(counts on the way to each pair, in order of the parts; the place of each token's pair among these)."""
+    """(counts on the way to each pair, in order of the parts; the place among these of the pair of each token of the block)."""
     order, _ = p.parts(parts)
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -872,7 +888,11 @@ def _answered(p: _Pairs, train: np.ndarray, packed: list[bytes], depths: list[in
     kinds, cells = len(depths) + 2, [_unpack(x) for x in packed]
     ends = [np.append(0, np.cumsum(x[:kinds], dtype=np.int64)) + kinds for x in cells]
     values = [np.concatenate([np.zeros(0, np.uint32), *(x[e[k] : e[k + 1]] for x, e in zip(cells, ends, strict=True))]) for k in range(kinds)]
-    return _with_others(values, n, _levels([x[order] for x in p.columns], depths)), place
+    # a token without a pair has no counts
+    of = np.full(len(train), len(order), np.int32)
+    of[p.token] = place
+    del place, cells
+    return _with_others(values, n, _levels([x[order].astype(np.uint32 if x.max(initial=0) < 1 << 32 else np.uint64) for x in p.columns], depths)), of
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -894,15 +914,13 @@ def score(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        listed = left.filter(pc.is_valid(left["part"])).sort_by("part")
-        left = left.filter(pc.is_null(left["part"]))
+        left, listed, word, lengths = _tokens_of(left)
         distinct = pa.concat_arrays([_unpack_words(x) for x in listed["words"].to_pylist()])
         own = right.filter(pc.is_valid(right["number"]))
         number, count = _all_numbers(own, "number"), _all_numbers(own, "n")
         right = right.filter(pc.is_null(right["number"])).sort_by("part")
-        word, lengths = _tokens_of(left["tokens"])
         train = np.repeat(~left["held_out"].to_numpy(), lengths)
-        answers = [(p.token, *_answered(p, train, right[name].drop_null().to_pylist(), depths, parts)) for p, (name, depths) in zip(_pairs_of(word, lengths, number), _DEPTHS.items(), strict=True)]
+        answers = [_answered(p, train, right[name].drop_null().to_pylist(), depths, parts) for p, (name, depths) in zip(_pairs_of(word, lengths, number), _DEPTHS.items(), strict=True)]
         # the letters of unknown words; the end, an empty word, has none
         strange = np.flatnonzero((count == 0) & (pc.binary_length(distinct).to_numpy() > 0))
         letters = np.zeros(len(count))
@@ -913,13 +931,8 @@ def score(docs: DataFrame) -> DataFrame:
         for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
             begin, end = ends[a] - lengths[a], ends[b - 1]
             t = Tokens(distinct, word[begin:end], np.repeat(np.arange(b - a), lengths[a:b]), None, classes, b - a)
-            n, way = end - begin, np.zeros((_WAY, 2 * (end - begin)), np.float32)
-            for k, (token, counts, place) in enumerate(answers):
-                span = slice(*np.searchsorted(token, [begin, end]))
-                rows = [BITS, _WORD, _KINDS] if k == 0 else list(range(_WAY))
-                for row, values in zip(rows, counts, strict=True):
-                    way[row, k * n + token[span] - begin] = values[place[span]]
-            per_token, scored = count[t.word], model.score(t, count, way)
+            per_token = count[t.word]
+            scored = model.scored(t, count, *(lambda at, begin=begin, counts=counts, place=place: counts.take(place[begin + at], 1, mode="clip") for counts, place in answers))
             of = lambda x: np.bincount(t.text, weights=x, minlength=t.n)  # noqa: B023, E731
             part = left.slice(a, b - a)
             out.append(pa.table({
@@ -928,5 +941,5 @@ def score(docs: DataFrame) -> DataFrame:
             }))
         return pa.concat_tables(out)
 
-    rows = dealt.where("part IS NULL OR part >= 0").select("block", "doc_id", "held_out", "n_bytes", "tokens", "part", "words")
+    rows = dealt.where("part IS NULL OR part >= 0").select("block", "doc_id", "held_out", "n_bytes", "tokens", "part", "words", "n")
     return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")

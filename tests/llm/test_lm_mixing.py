@@ -176,3 +176,41 @@ def test_counts_on_the_way_are_sent_packed():
     assert (lm._unpack(packed, len(way)).astype(np.float32) == way).all() and len(packed) < way.nbytes / 20
     assert (lm._unpack(lm._pack(context)) == context).all() and (lm._unpack(lm._pack(word)) == word).all()
     assert len(lm._unpack(lm._pack(word[:0]))) == 0 and lm._unpack(lm._pack(way[:, :0]), len(way)).shape == (len(way), 0)
+
+
+def test_texts_are_not_shuffled(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
+    plan = lm.score(docs)._jdf.queryExecution().executedPlan().toString()
+    # texts stay where they were written: only words and counts are sent to the blocks
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning(block" in line]
+    assert "CoGroupsInArrow" in plan and len(shuffled) < 2 * plan.count("CoGroupsInArrow")
+
+
+@pytest.mark.parametrize("name", ["one", "two"])
+def test_blocks_are_told_what_others_add(name):
+    rng = np.random.default_rng(7)
+    depths, cells = lm._DEPTHS[name], []
+    for _ in range(3):
+        number = np.where(rng.random(400) < 0.8, rng.permutation(np.repeat(np.arange(1, 21), 20) << 8 | np.tile(np.arange(1, 241, 12), 20)), 0)
+        word, lengths = rng.integers(0, 400, 30_000) // (1 + rng.integers(0, 40, 30_000)), np.full(300, 100)
+        pairs = lm._pairs_of(word, lengths, number)[name == "two"]
+        n = np.bincount(pairs.place, weights=rng.random(len(pairs.place)) < 0.7, minlength=len(pairs.columns[0])).astype(np.int64)
+        cells.append((pairs.columns, n))
+    columns, n = [np.concatenate(x) for x in zip(*(c for c, _ in cells), strict=True)], np.concatenate([n for _, n in cells])
+    word = columns[-1].astype(np.uint64)
+    way, place = lm._ways(lm._context(columns), word << np.uint64(56) | word >> np.uint64(8), n, depths)
+    # plain counts of all blocks
+    total, behind = Counter(), Counter()
+    for *before, last, k in zip(*columns, n, strict=True):
+        total[(*before, last)] += int(k)
+    for (*before, last), k in total.items():
+        behind[(*before, last & 255)] += k
+    ends = np.cumsum([len(n) for _, n in cells])
+    said = lm._others(lambda k, at: way[k, place[at]].astype(np.int64), n, lm._levels(columns, depths, np.append(0, ends[:-1])))
+    for own, a, b in zip(cells, [0, *ends[:-1]], ends, strict=True):
+        values = [v[np.searchsorted(at, a) : np.searchsorted(at, b)] for at, v in said]
+        got = lm._with_others(values, own[1], lm._levels(own[0], depths))[:, :-1]
+        assert (got == way[:, place[a:b]]).all()
+        rows = list(zip(*own[0], strict=True))
+        assert got[-2].tolist() == [total[r] for r in rows]
+        assert got[-3].tolist() == [behind[(*r[:-1], r[-1] & 255)] for r in rows]
